@@ -5,14 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm import exact_dedup, mixing, site_lines
+from docmill.llm import exact_dedup, line_quality, mixing, simhash, site_lines
 from docmill.plans.shared import table
 
 
+def op2_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_quality.judge(table(spark, sf_dir, "documents")).drop("cleaned")
+
+
 def op3_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_lines.drop_site_lines(table(spark, sf_dir, "documents"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.near_groups(table(spark, sf_dir, "documents"))
+    digits = F.lower(F.hex("fp"))
+    return groups.select("doc_id", F.concat(*(F.substring(digits, i, 2) for i in range(15, 0, -2))).alias("fingerprint"), "component_id")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = mixing.mix(table(spark, sf_dir, "documents"))
     return taken.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
@@ -23,9 +33,24 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {"op3_site_lines": op3_site_lines, "op7_mixing": op7_mixing, "op8_exact_dedup": op8_exact_dedup}
+QUERIES = {"op2_line_quality": op2_line_quality, "op6_simhash": op6_simhash, "op3_site_lines": op3_site_lines, "op7_mixing": op7_mixing, "op8_exact_dedup": op8_exact_dedup}
 
 ORACLES = {
+    "op2_line_quality": """
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+w AS (SELECT doc_id, u.i AS i, words[u.i] AS a, words[u.i + 1] AS b, words[u.i + 2] AS c FROM d, LATERAL (SELECT unnest(range(1, len(words) - 1)) AS i) u),
+r AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM w), (SELECT unnest([0, 1, 2]) AS k) WHERE n > 1 GROUP BY doc_id),
+l AS (SELECT doc_id, source, text, u.i AS i, string_split(text, chr(10))[u.i] AS line FROM d, LATERAL (SELECT unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i) u),
+k AS (SELECT *, trim(regexp_replace(lower(line), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS key, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS line_words FROM l),
+hosts AS (SELECT source, count(DISTINCT text) AS host_texts FROM d GROUP BY source),
+first AS (SELECT source, text, min(doc_id) AS doc_id FROM d GROUP BY source, text),
+often AS (SELECT k.source, k.key, arg_min(k.text, f.doc_id) AS owner FROM k JOIN first f ON k.source IS NOT DISTINCT FROM f.source AND k.text = f.text JOIN hosts h ON k.source IS NOT DISTINCT FROM h.source
+          WHERE key <> '' GROUP BY k.source, k.key, host_texts HAVING count(DISTINCT k.text) >= 10 AND count(DISTINCT k.text) > host_texts * 0.05::DOUBLE),
+m AS (SELECT k.doc_id, sum(line_words) AS removed_words FROM k JOIN often o ON k.source IS NOT DISTINCT FROM o.source AND k.key = o.key AND k.text <> o.owner GROUP BY k.doc_id),
+u AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM k WHERE line_words > 0 GROUP BY doc_id),
+s AS (SELECT doc_id, len(words)::BIGINT AS n_words, length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g'))::BIGINT AS word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols FROM d),
+t AS (SELECT s.*, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(removed_words, 0)::BIGINT AS removed_words FROM s LEFT JOIN u USING (doc_id) LEFT JOIN r USING (doc_id) LEFT JOIN m USING (doc_id))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND removed_words <= n_words * 0.5::DOUBLE AS kept FROM t""",
     "op3_site_lines": """
 WITH l AS (SELECT doc_id, source, u.i AS i, string_split(text, chr(10))[u.i] AS line, trim(regexp_replace(lower(string_split(text, chr(10))[u.i]), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS key
            FROM documents, LATERAL (SELECT unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i) u),
