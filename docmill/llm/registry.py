@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm import exact_dedup, line_quality, mixing, simhash, site_lines
+from docmill.llm import exact_dedup, language, line_quality, mixing, packing, simhash, site_lines
 from docmill.plans.shared import table
 
 
@@ -17,6 +18,17 @@ def op3_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_lines.drop_site_lines(table(spark, sf_dir, "documents"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    profiles = language.fit(docs.filter(~language.held_out(F.col("doc_id"))))
+    found = language.predict(docs, profiles)
+    return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_groups(table(spark, sf_dir, "documents"))
     digits = F.lower(F.hex("fp"))
@@ -33,7 +45,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {"op2_line_quality": op2_line_quality, "op6_simhash": op6_simhash, "op3_site_lines": op3_site_lines, "op7_mixing": op7_mixing, "op8_exact_dedup": op8_exact_dedup}
+QUERIES = {"op2_line_quality": op2_line_quality, "op4_packing": op4_packing, "op5_language": op5_language, "op6_simhash": op6_simhash, "op3_site_lines": op3_site_lines, "op7_mixing": op7_mixing, "op8_exact_dedup": op8_exact_dedup}
 
 ORACLES = {
     "op2_line_quality": """
