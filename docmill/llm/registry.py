@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm import exact_dedup, language, licences, line_quality, mixing, packing, simhash, site_lines
+from docmill.llm import exact_dedup, language, licences, line_quality, mixing, packing, pii, simhash, site_lines
 from docmill.plans.shared import table
 
 
@@ -49,7 +49,11 @@ def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
-QUERIES = {"op9_licences": op9_licences, "op2_line_quality": op2_line_quality, "op4_packing": op4_packing, "op5_language": op5_language, "op6_simhash": op6_simhash, "op3_site_lines": op3_site_lines, "op7_mixing": op7_mixing, "op8_exact_dedup": op8_exact_dedup}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents")).drop("found")
+
+
+QUERIES = {"op10_pii": op10_pii, "op9_licences": op9_licences, "op2_line_quality": op2_line_quality, "op4_packing": op4_packing, "op5_language": op5_language, "op6_simhash": op6_simhash, "op3_site_lines": op3_site_lines, "op7_mixing": op7_mixing, "op8_exact_dedup": op8_exact_dedup}
 
 ORACLES = {
     "op2_line_quality": """
