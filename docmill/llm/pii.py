@@ -134,7 +134,7 @@ def votes(text: str, kind: str, a: int, b: int, base: bool) -> list[int]:
     near = {w.lower() for w in WORDS.findall(text[max(0, a - CONTEXT) : a])[-4:]}
     context = 1 if near & CUES[kind] else -1 if near & AGAINST else 0
     before, after = text[a - 1 : a], text[b : b + 1]
-    around = -1 if before.isalnum() or after.isalnum() else 1
+    around = -1 if before.isalnum() or after.isalnum() else 1 if before and before in ":=<\"'(" else 0
     return [shape, check, listed, context, around]
 
 
