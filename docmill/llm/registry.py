@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm import exact_dedup, language, licences, line_quality, mixing, packing, pii, simhash, site_lines
+from docmill.llm import exact_dedup, language, licences, line_quality, mixing, packing, page_text, pii, simhash, site_lines
 from docmill.plans.shared import table
 
 
+def op1_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.judge(table(spark, sf_dir, "documents")).drop("cleaned")
 
@@ -53,7 +57,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents")).drop("found")
 
 
-QUERIES = {"op10_pii": op10_pii, "op9_licences": op9_licences, "op2_line_quality": op2_line_quality, "op4_packing": op4_packing, "op5_language": op5_language, "op6_simhash": op6_simhash, "op3_site_lines": op3_site_lines, "op7_mixing": op7_mixing, "op8_exact_dedup": op8_exact_dedup}
+QUERIES = {"op1_page_text": op1_page_text, "op10_pii": op10_pii, "op9_licences": op9_licences, "op2_line_quality": op2_line_quality, "op4_packing": op4_packing, "op5_language": op5_language, "op6_simhash": op6_simhash, "op3_site_lines": op3_site_lines, "op7_mixing": op7_mixing, "op8_exact_dedup": op8_exact_dedup}
 
 ORACLES = {
     "op2_line_quality": """
