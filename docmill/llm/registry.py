@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from docmill.llm import exact_dedup, language, licences, line_quality, mixing, packing, page_text, pii, simhash, site_lines
 from docmill.plans.shared import table
 
@@ -57,7 +58,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents")).drop("found")
 
 
-QUERIES = {"op1_page_text": op1_page_text, "op10_pii": op10_pii, "op9_licences": op9_licences, "op2_line_quality": op2_line_quality, "op4_packing": op4_packing, "op5_language": op5_language, "op6_simhash": op6_simhash, "op3_site_lines": op3_site_lines, "op7_mixing": op7_mixing, "op8_exact_dedup": op8_exact_dedup}
+QUERIES = {"pipeline": corpus_pipeline.run, "op1_page_text": op1_page_text, "op10_pii": op10_pii, "op9_licences": op9_licences, "op2_line_quality": op2_line_quality, "op4_packing": op4_packing, "op5_language": op5_language, "op6_simhash": op6_simhash, "op3_site_lines": op3_site_lines, "op7_mixing": op7_mixing, "op8_exact_dedup": op8_exact_dedup}
 
 ORACLES = {
     "op2_line_quality": """
