@@ -91,7 +91,11 @@ def longest_match(rows: DataFrame, key: str, text: str, names: DataFrame, name:
     """
     sizes = sizes or [r[0] for r in names.select(F.length(name)).distinct().collect()]  # a number for each length
     none = F.array().cast("array<string>")
-    parts = [F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i, n=n: F.substring(text, i, F.lit(n)))).otherwise(none) for n in sizes]
+
+    def cuts(n: int) -> Column:
+        return F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))).otherwise(none)
+
+    parts = [cuts(n) for n in sizes]
     own = rows.select(key, F.explode(F.array_distinct(F.concat(*parts) if parts else none)).alias(name))
     hit = own.join(names.select(name, value), name).groupBy(key).agg(F.min(F.struct(-F.length(name), F.col(name), F.col(value))).alias("m"))
     return rows.join(hit.select(key, F.col("m")[name].alias(name), F.col("m")[value].alias(value)), key, "left")

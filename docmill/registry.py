@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from docmill.queries import reports, retrieval, texts
+
+QUERIES: dict = retrieval.QUERIES | texts.QUERIES | reports.QUERIES
+ORACLES: dict = retrieval.ORACLES | texts.ORACLES | reports.ORACLES
