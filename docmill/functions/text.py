@@ -90,9 +90,10 @@ def attachments(value: Column) -> tuple[Column, Column]:
 
 
 def grade_label(value: Column) -> Column:
-    """'학사2년' to '2학년', part by part of a comma list."""
-    part = lambda x: F.regexp_replace(F.trim(x), r"^학사\s*([0-9])년?$", "$1학년")
-    return F.array_join(F.transform(F.split(value, ","), part), ", ")
+    """'학사2년' to '2학년'; each part of a comma list gets 학년."""
+    bare = F.replace(value, F.lit("학사"), F.lit(""))
+    parts = F.transform(F.split(F.replace(bare, F.lit("년"), F.lit("")), ","), lambda x: F.concat(F.trim(x), F.lit("학년")))
+    return F.when(bare.contains(","), F.array_join(parts, ", ")).otherwise(F.replace(bare, F.lit("년"), F.lit("학년")))
 
 
 def phone_like(value: Column) -> Column:

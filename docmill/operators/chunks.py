@@ -125,11 +125,11 @@ def citation(text: Column, published: Column, url: Column) -> Column:
     return F.when(link.isNotNull() & day.isNotNull(), F.concat(F.lit("- "), title, F.lit(" ("), day, F.lit(") — "), link)).when(link.isNotNull(), F.concat(F.lit("- "), title, F.lit(" — "), link)).otherwise(F.concat(F.lit("- "), title))
 
 
-def recent_history(messages: DataFrame, session: str, order: str, role: str, text: str, turns: int = 3, cut: int = 200) -> DataFrame:
+def recent_history(messages: DataFrame, session: str, order: str, role: str, text: str, turns: int = 3, cut: int = 200, labels: tuple[str, str] = ("사용자", "답변")) -> DataFrame:
     """(session, history): the last 2 * turns messages in order, answers cut at cut characters and an ellipsis."""
     nth = F.row_number().over(Window.partitionBy(session).orderBy(F.desc(order)))
     own = messages.filter(F.col(role).isin("user", "assistant")).withColumn("__nth", nth).filter(F.col("__nth") <= 2 * turns)
     body = F.trim(F.col(text))
-    line = F.when(F.col(role) == "user", F.concat(F.lit("사용자: "), body)).otherwise(F.concat(F.lit("동똑이: "), F.when(F.length(body) > cut, F.concat(F.substring(body, 1, cut), F.lit("…"))).otherwise(body)))
+    line = F.when(F.col(role) == "user", F.concat(F.lit(f"{labels[0]}: "), body)).otherwise(F.concat(F.lit(f"{labels[1]}: "), F.when(F.length(body) > cut, F.concat(F.substring(body, 1, cut), F.lit("…"))).otherwise(body)))
     lines = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("line"))))
     return own.groupBy(session).agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("history"))

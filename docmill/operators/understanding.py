@@ -34,8 +34,9 @@ def staff_lookup(query: Column, route: Column) -> Column:
     return F.array_contains(route, "staff") & has_any(query, STAFF_WORDS)
 
 
-def school_info(query: Column) -> Column:
-    return has_any(F.regexp_replace(F.lower(query), r"(?U)\s+", ""), SCHOOL_TERMS)
+def school_info(query: Column, names: tuple[str, ...] = ()) -> Column:
+    """Whether a school term, or one of the institution's own names, stands in the query; white space doesn't count."""
+    return has_any(F.regexp_replace(F.lower(query), r"(?U)\s+", ""), [*SCHOOL_TERMS, *names])
 
 
 def entry_year(query: Column) -> Column:

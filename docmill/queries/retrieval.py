@@ -207,7 +207,7 @@ SELECT source, count(*) AS n_parts, md5(substr(string_agg(text, chr(10) || chr(1
 u AS (SELECT *, CASE WHEN raw LIKE '%]%' THEN trim(split_part(raw, ']', 1)) ELSE raw END AS title FROM t)
 SELECT page_id, CASE WHEN url IS NOT NULL AND day IS NOT NULL THEN '- ' || title || ' (' || day || ') — ' || url WHEN url IS NOT NULL THEN '- ' || title || ' — ' || url ELSE '- ' || title END AS line FROM u""",
     "history_tail": """WITH n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations WHERE role IN ('user', 'assistant'))
-SELECT conv_id, string_agg(CASE WHEN role = 'user' THEN '사용자: ' || trim(text) WHEN length(trim(text)) > 200 THEN '동똑이: ' || substr(trim(text), 1, 200) || '…' ELSE '동똑이: ' || trim(text) END, chr(10) ORDER BY turn) AS history FROM n WHERE n <= 6 GROUP BY conv_id""",
+SELECT conv_id, string_agg(CASE WHEN role = 'user' THEN '사용자: ' || trim(text) WHEN length(trim(text)) > 200 THEN '답변: ' || substr(trim(text), 1, 200) || '…' ELSE '답변: ' || trim(text) END, chr(10) ORDER BY turn) AS history FROM n WHERE n <= 6 GROUP BY conv_id""",
     "tfidf_vocabulary": f"WITH {_TERMS} SELECT term, df, round(idf, 6) AS idf FROM vocab",
     "tfidf_postings": f"WITH {_TERMS} SELECT doc_id, term, round(weight, 6) AS weight FROM post",
     "sparse_topk": f"WITH {_TERMS} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request ORDER BY sparse_score DESC, doc_id)::INT AS rank FROM sparse) WHERE rank <= 5",
