@@ -80,7 +80,7 @@ def dense_scores(queries: DataFrame, rows: DataFrame, request: str, key: str, k:
 
 def _nearest(rows: DataFrame, ids: np.ndarray, matrix: np.ndarray, request: str, key: str, vector: str, k: int, kinds: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = pd.DataFrame({request: ids[:0], key: [], "dense_score": []})
+        best = None
         for b in batches:
             if not len(b) or not len(ids):
                 continue
@@ -90,9 +90,10 @@ def _nearest(rows: DataFrame, ids: np.ndarray, matrix: np.ndarray, request: str,
             least = np.partition(scores, -n, axis=0)[-n]
             row, col = np.nonzero(scores >= least)
             own = pd.DataFrame({request: ids[col], key: b[key].to_numpy()[row], "dense_score": scores[row, col]})
-            best = pd.concat([best, own], ignore_index=True) if len(best) else own
+            best = own if best is None else pd.concat([best, own], ignore_index=True)
             best = best.sort_values(["dense_score", key], ascending=[False, True]).groupby(request, sort=False).head(k)
-        yield best
+        if best is not None:
+            yield best.reset_index(drop=True)
 
     return rows.mapInPandas(run, kinds)
 
