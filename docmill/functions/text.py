@@ -138,9 +138,11 @@ def tokens(text: Column) -> Column:
         stem = F.regexp_replace(word, f"^(.{{2,}}?)(?:{particle})$", "$1")
         gram = lambda n: F.transform(F.sequence(F.lit(1), F.length(stem) - (n - 1)), lambda i: F.substring(stem, i, F.lit(n)))
         grams = F.when(stem.rlike("^[가-힣]{4,}$"), F.concat(gram(2), gram(3))).otherwise(F.array().cast("array<string>"))
-        return F.concat(F.array(word, stem), grams)
+        # particles and grams are Hangul, so other words stand alone
+        return F.when(word.rlike("[가-힣]"), F.concat(F.array(word, stem), grams)).otherwise(F.array(word))
 
-    return F.array_distinct(F.filter(F.flatten(F.transform(words, of)), lambda t: F.length(t) >= 2))
+    long = lambda t: F.length(t) >= 2
+    return F.when(text.rlike("[가-힣]"), F.array_distinct(F.filter(F.flatten(F.transform(words, of)), long))).otherwise(F.array_distinct(F.filter(words, long)))
 
 
 def money_per_million(tokens_in: Column, tokens_out: Column, price_in: float | None, price_out: float | None) -> Column:

@@ -17,29 +17,34 @@ from docmill.plans.shared import join_checked, materialise
 MAX_TERMS, QUERY_BLOCK = 10_000, 512
 
 
-def vocabulary(texts: DataFrame, text: str = "text", max_terms: int = MAX_TERMS) -> DataFrame:
-    """(term, df, idf) of the most frequent terms, ties by term; idf = ln((1 + n) / (1 + df)) + 1. Every text counts.
+def tokenised(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, terms), written: both the vocabulary and the postings read it."""
+    return materialise(texts.select(key, tokens(F.col(text)).alias("terms")), "terms")
 
-    Tokens are distinct per text, so counting rows counts texts, and sums form before the shuffle.
+
+def vocabulary(terms: DataFrame, max_terms: int = MAX_TERMS) -> DataFrame:
+    """(term, df, idf) of the most frequent terms of (key, terms), ties by term; idf = ln((1 + n) / (1 + df)) + 1. Every text counts.
+
+    Terms are distinct per text, so counting rows counts texts, and sums form before the shuffle.
     """
-    n = texts.count()
-    df = texts.select(F.explode(tokens(F.col(text))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    n = terms.count()
+    df = terms.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     top = df.orderBy(F.desc("df"), "term").limit(max_terms)
     return top.withColumn("idf", F.log(F.lit(1.0 + n) / (F.col("df") + 1.0)) + 1.0)
 
 
-def postings(texts: DataFrame, vocab: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, term, weight): TF-IDF rows of length one. vocab: written, at most MAX_TERMS rows, so it is broadcast."""
-    rows = texts.select(key, F.explode(tokens(F.col(text))).alias("term"))
-    rows = join_checked(rows, vocab.select("term", "idf"), ["term"], "inner")
-    norm = rows.groupBy(key).agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("norm"))
-    return rows.join(norm, key).select(key, "term", (F.col("idf") / F.col("norm")).alias("weight"))
+def postings(terms: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
+    """(key, term, weight) of (key, terms): TF-IDF rows of length one. vocab: written, at most MAX_TERMS rows, so it is broadcast."""
+    rows = join_checked(terms.select(key, F.explode("terms").alias("term")), vocab.select("term", "idf"), ["term"], "inner")
+    norm = F.sqrt(F.sum(F.col("idf") * F.col("idf")).over(Window.partitionBy(key)))
+    return rows.select(key, "term", (F.col("idf") / norm).alias("weight"))
 
 
 def sparse_index(texts: DataFrame, key: str, text: str = "text", max_terms: int = MAX_TERMS) -> tuple[DataFrame, DataFrame]:
     """(vocabulary, postings), both written."""
-    vocab = materialise(vocabulary(texts, text, max_terms), "vocabulary")
-    return vocab, materialise(postings(texts, vocab, key, text), "postings")
+    terms = tokenised(texts, key, text)
+    vocab = materialise(vocabulary(terms, max_terms), "vocabulary")
+    return vocab, materialise(postings(terms, vocab, key), "postings")
 
 
 def ranked(hits: DataFrame, request: str, score: str, key: str, k: int) -> DataFrame:
@@ -53,7 +58,8 @@ def sparse_scores(queries: DataFrame, vocab: DataFrame, index: DataFrame, reques
 
     The queries' terms are joined to the postings; join_checked broadcasts them while they are few.
     """
-    asked = materialise(postings(queries.select(request, query), vocab, request, query).withColumnRenamed("weight", "asked"), "asked")
+    terms = queries.select(request, tokens(F.col(query)).alias("terms"))
+    asked = materialise(postings(terms, vocab, request).withColumnRenamed("weight", "asked"), "asked")
     both = join_checked(index, asked, ["term"], "inner")
     return both.groupBy(request, key).agg(F.round(F.sum(F.col("weight") * F.col("asked")), 6).alias("sparse_score")).filter("sparse_score > 0")
 

@@ -70,3 +70,12 @@ def join_checked(big: DataFrame, small: DataFrame, keys: list[str], how: str = "
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's Parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows take much work each: dealt over all cores where its files give fewer partitions than these.
+
+    A table of many files or row groups is read as it is, without a shuffle.
+    """
+    rows, cores = table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows

@@ -9,7 +9,7 @@ from docmill.functions.where import predicate
 from docmill.operators import chunks, ranking, reports, retrieval
 from docmill.operators.chunks import to_chunks
 from docmill.functions.identity import doc_key
-from docmill.plans.shared import table
+from docmill.plans.shared import spread_table, table
 
 AS_OF = "2001-08-02"
 
@@ -35,7 +35,7 @@ def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread_table(spark, sf_dir, "documents")
     return docs, *retrieval.sparse_index(docs, "doc_id")
 
 
@@ -48,12 +48,12 @@ def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
 
 
 def chunk_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(doc_key(F.col("doc_id"), F.col("source")).alias("doc_id"), F.col("doc_id").alias("row_id"), "text")
+    docs = spread_table(spark, sf_dir, "documents").select(doc_key(F.col("doc_id"), F.col("source")).alias("doc_id"), F.col("doc_id").alias("row_id"), "text")
     return to_chunks(docs, 300, 80).select("chunk_id", "doc_id", "row_id", "position", F.sha1(F.col("chunk_text").cast("binary")).alias("text_sha1"))
 
 
 def neighbour_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = to_chunks(table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("title")), 300, 80, "title")
+    made = to_chunks(spread_table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("title")), 300, 80, "title")
     return chunks.with_neighbours(made).select("doc_id", "position", F.length("context").alias("n_chars"), F.md5(F.col("context").cast("binary")).alias("context_md5"))
 
 
@@ -74,7 +74,7 @@ def history_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tfidf_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.vocabulary(table(spark, sf_dir, "documents")).select("term", "df", F.round("idf", 6).alias("idf"))
+    return retrieval.vocabulary(retrieval.tokenised(spread_table(spark, sf_dir, "documents"), "doc_id")).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def tfidf_postings(spark: SparkSession, sf_dir: str) -> DataFrame:

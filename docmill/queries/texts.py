@@ -11,7 +11,7 @@ from docmill.functions.identity import doc_key
 from docmill.functions.where import predicate
 from docmill.operators import understanding as ask
 from docmill.operators.chunks import keep_first
-from docmill.plans.shared import materialise, table
+from docmill.plans.shared import materialise, spread_table, table
 
 QUESTIONS = [
     "오늘 올라온 장학 공지 알려줘", "이번 주 학사일정 알려줘", "컴퓨터공학과 사무실 전화번호", "2024학번 통계학과 교양 교과목", "수강신청 취소는 어떻게 해?", "오늘 학식 메뉴", "마감 임박한 장학금 모집", "어제 일반 공지",
@@ -47,24 +47,24 @@ def doc_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def html_strip_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.md5(text.strip_markup(F.col("html")).cast("binary")).alias("text_md5"))
+    return spread_table(spark, sf_dir, "pages").select("page_id", F.md5(text.strip_markup(F.col("html")).cast("binary")).alias("text_md5"))
 
 
 def html_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Character references decoded as well; SQL has no function for them."""
-    return table(spark, sf_dir, "pages").select("page_id", text.clean_text(F.col("html")).alias("clean"))
+    return spread_table(spark, sf_dir, "pages").select("page_id", text.clean_text(F.col("html")).alias("clean"))
 
 
 def whitespace_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.normalize_whitespace(F.col("text")).cast("binary")).alias("text_md5"))
+    return spread_table(spark, sf_dir, "documents").select("doc_id", F.md5(text.normalize_whitespace(F.col("text")).cast("binary")).alias("text_md5"))
 
 
 def unicode_nfkc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.length(text.normalize_unicode(F.col("text"))).alias("n_chars"))
+    return spread_table(spark, sf_dir, "documents").select("doc_id", F.length(text.normalize_unicode(F.col("text"))).alias("n_chars"))
 
 
 def tokens_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.array_sort(text.tokens(F.col("text"))).alias("t"))
+    docs = spread_table(spark, sf_dir, "documents").select("doc_id", F.array_sort(text.tokens(F.col("text"))).alias("t"))
     return docs.select("doc_id", F.size("t").alias("n_tokens"), F.md5(F.array_join("t", " ").cast("binary")).alias("tokens_md5"))
 
 
