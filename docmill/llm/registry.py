@@ -8,54 +8,54 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from docmill.llm import exact_dedup, language, licences, line_quality, mixing, packing, page_text, pii, simhash, site_lines
-from docmill.plans.shared import table
+from docmill.plans.shared import spread_table
 
 
 def op1_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return page_text.extract(table(spark, sf_dir, "pages"))
+    return page_text.extract(spread_table(spark, sf_dir, "pages"))
 
 
 def op2_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_quality.judge(table(spark, sf_dir, "documents")).drop("cleaned")
+    return line_quality.judge(spread_table(spark, sf_dir, "documents")).drop("cleaned")
 
 
 def op3_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return site_lines.drop_site_lines(table(spark, sf_dir, "documents"))
+    return site_lines.drop_site_lines(spread_table(spark, sf_dir, "documents"))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(spread_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread_table(spark, sf_dir, "documents")
     profiles = language.fit(docs.filter(~language.held_out(F.col("doc_id"))))
     found = language.predict(docs, profiles)
     return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = simhash.near_groups(table(spark, sf_dir, "documents"))
+    groups = simhash.near_groups(spread_table(spark, sf_dir, "documents"))
     digits = F.lower(F.hex("fp"))
     return groups.select("doc_id", F.concat(*(F.substring(digits, i, 2) for i in range(15, 0, -2))).alias("fingerprint"), "component_id")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    taken = mixing.mix(table(spark, sf_dir, "documents"))
+    taken = mixing.mix(spread_table(spark, sf_dir, "documents"))
     return taken.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
+    groups = exact_dedup.exact_groups(spread_table(spark, sf_dir, "documents"))
     return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licences.scan(table(spark, sf_dir, "documents")).drop("spans")
+    return licences.scan(spread_table(spark, sf_dir, "documents")).drop("spans")
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.find(table(spark, sf_dir, "documents")).drop("found")
+    return pii.find(spread_table(spark, sf_dir, "documents")).drop("found")
 
 
 QUERIES = {"pipeline": corpus_pipeline.run, "op1_page_text": op1_page_text, "op10_pii": op10_pii, "op9_licences": op9_licences, "op2_line_quality": op2_line_quality, "op4_packing": op4_packing, "op5_language": op5_language, "op6_simhash": op6_simhash, "op3_site_lines": op3_site_lines, "op7_mixing": op7_mixing, "op8_exact_dedup": op8_exact_dedup}
