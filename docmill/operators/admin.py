@@ -72,7 +72,7 @@ def grounding(reply: Column, least: float) -> Column:
 
 def followups(reply: Column, question: Column, n: int = 3) -> Column:
     """The first n different questions of a JSON list that aren't blank or the question itself."""
-    asked = F.transform(F.from_json(unfenced(reply), "array<string>"), F.trim)
+    asked = F.transform(F.from_json(unfenced(reply), "array<string>"), lambda x: F.trim(x))
     return F.coalesce(F.slice(F.array_distinct(F.filter(asked, lambda x: (x != "") & (x != F.trim(question)))), 1, n), F.array().cast("array<string>"))
 
 

@@ -70,7 +70,7 @@ def policy(query: Column, route: Column) -> Column:
 def retrieval_queries(raw: Column, normal: Column, searches: Column, subs: Column, expanded: Column, extras: Column, max_subs: int = 4) -> Column:
     """Distinct queries in order: raw, normalised, searches (3), sub-queries; the expansion if fewer than three; cut to 3, or 2 + max_subs with sub-queries; extras beyond that."""
     none = F.array().cast("array<string>")
-    trimmed = lambda a: F.filter(F.transform(F.coalesce(a, none), F.trim), lambda x: x != "")
+    trimmed = lambda a: F.filter(F.transform(F.coalesce(a, none), lambda x: F.trim(x)), lambda x: x != "")
     one = lambda c: F.filter(F.array(F.trim(F.coalesce(c, F.lit("")))), lambda x: x != "")
     compound = F.size(trimmed(subs)) > 0
     out = F.array_distinct(F.concat(F.array(F.trim(raw)), one(normal), trimmed(F.slice(F.coalesce(searches, none), 1, 3)), trimmed(subs)))

@@ -226,7 +226,7 @@ def sections(lines: DataFrame, key: str, order: str, text: str, pattern: str) ->
 
 def without_repeats(text: Column, noise: list[str]) -> Column:
     """Lines without those that match a noise pattern and without a line equal to the one before."""
-    kept = F.transform(F.split(text, "\n"), F.trim)
+    kept = F.transform(F.split(text, "\n"), lambda x: F.trim(x))
     for pattern in noise:
         kept = F.filter(kept, _unlike(pattern))
     fresh = F.filter(kept, lambda x, i: (i == 0) | (x != F.get(kept, i - 1)))
