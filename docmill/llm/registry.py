@@ -60,6 +60,9 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"pipeline": corpus_pipeline.run, "op1_page_text": op1_page_text, "op10_pii": op10_pii, "op9_licences": op9_licences, "op2_line_quality": op2_line_quality, "op4_packing": op4_packing, "op5_language": op5_language, "op6_simhash": op6_simhash, "op3_site_lines": op3_site_lines, "op7_mixing": op7_mixing, "op8_exact_dedup": op8_exact_dedup}
 
+#: Queries that run no Python in tasks.
+NATIVE = {"op3_site_lines", "op7_mixing", "op8_exact_dedup"}
+
 ORACLES = {
     "op2_line_quality": """
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
