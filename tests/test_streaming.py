@@ -1,3 +1,5 @@
+import time
+
 from pyspark.sql import functions as F
 
 from docmill.operators import sync
@@ -41,3 +43,25 @@ def test_recent_answers(spark):
     cached = spark.createDataFrame([("a", 10, [1.0, 0.0], now), ("a", 11, [0.99, 0.141], now), ("b", 12, [0.0, 1.0], old)], "namespace string, cached_id long, embedding array<float>, created timestamp")
     got = [tuple(r) for r in jobs.recent_answers(asked, cached, now).collect()]
     assert got == [("a", 1, 10, 1.0)]
+
+
+def test_cached_answers(spark, tmp_path):
+    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        schema = "namespace string, question string, answer string"
+        out = []
+        for wanted, batch in ((3, [("a", "q1", "x"), ("a", "q2", "y"), ("b", "q1", "z")]), (5, [("a", "q1", "new"), ("b", "q3", None)])):
+            spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            stream = jobs.cached_answers(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+            query = stream.writeStream.foreachBatch(lambda df, n: out.extend(map(tuple, df.collect()))).option("checkpointLocation", str(tmp_path / "c")).start()
+            until = time.time() + 100
+            while len(out) < wanted and time.time() < until:  # a query with processing-time state never ends by itself
+                time.sleep(0.2)
+            query.stop()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    assert ("a", "q1", "x", True) in out and ("a", "q1", "x", False) in out and ("b", "q1", "z", False) in out and len(out) == 5
