@@ -98,6 +98,6 @@ def drop_copies(docs: DataFrame, size: int = BLOCK, keep: list[str] | None = Non
     docs is first written with a row number, so that choice and text belong to the same row.
     """
     cols = docs.columns
-    stored = materialise(docs.select(F.struct(*(docs[c] for c in cols)).alias("__doc")).withColumn("__row", F.monotonically_increasing_id()), "numbered", keep)
+    stored = materialise(docs.select(F.struct(*(F.col(f"`{c}`") for c in cols)).alias("__doc")).withColumn("__row", F.monotonically_increasing_id()), "numbered", keep)
     groups = exact_groups(stored.select("__row", "__doc.doc_id", "__doc.text"), size, "__row", keep)
     return stored.join(groups.filter("kept").select("__row"), "__row", "left_semi").select(*(F.col("__doc")[c].alias(c) for c in cols))

@@ -11,6 +11,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from docmill.plans.shared import join_checked, materialise
 
@@ -114,16 +115,16 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], top: int = TOP, ex
     minus that distance as a share of the largest one. Only text is looked at.
     """
     model = Profiles(profiles, top)
-    own = docs.select("doc_id", "text", *(docs[c].alias(f"__extra_{c}") for c in extra or []))
+    own = docs.select("doc_id", "text", *(F.col(f"`{c}`").alias(f"__extra_{c}") for c in extra or []))
     names = [c for c in own.columns if c != "text"]
-    kinds = {f.name: f.dataType.simpleString() for f in own.schema}
+    schema = StructType([*(own.schema[c] for c in names), StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [model.predict(t.as_py()) for t in b["text"]]
             yield pa.RecordBatch.from_arrays([*(b[c] for c in names), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=[*names, "lang_pred", "score"])
 
-    out = own.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", lang_pred string, score double")
+    out = own.mapInArrow(run, schema)
     return out.select("doc_id", "lang_pred", "score", *(F.col(f"__extra_{c}").alias(c) for c in extra or []))
 
 

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from docmill.plans.shared import join_checked, materialise
 
@@ -72,14 +73,14 @@ def judge(docs: DataFrame, share: float = 0.05, least: int = 10, min_words: int
     repeated rows get equal verdicts; an empty table gives no rows.
     """
     often = frequent_lines(docs, share, least, keep)
-    own = docs.select("doc_id", "source", "text", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("digest"), *(docs[c].alias(f"__extra_{c}") for c in extra or []))
+    own = docs.select("doc_id", "source", "text", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("digest"), *(F.col(f"`{c}`").alias(f"__extra_{c}") for c in extra or []))
     own = join_checked(own, often, ["source"], weight="often")
     theirs = F.transform(F.filter("often", lambda x: x["owner"] != F.col("digest")), lambda x: x["line"])
     own = own.withColumn("often", F.when(F.size("often") > 0, theirs))
     at = F.filter(F.transform(line_hashes(F.col("text")), lambda h, i: F.when(F.array_contains("often", h), i)), lambda i: i.isNotNull())
     own = own.withColumn("at", F.when(F.size("often") > 0, at).otherwise(F.array().cast("array<int>"))).drop("often", "digest", "source")
-    kinds = {f.name: f.dataType.simpleString() for f in own.schema}
     rest = [c for c in own.columns if c != "at"]
+    schema = StructType([*(own.schema[c] for c in [*rest, "at"]), *(StructField(c, LongType()) for c in COUNTS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -87,7 +88,7 @@ def judge(docs: DataFrame, share: float = 0.05, least: int = 10, min_words: int
             cols = [pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else [[]] * len(COUNTS))]
             yield pa.RecordBatch.from_arrays([*(b[c] for c in rest), b["at"], *cols], names=[*rest, "at", *COUNTS])
 
-    out = own.mapInArrow(run, ", ".join([f"`{c}` {kinds[c]}" for c in rest] + ["at array<int>"] + [f"{c} long" for c in COUNTS]))
+    out = own.mapInArrow(run, schema)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     depleted = F.col("removed_words") > F.col("n_words") * F.lit(float(max_removed))
     cleaned = F.when(F.size("at") == 0, F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("at", i)), "\n"))
@@ -97,7 +98,7 @@ def judge(docs: DataFrame, share: float = 0.05, least: int = 10, min_words: int
 def keep_good(docs: DataFrame, keep: list[str] | None = None, **limits) -> DataFrame:
     """The kept rows of docs with its own columns; text loses its frequent lines and n_chars follows."""
     cols = docs.columns
-    whole = docs.select("doc_id", "source", "text", F.struct(*(docs[c] for c in cols if c != "text")).alias("__row"))
+    whole = docs.select("doc_id", "source", "text", F.struct(*(F.col(f"`{c}`") for c in cols if c != "text")).alias("__row"))
     out = judge(whole, extra=["__row"], keep=keep, **limits).filter("kept")
     own = {"text": F.col("cleaned"), "n_chars": F.length("cleaned").cast("long")}
     return out.select(*((own[c] if c in own else F.col("__row")[c]).alias(c) for c in cols))

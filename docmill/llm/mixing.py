@@ -52,7 +52,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     own = docs.select(
         "doc_id", "source", word_count(F.col("text")).alias("size"),
         F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))).alias("__key"),
-        *(docs[c].alias(f"__extra_{c}") for c in extra or []),
+        *(F.col(f"`{c}`").alias(f"__extra_{c}") for c in extra or []),
     )
     targets = materialise(source_targets(own.select("source", "size"), weights, share, most), "targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -65,6 +65,6 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
 def emit(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: every row of docs, with its own columns, as often as ``mix`` takes it."""
     cols = docs.columns
-    whole = docs.select("doc_id", "source", "text", F.struct(*(docs[c] for c in cols)).alias("__row"))
+    whole = docs.select("doc_id", "source", "text", F.struct(*(F.col(f"`{c}`") for c in cols)).alias("__row"))
     taken = mix(whole, extra=["__row"], **options)
     return taken.select("__row", F.explode(F.expr("array_repeat(0, int(copies))")).alias("__copy")).select(*(F.col("__row")[c].alias(c) for c in cols))

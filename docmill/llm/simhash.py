@@ -217,7 +217,7 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     group stays (null last). Rows without a word are no copies of each other: all of them stay.
     """
     cols = docs.columns
-    stored = materialise(docs.select(F.struct(*(docs[c] for c in cols)).alias("__doc")).withColumn("__row", F.monotonically_increasing_id()), "numbered", keep)
+    stored = materialise(docs.select(F.struct(*(F.col(f"`{c}`") for c in cols)).alias("__doc")).withColumn("__row", F.monotonically_increasing_id()), "numbered", keep)
     own = stored.select("__row", "__doc.doc_id", "__doc.text")
     worded = own.filter(F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
     groups = near_groups(worded, shingle, bits, similarity_radius(similarity, bits), blocks, agree, row="__row", keep=keep)

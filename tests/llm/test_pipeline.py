@@ -56,3 +56,15 @@ def test_run_packs_its_input(spark, sf):
     out = corpus_pipeline.run(spark, sf).collect()
     assert out and len({(r.sequence_id, r.offset) for r in out}) == len(out)
     assert public_tokenizers and check
+
+
+def test_columns_with_odd_names_stay(spark):
+    words = lambda seed: " ".join(str(x) for x in np.random.default_rng(seed).integers(0, 10**6, 80))
+    names = ["doc_id", "text", "lang", "source", "n_chars", "a.b", "kept", "size", "often", "__n", "first"]
+    docs = spark.createDataFrame([(i, words(i), None, "s", 1, "v", None, 7, "o", 2, "f") for i in range(4)], "doc_id long, text string, lang string, source string, n_chars long, `a.b` string, kept string, size long, often string, `__n` int, first string")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "")
+        assert docs.columns == names
+        rows = docs.collect()
+        assert rows and all((r["a.b"], r["size"], r["often"], r["__n"], r["first"]) == ("v", 7, "o", 2, "f") for r in rows)
+        docs = spark.createDataFrame(rows, docs.schema)
