@@ -111,10 +111,11 @@ def pack_context(parts: DataFrame, key: str, rank: str, text: str, limit: int =
 
     Packing stops for good at the first overflow, so the kept parts are those before it in a running maximum.
     """
-    order = Window.partitionBy(key).orderBy(rank).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    size = F.length(text) + F.when(F.row_number().over(Window.partitionBy(key).orderBy(rank)) > 1, len(SEPARATOR)).otherwise(0)
-    own = parts.select(key, rank, text, size.alias("__size"), F.row_number().over(Window.partitionBy(key).orderBy(rank)).alias("__nth"))
-    own = own.withColumn("__used", F.sum("__size").over(order)).filter((F.col("__nth") == 1) | (F.col("__used") <= limit))
+    per = Window.partitionBy(key).orderBy(rank)
+    # a part after the first takes the separator at least, so no more parts than this can fit
+    own = parts.select(key, rank, text, F.row_number().over(per).alias("__nth")).filter(F.col("__nth") <= limit // len(SEPARATOR) + 1)
+    own = own.withColumn("__size", F.length(text) + F.when(F.col("__nth") > 1, len(SEPARATOR)).otherwise(0))
+    own = own.withColumn("__used", F.sum("__size").over(per.rowsBetween(Window.unboundedPreceding, Window.currentRow))).filter((F.col("__nth") == 1) | (F.col("__used") <= limit))
     whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("__nth", text))), lambda p: p[text]), SEPARATOR)
     return own.groupBy(key).agg(F.substring(whole, 1, limit).alias("context"), F.count(F.lit(1)).alias("n_parts"))
 

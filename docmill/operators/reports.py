@@ -60,12 +60,14 @@ def gates(metrics: DataFrame, thresholds: dict[str, float] = GATES) -> DataFrame
     return out.withColumn("threshold", limit).withColumn("passed", F.when(F.col("metric") == "fallback_rate", F.col("value") <= limit).otherwise(F.col("value") >= limit))
 
 
-def recall_at(hits: DataFrame, relevant: DataFrame, request: str, key: str, ks: tuple[int, ...] = (5, 10, 20, 40)) -> DataFrame:
-    """(request, n_relevant, recall_at_k ...): share of the relevant keys among the first k; null without relevant keys."""
-    total = relevant.groupBy(request).agg(F.count(F.lit(1)).alias("n_relevant"))
-    found = hits.join(relevant, [request, key]).groupBy(request).agg(*(F.count_if(F.col("rank") <= k).alias(f"f{k}") for k in ks))
-    out = hits.select(request).distinct().join(total, request, "left").join(found, request, "left")
-    return out.select(request, F.coalesce("n_relevant", F.lit(0)).alias("n_relevant"), *(F.round(F.try_divide(F.coalesce(f"f{k}", F.when(F.col("n_relevant") > 0, 0)), F.col("n_relevant")), 6).alias(f"recall_at_{k}") for k in ks))
+def recall_at(hits: DataFrame, totals: DataFrame, request: str, ks: tuple[int, ...] = (5, 10, 20, 40)) -> DataFrame:
+    """(request, n_relevant, recall_at_k ...): share of the relevant rows among the first k; null without relevant rows.
+
+    hits: rank and relevant (boolean) per hit. totals: n_relevant per request; the relevant rows
+    themselves are counted, never paired with requests.
+    """
+    found = hits.groupBy(request).agg(*(F.count_if(F.col("relevant") & (F.col("rank") <= k)).alias(f"f{k}") for k in ks)).join(totals, request, "left")
+    return found.select(request, F.coalesce("n_relevant", F.lit(0)).alias("n_relevant"), *(F.round(F.try_divide(f"f{k}", F.nullif("n_relevant", F.lit(0))), 6).alias(f"recall_at_{k}") for k in ks))
 
 
 def cost(rows: DataFrame, by: list[str], amount: Column) -> DataFrame:

@@ -131,10 +131,11 @@ def deadline_first(chunks: DataFrame, sparse: DataFrame, ranges: DataFrame, requ
     """Rows whose deadline lies in their request's range, all of them, then ranked: 0.85 sparse + 0.15 nearness.
 
     ranges: request, start, end (dates). Nearness falls from 1 at the start to 0 at the end, 1 in a
-    one-day range. Zeros of the sparse score stay. Of more than 50 rows max(k, 50) stay.
+    one-day range. Zeros of the sparse score stay. Of more than 50 rows max(k, 50) stay. A range is
+    joined by its days, so the join is one of equal dates.
     """
-    asked = materialise(ranges, "ranges")
-    own = chunks.join(F.broadcast(asked) if asked.count() <= QUERY_BLOCK else asked, (F.col(deadline) >= F.col("start")) & (F.col(deadline) <= F.col("end")))
+    days = ranges.select(request, "start", "end", F.explode(F.sequence("start", "end")).alias(deadline))
+    own = chunks.join(days, deadline)
     own = own.join(sparse, [request, key], "left").withColumn("sparse_score", F.coalesce("sparse_score", F.lit(0.0)))
     span = F.datediff("end", "start")
     near = F.when(span > 0, 1 - F.least(F.lit(1.0), F.datediff(deadline, "start") / span)).otherwise(1.0)

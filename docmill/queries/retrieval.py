@@ -176,8 +176,9 @@ def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = vectors.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("request"), "embedding", F.col("label").alias("wanted"))
     hits = retrieval.dense_scores(asked, vectors, "request", "vec_id", 40)
     hits = hits.withColumn("rank", F.row_number().over(Window.partitionBy("request").orderBy(F.desc("dense_score"), "vec_id")))
-    relevant = asked.join(vectors.select("vec_id", "label"), F.col("wanted") == F.col("label")).select("request", "vec_id")
-    return reports.recall_at(hits, relevant, "request", "vec_id")
+    hits = hits.join(asked.select("request", "wanted"), "request").join(vectors.select("vec_id", "label"), "vec_id").withColumn("relevant", F.col("wanted") == F.col("label"))
+    totals = asked.select("request", "wanted").join(vectors.groupBy(F.col("label").alias("wanted")).agg(F.count(F.lit(1)).alias("n_relevant")), "wanted").select("request", "n_relevant")
+    return reports.recall_at(hits, totals, "request")
 
 
 _SCORED = f"""

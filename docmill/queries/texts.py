@@ -78,8 +78,8 @@ def deadlines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def date_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = spark.createDataFrame([(d,) for d in DAYS], "d string").select(F.to_date("d").alias("as_of"))
-    out = _questions(spark).join(F.broadcast(days)).select("q", "as_of", dates.date_filter(F.col("q"), F.col("as_of")).alias("f"))
+    own = _questions(spark).select("q", F.explode(F.array(*(F.to_date(F.lit(d)) for d in DAYS))).alias("as_of"))
+    out = own.select("q", "as_of", dates.date_filter(F.col("q"), F.col("as_of")).alias("f"))
     return out.select("q", F.col("as_of").cast("string").alias("as_of"), F.col("f.start").cast("string").alias("start"), F.col("f.end").cast("string").alias("stop"), F.col("f.label").alias("label"), F.col("f.is_relative").alias("is_relative"), F.col("f.relaxed_start").cast("string").alias("relaxed_start"), F.col("f.kind").alias("kind"))
 
 
