@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docmill.operators import reports, sync
 from docmill.operators.chunks import keep_first
+from docmill.operators.understanding import last_before
 from docmill.plans.shared import table
 
 
@@ -46,7 +47,7 @@ def quality_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def upsert_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
-    return sync.upsert(parts, parts.filter("p_size > 25").select("p_partkey", F.upper("p_name").alias("p_name"), F.lit(1).alias("extra")), ["p_partkey"])
+    return sync.upsert(parts, parts.filter("p_size > 25").select("p_partkey", F.upper("p_name").alias("p_name"), F.lit(1).alias("extra")), ["p_partkey"]).na.fill(-1, ["p_size", "extra"])
 
 
 def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +62,7 @@ def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
 def latest_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each customer with its newest order."""
     log = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_orderdate", "o_totalprice")
-    return reports.with_latest(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), log, "c_custkey", [F.desc("o_orderdate"), F.desc("o_orderkey")]).select("c_custkey", "c_name", "o_orderkey", "o_totalprice")
+    return reports.with_latest(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), log, "c_custkey", [F.desc("o_orderdate"), F.desc("o_orderkey")]).select("c_custkey", "c_name", F.coalesce("o_orderkey", F.lit(0)).alias("o_orderkey"), "o_totalprice")
 
 
 def outer_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,10 +146,10 @@ def streak_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from docmill.operators.understanding import last_before
+
 
     rows = table(spark, sf_dir, "conversations").withColumn("head", F.when(F.col("role") == "user", F.col("turn")))
-    return rows.select("conv_id", "turn", last_before(rows, "conv_id", "turn", "head").alias("section"))
+    return rows.select("conv_id", "turn", F.coalesce(last_before(rows, "conv_id", "turn", "head"), F.lit(-1)).alias("section"))
 
 
 def rate_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,7 +162,7 @@ def log_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with their ranked lines; an order without lines keeps one row."""
     lines = table(spark, sf_dir, "lineitem").filter("l_quantity > 30").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey")
     rank = F.row_number().over(Window.partitionBy("o_orderkey").orderBy("l_linenumber", "l_partkey"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus").join(lines.withColumn("rank", rank), "o_orderkey", "left")
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus").join(lines.withColumn("rank", rank), "o_orderkey", "left").na.fill(0, ["l_linenumber", "l_partkey", "rank"])
 
 
 def tree_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,9 +224,9 @@ g AS (SELECT CASE WHEN seen AND failed THEN 'parse_failed' WHEN seen THEN CASE W
 SELECT change, CASE change WHEN 'unchanged' THEN 'active' WHEN 'untouched' THEN st ELSE change END AS status, count(*) AS n FROM g GROUP BY ALL""",
     "quality_checks": """SELECT doc_id, 'title' AS check_type, 'error' AS severity FROM documents WHERE doc_id % 9 = 0 UNION ALL SELECT doc_id, 'detail_url', 'error' FROM documents WHERE doc_id % 8 = 0 UNION ALL SELECT doc_id, 'published_at', 'warning' FROM documents WHERE doc_id % 5 = 0 UNION ALL SELECT doc_id, 'attachments', 'warning' FROM documents WHERE doc_id % 11 = 0
 UNION ALL SELECT doc_id, CASE WHEN doc_id % 6 = 0 OR trim(text) = '' THEN 'content_text' ELSE 'content_length' END, 'warning' FROM documents WHERE doc_id % 6 = 0 OR length(trim(text)) < 40""",
-    "upsert_rows": "SELECT p_partkey, CASE WHEN p_size > 25 THEN upper(p_name) ELSE p_name END AS p_name, CASE WHEN p_size <= 25 THEN p_size END AS p_size, CASE WHEN p_size > 25 THEN 1 END AS extra FROM part",
+    "upsert_rows": "SELECT p_partkey, CASE WHEN p_size > 25 THEN upper(p_name) ELSE p_name END AS p_name, CASE WHEN p_size <= 25 THEN p_size ELSE -1 END AS p_size, CASE WHEN p_size > 25 THEN 1 ELSE -1 END AS extra FROM part",
     "cascade_delete": "SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING') GROUP BY l_returnflag",
-    "latest_lookup": "WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) SELECT c_custkey, c_name, o_orderkey, o_totalprice FROM customer LEFT JOIN o ON c_custkey = o_custkey AND n = 1",
+    "latest_lookup": "WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) SELECT c_custkey, c_name, coalesce(o_orderkey, 0) AS o_orderkey, o_totalprice FROM customer LEFT JOIN o ON c_custkey = o_custkey AND n = 1",
     "outer_merge": "SELECT coalesce(p_partkey, s_suppkey * 2) AS code, coalesce(p_name, '') AS p_name, coalesce(s_name, '') AS s_name FROM (SELECT * FROM part WHERE p_partkey % 3 > 0) FULL JOIN supplier ON p_partkey = s_suppkey * 2",
     "left_default": "WITH e AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) SELECT user_id, coalesce(c_name, '게스트') AS name, n FROM e LEFT JOIN customer ON user_id = c_custkey AND c_custkey % 3 > 0",
     "semi_anti": "SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'labelled' ELSE 'plain' END AS side FROM documents",
@@ -243,9 +244,9 @@ SELECT metric, value, threshold, CASE metric WHEN 'fallback_rate' THEN value <=
     "costs": "SELECT l_returnflag, round(sum(round((l_quantity * 2 + l_linenumber) / 1e6, 8)) FILTER (l_linenumber > 1), 8) AS cost FROM lineitem GROUP BY l_returnflag",
     "streak_islands": """WITH a AS (SELECT event_id, user_id, ts, value < 50 AS c, value > 90 AS r, sum((value > 90)::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM events)
 SELECT event_id, sum((c AND NOT r)::INT) OVER (PARTITION BY user_id, g ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS streak FROM a""",
-    "carry_forward": "SELECT conv_id, turn, max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS section FROM conversations",
+    "carry_forward": "SELECT conv_id, turn, coalesce(max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING), -1) AS section FROM conversations",
     "rate_windows": "SELECT date_trunc('hour', ts) AS start, user_id, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) > 1",
-    "log_export": "WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey)::INT AS rank FROM lineitem WHERE l_quantity > 30) SELECT o_orderkey, o_orderstatus, l_linenumber, l_partkey, rank FROM orders LEFT JOIN l ON o_orderkey = l_orderkey",
+    "log_export": "WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey)::INT AS rank FROM lineitem WHERE l_quantity > 30) SELECT o_orderkey, o_orderstatus, coalesce(l_linenumber, 0) AS l_linenumber, coalesce(l_partkey, 0) AS l_partkey, coalesce(rank, 0) AS rank FROM orders LEFT JOIN l ON o_orderkey = l_orderkey",
     "tree_paths": """WITH RECURSIVE n AS (SELECT 'r' || r_regionkey AS id, NULL AS parent, r_name AS name FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, c_name FROM customer),
 t AS (SELECT id, name AS path FROM n WHERE parent IS NULL UNION ALL SELECT n.id, path || ' > ' || name FROM n JOIN t ON n.parent = t.id) SELECT id, path FROM t""",
     "keyset_page": "SELECT event_id, ts, user_id FROM events WHERE ts < TIMESTAMP '2024-01-15' ORDER BY ts DESC, event_id DESC LIMIT 20",

@@ -80,7 +80,7 @@ def deadlines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def date_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = _questions(spark).select("q", F.explode(F.array(*(F.to_date(F.lit(d)) for d in DAYS))).alias("as_of"))
     out = own.select("q", "as_of", dates.date_filter(F.col("q"), F.col("as_of")).alias("f"))
-    return out.select("q", F.col("as_of").cast("string").alias("as_of"), F.col("f.start").cast("string").alias("start"), F.col("f.end").cast("string").alias("stop"), F.col("f.label").alias("label"), F.col("f.is_relative").alias("is_relative"), F.col("f.relaxed_start").cast("string").alias("relaxed_start"), F.col("f.kind").alias("kind"))
+    return out.select("q", F.col("as_of").cast("string").alias("as_of"), F.col("f.start").cast("string").alias("start"), F.col("f.end").cast("string").alias("stop"), F.col("f.label").alias("label"), F.coalesce("f.is_relative", F.lit(False)).alias("is_relative"), F.col("f.relaxed_start").cast("string").alias("relaxed_start"), F.col("f.kind").alias("kind"))
 
 
 def synonym_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +99,7 @@ def conversation_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = _questions(spark).withColumn("route", ask.keyword_route(F.col("q")))
     own = own.select("q", "route", ask.policy(F.col("q"), F.col("route")).alias("p"), ask.board(F.col("q"), F.col("route")).alias("board"), ask.entry_year(F.col("q")).alias("entry_year"))
-    return own.select("q", F.col("p.name").alias("policy"), F.col("p.min_score").alias("min_score"), F.col("p.allow_recency_override").alias("recency"), "board", "entry_year")
+    return own.select("q", F.col("p.name").alias("policy"), F.col("p.min_score").alias("min_score"), F.col("p.allow_recency_override").alias("recency"), "board", F.coalesce("entry_year", F.lit(0)).alias("entry_year"))
 
 
 def query_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,7 +209,7 @@ SELECT q, a::VARCHAR AS as_of, (CASE label WHEN 'deadline_imminent' THEN a WHEN
   WHEN 'last_month' THEN (m - INTERVAL 1 MONTH)::DATE WHEN 'this_month' THEN m WHEN 'next_month' THEN (m + INTERVAL 1 MONTH)::DATE WHEN 'specific_day' THEN f1 WHEN 'specific_month' THEN coalesce(f2, f3) END)::VARCHAR AS start,
 (CASE label WHEN 'deadline_imminent' THEN a + 7 WHEN 'today' THEN a WHEN 'yesterday' THEN a - 1 WHEN 'tomorrow' THEN a + 1 WHEN 'recent' THEN a WHEN 'last_week' THEN w - 1 WHEN 'this_week' THEN w + 6 WHEN 'next_week' THEN w + 13
   WHEN 'last_month' THEN m - 1 WHEN 'this_month' THEN last_day(a) WHEN 'next_month' THEN last_day(m + INTERVAL 1 MONTH) WHEN 'specific_day' THEN f1 WHEN 'specific_month' THEN last_day(coalesce(f2, f3)) END)::VARCHAR AS stop,
-label, CASE WHEN label IS NOT NULL THEN label NOT LIKE 'specific%' END AS is_relative, (CASE label WHEN 'deadline_imminent' THEN a WHEN 'today' THEN a - 2 WHEN 'recent' THEN a - 29 END)::VARCHAR AS relaxed_start, CASE WHEN label IS NOT NULL THEN CASE WHEN dl THEN 'deadline' ELSE 'published' END END AS kind FROM y""",
+label, coalesce(label NOT LIKE 'specific%', false) AS is_relative, (CASE label WHEN 'deadline_imminent' THEN a WHEN 'today' THEN a - 2 WHEN 'recent' THEN a - 29 END)::VARCHAR AS relaxed_start, CASE WHEN label IS NOT NULL THEN CASE WHEN dl THEN 'deadline' ELSE 'published' END END AS kind FROM y""",
     "synonym_expand": f"SELECT q, {_replaced('q')} AS expanded FROM {_literals(QUESTIONS, 'q')}",
     "keyword_route": f"SELECT q, {_route_sql('q')} AS route FROM {_literals(QUESTIONS, 'q')}",
     "conversation_routes": f"SELECT conv_id, turn, {_route_sql('text')} AS route FROM conversations",
@@ -218,7 +218,7 @@ p AS (SELECT *, CASE WHEN list_contains(r, 'notices') AND {_any(RECENT_TOPICS)}
   WHEN (list_contains(r, 'rules') OR list_contains(r, 'schedule')) AND NOT list_contains(r, 'notices') THEN 'rules_schedule' WHEN list_contains(r, 'notices') THEN 'general_notices' ELSE 'default' END AS policy FROM r)
 SELECT q, policy, CASE policy WHEN 'recent_notices' THEN 0.08 WHEN 'staff_lookup' THEN 0.09 WHEN 'courses' THEN 0.05 ELSE {MIN_SCORE} END::DOUBLE AS min_score, policy = 'recent_notices' AS recency,
 CASE WHEN list_contains(r, 'notices') THEN CASE {' '.join(f"WHEN contains(q, '{b}') OR contains(q, '{b[:-2]} 공지') THEN '{b}'" for b in BOARDS)} END END AS board,
-coalesce(nullif(regexp_extract(q, '(?:^|[^0-9A-Za-z가-힣_])(20[0-9]{{2}})', 1), '')::INT, nullif(regexp_extract(q, '(?:^|[^0-9A-Za-z가-힣_])([0-9]{{2}})\\s*학번', 1), '')::INT + 2000) AS entry_year FROM p""",
+coalesce(nullif(regexp_extract(q, '(?:^|[^0-9A-Za-z가-힣_])(20[0-9]{{2}})', 1), '')::INT, nullif(regexp_extract(q, '(?:^|[^0-9A-Za-z가-힣_])([0-9]{{2}})\\s*학번', 1), '')::INT + 2000, 0) AS entry_year FROM p""",
     "query_lists": """WITH u AS (SELECT conv_id, text, min(turn) AS turn FROM conversations WHERE role = 'user' GROUP BY conv_id, text), n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM u),
 a AS (SELECT conv_id, n * 10 AS o, trim(text) AS q FROM n WHERE n <= 3 UNION ALL SELECT conv_id, 1, trim(text) FROM n WHERE n = 1 UNION ALL SELECT conv_id, 2, trim(lower(text)) FROM n WHERE n = 1),
 d AS (SELECT conv_id, q, min(o) AS o FROM a WHERE q <> '' GROUP BY conv_id, q), k AS (SELECT *, count(*) OVER (PARTITION BY conv_id) AS c FROM d),
