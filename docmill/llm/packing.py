@@ -33,9 +33,12 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 def encoder(file: bytes) -> tiktoken.Encoding:
     """The byte-level BPE of a tokenizers JSON file, which tiktoken encodes at four times the speed.
 
-    Strings of special tokens inside a text are ordinary text.
+    As in tokenizers, the string of an added token inside a text gets that token's id.
     """
-    model = json.loads(file)["model"]
+    whole = json.loads(file)
+    model, added = whole["model"], {t["content"]: t["id"] for t in whole["added_tokens"]}
+    if any(t[flag] for t in whole["added_tokens"] for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("added tokens must match as they stand")
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in plain]
     byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
@@ -43,8 +46,9 @@ def encoder(file: bytes) -> tiktoken.Encoding:
     merged = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
     if merged != sorted(merged):
         raise ValueError("the merges must be in the order of their ids")
-    ranks.pop(b"<|endoftext|>", None)
-    return tiktoken.Encoding("bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for token in added:
+        ranks.pop(token.encode(), None)
+    return tiktoken.Encoding("bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
 def cut(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, with_ids: bool = False) -> DataFrame:
@@ -57,7 +61,7 @@ def cut(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, wi
         for b in batches:
             at, out = [], []
             for i, text in enumerate(b["text"]):
-                ids = np.array([*encode.encode_ordinary(text.as_py() or ""), end_id], "<u4")
+                ids = np.array([*encode.encode(text.as_py() or "", allowed_special="all"), end_id], "<u4")
                 for start in range(0, len(ids), window):
                     piece = ids[start : start + window]
                     at.append(i)

@@ -13,7 +13,6 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 def check(pieces, texts, window=2048):
     """Every id of every text lies in one piece; sequences are gapless; padding is little."""
     tok = Tokenizer.from_file(PATH)
-    tok.encode_special_tokens = True
     by = {}
     for p in pieces:
         by.setdefault(p.doc_id, []).append(p)
