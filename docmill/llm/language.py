@@ -36,7 +36,7 @@ def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     code = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     letter = _letters()[code]
     keep = np.r_[False, (letter[1:] > 0) | (letter[:-1] > 0)] if len(letter) else np.zeros(0, bool)
-    if not len(letter) or not letter.any():
+    if not any(map(str.isalpha, text or "")):  # marks alone are no letters
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     keep[0] = letter[0] > 0
     s = np.concatenate([[0], letter[keep], [0]]).astype(np.uint64)  # one 0 between words

@@ -32,7 +32,7 @@ def test_grams_equal_brute_force():
     for text in ("a", "Ab, cd! é", "  x\n\ny1z ", "Çá va — 世界 ok"):
         k, n = language.grams(text)
         assert dict(zip(k.tolist(), n.tolist(), strict=True)) == {key(g): c for g, c in brute_grams(text).items()}
-    assert all(len(x) == 0 for t in (None, "", "12 ?!") for x in language.grams(t))
+    assert all(len(x) == 0 for t in (None, "", "12 ?!", "\u0301 1\u0308") for x in language.grams(t))
 
 
 def test_held_out_accuracy(spark):
