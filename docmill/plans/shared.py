@@ -73,9 +73,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table whose rows take much work each: dealt over all cores where its files give fewer partitions than these.
+    """A table whose rows take much work each: dealt over all cores where fewer partitions than these hold its rows.
 
-    A table of many files or row groups is read as it is, without a shuffle.
+    A table of many files or row groups is read as it is, without a shuffle. Finding out reads no
+    column, only the files' footers.
     """
     rows, cores = table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    filled = rows.select(F.spark_partition_id().alias("part")).distinct().count()
+    return rows.repartition(cores) if filled < cores else rows
