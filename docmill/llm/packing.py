@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docmill.plans.shared import materialise
+from docmill.plans.shared import BROADCAST_ROWS, materialise
 
 #: The pre-tokenisation pattern of byte-level BPE files of this kind (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -158,12 +158,14 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, w
     """
     pieces = materialise(cut(docs, tokenizer, window, end_id, with_ids), "pieces", keep)
     counts = materialise(pieces.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n")), "lengths", keep)
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # window rows at most
-    length, number, sequence, offset = slots(plan(histogram, window))
+    found = counts.groupBy("length").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("tasks")).collect()  # window rows at most
+    length, number, sequence, offset = slots(plan({r["length"]: r["n"] for r in found}, window))
     high = np.int64(1) << 44
     at = length * high + number
     before = F.sum("n").over(Window.partitionBy("length").orderBy("task")) - F.col("n")
-    numbered = pieces.join(counts.select("length", "task", before.alias("before")), ["length", "task"])
+    starts = counts.select("length", "task", before.alias("before"))  # grows with the tasks, so its rows decide the join
+    starts = F.broadcast(starts) if sum(r["tasks"] for r in found) <= BROADCAST_ROWS else starts.hint("merge")
+    numbered = pieces.join(starts, ["length", "task"])
     numbered = numbered.withColumn("nth", F.col("nth") + F.col("before")).drop("before", "task")
     names = [c for c in numbered.columns if c != "nth"]
 

@@ -60,6 +60,13 @@ def test_edges(spark):
     assert twice.select("sequence_id", "offset").distinct().count() == twice.count()
 
 
+def test_many_tasks_join_without_broadcast(spark, monkeypatch):
+    texts = {d: "word " * (d % 7) for d in range(60)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(6)
+    monkeypatch.setattr(packing, "BROADCAST_ROWS", 0)
+    check(packing.pack(df, PATH).collect(), texts)
+
+
 def test_null_and_text_ids(spark):
     df = spark.createDataFrame([(None, "a b"), (None, "a b"), ("x", None)], "doc_id string, text string")
     assert packing.pack(df, PATH).count() == 3
