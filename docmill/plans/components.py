@@ -16,8 +16,9 @@ def _mark(edges: DataFrame) -> tuple:
 def components(edges: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """(node, component): every node of edges (a, b) with the smallest node it can reach.
 
-    Each round takes a minimum per node with map-side combine and joins it back, so a node with
-    many links is never gathered in one task; rounds grow as the logarithm of the longest path.
+    Each round takes a minimum per node with map-side combine, writes it and joins it back. Both
+    sides of such a join are plain shuffles, which AQE splits, so a node with many links is never
+    gathered in one task; rounds grow as the logarithm of the longest path.
     Empty edges: no rows.
     """
     kind = edges.schema["a"].dataType
@@ -26,10 +27,10 @@ def components(edges: DataFrame, keep: list[str] | None = None) -> DataFrame:
     spent: list[str] = []
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
+        low = materialise(both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low")), "low", spent)
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
         large = materialise(large, "large", spent)
-        low = large.groupBy("a").agg(F.min("b").alias("low"))
+        low = materialise(large.groupBy("a").agg(F.min("b").alias("low")), "low", spent)
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e")).select("e.*")
         done: list[str] = []
         edges = materialise(small.filter("a != b").distinct(), "edges", done)
