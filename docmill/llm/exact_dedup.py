@@ -88,6 +88,7 @@ def exact_groups(docs: DataFrame, size: int = BLOCK, row: str | None = None, kee
     found = identities(docs, size, row, keep)
     first = F.min(F.struct((-F.col("chars")).alias("c"), F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("__row").alias("r")))
     groups = found.groupBy("blocks", "name").agg(first.alias("first"), F.count(F.lit(1)).alias("group_size"))
+    groups = materialise(groups, "text-groups", keep)  # else AQE can't split a hot text in the join
     out = found.join(groups, ["blocks", "name"])
     return out.select("__row", "doc_id", F.col("first.d").alias("keep_id"), "group_size", (F.col("first.r") == F.col("__row")).alias("kept"), "text_sha256", "blocks", "name")
 

@@ -194,7 +194,7 @@ def near_groups(docs: DataFrame, shingle: int = 4, bits: int = 64, radius: int =
     found = components(near_links(distinct, bits, radius, blocks, agree, bucket_rows, keep), keep)
     named = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     named = materialise(named, "named", keep)
-    ids = named.groupBy("component").agg(F.min("first").alias("component_id"))
+    ids = materialise(named.groupBy("component").agg(F.min("first").alias("component_id")), "component-ids", keep)  # else AQE can't split a hot component
     return rows.join(named.join(ids, "component").select("fp", "component_id", "component"), "fp").select("__row", "doc_id", "fp", "component_id", "component")
 
 
