@@ -6,6 +6,9 @@ the join on every choice of ``agree`` blocks loses no pair (agree <= blocks - ra
 bucket are compared in sorted order, batch by batch; a bucket emits at most one link per member
 and batch, never all its pairs. Buckets above ``bucket_rows`` members are cut into chunks, and
 every pair of chunks becomes a group of its own, so no task holds more than two chunks.
+
+The pipeline's near copies take such links, of wide fingerprints and a generous radius, as
+candidates only: what decides is the Jaccard similarity of the shingle sets.
 """
 
 from __future__ import annotations
@@ -22,11 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docmill.plans.components import components
-from docmill.plans.shared import materialise
+from docmill.plans.shared import join_checked, materialise
 
 SEED = 42
 #: Shingle hashes whose bits are counted at once.
 STEP = 1 << 14
+#: Bytes of a wide fingerprint that name it and that the Hamming check of candidates compares.
+NODE = 32
 
 
 def _spread(h: np.ndarray, k: int) -> np.ndarray:
@@ -39,17 +44,28 @@ def _spread(h: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprint(text: str | None, shingle: int = 4, words: int = 1) -> bytes:
-    """The SimHash of text's word shingles, repeats included: words x 8 bytes, little-endian.
+def shingle_hashes(text: str | None, shingle: int = 4) -> np.ndarray:
+    """64-bit hashes of text's word shingles in order, repeats included.
 
     Words are runs without white space [\\x20\\x09-\\x0D] after lower-casing A-Z; a text of fewer
-    words is one shingle; a null or wordless text has fingerprint zero.
+    words is one shingle; a null or wordless text has none.
     """
     w = (text or "").encode().lower().split()
-    if not w:
+    shingles = zip(*(w[i:] for i in range(shingle)), strict=False) if len(w) >= shingle else [w] if w else []
+    return np.fromiter((xxhash.xxh64_intdigest(b" ".join(s), SEED) for s in shingles), np.uint64)
+
+
+def fingerprint(text: str | None, shingle: int = 4, words: int = 1, distinct: bool = False) -> bytes:
+    """The SimHash of text's word shingles: words x 8 bytes, little-endian.
+
+    Repeated shingles count as often as they occur, with ``distinct`` once. A null or wordless
+    text has fingerprint zero.
+    """
+    h = shingle_hashes(text, shingle)
+    if not len(h):
         return bytes(8 * words)
-    shingles = zip(*(w[i:] for i in range(shingle)), strict=False) if len(w) >= shingle else [w]
-    h = np.fromiter((xxhash.xxh64_intdigest(b" ".join(s), SEED) for s in shingles), np.uint64)
+    if distinct:
+        h = np.unique(h)
     out = np.zeros(words, np.uint64)
     for k in range(words):
         ones = np.zeros(64, np.int64)
@@ -59,12 +75,12 @@ def fingerprint(text: str | None, shingle: int = 4, words: int = 1) -> bytes:
     return out.tobytes()
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, words: int = 1, row: str | None = None) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = 4, words: int = 1, row: str | None = None, distinct: bool = False) -> DataFrame:
     """(__row, doc_id, fp) of every row of docs (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = pa.array([fingerprint(t.as_py(), shingle, words) for t in b["text"]], pa.binary())
+            fps = pa.array([fingerprint(t.as_py(), shingle, words, distinct) for t in b["text"]], pa.binary())
             yield pa.RecordBatch.from_arrays([b["__row"], b["doc_id"], fps], names=["__row", "doc_id", "fp"])
 
     own = docs.select((F.col(row) if row else F.monotonically_increasing_id()).alias("__row"), "doc_id", "text")
@@ -96,6 +112,27 @@ def _keyed(fps: DataFrame, bits: int, blocks: int, agree: int) -> DataFrame:
     return fps.select("fp").mapInPandas(run, "slot int, key long, fp binary")
 
 
+def _drawn(fps: DataFrame, bits: int, blocks: int, width: int) -> DataFrame:
+    """(slot, key, fp): the first NODE bytes of each fingerprint under ``blocks`` drawn choices of ``width`` bits.
+
+    Every bits // width choices share no bit, so a few of them repeat a bit only as often as they must.
+    """
+    rng = np.random.default_rng(SEED)
+    picks = np.concatenate([rng.permutation(bits)[: bits // width * width].reshape(-1, width) for _ in range(ceil(blocks / (bits // width)))])[:blocks]
+    weights = np.uint64(1) << np.arange(width, dtype=np.uint64)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if not len(b):
+                continue
+            on = np.unpackbits(np.frombuffer(b"".join(b["fp"]), np.uint8).reshape(len(b), -1), axis=1, bitorder="little").astype(np.uint64)
+            node = b["fp"].str.slice(0, NODE)
+            for slot, pick in enumerate(picks):
+                yield pd.DataFrame({"slot": np.int32(slot), "key": (on[:, pick] @ weights).view(np.int64), "fp": node})
+
+    return fps.select("fp").mapInPandas(run, "slot int, key long, fp binary")
+
+
 def _near(m: np.ndarray, group: np.ndarray, radius: int) -> np.ndarray:
     """Smallest row that each row of m reaches by links within its group; rows are sorted by group."""
     low = np.arange(len(m))
@@ -172,7 +209,10 @@ def _chunk_pairs(large: DataFrame, bucket_rows: int) -> DataFrame:
 
 def near_links(fps: DataFrame, bits: int, radius: int, blocks: int, agree: int, bucket_rows: int = 4096, keep: list[str] | None = None) -> DataFrame:
     """(a, b): links between different fingerprints that join the same ones as all pairs within radius that share ``agree`` blocks."""
-    keyed = _keyed(fps, bits, blocks, agree)
+    return _links(_keyed(fps, bits, blocks, agree), radius, bucket_rows, keep)
+
+
+def _links(keyed: DataFrame, radius: int, bucket_rows: int, keep: list[str] | None) -> DataFrame:
     found = materialise(_linked(keyed, ["slot", "key"], radius, bucket_rows), "links", keep)
     links = found.filter("b is not null").select("a", "b")
     large = found.filter("b is null").select("slot", "key", F.col("a").alias("fp"))
@@ -208,20 +248,105 @@ def similarity_radius(similarity: float, bits: int, slack: float = 1.0) -> int:
     return ceil(bits * p + slack * (bits * p * (1 - p)) ** 0.5)
 
 
-def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bits: int = 512, blocks: int = 32, agree: int = 1, keep: list[str] | None = None) -> DataFrame:
+def _alike(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Smallest place that each of the sets reaches by pairs of this Jaccard similarity or more; every pair is compared."""
+    size = np.array([len(x) for x in sets])
+    cut = np.concatenate([[0], np.cumsum(size)])
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    own, low = np.zeros(len(codes), np.int32), np.arange(len(sets))
+    for i in range(1, len(sets)):
+        mine = codes[cut[i] : cut[i + 1]]
+        own[mine] = 1
+        shared = np.add.reduceat(own[codes[: cut[i]]], cut[:i])
+        own[mine] = 0
+        if len(near := np.flatnonzero(shared / (size[:i] + size[i] - shared) >= similarity)):
+            joined = np.unique(low[near])
+            low[i] = joined[0]
+            if len(joined) > 1:
+                low[np.isin(low, joined)] = joined[0]
+    return low
+
+
+def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """(__row, component, shingles) of docs (__row, component, text): the sorted distinct shingle hashes as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = pa.array([np.unique(shingle_hashes(t.as_py(), shingle)).tobytes() for t in b["text"]], pa.binary())
+            yield pa.RecordBatch.from_arrays([b["__row"], b["component"], sets], names=["__row", "component", "shingles"])
+
+    return docs.select("__row", "component", "text").mapInArrow(run, "__row long, component binary, shingles binary")
+
+
+def verified_links(sets: DataFrame, similarity: float, group_rows: int = 512, group_bytes: int = 1 << 24, keep: list[str] | None = None) -> DataFrame:
+    """(a, b): links between rows of one component of sets (__row, component, shingles) that join the same ones as all pairs of this similarity or more.
+
+    A component above group_rows rows or group_bytes of shingles is cut into chunks, and every pair
+    of chunks becomes a group of its own: all pairs are compared, and no task holds more than two chunks.
+    """
+    group = ["component", "i", "j"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def done(rows: pd.DataFrame) -> pd.DataFrame:
+            at, ids, of = rows.groupby(group, sort=False).ngroup().to_numpy(), rows["__row"].to_numpy(), rows["shingles"].to_numpy()
+            cuts = [0, *(np.flatnonzero(at[1:] != at[:-1]) + 1), len(rows)]
+            low = np.concatenate([i + _alike([np.frombuffer(x, np.uint64) for x in of[i:j]], similarity) for i, j in zip(cuts, cuts[1:], strict=False)])
+            linked = np.flatnonzero(low != np.arange(len(rows)))
+            return pd.DataFrame({"a": ids[linked], "b": ids[low[linked]]})
+
+        rest = pd.DataFrame()
+        for b in batches:
+            if not len(b):
+                continue
+            rows = pd.concat([rest, b], ignore_index=True) if len(rest) else b
+            last = (rows[group] == rows[group].iloc[-1]).all(axis=1)
+            if not last.all():
+                yield done(rows[~last])
+            rest = rows[last]
+        if len(rest):
+            yield done(rest)
+
+    share = F.greatest(F.count(F.lit(1)) / F.lit(group_rows), F.sum(F.length("shingles")) / F.lit(group_bytes))
+    sizes = sets.groupBy("component").agg(F.when(share <= 1, 1).otherwise(F.ceil(2 * share)).cast("int").alias("chunks"))
+    sizes = materialise(sizes, "component-sizes", keep)
+    out = sets.join(sizes, "component").withColumn("chunk", F.pmod(F.xxhash64("__row"), F.col("chunks")).cast("int"))
+    others = F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda x: (F.col("chunks") == 1) | (x != F.col("chunk")))
+    out = out.select("component", "chunk", F.explode(others).alias("other"), "__row", "shingles")
+    out = out.select("component", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "__row", "shingles")
+    dealt = out.repartition(*group).sortWithinPartitions(*group, "__row")
+    return materialise(dealt.mapInPandas(run, "a long, b long"), "verified", keep)
+
+
+def near_copy_groups(docs: DataFrame, shingle: int, similarity: float, bits: int, blocks: int, width: int, slack: float, keep: list[str] | None = None) -> DataFrame:
+    """(__row, doc_id, component) of the rows of docs (__row, doc_id, text) that have near copies; docs has no row without a word."""
+    rows = materialise(fingerprints(docs, shingle, bits // 64, "__row", distinct=True), "fingerprints", keep)
+    found = components(_links(_drawn(rows.select("fp").distinct(), bits, blocks, width), similarity_radius(similarity, 8 * NODE, slack), 4096, keep), keep)
+    named = rows.select("__row", F.substring("fp", 1, NODE).alias("node")).join(found, "node", "left")
+    named = materialise(named.select("__row", F.coalesce("component", "node").alias("component")), "candidate-components", keep)
+    several = materialise(named.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("component"), "several", keep)
+    asked = materialise(named.join(several, "component").select("__row", "component"), "candidates", keep)
+    sets = materialise(_shingle_sets(join_checked(docs, asked, ["__row"], "inner"), shingle), "shingle-sets", keep)
+    alike = components(verified_links(sets, similarity, keep=keep), keep)
+    return rows.select("__row", "doc_id").join(alike.withColumnRenamed("node", "__row"), "__row")
+
+
+def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bits: int = 512, blocks: int = 96, width: int = 16, slack: float = 3.0, keep: list[str] | None = None) -> DataFrame:
     """docs, with its own columns, with one row of each group of near copies.
 
-    Fingerprints are wide, since at 64 bits two texts of similarity 0.8 differ in about ten bits,
-    which no few blocks can promise to spare. Here a pair links if its fingerprints agree on one
-    of ``blocks`` blocks and differ as much as texts of ``similarity`` do. The smallest doc_id of a
-    group stays (null last). Rows without a word are no copies of each other: all of them stay.
+    Rows are near copies if their sets of ``shingle``-word shingles have a Jaccard similarity of
+    ``similarity`` or more, or if a chain of such pairs joins them. Candidates are found by wide
+    fingerprints of those sets: pairs that agree on one of ``blocks`` drawn choices of ``width`` bits
+    and differ as much as texts of ``similarity`` do, up to ``slack`` standard deviations more. All
+    pairs inside a component of candidates are then compared by their shingles, so nothing below
+    ``similarity`` links; what the candidate search misses (see the README) stays.
+    The smallest doc_id of a group stays (null last). Rows without a word are no copies of each
+    other: all of them stay.
     """
     cols = docs.columns
     stored = materialise(docs.select(F.struct(*(F.col(f"`{c}`") for c in cols)).alias("__doc")).withColumn("__row", F.monotonically_increasing_id()), "numbered", keep)
     own = stored.select("__row", "__doc.doc_id", "__doc.text")
     worded = own.filter(F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
-    groups = near_groups(worded, shingle, bits, similarity_radius(similarity, bits), blocks, agree, row="__row", keep=keep)
-    groups = materialise(groups.select("__row", "doc_id", "component"), "groups", keep)
+    groups = materialise(near_copy_groups(worded, shingle, similarity, bits, blocks, width, slack, keep), "groups", keep)
     first = groups.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "__row")).alias("first")).select(F.col("first.__row").alias("__row"), F.lit(True).alias("__first"))
     gone = groups.join(first, "__row", "left_anti").select("__row")
     return stored.join(gone, "__row", "left_anti").select(*(F.col("__doc")[c].alias(c) for c in cols))

@@ -90,3 +90,55 @@ def test_near_copies_go_and_others_stay(spark):
     left = simhash.drop_near_copies(df)
     assert left.columns == df.columns
     assert sorted(r.doc_id for r in left.collect()) == [*range(40), 200, 201]
+
+
+def test_near_copies_are_those_of_the_stated_similarity(spark):
+    rng = np.random.default_rng(7)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 8))
+
+    def shingles(text):
+        w = text.split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    rows, want = [], set()
+    for d in range(160):
+        text = [word() for _ in range(400)]
+        other = list(text)
+        n = 40 if d % 2 else 46
+        other[100 : 100 + n] = [word() for _ in range(n)]
+        a, b = shingles(" ".join(text)), shingles(" ".join(other))
+        assert (len(a & b) / len(a | b) >= 0.8) == bool(d % 2)
+        rows += [(d, " ".join(text)), (1000 + d, " ".join(other))]
+        want |= {d} if d % 2 else {d, 1000 + d}
+    for d in range(2000, 2010):  # one passage repeated: the same set but for a few shingles
+        text = [word() for _ in range(300)]
+        rows += [(d, " ".join(text)), (d + 100, " ".join(text + text[:60] * 15))]
+        want.add(d)
+    left = {r.doc_id for r in simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not want - left  # nothing below 0.8 goes
+    assert len(left - want) <= 3  # 90 pairs, 80 of them at exactly 0.8
+
+
+def test_large_components_are_compared_whole(spark):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 100, dtype=np.uint64)
+    sets = []
+    for i in range(60):
+        own = base.copy()
+        n = (0, 8, 14)[i % 3]
+        own[rng.choice(100, n, replace=False)] = rng.integers(0, 2**63, n, dtype=np.uint64)
+        sets.append(set(own.tolist()))
+    at = list(range(60))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) / len(a | b) >= 0.8:
+                at = [min(at[i], at[j]) if x in (at[i], at[j]) else x for x in at]
+    want = {}
+    for i, x in enumerate(at):
+        want.setdefault(x, set()).add(i)
+    df = spark.createDataFrame([(i, b"k", np.array(sorted(s), np.uint64).tobytes()) for i, s in enumerate(sets)], "__row long, component binary, shingles binary")
+    for limits in ({}, {"group_rows": 10}, {"group_bytes": 8000}):
+        got = {}
+        for r in simhash.components(simhash.verified_links(df, 0.8, **limits)).collect():
+            got.setdefault(r.component, set()).add(r.node)
+        assert sorted(map(sorted, got.values())) == sorted(sorted(x) for x in want.values() if len(x) > 1)
