@@ -21,6 +21,7 @@ from docmill.plans.shared import join_checked, materialise
 # Element and class names.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript template iframe svg math canvas object audio video".split())
+FOREIGN = {"svg", "math"}  # only these of RAW can close themselves
 BLOCKS = set("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split())
 CELLS = {"td", "th", "br", "option"}
 DROPPED = RAW | set("head nav aside footer form menu dialog button select input label fieldset".split())
@@ -31,6 +32,8 @@ BAD_NAMES = set(
     "disqus reply replies respond related recommended widget pagination pager skip search form".split()
 )
 HEADERS = {"header", "masthead"}
+#: no-sidebar or has-comments tells of a page's parts; the element is no such part.
+TELLING = set("has no not with without".split())
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b")
 NAME_PARTS = re.compile(r"[A-Za-z0-9]+")
@@ -77,10 +80,13 @@ def parse(html: str) -> Element:
                     break
         element = Element(tag, m[3] or "")
         stack[-1].children.append(element)
+        closed = (m[3] or "").endswith("/")
+        if tag in FOREIGN and closed:
+            continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
             at = end.end() if end else size
-        elif tag not in VOID and not (m[3] or "").endswith("/"):
+        elif tag not in VOID and not closed:
             stack.append(element)
     return root
 
@@ -112,13 +118,30 @@ def digest(root: Element) -> list[Element]:
     return every
 
 
-def _unwanted(e: Element) -> bool:
+def _names(e: Element) -> set[str]:
+    """Parts of e's classes and id, without those that tell which parts a page has."""
+    names = ([p.lower() for p in NAME_PARTS.findall(n)] for n in e.attribute("class", "id").split())
+    return {p for n in names if n and n[0] not in TELLING for p in n}
+
+
+def _unwanted(e: Element, forms: bool = False) -> bool:
     if e.tag in DROPPED:
-        return True
+        return not (forms and e.tag == "form")
     if e.tag in ("html", "body", "main", "#root") or not e.attributes:
         return e.tag == "header"
-    names = {n.lower() for n in NAME_PARTS.findall(e.attribute("class", "id"))}
-    return e.tag == "header" or bool(names & BAD_NAMES) or e.attribute("role").lower() in ROLES or e.attribute("hidden") == "hidden" or e.attribute("aria-hidden") == "true"
+    return e.tag == "header" or bool(_names(e) & BAD_NAMES) or e.attribute("role").lower() in ROLES or e.attribute("hidden") == "hidden" or e.attribute("aria-hidden") == "true"
+
+
+def _passable(e: Element) -> bool:
+    """Whether e may be or hold the page's article: here a name counts only as a whole class or id, and a form may hold a page."""
+    if e.tag in ("html", "body", "main", "#root", "form"):
+        return True
+    if e.tag in DROPPED or e.tag == "header":
+        return False
+    if not e.attributes:
+        return True
+    named = any(n.lower() in BAD_NAMES for n in e.attribute("class", "id").split())
+    return not named and e.attribute("role").lower() not in ROLES and e.attribute("hidden") != "hidden" and e.attribute("aria-hidden") != "true"
 
 
 def _headings(e: Element) -> list[Element]:
@@ -131,9 +154,9 @@ def _roots(root: Element, template: set[int]) -> list[Element]:
         found, todo = [], [root]
         while todo:
             e = todo.pop()
-            if e.tag in tags and (not _unwanted(e)):
+            if e.tag in tags and _passable(e):
                 found.append(e)
-            elif not _unwanted(e) and not (template and e.digest in template):
+            elif _passable(e) and not (template and e.digest in template):
                 todo.extend(c for c in reversed(e.children) if isinstance(c, Element))
         if found:
             return found
@@ -141,14 +164,20 @@ def _roots(root: Element, template: set[int]) -> list[Element]:
 
 
 def main_text(html: str | None, template: set[int] = frozenset()) -> str:
+    """The main text without forms; where that leaves nothing, a form may hold the page."""
+    root = parse(html or "")
+    if template:
+        digest(root)
+    text = _text(root, template)
+    return text if text or "<form" not in (html or "").lower() else _text(root, template, True)
+
+
+def _text(root: Element, template: set[int], forms: bool = False) -> str:
     """Blocks of the main text in page order, joined by a line feed; template: subtree hashes to cut out.
 
     In an explicit article a recurring subtree goes only if most of its text is links or it has
     none, for whole paragraphs that several pages of a host share are still article text.
     """
-    root = parse(html or "")
-    if template:
-        digest(root)
     blocks: list[str] = []
     parts: list[str] = []
 
@@ -169,8 +198,8 @@ def main_text(html: str | None, template: set[int] = frozenset()) -> str:
             else:
                 inside = e.children
                 if e is not top:
-                    if _unwanted(e):
-                        is_header = strict and (e.tag in HEADERS or {n.lower() for n in NAME_PARTS.findall(e.attribute("class", "id"))} & HEADERS)
+                    if _unwanted(e, forms):
+                        is_header = strict and (e.tag in HEADERS or _names(e) & HEADERS)
                         if not is_header:
                             if e.tag in BLOCKS:
                                 flush()

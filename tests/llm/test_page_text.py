@@ -87,3 +87,20 @@ def test_site_templates_are_learned(spark):
     assert got[400] == "" and got[401] == "t"
     assert page_text.extract(df).count() == len(rows)
     assert page_text.extract(df.filter("page_id > 999")).count() == 0
+
+
+def test_wrappers_of_an_article_stay():
+    article = "<article><p>Text</p><div class='comments'>Reader</div></article>"
+    for around in ("<div class='page no-sidebar'>", "<div class='content has-sidebar'>", "<div class='with-comments'>", "<div id='sidebar-layout'>", "<form action=x>"):
+        end = "</form>" if around.startswith("<form") else "</div>"
+        assert page_text.main_text(f"<body>{around}{article}{end}</body>") == "Text"
+        assert page_text.main_text(f"<body>{around}<main><p>Text</p></main>{end}</body>") == "Text"
+    assert page_text.main_text("<body><article class='post comment-open'><p>Text</p></article></body>") == "Text"
+    assert page_text.main_text("<body><div class='content has-sidebar'><p>Text</p></div></body>") == "Text"
+    assert page_text.main_text("<body><form action=x><p>Text</p><input name=q></form></body>") == "Text"
+    assert page_text.main_text("<body><main><p>Text</p><div class='comments'><article>Reader</article></div><form>Search</form></main></body>") == "Text"
+
+
+def test_self_closed_foreign_elements_hold_nothing():
+    assert page_text.main_text("<article><p>One <svg/>two <math />three</p><svg viewBox='0 0 1 1'/><p>four</p><svg><text>no</text></svg></article>") == "One two three\nfour"
+    assert page_text.main_text("<article><script src=x />var x</script><p>Text</p></article>") == "Text"
