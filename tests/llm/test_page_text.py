@@ -1,4 +1,6 @@
 import re
+import time
+from collections import Counter, defaultdict
 from html import unescape
 from html.parser import HTMLParser
 
@@ -104,3 +106,64 @@ def test_wrappers_of_an_article_stay():
 def test_self_closed_foreign_elements_hold_nothing():
     assert page_text.main_text("<article><p>One <svg/>two <math />three</p><svg viewBox='0 0 1 1'/><p>four</p><svg><text>no</text></svg></article>") == "One two three\nfour"
     assert page_text.main_text("<article><script src=x />var x</script><p>Text</p></article>") == "Text"
+
+
+def test_names_alone_lose_no_article():
+    assert page_text.main_text('<article class="post has-sidebar"><p>Text</p></article>') == "Text"
+    assert page_text.main_text('<div class="layout no-sidebar"><p>Text</p></div>') == "Text"
+    assert page_text.main_text('<div id="content" class="search-result-page"><p>Text of it</p></div><div class="search">Find</div>') == "Text of it"
+    assert page_text.main_text("<article><p>Text</p><div class='comments'><p>A reader says very much more than the article does</p></div></article>") == "Text"
+
+
+def test_broken_pages_take_linear_time():
+    n, began = 16_000, time.perf_counter()
+    for html in ("<b>" * n + "<hr>" * n, "<a " * n, "<div>" * n + "</x>" * n, "<p " + "x" * 4 * n + ">t", '<p a="' * n, "<object>t" * n, "<script>" + "</script " * n, "<header>" + "<h1>x" * n, "<!-- " * n, "<" * n, "<p a= " + " " * n + '"' * n + ">t"):
+        page_text.main_text(html)
+        page_text.measure(page_text.parse(html))
+    assert time.perf_counter() - began < 20
+    assert page_text.main_text("<p>a < b <c> d <a href='x") == "a < b d" and page_text.main_text("<p title=\"1 > 0\" x=don't>t <object>u") == "t u"
+
+
+def brute_templates(pages, share, least, rare):
+    """Per host: the hashes of ``site_templates``, counted in plain Python."""
+    seen = defaultdict(dict)
+    for url, html in pages:
+        every = page_text.measure(page_text.parse(html or ""))
+        host = re.match(r"https?://([^/:?#]+)", url or "")
+        seen[host[1].lower() if host else None].setdefault(every[0].digest, {e.digest: e for e in every if e.tag not in ("#root", "html", "head", "body")})
+    out = {}
+    for host, trees in seen.items():
+        on = Counter(d for tree in trees.values() for d in tree)
+        of = {d: e for tree in trees.values() for d, e in tree.items()}
+        found = {d for d, n in on.items() if n >= least and n > share * len(trees)}
+        for kind in {e.kind for e in of.values()} - {None}:
+            own = [d for d, e in of.items() if e.kind == kind]
+            n, again = sum(on[d] for d in own), sum(on[d] for d in own if on[d] > 1)
+            likely = page_text._named(of[own[0]].names, of[own[0]].role)[0]
+            if n >= max(least, rare * len(trees)) and (again + (90 if likely else 10) > 0.5 * (n + 100)) != likely:
+                found.add(kind)
+        if found:
+            out[host] = found
+    return out
+
+
+def test_templates_equal_brute_force(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.host: r.template for r in page_text.site_templates(pages).collect()}
+    assert all(len(t) == len(set(t)) for t in got.values())
+    assert {h: set(t) for h, t in got.items()} == brute_templates([(r.url, r.html) for r in pages.collect()], 0.5, 5, 0.01)
+
+
+def test_counts_overrule_names(spark):
+    """A kind that always recurs goes where it doesn't; a likely name that never recurs stays; a copied article stays."""
+    page = lambda i: (
+        f"<body><div class='x-box'><p>Pick of {i % 7} days</p></div><div class='notice-board'><p>Story {i} of its own, word{i}</p><p>and {i} more</p></div><p>t {i} of the long text that all of it is about</p></body>"
+    )
+    rows = [(i, "http://a.example.com/", page(i)) for i in range(400)] + [(999, "http://a.example.com/", page(3).replace("Pick of 3", "Once only"))]
+    rows += [(1000 + i, "http://b.example.com/", f"<nav>{i}</nav><article><p>The one story</p><p>of all of them</p><p>{i}</p></article>") for i in range(9)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in page_text.extract(df).collect()}
+    assert got[999] == "Story 3 of its own, word3\nand 3 more\nt 3 of the long text that all of it is about"
+    assert got[5] == "Story 5 of its own, word5\nand 5 more\nt 5 of the long text that all of it is about"
+    assert "Once only" in page_text.main_text(rows[400][2]) and "Story" not in page_text.main_text("<p>long text that is no notice</p><div class='notice-board'>Story</div>")
+    assert got[1004] == "The one story\nof all of them\n4"
