@@ -5,14 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docmill.llm.line_quality import line_key
 from docmill.plans.shared import join_checked, materialise
 
 
-def line_key(line: Column) -> Column:
-    """A line as it is compared: lower case, white space runs one space, trimmed."""
-    return F.trim(F.regexp_replace(F.lower(line), r"[\x20\x09-\x0D]+", " "))
-
-
 def line_hashes(text: Column) -> Column:
     """MD5 of each line's key, in order; null for a line without a word."""
     return F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.when(line_key(x) != "", F.md5(line_key(x).cast("binary"))))
@@ -38,10 +34,12 @@ def drop_site_lines(docs: DataFrame, ratio: float = 0.1, least: int = 5) -> Data
 
     text: without the lines that occur on more than ratio of the host's pages (and on least or
     more). A null text stays null and counts as a page without lines; null sources are one host;
-    repeated rows are pages of their own. Lines without a word stay.
+    repeated rows are pages of their own. Lines without a word stay. There are no ties: a line on
+    just ratio of the pages stays. An empty table gives no rows; other columns of docs are not read.
+    A very long text is one row of its task, as are its lines' hashes.
     """
     hosts = boilerplate(docs, ratio, least)
-    out = join_checked(docs.select("doc_id", "source", "text"), hosts, ["source"])
+    out = join_checked(docs.select("doc_id", "source", "text"), hosts, ["source"], weight="often")
     lines = F.arrays_zip(F.split("text", "\n").alias("line"), line_hashes(F.col("text")).alias("key"))
     out = out.withColumn("__left", F.filter(lines, lambda x: x["key"].isNull() | ~F.array_contains("often", x["key"])))
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
