@@ -85,3 +85,11 @@ def test_plan_uses_the_histogram_exactly(seed):
             used[v] = used.get(v, 0) + times
     assert used == have
     assert waste <= 0.02 * lengths.sum()
+
+
+def test_long_runs_give_the_ids_of_tokenizers():
+    tok, own, n = Tokenizer.from_file(PATH), packing.Encoder(open(PATH, "rb").read()), 1_200_000
+    rng = np.random.default_rng(0)
+    mixed = "".join(rng.choice(list(" \n\t　\xa0"), 100_000))
+    for text in (" " * n, "\n" * n + "x", " " * n + "x y", "a" * n, f"word {mixed}\nend  <|endoftext|>{' ' * 5000}<|endoftext|>" + "\n" * 5000, ("ab" + " " * 4096 + "'s " + "\x1c" * 5000 + " " * 4097 + "\n.") * 9):
+        assert own.ids(text) == tok.encode(text, add_special_tokens=False).ids
