@@ -1,4 +1,5 @@
 import re
+import time
 
 import numpy as np
 
@@ -62,3 +63,20 @@ def test_edges(spark):
     assert got[:3] == [(1, 0, 0, None, None, ""), (2, 0, 0, None, None, ""), (3, 4, 2, 0, 2, "cc-by")]
     assert got[3] == (4, 60000, 20000, 0, 59997, "reserved") and got[4] == got[5] == (None, 2, 0, None, None, "")
     assert licences.scan(df.filter("doc_id > 9")).count() == 0
+
+
+def test_many_notices_take_linear_time():
+    scanner, began = licences.Scanner(), time.perf_counter()
+    spans = scanner.scan(licences.words_of((TEMPLATES["cc-by-4.0"] + " xx ") * 60_000))[1]  # 5 MB
+    assert len(spans) == 60_000 and all(a[2] < b[1] for a, b in zip(spans, spans[1:], strict=False))
+    assert time.perf_counter() - began < 30
+
+
+def test_overlapping_spans_equal_brute_force():
+    rng, scanner = np.random.default_rng(5), licences.Scanner()
+    parts = [licences.words_of(t) for t in TEMPLATES.values()]
+    for _ in range(30):
+        words = [w for i in rng.integers(0, len(parts), 12) for w in parts[i][rng.integers(0, 3) :][: rng.integers(5, 400)] + [b"q"] * rng.integers(0, 3)]
+        spans = scanner.scan(words)[1]
+        assert all(a[2] < b[1] for a, b in zip(spans, spans[1:], strict=False))
+        assert all(0 <= a <= b < len(words) and 0 < c <= 1 for _, a, b, c in spans)
