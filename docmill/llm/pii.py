@@ -12,11 +12,12 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmill.plans.shared import materialise
@@ -24,8 +25,8 @@ from docmill.plans.shared import materialise
 BASE = ["email", "ip", "card", "phone"]
 KINDS = [*BASE, "name", "national_id", "secret"]
 LABELERS = ["shape", "checksum", "gazetteer", "context", "surroundings"]
-#: Candidates that the classifier is fitted on, at most: those of the smallest hash.
-FIT_CANDIDATES = 20_000
+#: Candidates that the classifier is fitted on, at most: of each kind as many of the smallest hash, so a frequent kind doesn't displace a rare one.
+FIT_CANDIDATES = 21_000
 #: Hashed features of the classifier; characters of context on either side.
 FEATURES, CONTEXT = 1 << 12, 40
 
@@ -38,7 +39,7 @@ CUES = {
     "ip": "ip host server address client login from remote dirección adresse",
     "card": "card visa mastercard credit tarjeta karte carte amex payment",
     "phone": "phone tel call mobile telephone fax teléfono telefon téléphone handy móvil",
-    "name": "name mr mrs ms dr prof herr frau señor señora sr sra monsieur madame mme signed by",
+    "name": "name mr mrs ms dr prof herr frau señor señora sr sra monsieur madame mme signed by heiße appelle llamo",
     "national_id": "ssn social security id passport national dni ausweis",
     "secret": "token secret password passwd key api apikey credential",
 }
@@ -53,7 +54,7 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOOSE_PHONE = re.compile(r"(?<![\w+])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?!\w)")
 NATIONAL = re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")
 SECRET = re.compile(r"(?:token|secret|passw(?:or)?d|api[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9_+/-]{12,})", re.I)
-NAMED = re.compile(r"(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Señora?|Sra?|Monsieur|Madame|Mme|[Nn]ame:)\.? ([A-Z][a-zß-ÿ]+(?: [A-Z][a-zß-ÿ]+)?)")
+NAMED = re.compile(r"(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Señora?|Sra?|Monsieur|Madame|Mme|[Nn]ame:|name is|I am|[Ii]ch heiße|m'appelle|me llamo)\.? ([A-Z][a-zß-ÿ]+(?: [A-Z][a-zß-ÿ]+)?)")
 WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -109,11 +110,30 @@ def spans_of(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int
             base += [("phone", *m.span()) for m in PHONE.finditer(text) if 8 <= sum(map(str.isdigit, m[0])) <= 15]
         more += [("phone", *m.span()) for m in LOOSE_PHONE.finditer(text)]
         more += [("national_id", *m.span()) for m in NATIONAL.finditer(text)]
+    if "=" in text or ":" in text:
         more += [("secret", *m.span(1)) for m in SECRET.finditer(text)]
     more += [("name", *m.span(1)) for m in NAMED.finditer(text)]
     order = {k: i for i, k in enumerate(KINDS)}
     base.sort(key=lambda s: (order[s[0]], s[1]))
-    return base, [s for s in more if all(s[2] <= b[1] or b[2] <= s[1] for b in base)]
+    taken = covered(base)
+    return base, [s for s in more if not touches(taken, s[1], s[2])]
+
+
+def covered(spans: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """The places that spans cover, as intervals apart from each other, in order."""
+    out: list[tuple[int, int]] = []
+    for _, a, b in sorted(spans, key=lambda s: s[1]):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def touches(taken: list[tuple[int, int]], a: int, b: int) -> bool:
+    """Whether a to b shares a character with one of taken, intervals in order that don't overlap."""
+    i = bisect_left(taken, (b,))
+    return i > 0 and taken[i - 1][1] > a
 
 
 def votes(text: str, kind: str, a: int, b: int, base: bool) -> list[int]:
@@ -211,8 +231,9 @@ def fit(found: DataFrame, fit_candidates: int = FIT_CANDIDATES) -> tuple[np.ndar
     each = found.select("doc_id", F.explode("candidates").alias("c")).select("doc_id", "c.*")
     counts = each.groupBy("kind", "votes").agg(F.count(F.lit(1)).alias("n")).orderBy("kind", "votes")
     right, likely = estimate([(r["kind"], r["votes"], r["n"]) for r in counts.collect()])
-    order = F.xxhash64("doc_id", "kind", "start", "end")
-    sample = each.select(order.alias("h"), "kind", "votes", "features").orderBy("h", "kind", "votes").limit(fit_candidates).collect()
+    nth = F.row_number().over(Window.partitionBy("kind").orderBy("h", "votes"))
+    each = each.select(F.xxhash64("doc_id", "kind", "start", "end").alias("h"), "kind", "votes", "features")
+    sample = each.withColumn("nth", nth).filter(F.col("nth") <= fit_candidates // len(KINDS)).orderBy("h", "kind", "votes").collect()
     return right, train([(r["features"], likely[r["kind"], r["votes"]]) for r in sample])
 
 
@@ -222,7 +243,9 @@ def find(docs: DataFrame, threshold: float = 0.5, fit_candidates: int = FIT_CAND
     The counts and base_sha256 are those of the base rules; spans joins all spans as
     kind:start:end with commas, by kind as in KINDS, then start, in code points, end exclusive.
     found: all spans as structs. Added spans overlap no base span and none of higher probability.
-    A null text counts as empty; repeated rows get equal spans; an empty table gives no rows.
+    Ties go to the first start, then kind. A null text counts as empty; repeated rows get equal
+    spans; an empty table gives no rows; other columns of docs are not read. Time and memory of a
+    text follow its length and its candidates.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = materialise(candidates(docs), "candidates", keep)
@@ -236,8 +259,10 @@ def find(docs: DataFrame, threshold: float = 0.5, fit_candidates: int = FIT_CAND
                 spans = [(s["kind"], s["start"], s["end"]) for s in base]
                 text = ",".join(f"{k}:{x}:{y}" for k, x, y in spans)
                 scored = [(1 / (1 + np.exp(-(weights[c["features"]].sum() + weights[-1]))), c) for c in more if not c["base"]]
+                taken = covered(spans)
                 for p, c in sorted(scored, key=lambda s: (-s[0], s[1]["start"], order[s[1]["kind"]])):
-                    if p >= threshold and all(c["end"] <= x or y <= c["start"] for _, x, y in spans):
+                    if p >= threshold and not touches(taken, c["start"], c["end"]):
+                        insort(taken, (c["start"], c["end"]))
                         spans.append((c["kind"], c["start"], c["end"]))
                 n = [sum(s["kind"] == k for s in base) for k in BASE]
                 spans.sort(key=lambda s: (order[s[0]], s[1]))

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import numpy as np
 import pytest
@@ -79,3 +80,29 @@ def test_method_adds_spans_and_leaves_clean_text(spark):
     assert not any(by[200 + i] for i in range(30)) and by[300] == by[301] == ""
     assert [r.spans for r in got if r.doc_id is None] == ["email:5:25"] * 2
     assert pii.find(df.filter("doc_id > 999")).count() == 0
+
+
+def test_many_candidates_take_linear_time():
+    line = "a.b@mail.com 123-45-6789 1.2.3.400 +49 30 1234567 4111111111111 (555) 123-4567 password=abcdefghijk12 Mr Hans Meier\n"
+    began = time.perf_counter()
+    base, more = pii.spans_of(line * 40_000)  # 4.6 MB
+    assert len(base) == 40_000 * (len(base) // 40_000) and time.perf_counter() - began < 30
+    assert not any(a < y and x < b for (_, a, b), (_, x, y) in zip(more[:50], base[:50], strict=False))
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_touching_equals_brute_force(seed):
+    rng = np.random.default_rng(seed)
+    spans = [("x", int(a), int(a + n)) for a, n in zip(rng.integers(0, 90, 12), rng.integers(1, 9, 12), strict=True)]
+    taken = pii.covered(spans)
+    for a in range(100):
+        for b in range(a + 1, min(a + 6, 100)):
+            assert pii.touches(taken, a, b) == any(a < y and x < b for _, x, y in spans)
+
+
+def test_rare_kinds_stay_in_the_sample(spark):
+    rows = [(i, f"mail a{i}.b@mail.example.com now") for i in range(300)] + [(1000 + i, f"the password = \"abcdefGhijkl{'xyz'[i]}mnop\" it is") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    by = {r.doc_id: r.spans for r in pii.find(df, fit_candidates=70).collect()}
+    assert sum("secret" in s for s in by.values()) == 3 and by[5].startswith("email")
+    assert pii.spans_of("My name is Maria Lopez.")[1] == [("name", 11, 22)]
