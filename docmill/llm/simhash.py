@@ -4,8 +4,10 @@ A fingerprint of ``bits`` bits is cut into ``blocks`` blocks. Two fingerprints t
 most ``radius`` bits agree on at least blocks - radius whole blocks, so with ``agree`` of those
 the join on every choice of ``agree`` blocks loses no pair (agree <= blocks - radius). Members of a
 bucket are compared in sorted order, batch by batch; a bucket emits at most one link per member
-and batch, never all its pairs. Buckets above ``bucket_rows`` members are cut into chunks, and
-every pair of chunks becomes a group of its own, so no task holds more than two chunks.
+and batch, never all its pairs. In a bucket above ``bucket_rows`` members, most of which are copies
+of one text as a rule, every member is first compared with a few of them, the leaders. Members
+linked to the leader that has most are one group already; only the others are compared with all,
+chunk by chunk, so no task holds more than two chunks and a hot text costs no square of its copies.
 
 The pipeline's near copies take such links, of wide fingerprints and a generous radius, as
 candidates only: what decides is the Jaccard similarity of the shingle sets.
@@ -21,7 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmill.plans.components import components
@@ -133,14 +135,19 @@ def _drawn(fps: DataFrame, bits: int, blocks: int, width: int) -> DataFrame:
     return fps.select("fp").mapInPandas(run, "slot int, key long, fp binary")
 
 
-def _near(m: np.ndarray, group: np.ndarray, radius: int) -> np.ndarray:
-    """Smallest row that each row of m reaches by links within its group; rows are sorted by group."""
+def _near(m: np.ndarray, group: np.ndarray, radius: int, joined: np.ndarray | None = None) -> np.ndarray:
+    """Smallest row that each row of m reaches by links within its group; rows are sorted by group, those of a group in ``joined`` are linked."""
     low = np.arange(len(m))
+    if joined is not None and joined.any():
+        first = np.full(group[-1] + 1, len(m))
+        np.minimum.at(first, group[joined], low[joined])
+        low[joined] = first[group[joined]]
     lag, alive = 1, np.arange(len(m) - 1)
     while len(alive):
         alive = alive[alive + lag < len(m)]
         alive = alive[group[alive] == group[alive + lag]]
-        near = alive[np.bitwise_count(m[alive] ^ m[alive + lag]).sum(1) <= radius]
+        apart = alive[low[alive] != low[alive + lag]]
+        near = apart[np.bitwise_count(m[apart] ^ m[apart + lag]).sum(1) <= radius]
         one, two = low[near], low[near + lag]
         while len(apart := np.flatnonzero(one != two)):
             np.minimum.at(low, np.maximum(one, two)[apart], np.minimum(one, two)[apart])
@@ -151,31 +158,47 @@ def _near(m: np.ndarray, group: np.ndarray, radius: int) -> np.ndarray:
     return low
 
 
-def _linked(keyed: DataFrame, group: list[str], radius: int, bucket_rows: int | None) -> DataFrame:
-    """(a, b, slot, key): links inside groups; with bucket_rows, b is null for a member of a larger group.
+def _words(fps: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(fps), np.uint64).reshape(len(fps), -1)
 
-    The rows of a group reach one task sorted; it holds one batch and the group at its end.
+
+def _linked(keyed: DataFrame, group: list[str], radius: int, bucket_rows: int | None, leaders: int = 8) -> DataFrame:
+    """(a, b, slot, key, near): links inside groups; with bucket_rows, b is null for a member of a larger group.
+
+    near: bits of the leaders of the larger group that the member is linked to; those links are
+    given too. Without bucket_rows the column main tells members that are linked already. The
+    rows of a group reach one task sorted; it holds one batch and the group at its end.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def done(rows: pd.DataFrame) -> pd.DataFrame:
-            m = np.frombuffer(b"".join(rows["fp"]), np.uint64).reshape(len(rows), -1)
-            low = _near(m, rows.groupby(group, sort=False).ngroup().to_numpy(), radius)
+            low = _near(_words(rows["fp"]), rows.groupby(group, sort=False).ngroup().to_numpy(), radius, rows["main"].to_numpy() if "main" in rows else None)
             at = np.flatnonzero(low != np.arange(len(rows)))
             fp = rows["fp"].to_numpy()
-            return pd.DataFrame({"a": fp[at], "b": fp[low[at]], "slot": np.int32(0), "key": np.int64(0)})
-
-        def over(rows: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"a": rows["fp"], "b": None, "slot": rows["slot"], "key": rows["key"]})
+            return pd.DataFrame({"a": fp[at], "b": fp[low[at]], "slot": np.int32(0), "key": np.int64(0), "near": np.int32(0)})
+
+        def lead(rows: pd.DataFrame) -> tuple[tuple, pd.Series, np.ndarray]:
+            """Of a large group: its key, some members and to which of them each of these is joined."""
+            some = rows["fp"].iloc[np.unique(np.linspace(0, len(rows) - 1, leaders).astype(int))].reset_index(drop=True)
+            return tuple(rows[group].iloc[0]), some, _near(_words(some), np.zeros(len(some), int), radius)
+
+        def over(rows: pd.DataFrame, some: pd.Series, low: np.ndarray) -> Iterator[pd.DataFrame]:
+            m, near = _words(rows["fp"]), np.zeros(len(rows), np.int32)
+            for i, x in enumerate(_words(some)):
+                hit = np.bitwise_count(m ^ x).sum(1) <= radius
+                own, is_new = np.int32(1 << low[i]), near & np.int32(1 << low[i]) == 0
+                yield pd.DataFrame({"a": rows["fp"].to_numpy()[hit & is_new], "b": some[i], "slot": np.int32(0), "key": np.int64(0), "near": np.int32(0)})
+                near[hit] |= own
+            yield pd.DataFrame({"a": rows["fp"], "b": None, "slot": rows["slot"], "key": rows["key"], "near": near})
 
         rest, large = pd.DataFrame(), None
         for b in batches:
             if not len(b):
                 continue
             if large is not None:
-                same = (b[group] == large).all(axis=1)
+                same = (b[group] == large[0]).all(axis=1)
                 if same.any():
-                    yield over(b[same])
+                    yield from over(b[same], *large[1:])
                 b = b[~same]
                 if not len(b):
                     continue
@@ -185,26 +208,38 @@ def _linked(keyed: DataFrame, group: list[str], radius: int, bucket_rows: int |
             full, rest = rows[~last], rows[last]
             if bucket_rows and len(full):
                 n = full.groupby(group)["fp"].transform("size")
-                if (n > bucket_rows).any():
-                    yield over(full[n > bucket_rows])
-                    full = full[n <= bucket_rows]
+                for _, own in full[n > bucket_rows].groupby(group):
+                    yield from over(own, *lead(own)[1:])
+                full = full[n <= bucket_rows]
             if len(full):
                 yield done(full)
             if bucket_rows and len(rest) > bucket_rows:
-                yield over(rest)
-                large, rest = rest[group].iloc[0], pd.DataFrame()
+                large = lead(rest)
+                yield from over(rest, *large[1:])
+                rest = pd.DataFrame()
         if len(rest):
             yield done(rest)
 
     dealt = keyed.repartition(*group).sortWithinPartitions(*group, "fp")
-    return dealt.mapInPandas(run, "a binary, b binary, slot int, key long")
+    return dealt.mapInPandas(run, "a binary, b binary, slot int, key long, near int")
+
+
+def _main(rows: DataFrame, by: list[str], leaders: int, label: str, keep: list[str] | None) -> DataFrame:
+    """(by, main, n, others): per group the bit of the leader that most rows are near to, the rows and those not near it."""
+    bits = [F.sum((F.shiftright("near", i) % 2).cast("long")) for i in range(leaders)]
+    most = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.array(*bits).alias("bits"))
+    most = most.select(*by, "n", F.array_max("bits").alias("most"), (F.array_position("bits", F.array_max("bits")) - 1).cast("int").alias("main"))
+    return materialise(most.select(*by, "main", "n", (F.col("n") - F.col("most")).alias("others")), label, keep)
 
 
-def _chunk_pairs(large: DataFrame, bucket_rows: int) -> DataFrame:
-    """Members of large buckets under every pair of chunks that their chunk belongs to."""
-    sizes = materialise(large.groupBy("slot", "key").agg(F.ceil(F.count(F.lit(1)) * 2 / bucket_rows).cast("int").alias("chunks")), "large")
-    out = large.join(sizes, ["slot", "key"]).withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
-    return out.select("slot", "key", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"), "chunk", "fp").select("slot", "key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "fp")
+def _against_others(rows: DataFrame, by: list[str], chunks: Column, other_chunks: Column, row: str) -> DataFrame:
+    """rows (by, main, row, ..) under (i, j): every one not main meets every other, in pairs of a chunk i of those and a chunk j of all."""
+    rows = rows.withColumns({"__all": chunks.cast("int"), "__others": other_chunks.cast("int")})
+    j, i = F.pmod(F.xxhash64(row), F.col("__all")).cast("int"), F.pmod(F.xxhash64(row, F.lit(1)), F.col("__others")).cast("int")
+    places = F.transform(F.sequence(F.lit(0), F.col("__others") - 1), lambda x: F.struct(x.alias("i"), j.alias("j")))
+    own = F.transform(F.sequence(F.lit(0), F.col("__all") - 1), lambda x: F.struct(i.alias("i"), x.alias("j")))
+    places = F.when(F.col("main"), places).otherwise(F.array_union(places, own))
+    return rows.filter("__others > 0").select("*", F.explode(places).alias("__at")).select("*", "__at.i", "__at.j").drop("__at", "__all", "__others")
 
 
 def near_links(fps: DataFrame, bits: int, radius: int, blocks: int, agree: int, bucket_rows: int = 4096, keep: list[str] | None = None) -> DataFrame:
@@ -213,12 +248,15 @@ def near_links(fps: DataFrame, bits: int, radius: int, blocks: int, agree: int,
 
 
 def _links(keyed: DataFrame, radius: int, bucket_rows: int, keep: list[str] | None) -> DataFrame:
-    found = materialise(_linked(keyed, ["slot", "key"], radius, bucket_rows), "links", keep)
+    leaders = 8
+    found = materialise(_linked(keyed, ["slot", "key"], radius, bucket_rows, leaders), "links", keep)
     links = found.filter("b is not null").select("a", "b")
-    large = found.filter("b is null").select("slot", "key", F.col("a").alias("fp"))
+    large = found.filter("b is null").select("slot", "key", F.col("a").alias("fp"), "near")
     if not large.isEmpty():
-        pairs = _linked(_chunk_pairs(large, bucket_rows), ["slot", "key", "i", "j"], radius, None)
-        links = links.unionByName(materialise(pairs, "large-links", keep).select("a", "b"))
+        sizes = _main(large, ["slot", "key"], leaders, "large", keep)
+        rows = join_checked(large, sizes.filter("others > 0"), ["slot", "key"], "inner").withColumn("main", F.expr("shiftright(near, main) % 2 = 1"))
+        parts = _against_others(rows, ["slot", "key"], F.ceil(F.col("n") * 2 / bucket_rows), F.ceil(F.col("others") * 2 / bucket_rows), "fp").select("slot", "key", "i", "j", "fp", "main")
+        links = links.unionByName(materialise(_linked(parts, ["slot", "key", "i", "j"], radius, None), "large-links", keep).select("a", "b"))
     return links.distinct()
 
 
@@ -248,22 +286,35 @@ def similarity_radius(similarity: float, bits: int, slack: float = 1.0) -> int:
     return ceil(bits * p + slack * (bits * p * (1 - p)) ** 0.5)
 
 
-def _alike(sets: list[np.ndarray], similarity: float) -> np.ndarray:
-    """Smallest place that each of the sets reaches by pairs of this Jaccard similarity or more; every pair is compared."""
+def _shared(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes of the sets, where each begins, and their members as small integers, one set after the other."""
     size = np.array([len(x) for x in sets])
-    cut = np.concatenate([[0], np.cumsum(size)])
-    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    return size, np.concatenate([[0], np.cumsum(size)]), np.unique(np.concatenate(sets), return_inverse=True)[1]
+
+
+def _alike(sets: list[np.ndarray], similarity: float, joined: np.ndarray | None = None) -> np.ndarray:
+    """Smallest place that each of the sets, none of them empty, reaches by pairs of this Jaccard similarity or more.
+
+    Sets in ``joined`` are joined. Every pair is compared that isn't joined by then.
+    """
+    size, cut, codes = _shared(sets)
     own, low = np.zeros(len(codes), np.int32), np.arange(len(sets))
-    for i in range(1, len(sets)):
+    if joined is not None and joined.any():
+        low[joined] = np.flatnonzero(joined)[0]
+    for i in range(len(sets) - 1):
+        others = i + 1 + np.flatnonzero(low[i + 1 :] != low[i])
+        if not len(others):
+            continue
         mine = codes[cut[i] : cut[i + 1]]
         own[mine] = 1
-        shared = np.add.reduceat(own[codes[: cut[i]]], cut[:i])
+        if 4 * len(others) > len(sets) - i:
+            shared = np.add.reduceat(own[codes[cut[i + 1] :]], cut[i + 1 : -1] - cut[i + 1])[others - i - 1]
+        else:
+            shared = np.array([own[codes[cut[j] : cut[j + 1]]].sum() for j in others])
         own[mine] = 0
-        if len(near := np.flatnonzero(shared / (size[:i] + size[i] - shared) >= similarity)):
-            joined = np.unique(low[near])
-            low[i] = joined[0]
-            if len(joined) > 1:
-                low[np.isin(low, joined)] = joined[0]
+        if len(near := others[shared / (size[others] + size[i] - shared) >= similarity]):
+            roots = np.unique(np.append(low[near], low[i]))
+            low[np.isin(low, roots)] = roots[0]
     return low
 
 
@@ -278,19 +329,56 @@ def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select("__row", "component", "text").mapInArrow(run, "__row long, component binary, shingles binary")
 
 
+def _near_leaders(large: DataFrame, similarity: float, leaders: int, keep: list[str] | None) -> DataFrame:
+    """(__row, component, near, links) of large (__row, component, shingles, share): bits of the leaders this similar, and their rows.
+
+    Rows are dealt by component and salt, ``share`` salts to a component; its leaders go to each of
+    them and come first, so a task holds one component's leaders and one batch.
+    """
+    nth = F.row_number().over(Window.partitionBy("component").orderBy(F.xxhash64("__row")))
+    some = materialise(large.select("__row", "component").withColumn("nth", nth).filter(F.col("nth") <= leaders).select("__row", "nth"), "leaders", keep)
+    salts = F.ceil("share").cast("int")
+    first = join_checked(large, some, ["__row"], "inner").select("component", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), "nth", "__row", "shingles")
+    rows = large.select("component", F.pmod(F.xxhash64("__row"), salts).cast("int").alias("salt"), F.lit(leaders + 1).alias("nth"), "__row", "shingles")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ids, sets = None, [], []
+        for b in batches:
+            out: list[tuple] = []
+            for component, n, row, x in zip(b["component"].to_pylist(), b["nth"].to_pylist(), b["__row"].to_pylist(), b["shingles"], strict=True):
+                own = np.frombuffer(x.as_py(), np.uint64)
+                if component != at:
+                    at, ids, sets = component, [], []
+                if n <= leaders:
+                    if row not in ids:  # another salt of the component in the same task
+                        ids.append(row)
+                        sets.append(own)
+                    continue
+                shared = [len(np.intersect1d(own, y, True)) for y in sets]
+                hit = [s >= similarity * (len(own) + len(y) - s) for s, y in zip(shared, sets, strict=True)]
+                out.append((row, component, sum(1 << i for i, h in enumerate(hit) if h), [i for i, h in zip(ids, hit, strict=True) if h]))
+            cols = list(zip(*out, strict=True)) or [[]] * 4
+            types = [pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["__row", "component", "near", "links"])
+
+    dealt = rows.unionByName(first).repartition("component", "salt").sortWithinPartitions("component", "salt", "nth")
+    return materialise(dealt.mapInArrow(run, "__row long, component binary, near int, links array<long>"), "near-leaders", keep)
+
+
 def verified_links(sets: DataFrame, similarity: float, group_rows: int = 512, group_bytes: int = 1 << 24, keep: list[str] | None = None) -> DataFrame:
     """(a, b): links between rows of one component of sets (__row, component, shingles) that join the same ones as all pairs of this similarity or more.
 
-    A component above group_rows rows or group_bytes of shingles is cut into chunks, and every pair
-    of chunks becomes a group of its own: all pairs are compared, and no task holds more than two chunks.
+    sets is a written table. In a component above group_rows rows or group_bytes of shingles, each
+    row is compared with a few leaders; rows like the leader that has most are one group, and only
+    the others are compared with all, in pairs of chunks, so no task holds more than two.
     """
-    group = ["component", "i", "j"]
+    group, leaders = ["component", "i", "j"], 8
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def done(rows: pd.DataFrame) -> pd.DataFrame:
-            at, ids, of = rows.groupby(group, sort=False).ngroup().to_numpy(), rows["__row"].to_numpy(), rows["shingles"].to_numpy()
+            at, ids, of, main = rows.groupby(group, sort=False).ngroup().to_numpy(), rows["__row"].to_numpy(), rows["shingles"].to_numpy(), rows["main"].to_numpy()
             cuts = [0, *(np.flatnonzero(at[1:] != at[:-1]) + 1), len(rows)]
-            low = np.concatenate([i + _alike([np.frombuffer(x, np.uint64) for x in of[i:j]], similarity) for i, j in zip(cuts, cuts[1:], strict=False)])
+            low = np.concatenate([i + _alike([np.frombuffer(x, np.uint64) for x in of[i:j]], similarity, main[i:j]) for i, j in zip(cuts, cuts[1:], strict=False)])
             linked = np.flatnonzero(low != np.arange(len(rows)))
             return pd.DataFrame({"a": ids[linked], "b": ids[low[linked]]})
 
@@ -307,14 +395,23 @@ def verified_links(sets: DataFrame, similarity: float, group_rows: int = 512, gr
             yield done(rest)
 
     share = F.greatest(F.count(F.lit(1)) / F.lit(group_rows), F.sum(F.length("shingles")) / F.lit(group_bytes))
-    sizes = sets.groupBy("component").agg(F.when(share <= 1, 1).otherwise(F.ceil(2 * share)).cast("int").alias("chunks"))
-    sizes = materialise(sizes, "component-sizes", keep)
-    out = sets.join(sizes, "component").withColumn("chunk", F.pmod(F.xxhash64("__row"), F.col("chunks")).cast("int"))
-    others = F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda x: (F.col("chunks") == 1) | (x != F.col("chunk")))
-    out = out.select("component", "chunk", F.explode(others).alias("other"), "__row", "shingles")
-    out = out.select("component", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "__row", "shingles")
-    dealt = out.repartition(*group).sortWithinPartitions(*group, "__row")
-    return materialise(dealt.mapInPandas(run, "a long, b long"), "verified", keep)
+    sizes = sets.groupBy("component").agg(F.count(F.lit(1)).alias("rows"), share.alias("share")).filter("share > 1")
+    sizes = materialise(sizes, "large-components", keep)
+    own = join_checked(sets, sizes, ["component"])
+    groups = own.filter("share is null").select("component", F.lit(0).alias("i"), F.lit(0).alias("j"), "__row", "shingles", F.lit(False).alias("main"))
+    links = None
+    if not sizes.isEmpty():
+        near = _near_leaders(own.filter("share is not null").select("__row", "component", "shingles", "share"), similarity, leaders, keep)
+        links = near.select(F.col("__row").alias("a"), F.explode("links").alias("b")).filter("a != b")
+        others = _main(near, ["component"], leaders, "large-components", keep).filter("others > 0")
+        rows = join_checked(near.select("__row", "component", "near"), others, ["component"], "inner").withColumn("main", F.expr("shiftright(near, main) % 2 = 1"))
+        rows = join_checked(rows, sizes.select("component", "share"), ["component"])
+        chunks = F.ceil(2 * F.col("share"))
+        parts = _against_others(rows, ["component"], chunks, F.ceil(chunks * F.col("others") / F.col("n")), "__row").select("component", "i", "j", "__row", "main")
+        groups = groups.unionByName(sets.select("__row", "shingles").join(parts, "__row").select(*groups.columns))
+    dealt = groups.repartition(*group).sortWithinPartitions(*group, "__row")
+    found = dealt.mapInPandas(run, "a long, b long")
+    return materialise(found if links is None else found.unionByName(links), "verified", keep)
 
 
 def near_copy_groups(docs: DataFrame, shingle: int, similarity: float, bits: int, blocks: int, width: int, slack: float, keep: list[str] | None = None) -> DataFrame:

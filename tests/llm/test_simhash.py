@@ -142,3 +142,51 @@ def test_large_components_are_compared_whole(spark):
         for r in simhash.components(simhash.verified_links(df, 0.8, **limits)).collect():
             got.setdefault(r.component, set()).add(r.node)
         assert sorted(map(sorted, got.values())) == sorted(sorted(x) for x in want.values() if len(x) > 1)
+
+
+def test_hot_components_are_compared_with_leaders_and_others_with_all(spark):
+    """Most sets are copies of one; others are linked to some of those only, or by a chain, or to none."""
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 2**63, 100, dtype=np.uint64)
+
+    def changed(x, n):
+        out = x.copy()
+        out[rng.choice(100, n, replace=False)] = rng.integers(0, 2**63, n, dtype=np.uint64)
+        return out
+
+    sets = [changed(base, 3) for _ in range(150)]
+    sets += [changed(sets[int(i)], int(n)) for i, n in zip(rng.integers(0, 150, 30), rng.integers(6, 14, 30), strict=True)]
+    sets += [changed(sets[150 + int(i)], 9) for i in rng.integers(0, 30, 20)]
+    sets += [rng.integers(0, 2**63, 100, dtype=np.uint64) for _ in range(5)]
+    sets = [set(x.tolist()) for x in sets]
+    at = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) / len(a | b) >= 0.8 and at[i] != at[j]:
+                low, high = sorted((at[i], at[j]))
+                at = [low if x == high else x for x in at]
+    df = simhash.materialise(spark.createDataFrame([(i, b"k", np.array(sorted(s), np.uint64).tobytes()) for i, s in enumerate(sets)], "__row long, component binary, shingles binary").repartition(3), "sets")
+    for rows in (1000, 40, 7):
+        got = {r.node: r.component for r in simhash.components(simhash.verified_links(df, 0.8, group_rows=rows)).collect()}
+        assert [got.get(i, i) for i in range(len(sets))] == at
+    assert len(set(at)) > 5
+
+
+def test_leaders_of_hot_buckets_lose_no_link(spark):
+    rng = np.random.default_rng(11)
+    base, out = int(rng.integers(0, 2**62)), set()
+    while len(out) < 250:
+        x = base
+        for b in rng.choice(64, rng.integers(0, 3) if len(out) < 200 else rng.integers(4, 9), replace=False):
+            x ^= 1 << int(b)
+        out.add(x)
+    fps = sorted(out)
+    df = spark.createDataFrame([(x.to_bytes(8, "little"),) for x in fps], "fp binary")
+    want = brute_components(list(range(len(fps))), fps)
+    for bucket_rows in (4096, 30):
+        at = {int.from_bytes(r.node, "little"): r.component for r in simhash.components(simhash.near_links(df, 64, 4, 6, 2, bucket_rows)).collect()}
+        groups = {}
+        for i, f in enumerate(fps):
+            groups.setdefault(at.get(f, f), []).append(i)
+        got = {i: min(g) for g in groups.values() for i in g}
+        assert [got[i] for i in range(len(fps))] == want
