@@ -18,9 +18,11 @@ BROADCAST_ROWS = 50_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a new temporary folder only where it is unset."""
+    """The cluster's ``spark.checkpoint.dir``; a new temporary folder only where it is unset and driver and workers are one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="docmill-")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir()
@@ -75,9 +77,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table whose rows take much work each: dealt over all cores where fewer partitions than these hold its rows.
 
-    A table of many files or row groups is read as it is, without a shuffle. Finding out reads no
-    column, only the files' footers.
+    A table of as many files as cores or more is read as it is, which takes no job to find out. In
+    one of fewer files a job counts the partitions that hold row groups, from the footers alone.
     """
     rows, cores = table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    if len(rows.inputFiles()) >= cores:
+        return rows
     filled = rows.select(F.spark_partition_id().alias("part")).distinct().count()
     return rows.repartition(cores) if filled < cores else rows
