@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,8 +15,8 @@ from docmill.functions.fixed import ALPHA, MIN_SCORE, TOP_K
 from docmill.functions.text import tokens
 from docmill.plans.shared import join_checked, materialise
 
-#: Terms of a vocabulary; query vectors that one task compares at once.
-MAX_TERMS, QUERY_BLOCK = 10_000, 512
+#: Terms of a vocabulary; queries and rows that meet in one task of a grid.
+MAX_TERMS, QUERY_BLOCK, ROW_BLOCK = 10_000, 4096, 100_000
 
 
 def tokenised(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -64,44 +66,160 @@ def sparse_scores(queries: DataFrame, vocab: DataFrame, index: DataFrame, reques
     return both.groupBy(request, key).agg(F.round(F.sum(F.col("weight") * F.col("asked")), 6).alias("sparse_score")).filter("sparse_score > 0")
 
 
+def sparse_topk(queries: DataFrame, terms: DataFrame, vocab: DataFrame, request: str, key: str, k: int, query: str = "query") -> DataFrame:
+    """(request, key, sparse_score): the k best rows of (key, terms) per query, those above zero of ``sparse_scores``, ties by key.
+
+    A row's terms stay together: a task scores them against a block of queries and passes on k per
+    query, so no table of queries and rows exists. vocab: at most MAX_TERMS rows, so it is collected.
+    """
+    words = vocab.select("term", "idf").toArrow()
+    asked = materialise(queries.select(request, tokens(F.col(query)).alias("terms")), "asked")
+    return _best_rows(terms.select(key, "terms"), asked, request, key, "sparse_score", k, lambda q: _Sparse(q, words, request, key, k))
+
+
 def dense_scores(queries: DataFrame, rows: DataFrame, request: str, key: str, k: int, vector: str = "embedding", keep: Column | None = None) -> DataFrame:
     """(request, key, dense_score): the k rows nearest to each query by cosine of unit vectors, exactly.
 
-    The queries are taken in blocks of QUERY_BLOCK vectors; each block is one matrix product per
-    batch of rows, and a task passes on its k best per query, so no pair table ever exists. keep:
-    a filter on the rows that comes before the ranking.
+    A task multiplies its rows with a block of queries and passes on its k best per query, so no
+    pair table ever exists. keep: a filter on the rows that comes before the ranking.
     """
     rows = rows.filter(keep) if keep is not None else rows
-    ask = materialise(queries.select(request, vector), "asked-vectors")
-    blocks = max(1, -(-ask.count() // QUERY_BLOCK))
-    ask = materialise(ask.withColumn("block", F.pmod(F.xxhash64(request), F.lit(blocks)).cast("int")), "asked-blocks") if blocks > 1 else ask.withColumn("block", F.lit(0))
-    kinds = f"{request} {queries.schema[request].dataType.simpleString()}, {key} {rows.schema[key].dataType.simpleString()}, dense_score double"
-    found = None
-    for b in range(blocks):
-        asked = ask.filter(F.col("block") == b).orderBy(request).toPandas()  # QUERY_BLOCK vectors or so
-        part = _nearest(rows.select(key, vector), asked[request].to_numpy(), np.stack(asked[vector]).astype(float) if len(asked) else np.zeros((0, 1)), request, key, vector, k, kinds)
-        found = part if found is None else found.unionByName(part)
-    return ranked(found, request, "dense_score", key, k).drop("rank")
-
-
-def _nearest(rows: DataFrame, ids: np.ndarray, matrix: np.ndarray, request: str, key: str, vector: str, k: int, kinds: str) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = None
-        for b in batches:
-            if not len(b) or not len(ids):
-                continue
-            scores = (np.stack(b[vector]).astype(float) @ matrix.T).round(6)
-            n = min(k, len(b))
-            # all rows that tie with the k-th stay, so that the key can decide
-            least = np.partition(scores, -n, axis=0)[-n]
-            row, col = np.nonzero(scores >= least)
-            own = pd.DataFrame({request: ids[col], key: b[key].to_numpy()[row], "dense_score": scores[row, col]})
-            best = own if best is None else pd.concat([best, own], ignore_index=True)
-            best = best.sort_values(["dense_score", key], ascending=[False, True]).groupby(request, sort=False).head(k)
-        if best is not None:
-            yield best.reset_index(drop=True)
-
-    return rows.mapInPandas(run, kinds)
+    asked = materialise(queries.select(request, vector), "asked")
+    return _best_rows(rows.select(key, vector), asked, request, key, "dense_score", k, lambda q: _Dense(q, request, key, vector, k))
+
+
+def _best_rows(rows: DataFrame, asked: DataFrame, request: str, key: str, score: str, k: int, scorer: Callable[[pa.Table], _Scorer]) -> DataFrame:
+    """The k best rows of each query in asked, a written table.
+
+    Up to QUERY_BLOCK queries go to the tasks as they are, and rows are not shuffled. More meet the
+    rows in a grid: a block of rows and a block of queries per task, so each query meets all rows,
+    nothing passes the driver, and rows are sent once for each block of queries.
+    """
+    kinds = f"{request} {asked.schema[request].dataType.simpleString()}, {key} {rows.schema[key].dataType.simpleString()}, {score} double"
+    names = [request, key, score]
+    n = asked.count()
+    if n <= QUERY_BLOCK:
+        block = asked.toArrow()  # QUERY_BLOCK rows at most
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best, kind = scorer(block), None
+            for b in batches:
+                kind = b.schema.field(key).type
+                best.add(b)
+            if kind is not None:
+                yield from best.found(names, kind).to_batches()
+
+        return ranked(rows.mapInArrow(run, kinds), request, score, key, k).drop("rank")
+
+    def cell(some: pa.Table, block: pa.Table) -> pa.Table:
+        best = scorer(block)
+        for b in some.to_batches():
+            best.add(b)
+        return best.found(names, some.schema.field(key).type)
+
+    i, j = -(-rows.count() // ROW_BLOCK), -(-n // QUERY_BLOCK)
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(max(blocks, 1) - 1)))
+    left = rows.withColumn("__i", F.pmod(F.xxhash64(key), F.lit(max(i, 1)))).select("*", every(j).alias("__j"))
+    right = asked.withColumn("__j", F.pmod(F.xxhash64(request), F.lit(j)).cast("int")).select("*", every(i).alias("__i"))
+    left, right = (x.withColumns({c: F.col(c).cast("int") for c in ("__i", "__j")}) for x in (left, right))
+    found = left.groupBy("__i", "__j").cogroup(right.groupBy("__i", "__j")).applyInArrow(cell, kinds)
+    return ranked(found, request, score, key, k).drop("rank")
+
+
+class _Scorer:
+    """The k best rows so far of each query of a block; subclasses say how a batch of rows is scored."""
+
+    #: Scores that are held at once.
+    CELLS = 1 << 22
+
+    def __init__(self, ids: pa.Array, key: str, k: int):
+        self.ids, self.key, self.k, self.parts, self.waiting = ids, key, k, [], 0
+        self.least = np.full(len(ids), -np.inf)  # the k-th best score
+
+    def keep(self, keys: pa.Array, scores: np.ndarray, floor: float = -np.inf) -> None:
+        """Take the rows' scores (row by query) into account, those above floor. What ties with the k-th stays, so that the key can decide."""
+        row, query = np.nonzero((scores >= self.least) & (scores > floor))
+        self.parts.append(pd.DataFrame({"query": query, "key": keys.take(pa.array(row)).to_pandas(), "score": scores[row, query]}))
+        self.waiting += len(row)
+        if self.waiting > self.k * len(self.ids) + 100_000:
+            self.settle()
+
+    def settle(self) -> None:
+        own = pd.concat(self.parts, ignore_index=True) if self.parts else pd.DataFrame({"query": [], "key": [], "score": []})
+        own = own.sort_values(["query", "score", "key"], ascending=[True, False, True])
+        own = own[own.groupby("query", sort=False).cumcount() < self.k]
+        full = own.groupby("query")["score"].agg(["size", "min"])
+        full = full[full["size"] == self.k]
+        self.least[full.index.to_numpy().astype(int)] = full["min"]
+        self.parts, self.waiting = [own], 0
+
+    def found(self, names: list[str], kind: pa.DataType) -> pa.Table:
+        self.settle()
+        own = self.parts[0]
+        query = self.ids.take(pa.array(own["query"].to_numpy().astype(np.int64)))
+        return pa.table([query, pa.array(own["key"].tolist(), kind), pa.array(own["score"].to_numpy().astype(float))], names=names)
+
+
+def _column(block: pa.Table | pa.RecordBatch, name: str) -> pa.Array:
+    found = block.column(name)
+    return found.combine_chunks() if isinstance(found, pa.ChunkedArray) else found
+
+
+class _Dense(_Scorer):
+    def __init__(self, block: pa.Table, request: str, key: str, vector: str, k: int):
+        super().__init__(_column(block, request), key, k)
+        self.vector, self.queries = vector, self._matrix(_column(block, vector))
+
+    @staticmethod
+    def _matrix(vectors: pa.Array) -> np.ndarray:
+        return vectors.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(vectors), -1) if len(vectors) else np.zeros((0, 1))
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        keys = batch.column(self.key)
+        if not len(keys) or not len(self.ids):
+            return
+        m, step = self._matrix(batch.column(self.vector)), max(1, self.CELLS // len(self.ids))
+        for a in range(0, len(m), step):
+            self.keep(keys[a : a + step], (m[a : a + step] @ self.queries.T).round(6))
+
+
+class _Sparse(_Scorer):
+    """TF-IDF cosines, by the queries' postings of each term that a row has."""
+
+    def __init__(self, block: pa.Table, words: pa.Table, request: str, key: str, k: int):
+        super().__init__(_column(block, request), key, k)
+        self.terms, self.idf = _column(words, "term"), _column(words, "idf").to_numpy()
+        query, term, self.weight = self._weights(_column(block, "terms"))
+        order = np.argsort(term, kind="stable")
+        self.query, self.weight = query[order], self.weight[order]
+        self.start = np.searchsorted(term[order], np.arange(len(self.idf) + 1))
+
+    def _weights(self, lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, term, weight) of rows of length one, by row."""
+        row = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).fill_null(0).to_numpy())
+        term = pc.index_in(lists.flatten(), value_set=self.terms).fill_null(-1).to_numpy()
+        row, term = row[term >= 0], term[term >= 0]
+        idf = self.idf[term]
+        return row, term, idf / np.sqrt(np.bincount(row, idf * idf, len(lists)))[row]
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        keys = batch.column(self.key)
+        if not len(keys) or not len(self.ids):
+            return
+        row, term, weight = self._weights(batch.column("terms"))
+        each = self.start[term + 1] - self.start[term]  # queries that ask for the posting's term
+        row, term, weight, each = row[each > 0], term[each > 0], weight[each > 0], each[each > 0]
+        # rows go in slices that hold CELLS scores and about as many meetings of a posting with a query
+        load = np.bincount(row, each, len(keys)) + len(self.ids)
+        part = (np.cumsum(load) // self.CELLS).astype(np.int64)
+        cuts = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(keys)]])
+        at = np.searchsorted(row, cuts)
+        for a, b, i, j in zip(cuts, cuts[1:], at, at[1:], strict=False):
+            n = each[i:j]
+            posting = np.repeat(np.arange(i, j), n)
+            place = self.start[term[posting]] + np.arange(len(posting)) - np.repeat(np.cumsum(n) - n, n)
+            sums = np.bincount((row[posting] - a) * len(self.ids) + self.query[place], weight[posting] * self.weight[place], (b - a) * len(self.ids))
+            self.keep(keys[a:b], sums.reshape(b - a, -1).round(6), 0.0)
 
 
 def similarity(distance: Column, space: str = "cosine") -> Column:

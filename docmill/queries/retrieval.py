@@ -9,7 +9,7 @@ from docmill.functions.where import predicate
 from docmill.operators import chunks, ranking, reports, retrieval
 from docmill.operators.chunks import to_chunks
 from docmill.functions.identity import doc_key
-from docmill.plans.shared import spread_table, table
+from docmill.plans.shared import materialise, spread_table, table
 
 AS_OF = "2001-08-02"
 
@@ -34,17 +34,16 @@ def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("request"), F.col("text").alias("query"))
 
 
-def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    docs = spread_table(spark, sf_dir, "documents")
-    return docs, *retrieval.sparse_index(docs, "doc_id")
+def _terms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    terms = retrieval.tokenised(spread_table(spark, sf_dir, "documents"), "doc_id")
+    return terms, materialise(retrieval.vocabulary(terms), "vocabulary")
 
 
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    docs, vocab, index = _index(spark, sf_dir)
-    sparse = retrieval.sparse_scores(_queries(spark, sf_dir), vocab, index, "request", "doc_id")
+    sparse = retrieval.sparse_topk(_queries(spark, sf_dir), *_terms(spark, sf_dir), "request", "doc_id", 15)
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     asked = _queries(spark, sf_dir).join(vectors, F.col("request") == F.col("doc_id")).select("request", "embedding")
-    return docs, sparse, retrieval.dense_scores(asked, vectors, "request", "doc_id", 15)
+    return table(spark, sf_dir, "documents"), sparse, retrieval.dense_scores(asked, vectors, "request", "doc_id", 15)
 
 
 def chunk_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,13 +77,12 @@ def tfidf_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tfidf_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _index(spark, sf_dir)[2].select("doc_id", "term", F.round("weight", 6).alias("weight"))
+    return retrieval.sparse_index(spread_table(spark, sf_dir, "documents"), "doc_id")[1].select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
 def sparse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, vocab, index = _index(spark, sf_dir)
-    scores = retrieval.sparse_scores(_queries(spark, sf_dir), vocab, index, "request", "doc_id")
-    return retrieval.ranked(scores, "request", "sparse_score", "doc_id", 5)
+    best = retrieval.sparse_topk(_queries(spark, sf_dir), *_terms(spark, sf_dir), "request", "doc_id", 5)
+    return retrieval.ranked(best, "request", "sparse_score", "doc_id", 5)
 
 
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,7 +162,7 @@ def recent_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fallback_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, sparse, _ = _sides(spark, sf_dir)
+    sparse = retrieval.sparse_scores(_queries(spark, sf_dir), *retrieval.sparse_index(spread_table(spark, sf_dir, "documents"), "doc_id"), "request", "doc_id")
     top = sparse.groupBy("request").agg(F.count(F.lit(1)).alias("n_hits"), F.max("sparse_score").alias("top_score"))
     own = _queries(spark, sf_dir).select("request").join(top, "request", "left").withColumn("n_hits", F.coalesce("n_hits", F.lit(0)))
     reason = ranking.fallback_reason(F.col("n_hits"), F.col("top_score"), F.lit(0.3), F.col("request") % 3 == 0, F.col("request") % 5 == 0, F.col("request") % 2 == 0, F.col("request") % 4 == 0)
