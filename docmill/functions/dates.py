@@ -5,13 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docmill.functions.fixed import BODY_DEADLINE, DEADLINE_WORDS, RECENT_PHRASES
-
-DATE = r"([0-9]{4})\s*[.\-/년]\s*([0-9]{1,2})\s*[.\-/월]\s*([0-9]{1,2})"
-MONTH_DAY = r"([0-9]{1,2})\s*[\-/월]\s*([0-9]{1,2})"
-#: The end of a range may also be written with a dot: '05. 14. ~ 05. 16.'.
-MONTH_DAY_END = r"(?:~|-|–|—|∼|〜)\s*([0-9]{1,2})\s*[.\-/월]\s*([0-9]{1,2})"
-TITLE_DEADLINE = r"(?:~|마감|기한|까지)\s*(?:([0-9]{4})\s*[.\-/년]\s*)?([0-9]{1,2})\s*(?:[.\-/월])\s*([0-9]{1,2})"
+from docmill.functions.fixed import BODY_DEADLINE, DATE, DEADLINE_WORDS, MONTH_DAY, MONTH_DAY_END, RECENT_PHRASES, TITLE_DEADLINE
 
 
 def day(year: Column, month: Column, dom: Column) -> Column:
@@ -114,3 +108,8 @@ def date_filter(query: Column, as_of: Column) -> Column:
         .when(this_year.isNotNull(), made(this_year, F.last_day(this_year), "specific_month", False))
     )
     return F.coalesce(relative, specific)
+
+
+def sort_date(published: Column, updated: Column) -> Column:
+    """The time that hits are ranked by: of published, or of updated where that is null; null if it is no time."""
+    return F.try_to_timestamp(F.coalesce(published.cast("string"), updated.cast("string"))).cast("timestamp_ntz")

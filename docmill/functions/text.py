@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import unicodedata
+from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from docmill.functions.fixed import PARTICLES, SYNONYMS, TRUE_WORDS
+from docmill.functions.fixed import PARTICLES, SECTION_BOILERPLATE, SECTION_IGNORED, SECTION_SIGNALS, SENTENCE_MARKS, SQUEEZE, SYNONYMS, TRUE_WORDS, WORD_TOKENIZERS
 
 INVISIBLE = "​‌‍⁠﻿­"
 
@@ -43,12 +44,7 @@ def normalize_unicode(text: Column) -> Column:
 
 def squeeze(text: Column) -> Column:
     """White-space rules for text that is already in NFKC, in their order."""
-    steps = [
-        (r"[ \t ]+", " "), (r"([0-9])\n([가-힣])", "$1$2"), (r"([가-힣])\n([0-9])", "$1 $2"), (r"\n([()])", "$1"), (r"([()])\n", "$1"), (r"\n([.,!?·])", "$1"),
-        (r"(?<!\n)\n(?!\n)", " "), (r"\n{2,}", "\n"), (r"(?U)\s*([()])\s*", "$1"), (r"(?U)\s*([.,!?·:/])\s*", "$1 "), (r"(?U)\s{2,}", " "), (r"(?U)\s+'|'\s+", "'"),
-        (r"(?U)([.!?])\s+(?=[가-힣A-Z0-9])", "$1\n"), (r"(?U)^\s+|\s+\z", ""),
-    ]
-    for pattern, by in steps:
+    for pattern, by in SQUEEZE:
         text = F.regexp_replace(text, pattern, by)
     return text
 
@@ -155,3 +151,108 @@ def money_per_million(tokens_in: Column, tokens_out: Column, price_in: float | N
 def unfenced(text: Column) -> Column:
     """A model's reply without the code fence around it."""
     return F.trim(F.regexp_replace(F.trim(text), r"(?s)^```(?:json)?\s*|\s*```$", ""))
+
+
+class _Strings(HTMLParser):
+    """Text nodes outside of elements that hold no text."""
+
+    EMPTY = {"script", "style", "noscript", "iframe", "head"}
+
+    def __init__(self, html: str):
+        super().__init__()
+        self.nodes, self.open, self.fresh = [], [], True
+        self.feed(html)
+        self.close()
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        self.fresh = True
+        if tag in self.EMPTY:
+            self.open.append(tag)
+
+    def handle_endtag(self, tag: str) -> None:
+        self.fresh = True
+        if tag in self.open:
+            while self.open.pop() != tag:
+                pass
+
+    def handle_comment(self, data: str) -> None:
+        self.fresh = True
+
+    handle_decl = handle_pi = unknown_decl = handle_comment
+
+    def handle_data(self, data: str) -> None:
+        if not self.open:
+            self.nodes += [data] if self.fresh else []
+            if not self.fresh:
+                self.nodes[-1] += data
+            self.fresh = False
+
+
+@F.pandas_udf(StringType())
+def parsed_text(html: pd.Series) -> pd.Series:
+    """Text nodes of markup, a line feed between them, without scripts, styles, noscript, iframes and head; text without markup as it is, blank and null text empty."""
+    return html.map(lambda h: "" if not h or not h.strip() else "\n".join(_Strings(h).nodes) if "<" in h or "&" in h else h)
+
+
+@F.pandas_udf(StringType())
+def without_marked_sections(markup: pd.Series) -> pd.Series:
+    """Markup without its <![ ... ]> sections that name data-hwpjson; one scan from mark to mark."""
+
+    def clean(text: str | None) -> str | None:
+        out, at, low = [], 0, (text or "").lower()
+        while (start := low.find("<![", at)) >= 0 and (end := low.find("]>", start)) >= 0:
+            out.append(text[at:start] if "data-hwpjson" in low[start:end] else text[at : end + 2])
+            at = end + 2
+        return text if text is None else "".join(out) + text[at:]
+
+    return markup.map(clean)
+
+
+def neutral_sections(markup: Column) -> Column:
+    """<![ ... ]> sections turned to comments."""
+    return F.regexp_replace(markup, r"<!(\[[^>]*?\])>", "<!--$1-->")
+
+
+def tokens_by(name: str, text: Column) -> Column:
+    """Distinct tokens by the tokenizer's name: whole words of two characters or more, or ``tokens`` for all other names."""
+    if name.strip().lower() in WORD_TOKENIZERS:
+        return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)\b(\w\w+)\b"), F.lit(1)))
+    return tokens(text)
+
+
+def usage(message: Column) -> Column:
+    """Struct (input_tokens, output_tokens, total_tokens) of a reply's JSON, whatever the keys' names; null if it tells none. A missing total is the sum."""
+    raw = F.get_json_object(message, "$.usage_metadata")
+    other = F.coalesce(F.get_json_object(message, "$.response_metadata.token_usage"), F.get_json_object(message, "$.response_metadata.usage"))
+    own = F.when(raw.startswith("{"), raw).otherwise(other)
+    get = lambda *keys: F.coalesce(*(F.get_json_object(own, f"$.{k}").try_cast("double").cast("long") for k in keys))
+    n_in, n_out, n_all = get("input_tokens", "prompt_tokens"), get("output_tokens", "completion_tokens"), get("total_tokens")
+    zero = F.lit(0).cast("long")
+    a, b = F.coalesce(n_in, zero), F.coalesce(n_out, zero)
+    told = n_in.isNotNull() | n_out.isNotNull() | n_all.isNotNull()
+    return F.when(told, F.struct(a.alias("input_tokens"), b.alias("output_tokens"), F.coalesce(n_all, a + b).alias("total_tokens")))
+
+
+def useful_section(title: Column, text: Column, department: Column) -> Column:
+    """Whether a page's section tells of courses: no boilerplate, not the page's own name, and a signal word or a sentence."""
+    squeezed = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+    has = lambda c, words: F.greatest(*(c.contains(w) for w in words))
+    head, body = squeezed(title), squeezed(text)
+    barred = has(F.lower(body), SECTION_BOILERPLATE) | (F.lower(head) == "popup zone") | (head == department) | has(body, SECTION_IGNORED)
+    return (body != "") & ~barred & (has(body, SECTION_SIGNALS) | has(body, SENTENCE_MARKS))
+
+
+def menu_section(raw: Column) -> Column:
+    """What a section cell of a menu names, from its key words in their order, with the price if there is one; empty if it names nothing."""
+    joined = F.regexp_replace(F.coalesce(raw, F.lit("")), r"\s+", "")
+    price = F.regexp_replace(F.regexp_extract(F.coalesce(raw, F.lit("")), r"([0-9]{1,3},[0-9]{3}\s*원)", 1), " ", "")
+    named = lambda label: F.concat_ws(" ", F.lit(label), F.nullif(price, F.lit("")))
+    return (
+        F.when(joined.contains("석식"), named("석식"))
+        .when(joined.contains("B") & joined.contains("코너"), named("중식 B코너"))
+        .when(joined.contains("A코너"), named("중식 A코너"))
+        .when(joined.contains("특별"), named("중식 특별코너"))
+        .when(joined.contains("일반"), "일반(뚝배기)")
+        .when(joined.contains("중식"), named("중식"))
+        .otherwise("")
+    )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docmill.functions.fixed import GUIDE_SOURCE, SUBMISSIONS
+from docmill.functions.fixed import BODY_LABEL, BY_LABEL, DATE_LABEL, FILES_LABEL, GUIDE_SOURCE, NO_SOURCE, PART_LABEL, SOURCE_LABEL, SUBMISSIONS, SUBMITTED_BOARDS, SUBMITTED_CATEGORIES, TITLE_LABEL, WHEN_LABEL, WHERE_LABEL
 from docmill.functions.text import attachments, filled, unfenced
 from docmill.operators.reports import latest, rank_islands
 
@@ -37,15 +37,15 @@ def submission_notices(rows: DataFrame, as_of: Column) -> DataFrame:
     kind, data = F.col("kind"), F.col("data")
     get = lambda name: F.coalesce(field(data, name), F.lit(""))
     dept = department(kind, data)
-    by = F.when(dept != "", F.concat(F.lit("주관: "), dept))
+    by = F.when(dept != "", F.concat(F.lit(BY_LABEL), dept))
     full = lambda text: F.trim(F.concat_ws("\n\n", F.when(text != "", text), by))
-    when = F.concat(F.lit("일시: "), get("start_date"), F.when((get("end_date") != "") & (get("end_date") != get("start_date")), F.concat(F.lit(" ~ "), get("end_date"))).otherwise(""))
-    event = F.concat_ws("\n\n", field(data, "description"), when, F.when(get("location") != "", F.concat(F.lit("장소: "), get("location"))), by)
+    when = F.concat(F.lit(WHEN_LABEL), get("start_date"), F.when((get("end_date") != "") & (get("end_date") != get("start_date")), F.concat(F.lit(" ~ "), get("end_date"))).otherwise(""))
+    event = F.concat_ws("\n\n", field(data, "description"), when, F.when(get("location") != "", F.concat(F.lit(WHERE_LABEL), get("location"))), by)
     pick = lambda k, e, a: F.when(kind == "custom_knowledge", k).when(kind == "event", e).when(kind == "announcement", a)
     return rows.filter(kind.isin(list(SUBMISSIONS))).select(
         *(c for c in rows.columns if c not in ("kind", "data")),
-        pick(F.lit("학과지식"), F.lit("학과행사"), F.lit("학과공지")).alias("board"), pick(get("question"), get("title"), get("title")).alias("title"),
-        pick(F.lit("FAQ"), F.lit("행사"), F.coalesce(field(data, "category"), F.lit("일반"))).alias("category"),
+        pick(*map(F.lit, SUBMITTED_BOARDS.values())).alias("board"), pick(get("question"), get("title"), get("title")).alias("title"),
+        pick(F.lit(SUBMITTED_CATEGORIES["custom_knowledge"]), F.lit(SUBMITTED_CATEGORIES["event"]), F.coalesce(field(data, "category"), F.lit(SUBMITTED_CATEGORIES["announcement"]))).alias("category"),
         pick(F.date_format(as_of, "yyyy-MM-dd"), get("start_date"), get("date")).alias("date"), pick(full(get("answer")), event, full(get("content"))).alias("content"),
     )
 
@@ -59,8 +59,8 @@ def context_part(rank: Column, source: Column, title: Column, published: Column,
     """A numbered part of the prompt's context, with links to attachments."""
     line = lambda label, c: F.coalesce(F.concat(F.lit(label), filled(c), F.lit("\n")), F.lit(""))
     links = F.transform(F.filter(attachments(files)[0], lambda a: a["name"].isNotNull() & a["url"].isNotNull()), lambda a: F.concat(F.lit("- ["), a["name"], F.lit("]("), a["url"], F.lit(")")))
-    tail = F.when(F.size(links) > 0, F.concat(F.lit("\n첨부파일:\n"), F.array_join(links, "\n"), F.lit("\n"))).otherwise("")
-    return F.concat(F.lit("문서 "), rank.cast("string"), F.lit(" [출처: "), F.coalesce(source, F.lit("알 수 없음")), F.lit("]:\n"), line("제목: ", title), line("게시일: ", published), line("URL: ", url), F.lit("내용:\n"), text, F.lit("\n"), tail)
+    tail = F.when(F.size(links) > 0, F.concat(F.lit(f"\n{FILES_LABEL}\n"), F.array_join(links, "\n"), F.lit("\n"))).otherwise("")
+    return F.concat(F.lit(PART_LABEL), rank.cast("string"), F.lit(SOURCE_LABEL), F.coalesce(source, F.lit(NO_SOURCE)), F.lit("]:\n"), line(TITLE_LABEL, title), line(DATE_LABEL, published), line("URL: ", url), F.lit(f"{BODY_LABEL}\n"), text, F.lit("\n"), tail)
 
 
 def grounding(reply: Column, least: float) -> Column:

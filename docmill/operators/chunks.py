@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmill.functions.dates import apply_deadline, standard_date
-from docmill.functions.fixed import CHUNK_SIZES, MAX_CONTEXT
+from docmill.functions.fixed import BOARD_LABEL, CHUNK_SIZES, DATE_LABEL, EMPTY_BODY_LINK, EMPTY_BODY_TITLE, MAX_CONTEXT
 from docmill.functions.identity import chunk_key, doc_key
 from docmill.functions.text import chunk_title, clean_text, filled, first_filled, truthy
 
 SEPARATOR = "\n\n---\n\n"
+#: The title line above a chunk.
+UNTITLED = r"(?s)^\[.*?\]\n\n"
 
 
 def windows(text: Column, size: int, overlap: int) -> Column:
@@ -35,6 +37,21 @@ def to_chunks(docs: DataFrame, size: int | None, overlap: int = 0, title: str |
     return out.select(chunk_key(F.col("doc_id"), F.col("position")).alias("chunk_id"), "doc_id", "chunk_text", "position", F.size(F.split(F.trim("chunk_text"), r"\s+")).alias("token_len"), *rest)
 
 
+def chunks_in_context(docs: DataFrame, size: int, overlap: int = 0, title: str | None = None, text: str = "text") -> DataFrame:
+    """The chunks of ``to_chunks`` (doc_id, position, chunk_text, context), with the context of ``with_neighbours``.
+
+    All chunks of a document come from one row, so its neighbours are shifted arrays: no shuffle.
+    """
+    cut = F.transform(windows(F.coalesce(F.col(text), F.lit("")), size, overlap), lambda s: F.trim(F.regexp_replace(s, r"^\s+|\s+\z", "")))
+    head = F.coalesce(F.concat(F.lit("["), F.when(filled(F.col(title)).isNotNull(), F.col(title)), F.lit("]\n\n")), F.lit("")) if title else F.lit("")
+    own = docs.select("doc_id", F.transform(cut, lambda s: F.when(s != "", F.concat(head, s))).alias("__whole"))
+    own = own.withColumn("__bare", F.transform("__whole", lambda w: F.nullif(F.trim(F.regexp_replace(F.trim(w), UNTITLED, "")), F.lit(""))))
+    none, n = F.array(F.lit(None).cast("string")), F.size("__bare")
+    shifted = F.arrays_zip(F.col("__whole").alias("own"), F.concat(none, F.slice("__bare", F.lit(1), n - 1)).alias("before"), F.concat(F.slice("__bare", F.lit(2), n), none).alias("after"))
+    own = own.select("doc_id", F.posexplode(shifted).alias("position", "c")).filter("c.own is not null")
+    return own.select("doc_id", "position", F.col("c.own").alias("chunk_text"), F.concat_ws("\n", "c.before", "c.own", "c.after").alias("context"))
+
+
 def keep_first(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first row of each key in a stated order (dropDuplicates promises none)."""
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
@@ -51,10 +68,10 @@ def notice_documents(notices: DataFrame) -> DataFrame:
         F.trim(F.coalesce("title", F.lit(""))).alias("title"), F.trim(F.coalesce("url", F.lit(""))).alias("url"), F.coalesce("board", F.lit("")).alias("topics"),
         standard_date(F.col("date")).alias("published_at"), clean_text(F.col("content")).alias("body"), F.coalesce(filled(F.col("attachments")), F.lit("[]")).alias("attachments"),
     )
-    instead = F.concat_ws("\n", F.when(F.col("title") != "", F.concat(F.lit("공지 제목: "), "title")), F.when(F.col("url") != "", F.concat(F.lit("본문이 비어 있어 상세 내용은 공지 링크를 확인하세요: "), "url")))
+    instead = F.concat_ws("\n", F.when(F.col("title") != "", F.concat(F.lit(EMPTY_BODY_TITLE), "title")), F.when(F.col("url") != "", F.concat(F.lit(EMPTY_BODY_LINK), "url")))
     own = own.withColumn("body", F.when(F.col("body") != "", F.col("body")).otherwise(instead)).filter("body != ''")
     own = own.withColumn("apply_deadline", apply_deadline(F.col("title"), F.col("body"), F.to_date("published_at")))
-    head = F.concat_ws(", ", F.when(F.col("topics") != "", F.concat(F.lit("게시판: "), "topics")), F.when(F.col("published_at").isNotNull(), F.concat(F.lit("게시일: "), "published_at")))
+    head = F.concat_ws(", ", F.when(F.col("topics") != "", F.concat(F.lit(BOARD_LABEL), "topics")), F.when(F.col("published_at").isNotNull(), F.concat(F.lit(DATE_LABEL), "published_at")))
     text = F.when(head != "", F.concat(F.lit("["), head, F.lit("]\n\n"), F.col("body"))).otherwise(F.col("body"))
     key = doc_key(F.col("title"), F.col("topics"), F.coalesce("published_at", F.lit("")), F.col("url"))
     return own.select(key.alias("doc_id"), "title", text.alias("text"), "topics", F.coalesce("published_at", F.lit("")).alias("published_at"), "apply_deadline", "url", "attachments", F.lit("notices").alias("source"))
@@ -100,7 +117,7 @@ def with_neighbours(chunks: DataFrame) -> DataFrame:
 
     def side(offset: int) -> Column:
         text, pos = (F.lag if offset < 0 else F.lead)("chunk_text", 1).over(own), (F.lag if offset < 0 else F.lead)("position", 1).over(own)
-        bare = F.trim(F.regexp_replace(F.trim(text), r"(?s)^\[.*?\]\n\n", ""))
+        bare = F.trim(F.regexp_replace(F.trim(text), UNTITLED, ""))
         return F.nullif(F.when(pos == F.col("position") + offset, bare), F.lit(""))
 
     return chunks.withColumn("context", F.concat_ws("\n", side(-1), F.col("chunk_text"), side(1)))

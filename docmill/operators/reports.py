@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docmill.functions.fixed import GATES
+from docmill.functions.fixed import GATES, PAGE_LIMITS, VERDICTS
 
 
 def latest(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -86,3 +86,59 @@ def streaks(rows: DataFrame, key: str, order: list, counts: Column, resets: Colu
     own = own.withColumn("__island", rank_islands(F.col("__resets") == 1, key, order))
     run = Window.partitionBy(key, "__island").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return own.withColumn("streak", F.sum(F.when(F.col("__resets") == 0, F.col("__counts")).otherwise(0)).over(run)).drop("__counts", "__resets", "__island")
+
+
+def clamped(limit: int, kind: str) -> int:
+    """A page size as asked for, between one and the largest of its kind."""
+    return min(max(limit, 1), PAGE_LIMITS[kind])
+
+
+def page(rows: DataFrame, order: list, limit: int, kind: str) -> DataFrame:
+    """The first rows in order, as many as ``clamped`` admits: a report of a page."""
+    return rows.orderBy(*order).limit(clamped(limit, kind))
+
+
+def last_published(rows: DataFrame, date: str, by: list[str]) -> DataFrame:
+    """The latest date of each group among those that are dates."""
+    return rows.groupBy(*by).agg(F.max(F.try_to_date(F.col(date), "yyyy-MM-dd")).alias("last_published"))
+
+
+def verdict_shares(judged: DataFrame, by: list[str]) -> DataFrame:
+    """Shares of a judge's verdicts and of grounded answers among those with a verdict; rows with none or an unknown one don't count."""
+    own = judged.filter(F.col("verdict").isin(VERDICTS))
+    share = lambda c: F.round(F.avg(c.cast("double")), 6)
+    return own.groupBy(*by).agg(F.count(F.lit(1)).alias("judged"), *(share(F.col("verdict") == v).alias(v) for v in VERDICTS), share(F.col("grounded")).alias("grounded"))
+
+
+def collection_diagnosis(sources: DataFrame, records: DataFrame, by: str = "department_name") -> DataFrame:
+    """Per department: found and missing sources, its records by kind, failed crawls, records with a course code and with a grade, status.
+
+    sources: department_name, status (found, not_found). records: department_name, record_type
+    (table_row, section, .. error), course_code, grade. Both are counted before they are joined.
+    """
+    found = sources.groupBy(by).agg(F.count_if(F.col("status") == "found").alias("found_sources"), F.count_if(F.col("status") != "found").alias("not_found_sources"))
+    kind, filled = F.col("record_type"), lambda c: F.coalesce(F.trim(c), F.lit("")) != ""
+    made = records.groupBy(by).agg(
+        F.count(F.lit(1)).alias("total_records"), F.count_if(kind == "table_row").alias("table_rows"), F.count_if(kind == "section").alias("section_rows"), F.count_if(kind.contains("error")).alias("crawl_errors"),
+        F.count_if(filled("course_code")).alias("rows_with_course_code"), F.count_if(filled("grade")).alias("rows_with_grade"),
+    )
+    both = found.join(made, by, "full_outer").na.fill(0)
+    status = F.when(F.col("found_sources") == 0, "no_source").when(F.col("total_records") == F.col("crawl_errors"), "crawl_failed").when(F.col("crawl_errors") > 0, "partial").otherwise("ok")
+    return both.withColumn("status", status)
+
+
+def console(results: DataFrame, by: str) -> DataFrame:
+    """Per dataset: questions, hit rate, misses, place by hit rate, the best first."""
+    own = results.groupBy(by).agg(F.count(F.lit(1)).alias("count"), F.round(F.avg(F.col("hit").cast("double")), 6).alias("hit_rate"), F.count_if(F.col("hit") == 0).alias("misses"))
+    return own.withColumn("place", F.row_number().over(Window.orderBy(F.desc("hit_rate"), by)))  # a row per dataset
+
+
+def report_lines(metrics: DataFrame, by_dataset: DataFrame, gated: DataFrame) -> DataFrame:
+    """(part, line): the lines of a Markdown report of ``evaluation`` and ``gates``: a row per metric, dataset and gate that isn't passed."""
+    percent = lambda c: F.coalesce(F.format_string("%.2f%%", c * 100), F.lit("n/a"))
+    names = [c for c in metrics.columns if c != "count"]
+    head = metrics.select(F.explode(F.array(*(F.struct(F.lit(f"1 {i}").alias("part"), F.concat(F.lit(f"- {n}: "), percent(F.col(n))).alias("line")) for i, n in enumerate(names)))).alias("l")).select("l.*")
+    cells = F.concat_ws(" | ", F.coalesce("dataset", F.lit("unknown")), F.col("count").cast("string"), *(percent(F.col(n)) for n in names))
+    body = by_dataset.select(F.concat(F.lit("2 "), F.coalesce("dataset", F.lit("unknown"))).alias("part"), F.concat(F.lit("| "), cells, F.lit(" |")).alias("line"))
+    warn = gated.filter(~F.col("passed")).select(F.concat(F.lit("3 "), "metric").alias("part"), F.concat(F.lit("- "), "metric", F.lit(" "), F.format_string("%.4f", "value"), F.lit(" misses "), F.format_string("%.2f", "threshold")).alias("line"))
+    return head.unionByName(body).unionByName(warn)

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docmill.functions.fixed import ALPHA, MIN_SCORE, TOP_K
@@ -288,3 +288,58 @@ def relaxed(hits: DataFrame, request: str, strict: Column, wide: Column) -> Data
     own = hits.withColumns({"__strict": F.coalesce(strict, F.lit(False)), "__wide": F.coalesce(wide, F.lit(False))})
     own = own.withColumn("date_filter_relaxed", ~F.max("__strict").over(Window.partitionBy(request)))
     return own.filter(F.col("__strict") | (F.col("date_filter_relaxed") & F.col("__wide"))).drop("__strict", "__wide")
+
+
+def dataset_k(dataset: Column, k: int = TOP_K) -> Column:
+    """Hits that a dataset may give: twice k, of meals 40 at least."""
+    return F.when(dataset == "meals", max(2 * k, 40)).otherwise(2 * k)
+
+
+def by_dataset(requests: DataFrame, hits: DataFrame, request: str, route: str, key: str, k: int = TOP_K) -> DataFrame:
+    """The best hits (request, dataset, key, hybrid_score) of each dataset on a request's route, ``dataset_k`` of each."""
+    wanted = requests.select(request, F.explode(route).alias("dataset")).distinct()
+    nth = F.row_number().over(Window.partitionBy(request, "dataset").orderBy(F.desc("hybrid_score"), key))
+    return hits.join(wanted, [request, "dataset"]).withColumn("rank", nth).filter(F.col("rank") <= dataset_k(F.col("dataset"), k))
+
+
+def unavailable(route: Column, available: list[str]) -> Column:
+    """Datasets of a route that have no index; a request goes on with the others."""
+    return F.array_distinct(F.array_except(route, F.array(*map(F.lit, available)).cast("array<string>")))
+
+
+def second_route(route: Column, reason: Column) -> Column:
+    """A request's route after its first try: rules join courses where that gave no answer (a reason) and rules weren't asked."""
+    again = reason.isNotNull() & F.array_contains(route, "courses") & ~F.array_contains(route, "rules")
+    return F.when(again, F.array_append(route, F.lit("rules"))).otherwise(route)
+
+
+def with_second_chance(requests: DataFrame, hits: DataFrame, rules: DataFrame, request: str, route: str, reason: str) -> DataFrame:
+    """hits and, for requests that ``second_route`` sends on, those of rules."""
+    again = requests.filter(F.size(second_route(F.col(route), F.col(reason))) > F.size(route)).select(request)
+    return hits.unionByName(rules.join(again, request, "left_semi"))
+
+
+#: Version of what ``write_index`` writes.
+INDEX_VERSION = "1"
+
+
+def write_index(vocab: DataFrame, index: DataFrame, path: str, dataset: str, created_at: str) -> None:
+    """A sparse index under path: vocabulary, postings, and one row of metadata, which is written last."""
+    vocab.write.mode("overwrite").parquet(f"{path}/vocabulary")
+    index.write.mode("overwrite").parquet(f"{path}/postings")
+    n = vocab.sparkSession.read.parquet(f"{path}/postings").agg(F.lit(dataset).alias("dataset"), F.count(F.lit(1)).alias("n_postings"), F.lit(created_at).alias("created_at"), F.lit(INDEX_VERSION).alias("version"))
+    n.coalesce(1).write.mode("overwrite").json(f"{path}/metadata")
+
+
+def read_index(spark: SparkSession, path: str, files: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(vocabulary, postings, metadata) of an index folder that holds files; an older one has no metadata, less than both tables is an error."""
+    if not {"vocabulary", "postings"} <= set(files):
+        raise ValueError(f"{path} holds no index")
+    kinds = "dataset string, n_postings long, created_at string, version string"
+    about = spark.read.schema(kinds).json(f"{path}/metadata") if "metadata" in files else spark.createDataFrame([], kinds)
+    return spark.read.parquet(f"{path}/vocabulary"), spark.read.parquet(f"{path}/postings"), about
+
+
+def index_state(version: Column, runtime: str = INDEX_VERSION) -> Column:
+    """legacy without a version, mismatch with another one, else ok."""
+    return F.when(version.isNull(), "legacy").when(version != runtime, "mismatch").otherwise("ok")

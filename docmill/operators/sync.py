@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docmill.functions.dates import standard_date
-from docmill.functions.fixed import CHECKS, REQUIRED
+from docmill.functions.fixed import CHECKS, REQUIRED, RUN_MODES
 from docmill.functions.identity import content_hash, source_key
 from docmill.functions.text import article_id, attachments, first_filled, truthy
 
@@ -95,3 +95,57 @@ def refresh(table_path: str, rows: DataFrame, mode: str = "overwrite") -> bool:
         return False
     rows.write.mode(mode).parquet(table_path)
     return True
+
+
+def run_actions(changes: DataFrame, mode: str = "full-sync") -> DataFrame:
+    """(source_id, change, normalise, index, refresh): what a run of this mode does with each document of ``diff`` that changed or went out of sight.
+
+    collect-only does nothing further; normalize-only writes their records; index-only and
+    full-sync also replace their chunks, and then the artifacts are made anew.
+    """
+    if mode not in RUN_MODES:
+        raise ValueError(f"mode is one of {', '.join(RUN_MODES)}")
+    level = RUN_MODES.index(mode)
+    target = changes.filter(F.col("change").isin("new", "updated", "hidden", "parse_failed"))
+    return target.select("source_id", "change", F.lit(level >= 1).alias("normalise"), F.lit(level >= 2).alias("index"), F.lit(level >= 2).alias("refresh"))
+
+
+def index_repairs(chunks: DataFrame, index: DataFrame, dataset: str = "dataset") -> DataFrame:
+    """(dataset, n_chunks, n_indexed, action): keep the index of a dataset if it has as many rows as the table, rebuild it if not, reset it if the table has none."""
+    have, want = (t.groupBy(dataset).agg(F.count(F.lit(1)).alias(n)) for t, n in ((index, "n_indexed"), (chunks, "n_chunks")))
+    both = want.join(have, dataset, "full_outer").na.fill(0, ["n_chunks", "n_indexed"])
+    return both.select(dataset, "n_chunks", "n_indexed", F.when(F.col("n_chunks") == 0, "reset").when(F.col("n_chunks") == F.col("n_indexed"), "keep").otherwise("rebuild").alias("action"))
+
+
+def repaired(chunks: DataFrame, index: DataFrame, repairs: DataFrame, dataset: str = "dataset") -> DataFrame:
+    """The index after ``index_repairs``: rows of kept datasets as they are, those of rebuilt ones from the table. repairs: written, a row per dataset."""
+    of = lambda action: repairs.filter(F.col("action") == action).select(dataset)
+    return index.join(of("keep"), dataset, "left_semi").unionByName(chunks.join(of("rebuild"), dataset, "left_semi"), allowMissingColumns=True)
+
+
+def index_frame(datasets: dict[str, tuple[DataFrame, DataFrame]], key: str, meta: list[str]) -> DataFrame:
+    """Chunks of all datasets with the meta columns of their entity, from the tables: the rows that an index is rebuilt from.
+
+    datasets: name -> (chunks with chunk_id, key, chunk_text, position; entities with key). Chunks
+    without an entity go; what an entity lacks is empty.
+    """
+    parts = []
+    for name, (chunks, entities) in datasets.items():
+        own = entities.select(key, *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in entities.columns else F.lit("").alias(c) for c in meta))
+        parts.append(chunks.select("chunk_id", key, "chunk_text", "position").join(own, key).withColumn("dataset", F.lit(name)))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def settled(items: DataFrame, steps: DataFrame, key: str, order: str) -> DataFrame:
+    """(key, status, undo): items approved step by step.
+
+    steps: key, order, step, ok. An item all of whose steps are done is approved; if one fails, the
+    item is pending again and the steps before it are undone, the last first. An item without steps
+    stays pending.
+    """
+    failed = F.min(F.when(~F.col("ok"), F.col(order)))
+    done = F.sort_array(F.collect_list(F.struct(order, "step", "ok")))
+    own = steps.groupBy(key).agg(failed.alias("failed"), done.alias("done"))
+    back = F.reverse(F.transform(F.filter("done", lambda s: s[order] < F.col("failed")), lambda s: s["step"]))
+    own = own.select(key, F.when(F.col("failed").isNull(), "approved").otherwise("pending").alias("status"), F.when(F.col("failed").isNull(), F.array().cast("array<string>")).otherwise(back).alias("undo"))
+    return items.select(key).join(own, key, "left").select(key, F.coalesce("status", F.lit("pending")).alias("status"), F.coalesce("undo", F.array().cast("array<string>")).alias("undo"))

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from docmill.functions.dates import has_any
 from docmill.functions.fixed import BOARDS, DATASETS, GRADUATION_TERMS, GUIDE_TERMS, MIN_SCORE, RECENT_TOPICS, RECENT_WORDS, ROUTES, SCHOOL_TERMS, SCOPE_TERMS, STAFF_WORDS
-from docmill.plans.shared import join_checked
+from docmill.plans.shared import BROADCAST_ROWS, join_checked
 
 NO_MAJOR = ["Default", "Unknown"]
 
@@ -84,19 +89,40 @@ def department_map(catalogue: DataFrame) -> DataFrame:
     return own.groupBy("department").agg(F.max_by("college", "n").alias("college"))
 
 
-def longest_match(rows: DataFrame, key: str, text: str, names: DataFrame, name: str, value: str, sizes: list[int] | None = None) -> DataFrame:
-    """rows with (name, value) of the longest name that stands in text, ties by name; null without one.
+def longest_match(rows: DataFrame, key: str, text: str, names: DataFrame, name: str, value: str) -> DataFrame:
+    """rows with (name, value) of the longest name that stands in text, ties by name, then value; null without one.
 
-    Each text gives its substrings of the lengths that names have, which meet the names in an
-    equality join; so no row is compared with every name.
+    names: written. Up to BROADCAST_ROWS of them become one automaton, which a task runs over each
+    text once, without a shuffle; more are met by ``longest_by_parts``.
     """
-    sizes = sizes or [r[0] for r in names.select(F.length(name)).distinct().collect()]  # a number for each length
+    if names.count() > BROADCAST_ROWS:
+        return longest_by_parts(rows, key, text, names, name, value)
+    found = names.filter(F.col(name) != "").groupBy(name).agg(F.min(value).alias(value)).orderBy(name).collect()  # BROADCAST_ROWS at most
+    kind = StructType([StructField(name, StringType()), StructField(value, names.schema[value].dataType)])
+
+    @F.pandas_udf(kind)
+    def longest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        automaton = ahocorasick.Automaton()
+        for i, r in enumerate(found):
+            automaton.add_word(r[0], i)
+        automaton.make_automaton()
+        for texts in batches:
+            best = [min((i for _, i in automaton.iter(t)), key=lambda i: (-len(found[i][0]), i), default=None) if t and len(automaton) else None for t in texts]
+            yield pd.DataFrame({name: [found[i][0] if i is not None else None for i in best], value: [found[i][1] if i is not None else None for i in best]})
+
+    out = rows.withColumn("__best", longest(F.col(text)))
+    return out.select(*rows.columns, F.col("__best")[name].alias(name), F.col("__best")[value].alias(value))
+
+
+def longest_by_parts(rows: DataFrame, key: str, text: str, names: DataFrame, name: str, value: str) -> DataFrame:
+    """``longest_match`` for many names: each text gives its substrings of the lengths that names have, which meet the names in an equality join."""
+    sizes = [r[0] for r in names.select(F.length(name)).distinct().collect()]  # a number for each length
     none = F.array().cast("array<string>")
 
     def cuts(n: int) -> Column:
         return F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))).otherwise(none)
 
-    parts = [cuts(n) for n in sizes]
+    parts = [cuts(n) for n in sizes if n]
     own = rows.select(key, F.explode(F.array_distinct(F.concat(*parts) if parts else none)).alias(name))
     hit = own.join(names.select(name, value), name).groupBy(key).agg(F.min(F.struct(-F.length(name), F.col(name), F.col(value))).alias("m"))
     return rows.join(hit.select(key, F.col("m")[name].alias(name), F.col("m")[value].alias(value)), key, "left")

@@ -34,18 +34,24 @@ def _path(spark: SparkSession, name: str):
     return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def scratch(spark: SparkSession, label: str, keep: list[str] | None = None) -> str:
+    """A new name in the shared folder; what is written there goes when the driver ends. keep: gets the name, so that ``release`` can remove it earlier."""
+    name = f"{shared_dir(spark)}/docmill/{label}-{uuid.uuid4().hex}"
+    path, fs = _path(spark, name)
+    fs.deleteOnExit(path)
+    if keep is not None:
+        keep.append(name)
+    return name
+
+
 def materialise(df: DataFrame, label: str, keep: list[str] | None = None) -> DataFrame:
     """Write df to the shared folder and return the table read back; it goes when the driver ends.
 
     keep: gets the path, so that ``release`` can remove the table earlier.
     """
     spark = df.sparkSession
-    name = f"{shared_dir(spark)}/docmill/{label}-{uuid.uuid4().hex}"
+    name = scratch(spark, label, keep)
     df.write.parquet(name)
-    path, fs = _path(spark, name)
-    fs.deleteOnExit(path)
-    if keep is not None:
-        keep.append(name)
     return spark.read.schema(df.schema).parquet(name)
 
 

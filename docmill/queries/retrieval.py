@@ -52,8 +52,8 @@ def chunk_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def neighbour_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = to_chunks(spread_table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("title")), 300, 80, "title")
-    return chunks.with_neighbours(made).select("doc_id", "position", F.length("context").alias("n_chars"), F.md5(F.col("context").cast("binary")).alias("context_md5"))
+    made = chunks.chunks_in_context(spread_table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("title")), 300, 80, "title")
+    return made.select("doc_id", "position", F.length("context").alias("n_chars"), F.md5(F.col("context").cast("binary")).alias("context_md5"))
 
 
 def context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docmill.queries import admin, reports, retrieval, texts
+from docmill.queries import admin, operations, reports, retrieval, texts
 
-QUERIES: dict = retrieval.QUERIES | texts.QUERIES | reports.QUERIES | admin.QUERIES
-ORACLES: dict = retrieval.ORACLES | texts.ORACLES | reports.ORACLES | admin.ORACLES
+QUERIES: dict = retrieval.QUERIES | texts.QUERIES | reports.QUERIES | admin.QUERIES | operations.QUERIES
+ORACLES: dict = retrieval.ORACLES | texts.ORACLES | reports.ORACLES | admin.ORACLES | operations.ORACLES

@@ -101,3 +101,13 @@ def non_empty_columns(rows: DataFrame) -> list[str]:
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def read_versioned(spark: SparkSession, path: str, cache: dict) -> DataFrame:
+    """A Parquet table, kept in Spark's cache until one of its files changes."""
+    newest = spark.read.parquet(path).select(F.max("_metadata.file_modification_time"), F.count_distinct("_metadata.file_path")).first()
+    if path not in cache or cache[path][0] != newest:
+        if path in cache:
+            cache[path][1].unpersist()
+        cache[path] = (newest, spark.read.parquet(path).cache())
+    return cache[path][1]

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-from docmill.functions.dates import DATE, day
+from docmill.functions.dates import day, standard_date
+from docmill.functions.fixed import DATE, EVENT_DEPARTMENT, EVENT_LINE, EVENT_YEAR
 from docmill.operators.chunks import keep_first
 from docmill.operators.reports import rank_islands, streaks
 
@@ -122,6 +123,37 @@ def schedule_rows(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     return own.select(key, "year", content.alias("content"), F.trim(F.regexp_extract("raw", department, 1)).alias("department"), date(F.get(found, F.lit(0))).alias("start"), date(F.element_at(found, -1)).alias("end")).filter("content != ''")
 
 
+def schedule_lines(lines: DataFrame, key: str, order: str, text: str) -> DataFrame:
+    """(key, year, content, department, start, end): events of a calendar page without a table, from its text lines.
+
+    A line that begins with a date begins an event, other lines go on with its content, but for
+    years and months alone; a department stands in a line of its own. What comes before the line
+    that names the school year is left out.
+    """
+    own = lines.withColumn("__line", F.trim(text)).filter("__line != ''")
+    so_far = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    year, dept = F.regexp_extract("__line", EVENT_YEAR, 1), F.regexp_extract("__line", EVENT_DEPARTMENT, 1)
+    own = own.withColumns({"__year": F.nullif(year, F.lit("")), "__dept": F.nullif(F.trim(dept), F.lit("")), "__starts": F.col("__line").rlike(EVENT_LINE)})
+    own = own.withColumn("__of", F.last("__year", True).over(so_far)).filter("__of is not null and __year is null")
+    own = own.withColumn("__starts", F.col("__starts") & F.col("__dept").isNull())
+    own = own.withColumn("__n", rank_islands(F.col("__starts"), key, [order])).filter("__n > 0")
+    part = F.when(F.col("__starts"), F.regexp_extract("__line", EVENT_LINE, 3)).when(F.col("__dept").isNull() & ~F.col("__line").rlike(r"^([0-9]{4}|[0-9]{2})$"), F.col("__line"))
+    part = F.nullif(F.trim(F.regexp_replace(F.regexp_replace(part, "바로가기", ""), r"\s+", " ")), F.lit(""))
+    date = lambda i: F.max(F.when(F.col("__starts"), F.regexp_extract("__line", EVENT_LINE, i)))
+    text_of = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(part.isNotNull(), F.struct(order, part.alias("part"))))), lambda x: x["part"]), " ")
+    out = own.groupBy(key, "__n").agg(F.max(F.when(F.col("__starts"), F.col("__of"))).alias("year"), text_of.alias("content"), F.coalesce(F.max_by("__dept", F.when(F.col("__dept").isNotNull(), F.col(order))), F.lit("")).alias("department"), date(1).alias("start"), date(2).alias("end"))
+    end = F.coalesce(F.nullif("end", F.lit("")), F.col("start"))
+    return out.select(key, "year", "content", "department", standard_date(F.col("start")).alias("start"), standard_date(end).alias("end"))
+
+
+def contents_page(text: Column) -> Column:
+    """Whether a page is a table of contents: it says so at its top, or six of its first twenty lines end in a number and six are short."""
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    first = F.slice(lines, 1, 20)
+    numbered, short = F.size(F.filter(first, lambda x: x.rlike(r"[0-9]\s*$"))), F.size(F.filter(first, lambda x: F.length(x) <= 40))
+    return F.exists(F.slice(lines, 1, 5), lambda x: x == "목차") | ((numbered >= 6) & (short >= 6))
+
+
 def meal_blocks(menus: DataFrame, key: str, text: str, anchors: list[str]) -> DataFrame:
     """(key, restaurant, menu_text, is_closed): the text of a day cut at the restaurants' names.
 

@@ -45,32 +45,43 @@ def sync_stream(incoming: DataFrame, state_path: str, changes_path: str, checkpo
 
 
 class AnswerCache(StatefulProcessor):
-    """Per namespace: answers by question, each kept for the state's time to live; a question that is there is a hit."""
+    """Per namespace and question: the first answer, kept for the state's time to live; a question that is there is a hit."""
 
     def __init__(self, ttl_ms: int = 1_800_000):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        key, value = StructType([StructField("question", StringType())]), StructType([StructField("answer", StringType())])
-        self.answers = handle.getMapState("answers", key, value, self.ttl_ms)
+        self.answer = handle.getValueState("answer", StructType([StructField("answer", StringType())]), self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        out = []
+        known = self.answer.get()[0] if self.answer.exists() else None
         for batch in rows:
-            for question, answer in zip(batch["question"], batch["answer"], strict=True):
-                hit = self.answers.containsKey((question,))
-                out.append((key[0], question, self.answers.getValue((question,))[0] if hit else answer, bool(hit)))
-                if not hit and answer is not None:
-                    self.answers.updateValue((question,), (answer,))
-        yield pd.DataFrame(out, columns=["namespace", "question", "answer", "hit"])
+            out = []
+            for answer in batch["answer"]:
+                out.append((*key, known if known is not None else answer, known is not None))
+                if known is None and answer is not None:
+                    known = answer
+                    self.answer.update((answer,))
+            yield pd.DataFrame(out, columns=["namespace", "question", "answer", "hit"])
 
     def close(self) -> None:
         pass
 
 
 def cached_answers(asked: DataFrame, ttl_ms: int = 1_800_000) -> DataFrame:
-    """(namespace, question, answer, hit) of a stream of (namespace, question, answer): exact repeats within the time to live."""
-    return asked.groupBy("namespace").transformWithStateInPandas(AnswerCache(ttl_ms), "namespace string, question string, answer string, hit boolean", "Append", "ProcessingTime")
+    """(namespace, question, answer, hit) of a stream of (namespace, question, answer): exact repeats within the time to live.
+
+    The state is keyed by both, so a busy namespace spreads over tasks.
+    """
+    return asked.groupBy("namespace", "question").transformWithStateInPandas(AnswerCache(ttl_ms), "namespace string, question string, answer string, hit boolean", "Append", "ProcessingTime")
+
+
+def cache_statistics(answers: DataFrame) -> DataFrame:
+    """namespaces, size (different questions answered), hits and misses of ``cached_answers``' rows, over all namespaces."""
+    per = answers.groupBy("namespace", "question").agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"), F.max(F.col("answer").isNotNull()).alias("kept"))
+    return per.groupBy("namespace").agg(*(F.sum(c).alias(c) for c in ("hits", "misses")), F.count_if("kept").alias("size")).agg(
+        F.count(F.lit(1)).alias("namespaces"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("size", "hits", "misses"))
+    )
 
 
 def recent_answers(asked: DataFrame, cached: DataFrame, as_of, ttl_seconds: int = 1800, per_namespace: int = 500, least: float = 0.97) -> DataFrame:
