@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.functions import catalogue
@@ -18,20 +18,28 @@ SUBMITTED = [
 ]
 
 
+def _pick(values: list, by: str) -> Column:
+    return F.element_at(F.array(*map(F.lit, values)), (F.col(by) % len(values) + 1).cast("int"))
+
+
 def department_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(n,) for n in NAMES], "name string")
-    return rows.select("name", catalogue.clean_name(F.col("name")).alias("clean"), catalogue.department_like(F.col("name")).alias("is_department"), catalogue.college_like(F.col("name")).alias("is_college"))
+    """Customers with one of the names."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", _pick(NAMES, "c_custkey").alias("name"))
+    return rows.select("c_custkey", catalogue.clean_name(F.col("name")).alias("clean"), catalogue.department_like(F.col("name")).alias("is_department"), catalogue.college_like(F.col("name")).alias("is_college"))
 
 
 def curriculum_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, base = spark.createDataFrame(LINKS, "anchor string, url string"), F.lit("https://a.uni.edu/")
+    """Parts as links with their number in the path of those that have one."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", _pick([a for a, _ in LINKS], "p_partkey").alias("anchor"), F.replace(_pick([u for _, u in LINKS], "p_partkey"), F.lit("x"), F.concat(F.lit("x"), "p_partkey")).alias("url"))
+    base = F.lit("https://a.uni.edu/")
     score = catalogue.candidate_score(base, F.col("anchor"), F.col("url"))
-    return rows.select("anchor", "url", catalogue.source_type(F.col("anchor"), F.col("url")).alias("kind"), catalogue.internal_url(base, F.col("url"), ".uni.edu").alias("internal"), catalogue.same_page(base, F.col("url")).alias("same_page"), score["score"].alias("score"))
+    return rows.select("p_partkey", catalogue.source_type(F.col("anchor"), F.col("url")).alias("kind"), catalogue.internal_url(base, F.col("url"), ".uni.edu").alias("internal"), catalogue.same_page(base, F.col("url")).alias("same_page"), score["score"].alias("score"))
 
 
 def submission_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(SUBMITTED, "id int, kind string, data string")
-    return rows.select("id", admin.submission_problem(F.col("kind"), F.col("data")).alias("problem"), admin.department(F.col("kind"), F.col("data")).alias("department"), admin.in_scope(F.col("data"), F.lit("통계학과")).alias("in_scope"))
+    """Customers as submissions of one of the kinds."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", _pick([x[1] for x in SUBMITTED], "c_custkey").alias("kind"), _pick([x[2] for x in SUBMITTED], "c_custkey").alias("data"))
+    return rows.select("c_custkey", admin.submission_problem(F.col("kind"), F.col("data")).alias("problem"), admin.department(F.col("kind"), F.col("data")).alias("department"), admin.in_scope(F.col("data"), F.lit("통계학과")).alias("in_scope"))
 
 
 def context_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,9 +69,8 @@ def _any(words: list[str], q: str) -> str:
     return "(" + " OR ".join(f"contains({q}, '{w}')" for w in words) + ")"
 
 
-def _values(rows: list, names: str) -> str:
-    cell = lambda v: str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
-    return "(VALUES " + ", ".join("(" + ", ".join(map(cell, r if isinstance(r, tuple) else (r,))) + ")" for r in rows) + f") AS t({names})"
+def _list(values: list, by: str) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + f"][{by} % {len(values)} + 1]"
 
 
 _CLEAN = "trim(name)"
@@ -71,15 +78,17 @@ for _word in NAME_BOILERPLATE:
     _CLEAN = f"replace({_CLEAN}, '{_word}', '')"
 _MISSING = "concat_ws(', ', CASE WHEN coalesce(trim(data ->> '{0}'), '') = '' THEN '{0}' END, CASE WHEN coalesce(trim(data ->> '{1}'), '') = '' THEN '{1}' END)"
 ORACLES = {
-    "department_names": f"""WITH n AS (SELECT name, trim({_CLEAN}) AS clean FROM {_values(NAMES, 'name')})
-SELECT name, clean, NOT (length(trim(name)) < 2 OR lower(trim(name)) IN ({', '.join(repr(x) for x in NOT_DEPARTMENT_NAMES)}) OR name LIKE '#%' OR {_any(NOT_DEPARTMENTS, 'name')}) AND ({_any(['학과', '전공', '학부'], 'name')} OR {_any(['department', 'major'], 'lower(name)')} OR (length(clean) >= 3 AND clean LIKE '%과')) AS is_department,
+    "department_names": f"""WITH m AS (SELECT c_custkey, {_list(NAMES, 'c_custkey')} AS name FROM customer), n AS (SELECT *, trim({_CLEAN}) AS clean FROM m)
+SELECT c_custkey, clean, NOT (length(trim(name)) < 2 OR lower(trim(name)) IN ({', '.join(repr(x) for x in NOT_DEPARTMENT_NAMES)}) OR name LIKE '#%' OR {_any(NOT_DEPARTMENTS, 'name')}) AND ({_any(['학과', '전공', '학부'], 'name')} OR {_any(['department', 'major'], 'lower(name)')} OR (length(clean) >= 3 AND clean LIKE '%과')) AS is_department,
 length(trim(name)) >= 2 AND ({_any(['대학', '학부'], 'name')} OR {_any(['college', 'school', 'faculty'], 'lower(name)')}) AS is_college FROM n""",
-    "curriculum_links": f"""WITH l AS (SELECT anchor, url, lower(regexp_extract(url, '://([^/?]*)', 1)) AS h, rtrim(regexp_extract(url, '://[^/?]*([^?]*)', 1), '/') AS p, regexp_extract(url, '://([^/?]*)', 1) AS raw, contains(url, '?') AS q FROM {_values(LINKS, 'anchor, url')}),
+    "curriculum_links": f"""WITH k AS (SELECT p_partkey, {_list([a for a, _ in LINKS], 'p_partkey')} AS anchor, replace({_list([u for _, u in LINKS], 'p_partkey')}, 'x', 'x' || p_partkey) AS url FROM part),
+l AS (SELECT p_partkey, anchor, url, lower(regexp_extract(url, '://([^/?]*)', 1)) AS h, rtrim(regexp_extract(url, '://[^/?]*([^?]*)', 1), '/') AS p, regexp_extract(url, '://([^/?]*)', 1) AS raw, contains(url, '?') AS q FROM k),
 s AS (SELECT *, raw = 'a.uni.edu' AND p = '' AND NOT q AS same_page FROM l)
-SELECT anchor, url, CASE WHEN contains(lower(anchor || ' ' || url), 'pdf') THEN 'pdf_curriculum' WHEN contains(url, '/article/') OR contains(url, '/reference/detail/') THEN 'reference_article' WHEN contains(anchor, '해설') OR contains(lower(url), 'description') THEN 'course_description' WHEN {_any(['총괄표', '이수체계도', '개설'], 'anchor')} THEN 'curriculum_table' ELSE 'curriculum_page' END AS kind,
+SELECT p_partkey, CASE WHEN contains(lower(anchor || ' ' || url), 'pdf') THEN 'pdf_curriculum' WHEN contains(url, '/article/') OR contains(url, '/reference/detail/') THEN 'reference_article' WHEN contains(anchor, '해설') OR contains(lower(url), 'description') THEN 'course_description' WHEN {_any(['총괄표', '이수체계도', '개설'], 'anchor')} THEN 'curriculum_table' ELSE 'curriculum_page' END AS kind,
 h = 'a.uni.edu' OR h LIKE '%.uni.edu' AS internal, same_page, (CASE WHEN same_page THEN 0 ELSE 3 END + CASE WHEN {_any(['총괄표', '이수체계도'], 'anchor')} THEN 3 ELSE 0 END + CASE WHEN contains(anchor, '해설') THEN 2 ELSE 0 END + CASE WHEN {_any(['학부과정', '전공과목'], 'anchor')} THEN 1 ELSE 0 END)::INT AS score FROM s""",
-    "submission_checks": f"""WITH s AS (SELECT id, kind, data, CASE kind WHEN 'custom_knowledge' THEN {_MISSING.format('question', 'answer')} WHEN 'event' THEN {_MISSING.format('title', 'start_date')} WHEN 'announcement' THEN {_MISSING.format('title', 'content')} END AS missing FROM {_values(SUBMITTED, 'id, kind, data')})
-SELECT id::INT AS id, CASE WHEN missing IS NULL THEN 'unknown type' WHEN missing <> '' THEN 'missing: ' || missing END AS problem, coalesce(CASE WHEN kind = 'custom_knowledge' THEN coalesce(data ->> 'category', data ->> 'department') ELSE coalesce(data ->> 'department', data ->> 'category') END, '') AS department, coalesce(coalesce(data ->> 'department', data ->> 'category') = '통계학과', false) AS in_scope FROM s""",
+    "submission_checks": f"""WITH k AS (SELECT c_custkey, {_list([x[1] for x in SUBMITTED], 'c_custkey')} AS kind, {_list([x[2] for x in SUBMITTED], 'c_custkey')} AS data FROM customer),
+s AS (SELECT c_custkey, kind, data, CASE kind WHEN 'custom_knowledge' THEN {_MISSING.format('question', 'answer')} WHEN 'event' THEN {_MISSING.format('title', 'start_date')} WHEN 'announcement' THEN {_MISSING.format('title', 'content')} END AS missing FROM k)
+SELECT c_custkey, CASE WHEN missing IS NULL THEN 'unknown type' WHEN missing <> '' THEN 'missing: ' || missing END AS problem, coalesce(CASE WHEN kind = 'custom_knowledge' THEN coalesce(data ->> 'category', data ->> 'department') ELSE coalesce(data ->> 'department', data ->> 'category') END, '') AS department, coalesce(coalesce(data ->> 'department', data ->> 'category') = '통계학과', false) AS in_scope FROM s""",
     "context_parts": """SELECT page_id, md5('문서 ' || page_id || ' [출처: pages]:' || chr(10) || CASE WHEN page_id % 3 > 0 THEN '제목: t' || chr(10) ELSE '' END || CASE WHEN page_id % 5 > 0 THEN '' ELSE '게시일: 2024-01-01' || chr(10) END || 'URL: ' || url || chr(10) || '내용:' || chr(10) || substr(html, 1, 200) || chr(10)
 || CASE WHEN page_id % 2 = 0 THEN chr(10) || '첨부파일:' || chr(10) || '- [f](' || url || ')' || chr(10) ELSE '' END) AS part_md5 FROM pages""",
     "session_replay": """SELECT user_id, md5(coalesce(string_agg(substr(event_type, 1, 2) || event_id % 10, '' ORDER BY event_id) FILTER (event_type <> 'purchase'), '')) AS answer_md5, arg_min(substr(event_type, 1, 2) || event_id % 10, event_id) FILTER (event_type = 'purchase') AS error FROM events GROUP BY user_id""",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.functions import dates, text
@@ -18,7 +18,6 @@ QUESTIONS = [
     "내일 시험 기간", "최근 입학공지", "지난 주 행사", "다음주 개강", "지난달 소식", "이번 달 계획", "다음달 일정", "2025년 11월 20일 발표", "2025년 2월 공지", "6월 안에 신청해야 하는 것", "2025년 13월 40일", "그냥 질문",
     "드랍 학고 과목 교양과목 도서관", "23학번 졸업 이수 학점", "재수강 전과 규정", "D-Flex 메뉴", "장학공지 최신", "교수 연락처 번호",
 ]
-DAYS = ["2024-02-29", "2025-01-31", "2025-12-31", "2026-06-10"]
 DATES = ["2026-06-05", "2026.06.05", "2026.06.05.", "2026.6.5", "2026. 06. 05", "2026년 6월 5일", "등록일 2026.06.09.", "2026.13.45", "없음", "", "2025-02-29", "2024/2/29", "x 1999-12-31 2000-01-01"]
 NOTICES = [
     ("공지", "서류 제출 기한: 2026년 7월 5일(금)까지 제출", "2026-06-19"), ("장학 신청 마감 6월 21일 안내", "본문", "2026-06-10"), ("안내", "수강신청 기간: 2026. 05. 14.(화) 10:00 ~ 05. 16.(목)", "2026-05-01"),
@@ -26,14 +25,14 @@ NOTICES = [
 ]
 
 
-def _literals(values: list, *names: str) -> str:
-    quote = lambda v: "NULL" if v is None else "'" + str(v).replace("'", "''") + "'"
-    rows = ", ".join("(" + ", ".join(quote(x) for x in (v if isinstance(v, tuple) else (v,))) + ")" for v in values)
-    return f"(VALUES {rows}) AS t({', '.join(names)})"
+def _pick(values: list, by: Column) -> Column:
+    return F.element_at(F.array(*(F.lit(v).cast("string") for v in values)), (by % len(values) + 1).cast("int"))
 
 
-def _questions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(q,) for q in QUESTIONS], "q string")
+def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message behind one of the questions, asked on some day."""
+    conv, turn = F.col("conv_id"), F.col("turn")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat_ws(" ", _pick(QUESTIONS, conv + turn), "text").alias("q"), F.date_add(F.lit("2024-02-20").cast("date"), ((conv * 17 + turn) % 900).cast("int")).alias("as_of"))
 
 
 def doc_identity_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,26 +68,30 @@ def tokens_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def standard_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(d,) for d in DATES], "raw string").select("raw", dates.standard_date(F.col("raw")).alias("day"))
+    """Orders' dates behind texts with a date, a broken one or none."""
+    raw = F.concat_ws(" ", _pick(DATES, F.col("o_orderkey")), F.date_format("o_orderdate", "yyyy/M/d"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", dates.standard_date(raw).alias("day"))
 
 
 def deadlines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(NOTICES, "title string, body string, published string")
-    return rows.select("*", dates.apply_deadline(F.col("title"), F.col("body"), F.to_date("published")).alias("deadline"))
+    """Orders as notices of their day."""
+    key = F.col("o_orderkey")
+    title, body = (_pick([n[i] for n in NOTICES], key) for i in (0, 1))
+    published = F.when(key % 11 > 0, F.to_date("o_orderdate"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", dates.apply_deadline(title, body, published).alias("deadline"))
 
 
 def date_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = _questions(spark).select("q", F.explode(F.array(*(F.to_date(F.lit(d)) for d in DAYS))).alias("as_of"))
-    out = own.select("q", "as_of", dates.date_filter(F.col("q"), F.col("as_of")).alias("f"))
-    return out.select("q", F.col("as_of").cast("string").alias("as_of"), F.col("f.start").cast("string").alias("start"), F.col("f.end").cast("string").alias("stop"), F.col("f.label").alias("label"), F.coalesce("f.is_relative", F.lit(False)).alias("is_relative"), F.col("f.relaxed_start").cast("string").alias("relaxed_start"), F.col("f.kind").alias("kind"))
+    out = _questions(spark, sf_dir).select("conv_id", "turn", "as_of", dates.date_filter(F.col("q"), F.col("as_of")).alias("f"))
+    return out.select("conv_id", "turn", F.col("as_of").cast("string").alias("as_of"), F.col("f.start").cast("string").alias("start"), F.col("f.end").cast("string").alias("stop"), F.col("f.label").alias("label"), F.coalesce("f.is_relative", F.lit(False)).alias("is_relative"), F.col("f.relaxed_start").cast("string").alias("relaxed_start"), F.col("f.kind").alias("kind"))
 
 
 def synonym_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _questions(spark).select("q", text.expand_synonyms(F.col("q")).alias("expanded"))
+    return _questions(spark, sf_dir).select("conv_id", "turn", text.expand_synonyms(F.col("q")).alias("expanded"))
 
 
 def keyword_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _questions(spark).select("q", F.array_join(ask.keyword_route(F.col("q")), ",").alias("route"))
+    return _questions(spark, sf_dir).select("conv_id", "turn", F.array_join(ask.keyword_route(F.col("q")), ",").alias("route"))
 
 
 def conversation_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,9 +100,9 @@ def conversation_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def policies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = _questions(spark).withColumn("route", ask.keyword_route(F.col("q")))
-    own = own.select("q", "route", ask.policy(F.col("q"), F.col("route")).alias("p"), ask.board(F.col("q"), F.col("route")).alias("board"), ask.entry_year(F.col("q")).alias("entry_year"))
-    return own.select("q", F.col("p.name").alias("policy"), F.col("p.min_score").alias("min_score"), F.col("p.allow_recency_override").alias("recency"), "board", F.coalesce("entry_year", F.lit(0)).alias("entry_year"))
+    own = _questions(spark, sf_dir).withColumn("route", ask.keyword_route(F.col("q")))
+    own = own.select("conv_id", "turn", "route", ask.policy(F.col("q"), F.col("route")).alias("p"), ask.board(F.col("q"), F.col("route")).alias("board"), ask.entry_year(F.col("q")).alias("entry_year"))
+    return own.select("conv_id", "turn", F.col("p.name").alias("policy"), F.col("p.min_score").alias("min_score"), F.col("p.allow_recency_override").alias("recency"), "board", F.coalesce("entry_year", F.lit(0)).alias("entry_year"))
 
 
 def query_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,6 +141,13 @@ def chunk_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (doc_identity_dedupe, doc_keys, html_strip_regex, html_clean, whitespace_norm, unicode_nfkc, tokens_of_documents, standard_dates, deadlines, date_phrases, synonym_expand, keyword_route, conversation_routes, policies, query_lists, longest_match, where_filter, json_attachments, chunk_titles)}
 
 
+def _list(values: list) -> str:
+    return "[" + ", ".join("NULL" if v is None else "'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+_ASKED = f"(SELECT conv_id, turn, concat_ws(' ', {_list(QUESTIONS)}[(conv_id + turn) % {len(QUESTIONS)} + 1], text) AS q, DATE '2024-02-20' + ((conv_id * 17 + turn) % 900)::INT AS d FROM conversations)"
+
+
 def _route_sql(q: str) -> str:
     cases = ", ".join(f"CASE WHEN regexp_matches(lower({q}), '{p}') THEN '{n}' END" for n, p in ROUTES)
     return f"coalesce(nullif(array_to_string(list_filter([{cases}], lambda x: x IS NOT NULL), ','), ''), 'notices')"
@@ -192,31 +202,32 @@ ORACLES = {
     "whitespace_norm": f"SELECT doc_id, md5({_squeezed()}) AS text_md5 FROM documents",
     "tokens_of_documents": """WITH t AS (SELECT DISTINCT doc_id, lower(unnest(regexp_extract_all(text, '[가-힣A-Za-z0-9]+'))) AS t FROM documents), g AS (SELECT doc_id, count(*) AS n, md5(string_agg(t, ' ' ORDER BY t)) AS m FROM t WHERE length(t) >= 2 GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n, 0)::INT AS n_tokens, coalesce(m, md5('')) AS tokens_md5 FROM documents d LEFT JOIN g USING (doc_id)""",
-    "standard_dates": f"SELECT raw, strftime({_day(_g('raw', _D, 1), _g('raw', _D, 2), _g('raw', _D, 3))}, '%Y-%m-%d') AS day FROM {_literals(DATES, 'raw')}",
-    "deadlines": f"""WITH n AS (SELECT *, published::DATE AS p, regexp_extract(body, '({BODY_DEADLINE})(.*)', 0, 's') AS hit, regexp_extract(body, '(?:{BODY_DEADLINE})((?s).{{0,180}})', 1) AS w FROM {_literals(NOTICES, 'title', 'body', 'published')}),
+    "standard_dates": f"SELECT o_orderkey, strftime({_day(_g('raw', _D, 1), _g('raw', _D, 2), _g('raw', _D, 3))}, '%Y-%m-%d') AS day FROM (SELECT o_orderkey, concat_ws(' ', {_list(DATES)}[o_orderkey % {len(DATES)} + 1], strftime(o_orderdate, '%Y/%-m/%-d')) AS raw FROM orders)",
+    "deadlines": f"""WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 > 0 THEN o_orderdate::DATE END AS p, {_list([n[0] for n in NOTICES])}[o_orderkey % {len(NOTICES)} + 1] AS title, {_list([n[1] for n in NOTICES])}[o_orderkey % {len(NOTICES)} + 1] AS body FROM orders),
+n AS (SELECT *, regexp_extract(body, '({BODY_DEADLINE})(.*)', 0, 's') AS hit, regexp_extract(body, '(?:{BODY_DEADLINE})((?s).{{0,180}})', 1) AS w FROM o),
 c AS (SELECT *, CASE WHEN p IS NOT NULL THEN {_day(f"coalesce({_g('title', _TITLE, 1)}, year(p)::VARCHAR)", _g('title', _TITLE, 2), _g('title', _TITLE, 3))} END AS t,
 {_day(_g('w', _END + _D, 1), _g('w', _END + _D, 2), _g('w', _END + _D, 3))} AS e1, {_g('w', _END + _D, 1)} AS e1s, {_day('year(p)::VARCHAR', _g('w', _END + _MD_END, 1), _g('w', _END + _MD_END, 2))} AS e2, {_g('w', _END + _MD_END, 1)} AS e2s,
 {_day(_g('w', _D, 1), _g('w', _D, 2), _g('w', _D, 3))} AS s1, {_g('w', _D, 1)} AS s1s, {_day('year(p)::VARCHAR', _g('w', _MD, 1), _g('w', _MD, 2))} AS s2, {_g('w', _MD, 1)} AS s2s FROM n)
-SELECT title, body, published, strftime(coalesce({_later('t')}, CASE WHEN e1s IS NOT NULL THEN e1 WHEN e2s IS NOT NULL AND p IS NOT NULL THEN {_later('e2')} WHEN s1s IS NOT NULL THEN s1 WHEN s2s IS NOT NULL AND p IS NOT NULL THEN {_later('s2')} END), '%Y-%m-%d') AS deadline FROM c""",
-    "date_phrases": f"""WITH x AS (SELECT q, d::DATE AS a, {_any(DEADLINE_WORDS)} AS dl, date_trunc('week', d::DATE)::DATE AS w, date_trunc('month', d::DATE)::DATE AS m, nullif(regexp_extract(q, '([0-9]{{4}})년\\s*([0-9]{{1,2}})월\\s*([0-9]{{1,2}})일', 1), '') AS fy,
+SELECT o_orderkey, strftime(coalesce({_later('t')}, CASE WHEN e1s IS NOT NULL THEN e1 WHEN e2s IS NOT NULL AND p IS NOT NULL THEN {_later('e2')} WHEN s1s IS NOT NULL THEN s1 WHEN s2s IS NOT NULL AND p IS NOT NULL THEN {_later('s2')} END), '%Y-%m-%d') AS deadline FROM c""",
+    "date_phrases": f"""WITH x AS (SELECT conv_id, turn, q, d::DATE AS a, {_any(DEADLINE_WORDS)} AS dl, date_trunc('week', d::DATE)::DATE AS w, date_trunc('month', d::DATE)::DATE AS m, nullif(regexp_extract(q, '([0-9]{{4}})년\\s*([0-9]{{1,2}})월\\s*([0-9]{{1,2}})일', 1), '') AS fy,
   {_day(_g('q', '([0-9]{4})년' + chr(92) + 's*([0-9]{1,2})월' + chr(92) + 's*([0-9]{1,2})일', 1), _g('q', '([0-9]{4})년' + chr(92) + 's*([0-9]{1,2})월' + chr(92) + 's*([0-9]{1,2})일', 2), _g('q', '([0-9]{4})년' + chr(92) + 's*([0-9]{1,2})월' + chr(92) + 's*([0-9]{1,2})일', 3))} AS f1,
   {_day(_g('q', '([0-9]{4})년' + chr(92) + 's*([0-9]{1,2})월', 1), _g('q', '([0-9]{4})년' + chr(92) + 's*([0-9]{1,2})월', 2), "'1'")} AS f2,
-  {_day("year(d::DATE)::VARCHAR", "CASE WHEN NOT regexp_matches(q, '[0-9]월" + chr(92) + "s*[0-9]{1,2}일') THEN " + _g('q', '(?:^|[^0-9])([0-9]{1,2})월', 1) + " END", "'1'")} AS f3 FROM {_literals(QUESTIONS, 'q')}, {_literals(DAYS, 'd').replace('AS t(', 'AS u(')}),
+  {_day("year(d::DATE)::VARCHAR", "CASE WHEN NOT regexp_matches(q, '[0-9]월" + chr(92) + "s*[0-9]{1,2}일') THEN " + _g('q', '(?:^|[^0-9])([0-9]{1,2})월', 1) + " END", "'1'")} AS f3 FROM {_ASKED}),
 y AS (SELECT *, CASE WHEN dl AND contains(q, '마감') AND contains(q, '임박') THEN 'deadline_imminent' WHEN contains(q, '오늘') THEN 'today' WHEN contains(q, '어제') THEN 'yesterday' WHEN contains(q, '내일') THEN 'tomorrow' WHEN {_any(RECENT_PHRASES)} THEN 'recent'
   WHEN {_any(['지난주', '지난 주'])} THEN 'last_week' WHEN {_any(['이번주', '이번 주'])} THEN 'this_week' WHEN {_any(['다음주', '다음 주'])} THEN 'next_week' WHEN {_any(['지난달', '지난 달'])} THEN 'last_month' WHEN {_any(['이번달', '이번 달'])} THEN 'this_month' WHEN {_any(['다음달', '다음 달'])} THEN 'next_month'
   WHEN f1 IS NOT NULL THEN 'specific_day' WHEN f2 IS NOT NULL OR f3 IS NOT NULL THEN 'specific_month' END AS label FROM x)
-SELECT q, a::VARCHAR AS as_of, (CASE label WHEN 'deadline_imminent' THEN a WHEN 'today' THEN a WHEN 'yesterday' THEN a - 1 WHEN 'tomorrow' THEN a + 1 WHEN 'recent' THEN a - 6 WHEN 'last_week' THEN w - 7 WHEN 'this_week' THEN w WHEN 'next_week' THEN w + 7
+SELECT conv_id, turn, a::VARCHAR AS as_of, (CASE label WHEN 'deadline_imminent' THEN a WHEN 'today' THEN a WHEN 'yesterday' THEN a - 1 WHEN 'tomorrow' THEN a + 1 WHEN 'recent' THEN a - 6 WHEN 'last_week' THEN w - 7 WHEN 'this_week' THEN w WHEN 'next_week' THEN w + 7
   WHEN 'last_month' THEN (m - INTERVAL 1 MONTH)::DATE WHEN 'this_month' THEN m WHEN 'next_month' THEN (m + INTERVAL 1 MONTH)::DATE WHEN 'specific_day' THEN f1 WHEN 'specific_month' THEN coalesce(f2, f3) END)::VARCHAR AS start,
 (CASE label WHEN 'deadline_imminent' THEN a + 7 WHEN 'today' THEN a WHEN 'yesterday' THEN a - 1 WHEN 'tomorrow' THEN a + 1 WHEN 'recent' THEN a WHEN 'last_week' THEN w - 1 WHEN 'this_week' THEN w + 6 WHEN 'next_week' THEN w + 13
   WHEN 'last_month' THEN m - 1 WHEN 'this_month' THEN last_day(a) WHEN 'next_month' THEN last_day(m + INTERVAL 1 MONTH) WHEN 'specific_day' THEN f1 WHEN 'specific_month' THEN last_day(coalesce(f2, f3)) END)::VARCHAR AS stop,
 label, coalesce(label NOT LIKE 'specific%', false) AS is_relative, (CASE label WHEN 'deadline_imminent' THEN a WHEN 'today' THEN a - 2 WHEN 'recent' THEN a - 29 END)::VARCHAR AS relaxed_start, CASE WHEN label IS NOT NULL THEN CASE WHEN dl THEN 'deadline' ELSE 'published' END END AS kind FROM y""",
-    "synonym_expand": f"SELECT q, {_replaced('q')} AS expanded FROM {_literals(QUESTIONS, 'q')}",
-    "keyword_route": f"SELECT q, {_route_sql('q')} AS route FROM {_literals(QUESTIONS, 'q')}",
+    "synonym_expand": f"SELECT conv_id, turn, {_replaced('q')} AS expanded FROM {_ASKED}",
+    "keyword_route": f"SELECT conv_id, turn, {_route_sql('q')} AS route FROM {_ASKED}",
     "conversation_routes": f"SELECT conv_id, turn, {_route_sql('text')} AS route FROM conversations",
-    "policies": f"""WITH r AS (SELECT q, string_split({_route_sql('q')}, ',') AS r FROM {_literals(QUESTIONS, 'q')}),
+    "policies": f"""WITH r AS (SELECT conv_id, turn, q, string_split({_route_sql('q')}, ',') AS r FROM {_ASKED}),
 p AS (SELECT *, CASE WHEN list_contains(r, 'notices') AND {_any(RECENT_TOPICS)} AND {_any(RECENT_WORDS)} THEN 'recent_notices' WHEN list_contains(r, 'staff') AND {_any(STAFF_WORDS)} THEN 'staff_lookup' WHEN list_contains(r, 'courses') AND len(list_filter(r, lambda x: x NOT IN ('courses', 'rules'))) = 0 THEN 'courses'
   WHEN (list_contains(r, 'rules') OR list_contains(r, 'schedule')) AND NOT list_contains(r, 'notices') THEN 'rules_schedule' WHEN list_contains(r, 'notices') THEN 'general_notices' ELSE 'default' END AS policy FROM r)
-SELECT q, policy, CASE policy WHEN 'recent_notices' THEN 0.08 WHEN 'staff_lookup' THEN 0.09 WHEN 'courses' THEN 0.05 ELSE {MIN_SCORE} END::DOUBLE AS min_score, policy = 'recent_notices' AS recency,
+SELECT conv_id, turn, policy, CASE policy WHEN 'recent_notices' THEN 0.08 WHEN 'staff_lookup' THEN 0.09 WHEN 'courses' THEN 0.05 ELSE {MIN_SCORE} END::DOUBLE AS min_score, policy = 'recent_notices' AS recency,
 CASE WHEN list_contains(r, 'notices') THEN CASE {' '.join(f"WHEN contains(q, '{b}') OR contains(q, '{b[:-2]} 공지') THEN '{b}'" for b in BOARDS)} END END AS board,
 coalesce(nullif(regexp_extract(q, '(?:^|[^0-9A-Za-z가-힣_])(20[0-9]{{2}})', 1), '')::INT, nullif(regexp_extract(q, '(?:^|[^0-9A-Za-z가-힣_])([0-9]{{2}})\\s*학번', 1), '')::INT + 2000, 0) AS entry_year FROM p""",
     "query_lists": """WITH u AS (SELECT conv_id, text, min(turn) AS turn FROM conversations WHERE role = 'user' GROUP BY conv_id, text), n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM u),
