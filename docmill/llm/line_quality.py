@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from pyspark.sql.types import LongType, StructField, StructType
 from docmill.plans.shared import join_checked, materialise
 
 SYMBOLS = "#*$%&|<>"
+#: Words from which on a text's windows are counted as numbers.
+LONG_TEXT = 1 << 16
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "removed_words"]
 
 
@@ -44,17 +47,32 @@ def frequent_lines(docs: DataFrame, share: float = 0.05, least: int = 10, keep:
     return materialise(often, "frequent", keep)
 
 
-def _counts(text: str | None, frequent: list[int]) -> tuple[int, ...]:
-    text = text or ""
-    words = text.encode().split()  # bytes split at [\x20\x09-\x0D] alone
-    triples = list(zip(words, words[1:], words[2:], strict=False))
-    repeated = 0
-    if len(set(triples)) < len(triples):
-        seen, end = Counter(triples), 0
+def repeat_words(words: list[bytes]) -> int:
+    """Words in 3-word windows found twice or more, the first included. Long texts take numbers for their words, not tuples."""
+    if len(words) < LONG_TEXT:
+        triples = list(zip(words, words[1:], words[2:], strict=False))
+        if len(set(triples)) == len(triples):
+            return 0
+        seen, end, repeated = Counter(triples), 0, 0
         for i, t in enumerate(triples):
             if seen[t] > 1:
                 repeated += i + 3 - max(i, end)
                 end = i + 3
+        return repeated
+    known: dict[bytes, int] = {}
+    ids = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words))
+    pairs = np.unique(ids[:-1] * len(known) + ids[1:], return_inverse=True)[1]
+    at, n = np.unique(pairs[:-1] * len(known) + ids[2:], return_inverse=True, return_counts=True)[1:]
+    inside = np.zeros(len(words), bool)
+    for k in range(3):
+        inside[k : len(words) - 2 + k] |= n[at] > 1
+    return int(inside.sum())
+
+
+def _counts(text: str | None, frequent: list[int]) -> tuple[int, ...]:
+    text = text or ""
+    words = text.encode().split()  # bytes split at [\x20\x09-\x0D] alone
+    repeated = repeat_words(words)
     lines = text.split("\n")
     worded = [x for x in lines if x.strip(" \t\n\r\v\f")]
     removed = sum(len(lines[i].encode().split()) for i in frequent)
@@ -70,7 +88,8 @@ def judge(docs: DataFrame, share: float = 0.05, least: int = 10, min_words: int
     base_failed: fewer than min_words words, or over half the words in 3-word windows found twice
     or more. kept: not base_failed, and frequent lines hold at most max_removed of the words.
     A null text has no words and fails; its cleaned text is null. Null sources form one host;
-    repeated rows get equal verdicts; an empty table gives no rows.
+    repeated rows get equal verdicts; an empty table gives no rows. There are no ties: at a limit a
+    line stays. A text is counted as a whole: memory follows its words.
     """
     often = frequent_lines(docs, share, least, keep)
     own = docs.select("doc_id", "source", "text", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("digest"), *(F.col(f"`{c}`").alias(f"__extra_{c}") for c in extra or []))

@@ -111,3 +111,13 @@ def test_line_quality(spark):
     assert out.columns == [*df.columns, "n_chars"]
     assert {r.doc_id for r in out.collect()} == {*range(30), *range(200, 240), None}
     assert line_quality.judge(df.filter("doc_id > 9999")).count() == 0 and line_quality.keep_good(df.filter("doc_id > 9999")).count() == 0
+
+
+def test_windows_of_long_texts_are_counted_alike(monkeypatch):
+    rng = np.random.default_rng(2)
+    texts = [[b"w%d" % i for i in rng.integers(0, v, n)] for n, v in ((3, 2), (50, 4), (200, 9), (500, 30), (90_000, 60)) for _ in range(3)]
+    want = [line_quality.repeat_words(t) for t in texts]
+    monkeypatch.setattr(line_quality, "LONG_TEXT", 3)
+    assert [line_quality.repeat_words(t) for t in texts] == want
+    monkeypatch.setattr(line_quality, "LONG_TEXT", 10**9)
+    assert [line_quality.repeat_words(t) for t in texts] == want and want[-1] > 0
