@@ -83,7 +83,8 @@ def exact_groups(docs: DataFrame, size: int = BLOCK, row: str | None = None, kee
 
     Of equal texts the row with the most code points stays, then the smallest doc_id (null last),
     then the first row; just one of repeated rows stays. keep_id is null where the row that stays
-    has no doc_id. Empty table: no rows.
+    has no doc_id. Empty table: no rows. A very long text is cut into blocks that shuffle apart;
+    other columns of docs are not read.
     """
     found = identities(docs, size, row, keep)
     first = F.min(F.struct((-F.col("chars")).alias("c"), F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("__row").alias("r")))

@@ -64,7 +64,8 @@ def training_rows(docs: DataFrame, fit_texts: int = FIT_TEXTS) -> DataFrame:
 def fit(docs: DataFrame, top: int = TOP, fit_texts: int = FIT_TEXTS) -> dict[str, np.ndarray]:
     """Profile of each lang of docs (lang, text): its most frequent n-grams, the first first.
 
-    Rows without lang or text are left out. What reaches the driver is top n-grams per language.
+    Rows without lang or text are left out; ties go to the smaller integer, without sign, as in a
+    text's ranking. What reaches the driver is top n-grams per language.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
@@ -79,7 +80,7 @@ def fit(docs: DataFrame, top: int = TOP, fit_texts: int = FIT_TEXTS) -> dict[str
 
     counted = training_rows(docs, fit_texts).mapInPandas(count, "lang string, gram long, n long")
     counted = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    best = counted.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("nth") <= top)
+    best = counted.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), F.col("gram") < 0, "gram"))).filter(F.col("nth") <= top)
     out: dict[str, list] = {}
     for r in best.orderBy("lang", "nth").collect():
         out.setdefault(r["lang"], []).append(r["gram"])
@@ -112,7 +113,9 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], top: int = TOP, ex
 
     lang_pred: the profile at the least mean out-of-place distance, ties to the first name; 'und'
     with score 0 for a null text, one without a letter, or when no profile was learned. score: 1
-    minus that distance as a share of the largest one. Only text is looked at.
+    minus that distance as a share of the largest one. Only text is looked at. Repeated rows get
+    equal results; an empty table gives no rows. A text is ranked as a whole, however long: its
+    n-grams are held as integers, about 40 bytes a character.
     """
     model = Profiles(profiles, top)
     own = docs.select("doc_id", "text", *(F.col(f"`{c}`").alias(f"__extra_{c}") for c in extra or []))

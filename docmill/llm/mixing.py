@@ -47,7 +47,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     A source's repetition rate is target / source_size. Each document gets floor(rate) copies and
     one more where the MD5 of seed, doc_id and the text's MD5, read as a number from 0 to 1, falls
     below the rate's fraction; so reruns agree. Null and wordless texts have size 0, one of a source
-    without words rate 0. Null sources form one source, the last. Equal rows get equal copies.
+    without words rate 0. Null sources form one source, the last. Equal rows get equal copies, an
+    empty table gives no rows. Ties: sources that fill up together go by code point. A very long
+    text is a row like any other, taken whole.
     """
     own = docs.select(
         "doc_id", "source", word_count(F.col("text")).alias("size"),

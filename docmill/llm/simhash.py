@@ -265,7 +265,8 @@ def near_groups(docs: DataFrame, shingle: int = 4, bits: int = 64, radius: int =
 
     component_id: the smallest doc_id reachable by links, the row's own included; rows of equal
     fingerprints are linked, also those of empty texts. A null doc_id counts only where a
-    component has no other. Empty table: no rows.
+    component has no other. Empty table: no rows. Repeated rows are linked like any; there are no
+    ties. A very long text is hashed by one task, its bits counted STEP shingles at a time.
     """
     rows = materialise(fingerprints(docs, shingle, bits // 64, row), "fingerprints", keep)
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))

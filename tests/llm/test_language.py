@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 from docmill.llm import language, registry
 
@@ -55,3 +56,24 @@ def test_edges(spark):
     assert {r.lang_pred for r in language.predict(df, {}).collect()} == {"und"}
     assert language.fit(df.filter("doc_id > 9")) == {}
     assert language.predict(df.filter("doc_id > 9"), profiles).count() == 0
+
+
+def test_prediction_equals_brute_force(spark, sf):
+    """Profiles, ranks and out-of-place distances in plain Python on all documents."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    top = 400
+    best = lambda counts: [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], key(x[0])))[:top]]
+    sums = {}
+    for text, lang in {(r.text, r.lang) for r in docs if zlib.crc32(str(r.doc_id).encode()) % 4 != 2 and r.lang is not None and r.text is not None}:
+        if any(map(str.isalpha, text)):
+            sums.setdefault(lang, Counter()).update(brute_grams(text))
+    places = {lang: {g: i for i, g in enumerate(best(c))} for lang, c in sums.items()}
+    got = {r.doc_id: r for r in registry.op5_language(spark, sf).collect()}
+    for r in docs:
+        mine = best(brute_grams(r.text)) if r.text and any(map(str.isalpha, r.text)) else []
+        if not mine:
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
+            continue
+        apart = {lang: sum(abs(own[g] - i) if g in own else top for i, g in enumerate(mine)) / len(mine) / top for lang, own in places.items()}
+        lang = min(sorted(apart), key=lambda x: round(apart[x], 12))
+        assert got[r.doc_id].lang_pred == lang and abs(got[r.doc_id].score - (1 - apart[lang])) < 1e-9
