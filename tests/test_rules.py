@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from docmill.functions import dates, identity, text
 from docmill.functions.where import predicate
 from docmill.operators import chunks, ranking, reports, retrieval, understanding
+from docmill.plans.shared import table
+from docmill.sources import files
 
 
 def one(spark, column):
@@ -187,3 +189,41 @@ def test_evaluation(spark):
     assert {r.dataset for r in reports.evaluation(rows, "dataset").collect()} == {"notices", None}
     gates = {r.metric: r.passed for r in reports.gates(reports.evaluation(rows), {"route_hit_rate": 0.8, "fallback_rate": 0.2, "answer_relevancy_proxy": 0.2}).collect()}
     assert gates == {"route_hit_rate": False, "fallback_rate": False, "answer_relevancy_proxy": True}
+
+
+def test_parsed_text(spark):
+    html = "<html><head><title>t</title></head><body><p>공지 <b>A</b>&amp;B</p><!-- c --><script>alert(1)</script>tail<noscript>n</noscript></body></html>"
+    got = [r[0] for r in spark.createDataFrame([(html,), ("plain",), ("  ",), (None,), ("a &lt; b",)], "h string").select(text.parsed_text(F.col("h"))).collect()]
+    assert got == ["공지 \nA\n&B\ntail", "plain", "", "", "a < b"]
+
+
+def test_many_names_and_few_give_the_same_match(spark):
+    rows = spark.createDataFrame([(1, "the 통계학과 office"), (2, "통계 and 학과"), (3, None), (4, "")], "id long, t string")
+    names = spark.createDataFrame([("통계학과", "b"), ("통계학과", "a"), ("통계", "c"), ("학과", "d"), ("", "e")], "name string, value string")
+    few = {tuple(r) for r in understanding.longest_match(rows, "id", "t", names, "name", "value").collect()}
+    many = {tuple(r) for r in understanding.longest_by_parts(rows, "id", "t", names.filter("name != ''"), "name", "value").collect()}
+    assert few == many == {(1, "the 통계학과 office", "통계학과", "a"), (2, "통계 and 학과", "통계", "c"), (3, None, None, None), (4, "", None, None)}
+
+
+def test_contexts_without_shuffle_equal_windows(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text", F.col("source").alias("title"))
+    want = chunks.with_neighbours(chunks.to_chunks(docs, 200, 50, "title")).select("doc_id", "position", "chunk_text", "context")
+    assert sorted(map(tuple, chunks.chunks_in_context(docs, 200, 50, "title").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_versioned_table(spark, tmp_path):
+    path, cache = str(tmp_path / "t"), {}
+    spark.range(3).write.parquet(path)
+    first = files.read_versioned(spark, path, cache)
+    assert files.read_versioned(spark, path, cache) is first and first.count() == 3
+    spark.range(2).write.mode("append").parquet(path)
+    assert files.read_versioned(spark, path, cache).count() == 5
+
+
+def test_index_folder_needs_its_tables(spark, tmp_path):
+    with pytest.raises(ValueError):
+        retrieval.read_index(spark, str(tmp_path), ["metadata"])
+    vocab = spark.createDataFrame([("a", 1, 1.0)], "term string, df long, idf double")
+    retrieval.write_index(vocab, vocab, str(tmp_path), "d", "2026-01-01")
+    assert retrieval.read_index(spark, str(tmp_path), ["vocabulary", "postings"])[2].count() == 0
+    assert [r.version for r in retrieval.read_index(spark, str(tmp_path), ["vocabulary", "postings", "metadata"])[2].collect()] == [retrieval.INDEX_VERSION]
