@@ -61,7 +61,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to the documents table in turn."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        own: list[str] = []
+        docs = materialise(stage(spark, docs, sf_dir), name, own)
+        release(spark, before)  # what this stage read
+        before = own
     return STAGES[-1][1](spark, docs, sf_dir)
