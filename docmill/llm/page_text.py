@@ -1,7 +1,8 @@
 """Main text of web pages: site templates found by counting element subtrees per host, then extraction.
 
 Every element's subtree is hashed. Spark counts on how many different pages of a host each hash
-stands: subtrees above the limits are the host's template. Kinds of elements (tag, classes and id)
+stands: subtrees above the limits are the host's template. Hosts that take turns with their parts are
+met by a second, lower limit for containers, which goes outside of an explicit article alone. Kinds of elements (tag, classes and id)
 are counted too: how often their subtrees recur on the host. A kind that nearly always recurs is
 template as well, where it doesn't recur; and a kind that looks like page furniture by its name, but
 never recurs, is none. So names only say what is likely until a host's counts are known.
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docmill.plans.shared import join_checked, materialise
+from docmill.plans.shared import BROADCAST_ROWS, join_checked, materialise
 
 # Element and class names.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -28,6 +29,7 @@ RAW = set("script style textarea title noscript template iframe svg math canvas
 TO_THE_END = {"script", "style", "textarea", "title"}  # unclosed, these hold the rest of the page
 FOREIGN = {"svg", "math"}  # only these of RAW can close themselves
 BLOCKS = set("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split())
+CONTAINERS = set("aside div dl footer form header menu nav ol section table ul".split())
 CELLS = {"td", "th", "br", "option"}
 DROPPED = RAW | set("head nav aside footer header menu dialog button select input label fieldset".split())
 ROLES = set("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
@@ -216,7 +218,7 @@ def _headings(e: Element) -> list[Element]:
     return out
 
 
-def _roots(root: Element, template: set[int]) -> list[Element]:
+def _roots(root: Element, template: frozenset[int]) -> list[Element]:
     """The outermost wanted articles, else the outermost wanted main, else all."""
     for tag in ("article", "main"):
         found, todo = [], [root]
@@ -234,7 +236,7 @@ def _roots(root: Element, template: set[int]) -> list[Element]:
     return [root]
 
 
-def _goes(e: Element, top: Element, template: set[int]) -> bool:
+def _goes(e: Element, top: Element, template: frozenset[int]) -> bool:
     """Whether e's tag or name, with what the host's counts say of its kind, keeps it out of top's text."""
     if e.hidden or e.tag in DROPPED:
         return True
@@ -246,19 +248,22 @@ def _goes(e: Element, top: Element, template: set[int]) -> bool:
     return readers or (likely or e.tag == "form") and 2 * e.plain <= top.plain  # what holds most of the text is a wrapper
 
 
-def _recurring(top: Element, template: set[int]) -> set[int]:
+def _recurring(top: Element, template: frozenset[int]) -> set[int]:
     """The ids of elements in top to cut out because the host's counts say so.
 
     In an article or main: elements of links, and others if together they hold at most half of
     the text, for a page most of which recurs is a copy of others, not a template. Elsewhere all,
-    if any text is left.
+    if any text is left, and the containers that recur at the lower limit unless they hold most of
+    the text.
     """
+    strict = top.tag in ("article", "main")
     links, others, plain, todo = set(), set(), 0, list(top.children)
     while todo:
         e = todo.pop()
         if isinstance(e, str) or _goes(e, top, template):
             continue
-        if e.digest in template or e.kind in template and not _named(e.names, e.role)[0]:
+        turns = not strict and e.tag in CONTAINERS and ~e.digest in template and 2 * e.plain <= top.plain
+        if e.digest in template or turns or e.kind in template and not _named(e.names, e.role)[0]:
             if 2 * e.linked >= e.size:
                 links.add(id(e))
             else:
@@ -266,11 +271,10 @@ def _recurring(top: Element, template: set[int]) -> set[int]:
                 plain += e.plain
         else:
             todo.extend(e.children)
-    strict = top.tag in ("article", "main")
     return links | others if (2 * plain <= top.plain if strict else plain < top.plain) else links
 
 
-def main_text(html: str | None, template: set[int] = frozenset()) -> str:
+def main_text(html: str | None, template: frozenset[int] = frozenset()) -> str:
     """Blocks of the main text in page order, joined by a line feed; template: subtrees and kinds of the host, as ``site_templates`` gives them."""
     root = parse(html or "")
     measure(root, bool(template))
@@ -320,6 +324,7 @@ def host_of(url: Column) -> Column:
 def site_templates(pages: DataFrame, share: float = 0.5, least: int = 5, rare: float = 0.01, keep: list[str] | None = None) -> DataFrame:
     """(host, template): per host the subtrees on over share of its different pages, and on least or more, and the kinds its counts decide.
 
+    The complement of a container's hash is listed if it is on over rare of the pages, and on least or more.
     A kind is listed if counts overrule its name: of its elements, counted by pages, so many recur
     on other pages (or so few, for a likely name) that with PRIOR_PAGES pages for the name the
     share crosses a half. Pages of a host whose whole trees are equal count once, so copies
@@ -329,27 +334,31 @@ def site_templates(pages: DataFrame, share: float = 0.5, least: int = 5, rare: f
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = pa.list_(pa.struct([("subtree", pa.int64()), ("kind", pa.int64()), ("likely", pa.bool_())]))
+        part = pa.list_(pa.struct([("subtree", pa.int64()), ("kind", pa.int64()), ("likely", pa.bool_()), ("container", pa.bool_())]))
         for b in batches:
             trees, wholes = [], []
             for html in b["html"]:
                 every = measure(parse(html.as_py() or ""))
                 wholes.append(every[0].digest)
                 own = {e.digest: e for e in every if e.tag not in ("#root", "html", "head", "body")}
-                trees.append([{"subtree": d, "kind": e.kind, "likely": _named(e.names, e.role)[0]} for d, e in own.items()])
+                trees.append([{"subtree": d, "kind": e.kind, "likely": _named(e.names, e.role)[0], "container": e.tag in CONTAINERS} for d, e in own.items()])
             yield pa.RecordBatch.from_arrays([b["host"], pa.array(wholes, pa.int64()), pa.array(trees, part)], names=["host", "page", "parts"])
 
-    own = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, page long, parts array<struct<subtree: long, kind: long, likely: boolean>>")
+    own = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, page long, parts array<struct<subtree: long, kind: long, likely: boolean, container: boolean>>")
     own = materialise(own.groupBy("host", "page").agg(F.first("parts").alias("parts")), "subtrees", keep)
     totals = materialise(own.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages")), "host-pages", keep)
-    trees = own.select("host", F.explode("parts").alias("p")).groupBy("host", "p.subtree").agg(F.count(F.lit(1)).alias("pages"), F.first("p.kind").alias("kind"), F.first("p.likely").alias("likely"))
-    told = F.array(F.struct(F.col("subtree").alias("hash"), F.lit(None).cast("boolean").alias("likely")), F.struct(F.col("kind").alias("hash"), "likely"))
-    rows = trees.select("host", "pages", F.explode(told).alias("t")).select("host", "pages", "t.hash", "t.likely").filter(F.col("hash").isNotNull() & (F.col("likely").isNotNull() | (F.col("pages") >= least)))
-    sums = rows.groupBy("host", "hash", "likely").agg(F.sum("pages").alias("n"), F.sum(F.when(F.col("pages") > 1, F.col("pages")).otherwise(0)).alias("again"))
+    trees = own.select("host", F.explode("parts").alias("p")).groupBy("host", "p.subtree").agg(F.count(F.lit(1)).alias("pages"), F.first("p.kind").alias("kind"), F.first("p.likely").alias("likely"), F.first("p.container").alias("container"))
+    told = F.array(
+        F.struct(F.lit("subtree").alias("of"), F.col("subtree").alias("hash")),
+        F.struct(F.lit("container").alias("of"), F.when(F.col("container"), F.bitwise_not("subtree")).alias("hash")),
+        F.struct(F.when(F.col("likely"), "likely").otherwise("other").alias("of"), F.col("kind").alias("hash")),
+    )
+    rows = trees.select("host", "pages", F.explode(told).alias("t")).select("host", "pages", "t.hash", "t.of").filter(F.col("hash").isNotNull() & (F.col("of").isin("likely", "other") | (F.col("pages") >= least)))
+    sums = rows.groupBy("host", "hash", "of").agg(F.sum("pages").alias("n"), F.sum(F.when(F.col("pages") > 1, F.col("pages")).otherwise(0)).alias("again"))
     sums = join_checked(sums.filter(F.col("n") >= least), totals, ["host"])
-    recur = (F.col("again") + F.when(F.col("likely"), PRIOR_LIKELY).otherwise(PRIOR_OTHER) * PRIOR_PAGES) > 0.5 * (F.col("n") + PRIOR_PAGES)
-    of_kind = (F.col("n") >= F.col("host_pages") * F.lit(float(rare))) & (recur != F.col("likely"))
-    often = sums.filter(F.when(F.col("likely").isNull(), F.col("n") > F.col("host_pages") * F.lit(float(share))).otherwise(of_kind))
+    likely, some = F.col("of") == "likely", F.col("n") >= F.col("host_pages") * F.lit(float(rare))
+    recur = (F.col("again") + F.when(likely, PRIOR_LIKELY).otherwise(PRIOR_OTHER) * PRIOR_PAGES) > 0.5 * (F.col("n") + PRIOR_PAGES)
+    often = sums.filter(F.when(F.col("of") == "subtree", F.col("n") > F.col("host_pages") * F.lit(float(share))).when(F.col("of") == "container", some).otherwise(some & (recur != likely)))
     return materialise(often.groupBy("host").agg(F.collect_list("hash").alias("template")), "templates", keep)
 
 
@@ -363,12 +372,16 @@ def extract(pages: DataFrame, share: float = 0.5, least: int = 5, keep: list[str
     """
     templates = site_templates(pages, share, least, keep=keep)
     own = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    own = join_checked(own, templates, ["host"], weight="template").select("page_id", "url", "html", "host", "template")
     kind = own.schema["page_id"].dataType.simpleString()
+    small = (templates.agg(F.sum(F.size("template"))).first()[0] or 0) <= BROADCAST_ROWS
+    known = {r["host"]: frozenset(r["template"]) for r in templates.collect()} if small else {}  # BROADCAST_ROWS hashes at most
+    if not small:
+        own = join_checked(own, templates, ["host"], weight="template").select("page_id", "url", "html", "host", "template")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [main_text(h.as_py(), set(t.as_py() or ())) for h, t in zip(b["html"], b["template"], strict=True)]
+            of = (known.get(h, frozenset()) for h in b["host"].to_pylist()) if small else (frozenset(t.as_py() or ()) for t in b["template"])
+            texts = [main_text(h.as_py(), t) for h, t in zip(b["html"], of, strict=True)]
             yield pa.RecordBatch.from_arrays([b["page_id"], b["url"], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), b["host"]], names=["page_id", "url", "text", "n_chars", "host"])
 
     return own.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long, host string")

@@ -136,6 +136,7 @@ def brute_templates(pages, share, least, rare):
         on = Counter(d for tree in trees.values() for d in tree)
         of = {d: e for tree in trees.values() for d, e in tree.items()}
         found = {d for d, n in on.items() if n >= least and n > share * len(trees)}
+        found |= {~d for d, n in on.items() if n >= max(least, rare * len(trees)) and of[d].tag in page_text.CONTAINERS}
         for kind in {e.kind for e in of.values()} - {None}:
             own = [d for d, e in of.items() if e.kind == kind]
             n, again = sum(on[d] for d in own), sum(on[d] for d in own if on[d] > 1)
@@ -167,3 +168,14 @@ def test_counts_overrule_names(spark):
     assert got[5] == "Story 5 of its own, word5\nand 5 more\nt 5 of the long text that all of it is about"
     assert "Once only" in page_text.main_text(rows[400][2]) and "Story" not in page_text.main_text("<p>long text that is no notice</p><div class='notice-board'>Story</div>")
     assert got[1004] == "The one story\nof all of them\n4"
+
+
+def test_parts_that_take_turns_are_found_by_counts_alone(spark):
+    """No tag or name tells: the host's menus and notices take turns, some paragraphs are in several pages, one page is a copy."""
+    page = lambda i: f"<body><div><a href=x>Menu</a> of day {i % 7}</div><div><h1>Title {i}</h1><p>Shared paragraph {i % 9}</p><p>Story {i} of its own, word{i}</p></div><div>Notice {i % 5}</div></body>"
+    rows = [(i, "http://a.example.com/", page(i)) for i in range(90)] + [(500 + i, "http://a.example.com/", f"<div>Menu {i}</div><div><p>Copied text of some length</p></div>") for i in range(9)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in page_text.extract(df).collect()}
+    assert all(got[i] == f"Title {i}\nShared paragraph {i % 9}\nStory {i} of its own, word{i}" for i in range(90))
+    assert all("Copied text of some length" in got[500 + i] for i in range(9))
+    assert page_text.main_text(page(4)).startswith("Menu of day 4")
