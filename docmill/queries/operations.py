@@ -249,7 +249,7 @@ def topics_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reply_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as judges' replies and lists of further questions, some in code fences, some broken."""
     key, u = F.col("event_id"), F.col("user_id").cast("string")
-    reply = F.when(key % 3 == 0, F.concat(F.lit('```json\n{"score": '), F.round(F.col("value") / 60, 2), F.lit("}\n```"))).when(key % 3 == 1, '{"score": "0.75"}').otherwise("no JSON")
+    reply = F.when(key % 3 == 0, F.concat(F.lit('```json\n{"score": '), (key % 150) / 100, F.lit("}\n```"))).when(key % 3 == 1, '{"score": "0.75"}').otherwise("no JSON")
     more = F.when(key % 2 == 0, F.concat(F.lit('["a'), u, F.lit('", " q ", "", "a'), u, F.lit('", "b", "c", "d"]'))).otherwise("broken")
     own = table(spark, sf_dir, "events").select("event_id", admin.grounding(reply, 0.7).alias("g"), F.array_join(admin.followups(more, F.lit("q")), ",").alias("followups"))
     return own.select("event_id", "g.checked", "g.grounded", F.coalesce("g.score", F.lit(-1.0)).alias("score"), "followups")
@@ -325,6 +325,6 @@ d AS (SELECT conv_id, turn, list_filter(l, lambda x, i: list_position(l, x) = i)
     "cache_eligible": f"WITH {_ROUTES} SELECT request, reason IS NULL AND NOT list_contains(route, 'meals') AND request % 5 <> 0 AND (request % 7 = 0 OR request % 7 > 2) AND request % 11 > 0 AS cacheable FROM r",
     "guide_years": f"WITH {_HITS}, g AS (SELECT request, max(y) AS latest FROM h WHERE guide GROUP BY request) SELECT request, CASE WHEN request % 2 = 0 THEN CASE WHEN request % 3 = 0 THEN 1997 END ELSE latest END::INT AS year FROM g",
     "topics_aligned": f"WITH {_HITS}, n AS (SELECT request, id, row_number() OVER (PARTITION BY request ORDER BY id) AS n FROM h WHERE dataset = 'notices') SELECT request, coalesce((SELECT bool_or(id % 4 = 0) FROM n WHERE n.request = h.request AND n <= 2), false) AS aligned FROM h GROUP BY request",
-    "reply_rules": """SELECT event_id, event_id % 3 < 2 AS checked, CASE event_id % 3 WHEN 0 THEN least(1.0, greatest(0.0, round(value / 60, 2))) >= 0.7 ELSE true END AS grounded, CASE event_id % 3 WHEN 0 THEN least(1.0::DOUBLE, greatest(0.0::DOUBLE, round(value / 60, 2))) WHEN 1 THEN 0.75 ELSE -1 END::DOUBLE AS score,
+    "reply_rules": """SELECT event_id, event_id % 3 < 2 AS checked, CASE event_id % 3 WHEN 0 THEN least(1.0::DOUBLE, (event_id % 150) / 100.0::DOUBLE) >= 0.7 ELSE true END AS grounded, CASE event_id % 3 WHEN 0 THEN least(1.0::DOUBLE, (event_id % 150) / 100.0::DOUBLE) WHEN 1 THEN 0.75 ELSE -1 END::DOUBLE AS score,
 CASE WHEN event_id % 2 = 0 THEN 'a' || user_id || ',b,c' ELSE '' END AS followups FROM events""",
 }
