@@ -161,6 +161,15 @@ def week_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.unpivot_days(own, ["p_partkey"], {"mon": "2026-06-08", "tue": "2026-06-09"}).select("p_partkey", F.col("date").cast("string").alias("date"), "menu")
 
 
+def weekly_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as posts of a board per customer, the newest three of those in one year, with their first PDF."""
+    key = F.col("o_orderkey").cast("string")
+    files_of = F.when(F.col("o_orderkey") % 3 == 0, "[]").when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit('[{"name": "a.txt", "url": "x"}, {"name": "b.PDF", "url": "b'), key, F.lit('"}, {"name": "c.pdf", "url": "c"}]'))).otherwise('[{"name": "only.txt", "url": "x"}]')
+    posts = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.to_date("o_orderdate").alias("day"), text.attachments(files_of)[0].alias("attachments"))
+    posts = pages.in_window(posts, "day", F.lit("1996-01-01").cast("date"), F.lit("1996-12-31").cast("date"))
+    return pages.newest_files(posts, "o_custkey", [F.desc("day"), F.desc("o_orderkey")]).select("o_custkey", "o_orderkey", "file_url")
+
+
 def text_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as lines; an assistant's is a heading."""
     line = F.when(F.col("role") == "assistant", F.concat(F.lit("# "), "turn")).otherwise(F.concat(F.lit("line "), "turn"))
@@ -257,7 +266,7 @@ def distinct_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_mktsegment").distinct()
 
 
-QUERIES = {f.__name__: f for f in (csv_scan, raw_layer, chunk_artifact, refreshed_dataset, appended_turns, refresh_guard, manifest_verify, homepage_map, department_colleges, courses_coalesced, filled_columns, page_tables, schedule_table, board_items, board_collected, item_details, meal_rows, week_days, text_sections, lines_without_repeats, notice_docs, rule_docs, schedule_docs, staff_docs, meal_docs, course_chunks, submission_notices, guide_sections, descriptions_merged, notice_records, field_rules, name_rules, distinct_names)}
+QUERIES = {f.__name__: f for f in (csv_scan, raw_layer, chunk_artifact, refreshed_dataset, appended_turns, refresh_guard, manifest_verify, homepage_map, department_colleges, courses_coalesced, filled_columns, page_tables, schedule_table, board_items, board_collected, item_details, meal_rows, week_days, weekly_files, text_sections, lines_without_repeats, notice_docs, rule_docs, schedule_docs, staff_docs, meal_docs, course_chunks, submission_notices, guide_sections, descriptions_merged, notice_records, field_rules, name_rules, distinct_names)}
 
 _NOTICE_DATE = "CASE WHEN o_orderkey % 5 > 0 THEN o_orderdate::DATE END"
 ORACLES = {
@@ -286,6 +295,8 @@ SELECT board, article_id, page::INT AS page, place::INT AS place FROM f WHERE n
     "meal_rows": """WITH m AS (SELECT * FROM (VALUES (0, '식당가', '중식 비빔밥 5,500원', false), (0, '식당나', '휴무', true), (1, '식당나', '조식 죽 3,000원 석식 밥 4,000원', false), (1, '식당가', '휴무', true), (2, '식당가', '휴무 아님 1,000원', false)) AS t(k, restaurant, menu_text, is_closed))
 SELECT s_suppkey, restaurant, menu_text, is_closed FROM supplier JOIN m ON s_suppkey % 4 = k""",
     "week_days": "SELECT p_partkey, '2026-06-08' AS date, p_brand AS menu FROM part UNION ALL SELECT p_partkey, '2026-06-09', p_type FROM part",
+    "weekly_files": """WITH p AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate::DATE DESC, o_orderkey DESC) AS n FROM orders WHERE year(o_orderdate) = 1996)
+SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 3 = 1 THEN 'b' || o_orderkey END AS file_url FROM p WHERE n <= 3""",
     "text_sections": """WITH n AS (SELECT *, sum((role = 'assistant')::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS n FROM conversations)
 SELECT conv_id, '# ' || max(turn) FILTER (role = 'assistant') AS section, coalesce(string_agg('line ' || turn, chr(10) ORDER BY turn) FILTER (role <> 'assistant'), '') AS body FROM n WHERE n > 0 GROUP BY conv_id, n""",
     "lines_without_repeats": """WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text || chr(10) || ' 12 ' || chr(10) || lang || chr(10) || lang || chr(10) || chr(10) || chr(10) || 'end', chr(10)), lambda x: trim(x)), lambda x: NOT regexp_matches(x, '^[0-9]+$')) AS l FROM documents)

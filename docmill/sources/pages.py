@@ -242,6 +242,18 @@ def with_details(items: DataFrame, details: DataFrame, key: list[str]) -> DataFr
     return items.join(details, key, "left").withColumn("content", F.coalesce("content", F.lit("")))
 
 
+def newest_files(posts: DataFrame, board: str, order: list, suffix: str = ".pdf", n: int = 3) -> DataFrame:
+    """The newest n posts of each board with the address of their first attachment of that kind, null without one. posts: attachments (name and url)."""
+    nth = F.row_number().over(Window.partitionBy(board).orderBy(*order))
+    found = F.filter("attachments", lambda a: F.lower(a["name"]).endswith(suffix))
+    return posts.withColumn("__nth", nth).filter(F.col("__nth") <= n).withColumn("file_url", F.get(found, F.lit(0))["url"]).drop("__nth")
+
+
+def in_window(rows: DataFrame, date: str, start: Column, end: Column) -> DataFrame:
+    """Rows of the days that a collection asks for."""
+    return rows.filter(F.col(date).between(start, end))
+
+
 def unpivot_days(rows: DataFrame, keys: list[str], days: dict[str, str]) -> DataFrame:
     """A weekly table with a column per weekday to rows (keys, date, menu); days: column -> date."""
     out = rows.unpivot(keys, list(days), "weekday", "menu")
