@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docmill.functions.fixed import BODY_LABEL, BY_LABEL, DATE_LABEL, FILES_LABEL, GUIDE_SOURCE, NO_SOURCE, PART_LABEL, SOURCE_LABEL, SUBMISSIONS, SUBMITTED_BOARDS, SUBMITTED_CATEGORIES, TITLE_LABEL, WHEN_LABEL, WHERE_LABEL
+from docmill.functions.fixed import BODY_LABEL, BY_LABEL, DATE_LABEL, FILES_LABEL, GUIDE_DEPARTMENTS, GUIDE_SOURCE, GUIDE_YEAR, NO_SOURCE, PART_LABEL, SOURCE_LABEL, SUBMISSIONS, SUBMITTED_BOARDS, SUBMITTED_CATEGORIES, TITLE_LABEL, WHEN_LABEL, WHERE_LABEL
 from docmill.functions.text import attachments, filled, unfenced
 from docmill.operators.reports import latest, rank_islands
 
@@ -128,3 +128,19 @@ def replayed(events: DataFrame, session: str, order: str, payload: str) -> DataF
     own = events.select(session, order, F.from_json(payload, "type string, content string, message string").alias("e")).select(session, order, "e.*")
     text = F.transform(F.sort_array(F.collect_list(F.when(F.col("type") == "text", F.struct(order, "content")))), lambda x: x["content"])
     return own.groupBy(session).agg(F.array_join(text, "").alias("answer"), F.min_by(F.coalesce("message", "content"), F.when(F.col("type") == "error", F.col(order))).alias("error"))
+
+
+def tail_moved(sections: DataFrame, key: str, order: str, section: str, body: str, target: str, marker: str) -> DataFrame:
+    """(key, section, body): sections without what follows a marker in them; these tails join the target section, in order, which is one row per key."""
+    at, own = F.regexp_instr(body, F.lit(marker)), F.col(section) == target
+    parts = sections.select(key, order, section, F.when(~own & (at > 0), F.trim(F.substring(body, F.lit(1), at - 1))).when(~own, F.col(body)).alias("head"), F.when(own, F.col(body)).when(at > 0, F.substring(body, at, F.length(body))).alias("tail"))
+    tails = F.transform(F.sort_array(F.collect_list(F.when(F.col("tail").isNotNull(), F.struct(order, "tail")))), lambda x: x["tail"])
+    whole = parts.groupBy(key).agg(F.array_join(tails, "\n").alias(body)).filter(F.col(body) != "").select(key, F.lit(target).alias(section), body)
+    return parts.filter("head is not null and head != ''").select(key, section, F.col("head").alias(body)).unionByName(whole)
+
+
+def guide_title(year: Column, section: Column, college: Column, departments: Column, most: int = 8) -> Column:
+    """Title of a guide's section: the entry year, the section, its college and that college's first departments."""
+    named = F.when(F.coalesce(college, F.lit("")) != "", F.concat(F.lit(" - "), college))
+    listed = F.when(named.isNotNull() & (F.size(departments) > 0), F.concat(F.lit(GUIDE_DEPARTMENTS), F.array_join(F.slice(departments, 1, most), ", "), F.lit(")")))
+    return F.concat(year.cast("string"), F.lit(GUIDE_YEAR), section, F.coalesce(named, F.lit("")), F.coalesce(listed, F.lit("")))

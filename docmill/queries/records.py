@@ -229,6 +229,21 @@ def guide_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return admin.grouped_sections(table(spark, sf_dir, "conversations").select("conv_id", "turn", line.alias("line")), "conv_id", "turn", "line", ["이과대학", "공과대학"])
 
 
+def guide_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as sections of a guide; some of the assistant's hold the beginning of the users' section."""
+    user = F.col("role") == "user"
+    own = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(user, "졸업").otherwise(F.concat(F.lit("S"), "turn")).alias("section"), F.concat(F.lit("text "), "turn", F.when(F.col("turn") % 4 == 3, F.concat(F.lit(" 졸업기준 "), "turn")).otherwise("")).alias("body"))
+    return admin.tail_moved(own, "conv_id", "turn", "section", "body", "졸업", "졸업기준")
+
+
+def guide_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions as colleges with their nations as departments, the first two named."""
+    nations = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_list("n_name")).alias("departments"))
+    own = table(spark, sf_dir, "region").join(nations, F.col("r_regionkey") == F.col("n_regionkey"), "left")
+    college = F.when(F.col("r_regionkey") % 2 == 0, F.col("r_name"))
+    return own.select("r_regionkey", admin.guide_title(F.lit(2024), F.lit("졸업기준"), college, F.col("departments"), 2).alias("title"))
+
+
 def descriptions_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as description rows; a user's begins a course, the others go on with it."""
     starts = F.col("role") == "user"
@@ -266,7 +281,7 @@ def distinct_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_mktsegment").distinct()
 
 
-QUERIES = {f.__name__: f for f in (csv_scan, raw_layer, chunk_artifact, refreshed_dataset, appended_turns, refresh_guard, manifest_verify, homepage_map, department_colleges, courses_coalesced, filled_columns, page_tables, schedule_table, board_items, board_collected, item_details, meal_rows, week_days, weekly_files, text_sections, lines_without_repeats, notice_docs, rule_docs, schedule_docs, staff_docs, meal_docs, course_chunks, submission_notices, guide_sections, descriptions_merged, notice_records, field_rules, name_rules, distinct_names)}
+QUERIES = {f.__name__: f for f in (csv_scan, raw_layer, chunk_artifact, refreshed_dataset, appended_turns, refresh_guard, manifest_verify, homepage_map, department_colleges, courses_coalesced, filled_columns, page_tables, schedule_table, board_items, board_collected, item_details, meal_rows, week_days, weekly_files, text_sections, lines_without_repeats, notice_docs, rule_docs, schedule_docs, staff_docs, meal_docs, course_chunks, submission_notices, guide_sections, guide_tails, guide_titles, descriptions_merged, notice_records, field_rules, name_rules, distinct_names)}
 
 _NOTICE_DATE = "CASE WHEN o_orderkey % 5 > 0 THEN o_orderdate::DATE END"
 ORACLES = {
@@ -320,6 +335,11 @@ CASE t WHEN 0 THEN concat_ws(chr(10) || chr(10), 'a', own) WHEN 1 THEN concat_ws
     "guide_sections": """WITH n AS (SELECT *, CASE WHEN role = 'user' THEN ['이과대학', '[공과대학]', '이과대학 (02-1)'][(turn + conv_id) % 3 + 1] END AS h FROM conversations),
 m AS (SELECT conv_id, turn, coalesce(h, 'line ' || turn) AS line, h, sum((h IS NOT NULL)::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS n FROM n)
 SELECT conv_id, coalesce(max(CASE WHEN contains(h, '이과') THEN '이과대학' WHEN h IS NOT NULL THEN '공과대학' END), '') AS name, string_agg(line, chr(10) ORDER BY turn) AS body FROM m GROUP BY conv_id, n""",
+    "guide_tails": """WITH s AS (SELECT conv_id, turn, role = 'user' AS u, turn % 4 = 3 AS m FROM conversations)
+SELECT conv_id, 'S' || turn AS section, 'text ' || turn AS body FROM s WHERE NOT u
+UNION ALL SELECT conv_id, '졸업', string_agg(CASE WHEN u THEN 'text ' || turn || CASE WHEN m THEN ' 졸업기준 ' || turn ELSE '' END ELSE '졸업기준 ' || turn END, chr(10) ORDER BY turn) FROM s WHERE u OR m GROUP BY conv_id""",
+    "guide_titles": """WITH n AS (SELECT n_regionkey, array_to_string(list(n_name ORDER BY n_name)[:2], ', ') AS d FROM nation GROUP BY n_regionkey)
+SELECT r_regionkey, '2024학번 졸업기준' || CASE WHEN r_regionkey % 2 = 0 THEN ' - ' || r_name || coalesce(' (소속 학과: ' || d || ')', '') ELSE '' END AS title FROM region LEFT JOIN n ON r_regionkey = n_regionkey""",
     "descriptions_merged": """WITH n AS (SELECT conv_id, turn, role = 'user' AS s, row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1 AS f FROM conversations), m AS (SELECT *, sum((s OR f)::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS n FROM n)
 SELECT conv_id, CASE WHEN bool_or(s) THEN 'ABC1234' ELSE '' END AS code, coalesce('T' || min(turn) FILTER (s), '') AS title, string_agg('d' || turn || CASE WHEN NOT s AND turn % 5 = 3 THEN ' (see 1)' ELSE '' END, ' ' ORDER BY turn) AS description FROM m GROUP BY conv_id, n""",
     "notice_records": """WITH r AS (SELECT o_orderkey AS k, o_orderpriority, o_orderdate, ['B1', '', 'B2'][o_orderkey % 3 + 1] AS c FROM orders), s AS (SELECT *, CASE WHEN c <> '' THEN c || ':' || k ELSE '' END AS source_id FROM r)
