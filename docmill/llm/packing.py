@@ -13,7 +13,7 @@ import json
 import re
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -170,37 +170,45 @@ def slots(packed: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, ...]:
     return tuple(np.array(c, np.int64) for c in zip(*sorted(rows), strict=True)) if rows else (np.zeros(0, np.int64),) * 4
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, with_ids: bool = False, keep: list[str] | None = None) -> DataFrame:
-    """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids: little-endian uint32).
+def place(pieces: DataFrame, plan: Callable[[dict[int, int]], list[tuple[tuple[int, ...], int]]], keep: list[str] | None = None) -> DataFrame:
+    """pieces, a written table, with sequence_id and offset in place of nth and task.
 
-    A document is the ids of its text, then end_id; a null text is empty. Repeated rows are packed
-    each. Sequence ids are gapless from 0; in a sequence pieces follow without gaps from offset 0.
-    An empty table gives no rows; other columns of docs are not read. Ties: pieces of one length are
-    taken in the order of tasks and rows. A very long text is encoded as a whole by one task and cut
-    into windows.
+    plan: sequences for a number of pieces of each length. A piece's sequence follows from its
+    length and its number among the pieces of that length, in the order of tasks and rows.
     """
-    pieces = materialise(cut(docs, tokenizer, window, end_id, with_ids), "pieces", keep)
     counts = materialise(pieces.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n")), "lengths", keep)
     found = counts.groupBy("length").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("tasks")).collect()  # window rows at most
-    length, number, sequence, offset = slots(plan({r["length"]: r["n"] for r in found}, window))
+    length, number, sequence, offset = slots(plan({r["length"]: r["n"] for r in found}))
     high = np.int64(1) << 44
     at = length * high + number
     before = F.sum("n").over(Window.partitionBy("length").orderBy("task")) - F.col("n")
     starts = counts.select("length", "task", before.alias("before"))  # grows with the tasks, so its rows decide the join
     starts = F.broadcast(starts) if sum(r["tasks"] for r in found) <= BROADCAST_ROWS else starts.hint("merge")
-    numbered = pieces.join(starts, ["length", "task"])
-    numbered = numbered.withColumn("nth", F.col("nth") + F.col("before")).drop("before", "task")
-    names = [c for c in numbered.columns if c != "nth"]
+    names = [c for c in pieces.columns if c not in ("nth", "task")]
+    numbered = pieces.join(starts, ["length", "task"]).select(*names, (F.col("nth") + F.col("before")).alias("nth"))
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             own, nth = b["length"].to_numpy(), b["nth"].to_numpy()
             i = np.searchsorted(at, own * high + nth, "right") - 1
             more = [pa.array(sequence[i] + nth - number[i]), pa.array(offset[i])]
             yield pa.RecordBatch.from_arrays([*(b[c] for c in names), *more], names=[*names, "sequence_id", "offset"])
 
-    kinds = {f.name: f.dataType.simpleString() for f in numbered.schema}
-    placed = numbered.mapInArrow(place, ", ".join(f"{c} {kinds[c]}" for c in names) + ", sequence_id long, offset long")
+    kinds = {f.name: f.dataType.simpleString() for f in pieces.schema}
+    return numbered.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in names) + ", sequence_id long, offset long")
+
+
+def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, with_ids: bool = False, keep: list[str] | None = None) -> DataFrame:
+    """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids: little-endian uint32).
+
+    A document is the ids of its text, then end_id; a null text is empty. Repeated rows are packed
+    each. Sequence ids are gapless from 0; in a sequence pieces follow without gaps from offset 0.
+    An empty table gives no rows; other columns of docs are not read. Ties: pieces of one length are
+    taken in the order of tasks and rows. A very long text is encoded as a whole by one task and cut
+    into windows.
+    """
+    pieces = materialise(cut(docs, tokenizer, window, end_id, with_ids), "pieces", keep)
+    placed = place(pieces, lambda histogram: plan(histogram, window), keep)
     order = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     return placed.select(*order, *(["ids"] if with_ids else []))
 

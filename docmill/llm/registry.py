@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from docmill.llm import exact_dedup, language, licences, line_quality, mixing, packing, page_text, pii, simhash, site_lines
-from docmill.plans.shared import spread_table
+from docmill.llm import best_fit, conversations, exact_dedup, hard_negatives, language, licences, line_quality, mixing, packing, page_text, pii, simhash, site_lines
+from docmill.plans.shared import spread_table, table
 
 
 def op1_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +58,22 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(spread_table(spark, sf_dir, "documents")).drop("found")
 
 
-QUERIES = {"pipeline": corpus_pipeline.run, "op1_page_text": op1_page_text, "op10_pii": op10_pii, "op9_licences": op9_licences, "op2_line_quality": op2_line_quality, "op4_packing": op4_packing, "op5_language": op5_language, "op6_simhash": op6_simhash, "op3_site_lines": op3_site_lines, "op7_mixing": op7_mixing, "op8_exact_dedup": op8_exact_dedup}
+def op11_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.pack(spread_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
+QUERIES = {"pipeline": corpus_pipeline.run, "op1_page_text": op1_page_text, "op10_pii": op10_pii, "op9_licences": op9_licences, "op2_line_quality": op2_line_quality, "op4_packing": op4_packing, "op5_language": op5_language, "op6_simhash": op6_simhash, "op3_site_lines": op3_site_lines, "op7_mixing": op7_mixing, "op8_exact_dedup": op8_exact_dedup,
+           "op11_best_fit": op11_best_fit, "op12_hard_negatives": op12_hard_negatives, "op13_conversation_repair": op13_conversation_repair}
 
 #: Queries that run no Python in tasks.
 NATIVE = {"op3_site_lines", "op7_mixing", "op8_exact_dedup"}
@@ -104,4 +119,14 @@ SELECT doc_id, size, source_size, target, (size * (floor(rate) + (draw < rate -
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS norm, length(coalesce(text, '')) AS chars FROM documents)
 SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size, row_number() OVER w = 1 AS kept, sha256(norm) AS text_sha256
 FROM n WINDOW w AS (PARTITION BY norm ORDER BY chars DESC, doc_id)""",
+    "op12_hard_negatives": """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+n AS (SELECT *, row_number() OVER () AS row FROM v),
+s AS (SELECT a.row AS a, b.row AS b, a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_sum(list_transform(list_zip(a.e, b.e), lambda p: coalesce(p[1] * p[2], 0)))::BIGINT AS score
+      FROM n a JOIN n b ON a.vec_id % 100 = 0 AND a.row <> b.row),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id) <= 5),
+g AS (SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.vec_id)::INT AS rank, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+      FROM p JOIN s ON s.a = p.a AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score)
+SELECT * FROM g WHERE rank <= 5""",
 }

@@ -11,4 +11,4 @@ def test_query_equals_sql(spark, sf, name):
 
 def test_names():
     ops = sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES if n.startswith("op"))
-    assert ops == list(range(1, 11)) and "pipeline" in registry.QUERIES
+    assert ops == list(range(1, 14)) and "pipeline" in registry.QUERIES
