@@ -35,11 +35,34 @@ def vocabulary(terms: DataFrame, max_terms: int = MAX_TERMS) -> DataFrame:
     return top.withColumn("idf", F.log(F.lit(1.0 + n) / (F.col("df") + 1.0)) + 1.0)
 
 
+def idf_lengths(terms: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
+    """(key, terms, length) of (key, terms) with a term of vocab: their known terms, and the root of the sum of squared idf. vocab: at most MAX_TERMS rows, so it is collected.
+
+    A row's terms give its length: nothing is shuffled.
+    """
+    words = vocab.select("term", "idf").toArrow()
+    known, idf = column(words, "term"), column(words, "idf").to_numpy()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = column(b, "terms")
+            row = np.repeat(np.arange(len(b)), pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))
+            place = pc.index_in(lists.flatten(), value_set=known).fill_null(-1).to_numpy(zero_copy_only=False)
+            row, place = row[place >= 0], place[place >= 0]
+            n = np.bincount(row, minlength=len(b))
+            there = np.flatnonzero(n)
+            ends = pa.array(np.concatenate([[0], np.cumsum(n[there])]).astype(np.int32))
+            length = np.sqrt(np.bincount(row, idf[place] ** 2, len(b)))[there]
+            yield pa.RecordBatch.from_arrays([b.column(key).take(pa.array(there)), pa.ListArray.from_arrays(ends, known.take(pa.array(place))), pa.array(length)], names=[key, "terms", "length"])
+
+    return terms.select(key, "terms").mapInArrow(run, f"`{key}` {terms.schema[key].dataType.simpleString()}, terms array<string>, length double")
+
+
 def postings(terms: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
     """(key, term, weight) of (key, terms): TF-IDF rows of length one. vocab: written, at most MAX_TERMS rows, so it is broadcast."""
-    rows = join_checked(terms.select(key, F.explode("terms").alias("term")), vocab.select("term", "idf"), ["term"], "inner")
-    norm = F.sqrt(F.sum(F.col("idf") * F.col("idf")).over(Window.partitionBy(key)))
-    return rows.select(key, "term", (F.col("idf") / norm).alias("weight"))
+    own = idf_lengths(terms, vocab, key)
+    rows = join_checked(own.select(key, "length", F.explode("terms").alias("term")), vocab.select("term", "idf"), ["term"], "inner")
+    return rows.select(key, "term", (F.col("idf") / F.col("length")).alias("weight"))
 
 
 def sparse_index(texts: DataFrame, key: str, text: str = "text", max_terms: int = MAX_TERMS) -> tuple[DataFrame, DataFrame]:
@@ -66,6 +89,18 @@ def sparse_scores(queries: DataFrame, vocab: DataFrame, index: DataFrame, reques
     return both.groupBy(request, key).agg(F.round(F.sum(F.col("weight") * F.col("asked")), 6).alias("sparse_score")).filter("sparse_score > 0")
 
 
+def sparse_summary(queries: DataFrame, terms: DataFrame, vocab: DataFrame, request: str, key: str, query: str = "query") -> DataFrame:
+    """(request, n_hits, top_score): how many rows of (key, terms) score above zero with each query, and the best score. Requests without a hit have no row.
+
+    A task counts what it scores and passes on a row per query: no table of queries and rows exists.
+    """
+    words = vocab.select("term", "idf").toArrow()
+    asked = materialise(queries.select(request, tokens(F.col(query)).alias("terms")), "asked")
+    kinds = f"`{request}` {asked.schema[request].dataType.simpleString()}, n long, top double"
+    found = _scored(terms.select(key, "terms"), asked, request, key, kinds, lambda q: _Counted(q, words, request, key, 1))
+    return found.groupBy(request).agg(F.sum("n").alias("n_hits"), F.max("top").alias("top_score"))
+
+
 def sparse_topk(queries: DataFrame, terms: DataFrame, vocab: DataFrame, request: str, key: str, k: int, query: str = "query") -> DataFrame:
     """(request, key, sparse_score): the k best rows of (key, terms) per query, those above zero of ``sparse_scores``, ties by key.
 
@@ -80,23 +115,33 @@ def sparse_topk(queries: DataFrame, terms: DataFrame, vocab: DataFrame, request:
 def dense_scores(queries: DataFrame, rows: DataFrame, request: str, key: str, k: int, vector: str = "embedding", keep: Column | None = None) -> DataFrame:
     """(request, key, dense_score): the k rows nearest to each query by cosine of unit vectors, exactly.
 
+    Null vectors, those with null, infinite or NaN components and those of another length than the
+    longest query's take no part.
+
     A task multiplies its rows with a block of queries and passes on its k best per query, so no
     pair table ever exists. keep: a filter on the rows that comes before the ranking.
     """
     rows = rows.filter(keep) if keep is not None else rows
     asked = materialise(queries.select(request, vector), "asked")
-    return _best_rows(rows.select(key, vector), asked, request, key, "dense_score", k, lambda q: _Dense(q, request, key, vector, k))
+    return _best_rows(rows.select(key, vector), asked, request, key, "dense_score", k, lambda q: Dense(q, request, key, vector, k))
 
 
 def _best_rows(rows: DataFrame, asked: DataFrame, request: str, key: str, score: str, k: int, scorer: Callable[[pa.Table], _Scorer]) -> DataFrame:
-    """The k best rows of each query in asked, a written table.
+    """The k best rows of each query in asked, a written table."""
+    kinds = f"`{request}` {asked.schema[request].dataType.simpleString()}, `{key}` {rows.schema[key].dataType.simpleString()}, {score} double"
+    return ranked(_scored(rows, asked, request, key, kinds, scorer), request, score, key, k).drop("rank")
+
+
+def _scored(rows: DataFrame, asked: DataFrame, request: str, key: str, kinds: str, scorer: Callable[[pa.Table], _Scorer]) -> DataFrame:
+    """What the scorers of all tasks found about the queries in asked, a written table.
 
     Up to QUERY_BLOCK queries go to the tasks as they are, and rows are not shuffled. More meet the
     rows in a grid: a block of rows and a block of queries per task, so each query meets all rows,
-    nothing passes the driver, and rows are sent once for each block of queries.
+    nothing passes the driver, and rows are sent once for each block of queries. Rows without a key
+    take no part.
     """
-    kinds = f"{request} {asked.schema[request].dataType.simpleString()}, {key} {rows.schema[key].dataType.simpleString()}, {score} double"
-    names = [request, key, score]
+    rows = rows.filter(F.col(key).isNotNull())
+    names = [f.split()[0].strip("`") for f in kinds.split(", ")]
     n = asked.count()
     if n <= QUERY_BLOCK:
         block = asked.toArrow()  # QUERY_BLOCK rows at most
@@ -109,7 +154,7 @@ def _best_rows(rows: DataFrame, asked: DataFrame, request: str, key: str, score:
             if kind is not None:
                 yield from best.found(names, kind).to_batches()
 
-        return ranked(rows.mapInArrow(run, kinds), request, score, key, k).drop("rank")
+        return rows.mapInArrow(run, kinds)
 
     def cell(some: pa.Table, block: pa.Table) -> pa.Table:
         best = scorer(block)
@@ -122,8 +167,7 @@ def _best_rows(rows: DataFrame, asked: DataFrame, request: str, key: str, score:
     left = rows.withColumn("__i", F.pmod(F.xxhash64(key), F.lit(max(i, 1)))).select("*", every(j).alias("__j"))
     right = asked.withColumn("__j", F.pmod(F.xxhash64(request), F.lit(j)).cast("int")).select("*", every(i).alias("__i"))
     left, right = (x.withColumns({c: F.col(c).cast("int") for c in ("__i", "__j")}) for x in (left, right))
-    found = left.groupBy("__i", "__j").cogroup(right.groupBy("__i", "__j")).applyInArrow(cell, kinds)
-    return ranked(found, request, score, key, k).drop("rank")
+    return left.groupBy("__i", "__j").cogroup(right.groupBy("__i", "__j")).applyInArrow(cell, kinds)
 
 
 class _Scorer:
@@ -136,10 +180,10 @@ class _Scorer:
         self.ids, self.key, self.k, self.parts, self.waiting = ids, key, k, [], 0
         self.least = np.full(len(ids), -np.inf)  # the k-th best score
 
-    def keep(self, keys: pa.Array, scores: np.ndarray, floor: float = -np.inf) -> None:
-        """Take the rows' scores (row by query) into account, those above floor. What ties with the k-th stays, so that the key can decide."""
-        row, query = np.nonzero((scores >= self.least) & (scores > floor))
-        self.parts.append(pd.DataFrame({"query": query, "key": keys.take(pa.array(row)).to_pandas(), "score": scores[row, query]}))
+    def keep(self, keys: pa.Array, scores: np.ndarray, floor: float = -np.inf, queries: np.ndarray | None = None) -> None:
+        """Take the rows' scores (row by query, of all or these queries) into account, those above floor. What ties with the k-th stays, so that the key can decide."""
+        row, at = np.nonzero((scores >= (self.least if queries is None else self.least[queries])) & (scores > floor))
+        self.parts.append(pd.DataFrame({"query": at if queries is None else queries[at], "key": keys.take(pa.array(row)).to_pandas(), "score": scores[row, at]}))
         self.waiting += len(row)
         if self.waiting > self.k * len(self.ids) + 100_000:
             self.settle()
@@ -160,36 +204,54 @@ class _Scorer:
         return pa.table([query, pa.array(own["key"].tolist(), kind), pa.array(own["score"].to_numpy().astype(float))], names=names)
 
 
-def _column(block: pa.Table | pa.RecordBatch, name: str) -> pa.Array:
+def column(block: pa.Table | pa.RecordBatch, name: str) -> pa.Array:
     found = block.column(name)
     return found.combine_chunks() if isinstance(found, pa.ChunkedArray) else found
 
 
-class _Dense(_Scorer):
-    def __init__(self, block: pa.Table, request: str, key: str, vector: str, k: int):
-        super().__init__(_column(block, request), key, k)
-        self.vector, self.queries = vector, self._matrix(_column(block, vector))
+def sound_vectors(vector: str, width: int) -> Column:
+    """Vectors of this length whose components are neither null nor infinite nor NaN."""
+    return F.coalesce((F.size(vector) == width) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf"))), F.lit(False))
+
+
+class Dense(_Scorer):
+    """Inner products of rows with the queries of a block; a null or unsound vector, or one of another length than the queries', is no row."""
 
-    @staticmethod
-    def _matrix(vectors: pa.Array) -> np.ndarray:
-        return vectors.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(vectors), -1) if len(vectors) else np.zeros((0, 1))
+    def __init__(self, block: pa.Table, request: str, key: str, vector: str, k: int):
+        super().__init__(column(block, request), key, k)
+        own = column(block, vector)
+        self.vector, self.width = vector, pc.max(pc.list_value_length(own)).as_py() or 0
+        there, found = self._matrix(own)
+        self.queries = np.full((len(own), self.width), np.nan)  # an unsound query scores NaN with every row and so finds none
+        self.queries[there] = found
+
+    def _matrix(self, vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(places, vectors) of the sound ones."""
+        there = np.flatnonzero(pc.list_value_length(vectors).fill_null(-1).to_numpy(zero_copy_only=False) == self.width)
+        own = vectors.take(pa.array(there)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(there), self.width)
+        good = np.isfinite(own).all(axis=1)
+        return there[good], own[good]
 
     def add(self, batch: pa.RecordBatch) -> None:
-        keys = batch.column(self.key)
-        if not len(keys) or not len(self.ids):
+        self.score(batch, np.arange(len(self.ids)))
+
+    def score(self, batch: pa.RecordBatch, queries: np.ndarray) -> None:
+        """Score the rows with these queries."""
+        if not len(batch) or not len(queries):
             return
-        m, step = self._matrix(batch.column(self.vector)), max(1, self.CELLS // len(self.ids))
+        places, m = self._matrix(column(batch, self.vector))
+        keys, step = column(batch, self.key).take(pa.array(places)), max(1, self.CELLS // len(queries))
         for a in range(0, len(m), step):
-            self.keep(keys[a : a + step], (m[a : a + step] @ self.queries.T).round(6))
+            self.keep(keys[a : a + step], (m[a : a + step] @ self.queries[queries].T).round(6), queries=queries)
 
 
 class _Sparse(_Scorer):
     """TF-IDF cosines, by the queries' postings of each term that a row has."""
 
     def __init__(self, block: pa.Table, words: pa.Table, request: str, key: str, k: int):
-        super().__init__(_column(block, request), key, k)
-        self.terms, self.idf = _column(words, "term"), _column(words, "idf").to_numpy()
-        query, term, self.weight = self._weights(_column(block, "terms"))
+        super().__init__(column(block, request), key, k)
+        self.terms, self.idf = column(words, "term"), column(words, "idf").to_numpy()
+        query, term, self.weight = self._weights(column(block, "terms"))
         order = np.argsort(term, kind="stable")
         self.query, self.weight = query[order], self.weight[order]
         self.start = np.searchsorted(term[order], np.arange(len(self.idf) + 1))
@@ -222,6 +284,22 @@ class _Sparse(_Scorer):
             self.keep(keys[a:b], sums.reshape(b - a, -1).round(6), 0.0)
 
 
+class _Counted(_Sparse):
+    """How many rows score above zero with each query of a block, and the best score."""
+
+    def __init__(self, block: pa.Table, words: pa.Table, request: str, key: str, k: int):
+        super().__init__(block, words, request, key, k)
+        self.n, self.top = np.zeros(len(self.ids), np.int64), np.zeros(len(self.ids))
+
+    def keep(self, keys: pa.Array, scores: np.ndarray, floor: float = -np.inf, queries: np.ndarray | None = None) -> None:
+        self.n += (scores > floor).sum(axis=0)
+        self.top = np.maximum(self.top, scores.max(axis=0, initial=0.0))
+
+    def found(self, names: list[str], kind: pa.DataType) -> pa.Table:
+        hit = np.flatnonzero(self.n)
+        return pa.table([self.ids.take(pa.array(hit)), pa.array(self.n[hit]), pa.array(self.top[hit])], names=names)
+
+
 def similarity(distance: Column, space: str = "cosine") -> Column:
     """Similarity from a distance: 1 - d for cosine and inner product, 1 - d / 2 for l2; not below zero."""
     return F.greatest(F.lit(0.0), 1 - distance / (2 if space == "l2" else 1))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docmill.functions.where import predicate
-from docmill.operators import chunks, ranking, reports, retrieval
+from docmill.operators import chunks, ranking, reports, retrieval, sparse_blocks, vectors
 from docmill.operators.chunks import to_chunks
 from docmill.functions.identity import doc_key
 from docmill.plans.shared import materialise, spread_table, table
@@ -92,6 +92,41 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.withColumn("similarity", retrieval.similarity(1 - F.col("dense_score"))).select("request", "vec_id", "dense_score", F.round("similarity", 6).alias("similarity"))
 
 
+def sparse_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best documents by an index in blocks, written and searched."""
+    index = sparse_blocks.temporary(spread_table(spark, sf_dir, "documents"), "doc_id")
+    best = sparse_blocks.search(index, _queries(spark, sf_dir), "request", 5)
+    return retrieval.ranked(best, "request", "sparse_score", "doc_id", 5)
+
+
+def _vector_index(spark: SparkSession, sf_dir: str) -> tuple[vectors.VectorIndex, DataFrame]:
+    rows = table(spark, sf_dir, "embeddings")
+    asked = rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("request"), F.col("embedding").alias("asked"))
+    return vectors.temporary(rows, "vec_id", "embedding"), asked
+
+
+def vector_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest vectors in the lists that each query probes, with the share of the true nearest among them."""
+    index, asked = _vector_index(spark, sf_dir)
+    found = vectors.search(index, asked, "request", "asked", 15)
+    true = retrieval.dense_scores(asked.withColumnRenamed("asked", "embedding"), table(spark, sf_dir, "embeddings"), "request", "vec_id", 15)
+    recall = F.round(F.avg((F.col("true_score").isNotNull()).cast("double")).over(Window.partitionBy("request")), 6)
+    both = found.join(true.withColumnRenamed("dense_score", "true_score"), ["request", "vec_id"], "left")
+    return both.select("request", "vec_id", "dense_score", recall.alias("recall"))
+
+
+def vector_index_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest vectors of all, by the index: lists that can't hold one aren't read."""
+    index, asked = _vector_index(spark, sf_dir)
+    return vectors.search(index, asked, "request", "asked", 15, probes=max(1, index.probes // 2), exact=True)
+
+
+def vector_index_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest vectors of some labels: the filter comes before the ranking."""
+    index, asked = _vector_index(spark, sf_dir)
+    return vectors.search(index, asked, "request", "asked", 15, keep=predicate({"label": {"$in": [1, 4]}}, ["label"]), exact=True)
+
+
 def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, sparse, dense = _sides(spark, sf_dir)
     return retrieval.hybrid(dense, sparse, docs.select("doc_id", "source", "lang"), "request", "doc_id").select("request", "doc_id", "vector_score", "sparse_score", "hybrid_score", "rank", "source", "lang")
@@ -162,8 +197,7 @@ def recent_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fallback_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sparse = retrieval.sparse_scores(_queries(spark, sf_dir), *retrieval.sparse_index(spread_table(spark, sf_dir, "documents"), "doc_id"), "request", "doc_id")
-    top = sparse.groupBy("request").agg(F.count(F.lit(1)).alias("n_hits"), F.max("sparse_score").alias("top_score"))
+    top = retrieval.sparse_summary(_queries(spark, sf_dir), *_terms(spark, sf_dir), "request", "doc_id")
     own = _queries(spark, sf_dir).select("request").join(top, "request", "left").withColumn("n_hits", F.coalesce("n_hits", F.lit(0)))
     reason = ranking.fallback_reason(F.col("n_hits"), F.col("top_score"), F.lit(0.3), F.col("request") % 3 == 0, F.col("request") % 5 == 0, F.col("request") % 2 == 0, F.col("request") % 4 == 0)
     return own.select("request", "n_hits", "top_score", reason.alias("reason"))
@@ -188,7 +222,7 @@ scored AS (SELECT *, round(0.6::DOUBLE * norm + 0.4::DOUBLE * rec + CASE WHEN un
            + CASE WHEN guide AND asked IS NULL AND y = latest THEN 0.06 ELSE 0 END::DOUBLE + CASE WHEN dataset = 'courses' AND own THEN 0.1 ELSE 0 END::DOUBLE, 6) AS final_score FROM s),
 placed AS (SELECT *, row_number() OVER (PARTITION BY request ORDER BY m DESC, final_score DESC, hybrid_score DESC, id) AS rank FROM scored)"""
 
-QUERIES = {f.__name__: f for f in (chunk_fixed, neighbour_context, context_pack, citations, history_tail, tfidf_vocabulary, tfidf_postings, sparse_topk, dense_topk, hybrid_topk, hybrid_filtered, multi_query_merge, date_filter_aux, date_relaxation, deadline_rank, recency_rank, rerank_head, recent_order, fallback_decision, recall_at_k)}
+QUERIES = {f.__name__: f for f in (chunk_fixed, neighbour_context, context_pack, citations, history_tail, tfidf_vocabulary, tfidf_postings, sparse_topk, sparse_index_topk, dense_topk, vector_index_topk, vector_index_exact, vector_index_filtered, hybrid_topk, hybrid_filtered, multi_query_merge, date_filter_aux, date_relaxation, deadline_rank, recency_rank, rerank_head, recent_order, fallback_decision, recall_at_k)}
 _CHUNKS = """
 c AS (SELECT doc_id, source, text, unnest(range(0, greatest(1, ceil((length(text) - 300) / 220.0)::INT + 1))) AS position FROM documents),
 k AS (SELECT doc_id, source, position, regexp_replace(substr(text, position * 220 + 1, 300), '^\\s+|\\s+$', '', 'g') AS segment FROM c)"""
@@ -210,6 +244,11 @@ SELECT conv_id, string_agg(CASE WHEN role = 'user' THEN '사용자: ' || trim(te
     "tfidf_vocabulary": f"WITH {_TERMS} SELECT term, df, round(idf, 6) AS idf FROM vocab",
     "tfidf_postings": f"WITH {_TERMS} SELECT doc_id, term, round(weight, 6) AS weight FROM post",
     "sparse_topk": f"WITH {_TERMS} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request ORDER BY sparse_score DESC, doc_id)::INT AS rank FROM sparse) WHERE rank <= 5",
+    "sparse_index_topk": f"WITH {_TERMS} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request ORDER BY sparse_score DESC, doc_id)::INT AS rank FROM sparse) WHERE rank <= 5",
+    "vector_index_exact": """WITH d AS (SELECT q.vec_id AS request, v.vec_id, round(list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS dense_score FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0)
+SELECT request, vec_id, dense_score FROM (SELECT *, row_number() OVER (PARTITION BY request ORDER BY dense_score DESC, vec_id) AS n FROM d) WHERE n <= 15""",
+    "vector_index_filtered": """WITH d AS (SELECT q.vec_id AS request, v.vec_id, round(list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS dense_score FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0 AND v.label IN (1, 4))
+SELECT request, vec_id, dense_score FROM (SELECT *, row_number() OVER (PARTITION BY request ORDER BY dense_score DESC, vec_id) AS n FROM d) WHERE n <= 15""",
     "dense_topk": """WITH d AS (SELECT q.vec_id AS request, v.vec_id, round(list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS dense_score FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0)
 SELECT request, vec_id, dense_score, round(greatest(0, dense_score), 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY request ORDER BY dense_score DESC, vec_id) AS n FROM d) WHERE n <= 15""",
     "hybrid_topk": f"""WITH {_TERMS}, {_DENSE},
