@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import gcd
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,10 +18,17 @@ UNTITLED = r"(?s)^\[.*?\]\n\n"
 
 
 def windows(text: Column, size: int, overlap: int) -> Column:
-    """Windows of size characters at steps of size - overlap; the first that reaches the end is the last."""
+    """Windows of size characters at steps of size - overlap; the first that reaches the end is the last.
+
+    The text is cut once into pieces of which windows and steps are multiples, and a window joins its
+    pieces, so the work grows with the text's length.
+    """
     step = max(1, size - overlap)
+    piece = gcd(size, step)
     n = F.greatest(F.lit(1), F.ceil((F.length(text) - size) / step).cast("int") + 1)
-    return F.when(F.length(text) > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(text, i * step + 1, F.lit(size)))).otherwise(F.array(text))
+    cut = F.array(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{piece}}}"), F.lit(0)))  # in an array, so that the function below gets it as a value
+    whole = lambda pieces: F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_join(F.slice(pieces, i * (step // piece) + 1, F.lit(size // piece)), ""))
+    return F.when(F.length(text) > 0, F.transform(cut, whole)[0]).otherwise(F.array(text))
 
 
 def to_chunks(docs: DataFrame, size: int | None, overlap: int = 0, title: str | None = None, text: str = "text") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docmill.operators import reports, sync
+from docmill.operators import reports, sync, trees
 from docmill.operators.chunks import keep_first
 from docmill.operators.understanding import last_before
 from docmill.plans.shared import table
@@ -166,23 +166,21 @@ def log_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tree_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Region > nation > customer paths by parent links, level by level."""
+    """Region > nation > customer paths by parent links."""
     region, nation, customer = (table(spark, sf_dir, t) for t in ("region", "nation", "customer"))
     nodes = region.select(F.concat(F.lit("r"), "r_regionkey").alias("id"), F.lit(None).cast("string").alias("parent"), F.col("r_name").alias("name")).union(
         nation.select(F.concat(F.lit("n"), "n_nationkey"), F.concat(F.lit("r"), "n_regionkey"), "n_name")
     ).union(customer.select(F.concat(F.lit("c"), "c_custkey"), F.concat(F.lit("n"), "c_nationkey"), "c_name"))
-    return paths(nodes)
+    return trees.paths(nodes)
 
 
-def paths(nodes: DataFrame, levels: int = 3) -> DataFrame:
-    """(id, path) of a parent table (id, parent, name) up to so many levels: one join per level."""
-    at = nodes.filter("parent is null").select("id", F.col("name").alias("path"))
-    out = at
-    for _ in range(levels - 1):
-        below = at.select(F.col("id").alias("parent"), "path")
-        at = nodes.join(below, "parent").select("id", F.concat("path", F.lit(" > "), "name").alias("path"))
-        out = out.unionByName(at)
-    return out
+def tree_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's orders as a chain, each below the one before; orders of customers divisible by 7 point in a circle, and those divisible by 5 lack their root."""
+    place = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.lag("o_orderkey").over(place).alias("before"), F.max("o_orderkey").over(Window.partitionBy("o_custkey")).alias("last"))
+    ring = F.when(F.col("before").isNull() & (F.col("o_custkey") % 7 == 0), F.col("last")).otherwise(F.col("before"))
+    nodes = orders.filter("before is not null or o_custkey % 5 > 0").select(F.col("o_orderkey").alias("id"), ring.alias("parent"), F.col("o_orderkey").cast("string").alias("name"))
+    return trees.paths(nodes)
 
 
 def keyset_page(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,7 +205,7 @@ def pending_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.row_number().over(order).alias("place"))
 
 
-QUERIES = {f.__name__: f for f in (sync_diff, run_status, sync_again, quality_checks, upsert_rows, cascade_delete, latest_lookup, outer_merge, left_default, semi_anti, union_missing, dedupe_prefer, admin_rollup, fallback_counts, visitors, manager_per_group, eval_metrics, eval_gate, dataset_health, costs, streak_islands, carry_forward, rate_windows, log_export, tree_paths, keyset_page, log_search, guarded, pending_first)}
+QUERIES = {f.__name__: f for f in (sync_diff, run_status, sync_again, quality_checks, upsert_rows, cascade_delete, latest_lookup, outer_merge, left_default, semi_anti, union_missing, dedupe_prefer, admin_rollup, fallback_counts, visitors, manager_per_group, eval_metrics, eval_gate, dataset_health, costs, streak_islands, carry_forward, rate_windows, log_export, tree_paths, tree_chains, keyset_page, log_search, guarded, pending_first)}
 
 _DIFF = """
 snap AS (SELECT doc_id::VARCHAR AS source_id, sha1(text || CASE WHEN doc_id % 4 = 0 THEN 'old' ELSE '' END) AS oh, CASE WHEN doc_id % 7 = 0 THEN 'hidden' WHEN doc_id % 5 = 0 THEN 'updated' ELSE 'active' END AS os, 0 AS om, false AS pin FROM documents WHERE doc_id % 10 <> 1
@@ -249,6 +247,9 @@ SELECT event_id, sum((c AND NOT r)::INT) OVER (PARTITION BY user_id, g ORDER BY
     "log_export": "WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey)::INT AS rank FROM lineitem WHERE l_quantity > 30) SELECT o_orderkey, o_orderstatus, coalesce(l_linenumber, 0) AS l_linenumber, coalesce(l_partkey, 0) AS l_partkey, coalesce(rank, 0) AS rank FROM orders LEFT JOIN l ON o_orderkey = l_orderkey",
     "tree_paths": """WITH RECURSIVE n AS (SELECT 'r' || r_regionkey AS id, NULL AS parent, r_name AS name FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, c_name FROM customer),
 t AS (SELECT id, name AS path FROM n WHERE parent IS NULL UNION ALL SELECT n.id, path || ' > ' || name FROM n JOIN t ON n.parent = t.id) SELECT id, path FROM t""",
+    "tree_chains": """WITH o AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders)
+SELECT b.o_orderkey AS id, CASE WHEN b.o_custkey % 7 > 0 OR b.o_custkey % 5 = 0 THEN string_agg(a.o_orderkey::VARCHAR, ' > ' ORDER BY a.n) END AS path
+FROM o b JOIN o a ON a.o_custkey = b.o_custkey AND a.n <= b.n WHERE (a.n > 1 OR a.o_custkey % 5 > 0) AND (b.n > 1 OR b.o_custkey % 5 > 0) GROUP BY b.o_orderkey, b.o_custkey""",
     "keyset_page": "SELECT event_id, ts, user_id FROM events WHERE ts < TIMESTAMP '2024-01-15' ORDER BY ts DESC, event_id DESC LIMIT 20",
     "log_search": "SELECT conv_id, turn FROM conversations WHERE contains(lower(text), 'the') AND role = 'user'",
     "guarded": "SELECT DISTINCT user_id, coalesce(c_mktsegment IN ('BUILDING', 'MACHINERY'), false) AS allowed FROM events LEFT JOIN customer ON user_id = c_custkey",
