@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docmill.functions import dates, text
 from docmill.operators import admin, chunks, sync
 from docmill.operators import understanding as ask
 from docmill.plans.shared import scratch, table
-from docmill.sources import files, pages
+from docmill.sources import boards, files, pages
 
 
 def _pick(by: Column, *values: str) -> Column:
@@ -121,12 +121,40 @@ def schedule_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.schedule_rows(_nation_pages(spark, sf_dir, "2026학년도 교내일정", _row("기간", "내용", tag="th"), _row(period, content)), "n_regionkey")
 
 
+def _list_pages(spark: SparkSession, sf_dir: str, per_page: int = 40) -> DataFrame:
+    """(board, page, html): a board per host, on whose list pages the crawled pages stand, newest first, as many to a page."""
+    key, host = F.col("page_id"), F.regexp_extract("url", "//([^/:?#]*)", 1)
+    own = table(spark, sf_dir, "pages").select("page_id", host.alias("board"), F.regexp_replace("url", "&", "&amp;").alias("title"))
+    own = own.withColumn("at", F.row_number().over(Window.partitionBy("board").orderBy(F.desc("page_id"))) - 1)
+    fixed = F.when(key % 5 == 0, "<span class=fix>x</span>").otherwise("")
+    item = F.concat(F.lit('<li><a onclick="goDetail('), key, F.lit(')"><div class="mark">'), fixed, F.lit("</div><em>c"), key % 3, F.lit("</em><p class='tit'>"), F.col("title"), F.lit("</p><span>2026."), key % 13, F.lit("."), key % 28 + 1, F.lit(".</span><span>7</span></a></li>"))
+    paged = own.groupBy("board", F.floor(F.col("at") / per_page).cast("int").alias("page"))  # per_page rows a group
+    return paged.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", item.alias("item")))), lambda x: x["item"]), "").alias("html"))
+
+
 def board_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items of list pages made of nations."""
-    key = F.col("n_nationkey")
-    item = F.concat(F.lit('<li><a onclick="goDetail('), key, F.lit(')"><div class="mark">'), F.when(key % 5 == 0, "<span class=fix>x</span>").otherwise(""), F.lit("</div><em>c</em><p class='tit'>T "), F.col("n_name"), F.lit("</p><span>2026.1."), key % 9 + 1, F.lit(".</span><span>7</span></a></li>"))
-    own = table(spark, sf_dir, "nation").groupBy(F.concat(F.lit("b"), "n_regionkey").alias("board")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n_nationkey", item.alias("item")))), lambda x: x["item"]), "").alias("html"))
-    return pages.board_list(own.withColumn("page", F.lit(1)), "board", "page")
+    """Items of the list pages of all hosts."""
+    return pages.board_list(_list_pages(spark, sf_dir), "board", "page")
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> str:
+    path = scratch(spark, "boards")
+    _list_pages(spark, sf_dir).write.partitionBy("board", "page").text(path)
+    spark.dataSource.register(boards.BoardSource)
+    return path
+
+
+def board_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of stored list pages, through the data source."""
+    return spark.read.format("board_pages").option("pagesPerTask", 2).load(_stored(spark, sf_dir))
+
+
+def board_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a stream over stored list pages hands on, as a table."""
+    path, out = _stored(spark, sf_dir), scratch(spark, "items")
+    run = spark.readStream.format("board_pages").load(path).writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch(spark, "stream")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.parquet(out)
 
 
 def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -281,9 +309,11 @@ def distinct_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_mktsegment").distinct()
 
 
-QUERIES = {f.__name__: f for f in (csv_scan, raw_layer, chunk_artifact, refreshed_dataset, appended_turns, refresh_guard, manifest_verify, homepage_map, department_colleges, courses_coalesced, filled_columns, page_tables, schedule_table, board_items, board_collected, item_details, meal_rows, week_days, weekly_files, text_sections, lines_without_repeats, notice_docs, rule_docs, schedule_docs, staff_docs, meal_docs, course_chunks, submission_notices, guide_sections, guide_tails, guide_titles, descriptions_merged, notice_records, field_rules, name_rules, distinct_names)}
+QUERIES = {f.__name__: f for f in (csv_scan, raw_layer, chunk_artifact, refreshed_dataset, appended_turns, refresh_guard, manifest_verify, homepage_map, department_colleges, courses_coalesced, filled_columns, page_tables, schedule_table, board_items, board_source, board_stream, board_collected, item_details, meal_rows, week_days, weekly_files, text_sections, lines_without_repeats, notice_docs, rule_docs, schedule_docs, staff_docs, meal_docs, course_chunks, submission_notices, guide_sections, guide_tails, guide_titles, descriptions_merged, notice_records, field_rules, name_rules, distinct_names)}
 
 _NOTICE_DATE = "CASE WHEN o_orderkey % 5 > 0 THEN o_orderdate::DATE END"
+_BOARDS = """WITH p AS (SELECT page_id AS k, regexp_extract(url, '//([^/:?#]*)', 1) AS board, url, row_number() OVER (PARTITION BY regexp_extract(url, '//([^/:?#]*)', 1) ORDER BY page_id DESC) - 1 AS i FROM pages),
+items AS (SELECT board, (i // 40)::INT AS page, (i % 40)::INT AS place, k AS article_id, url AS title, 'c' || (k % 3) AS category, CASE WHEN k % 13 > 0 THEN strftime(make_date(2026, (k % 13)::INT, (k % 28 + 1)::INT), '%Y-%m-%d') END AS posted_at, k % 5 = 0 AS is_pinned FROM p)"""
 ORACLES = {
     "csv_scan": "SELECT c_custkey::VARCHAR AS source_id, CASE WHEN c_custkey % 4 > 0 THEN c_name ELSE '' END AS title, '2026-01-1' || (c_custkey % 9) AS published_at, ['active', 'updated'][c_custkey % 3 + 1] AS status FROM customer WHERE c_custkey % 3 < 2",
     "raw_layer": "SELECT 'notices:' || o_orderkey AS document_key, o_orderpriority AS title, 'notices_' || o_orderkey AS file, CASE WHEN o_orderkey % 6 > 0 THEN year(o_orderdate) ELSE 2026 END::INT AS year, CASE WHEN o_orderkey % 6 > 0 THEN month(o_orderdate) ELSE 2 END::INT AS month FROM orders",
@@ -299,7 +329,9 @@ ORACLES = {
     "page_tables": """SELECT n_regionkey, '1' AS "table", 'Region ' || n_regionkey AS heading, 'c' AS caption, '국문 교과목명|n' AS header, c AS cells, 3 + CASE WHEN contains(c, '학점') THEN 1 ELSE 0 END + CASE WHEN contains(lower(c), 'kenya') THEN 1 ELSE 0 END AS score, 'title' AS first
 FROM (SELECT n_regionkey, CASE n_nationkey % 3 WHEN 0 THEN n_name || '|' || n_nationkey WHEN 1 THEN n_name || '|' ELSE n_name || ' & co|학점' END AS c FROM nation)""",
     "schedule_table": """SELECT n_regionkey, '2026' AS year, 'Event ' || n_nationkey AS content, CASE WHEN n_nationkey % 3 > 0 THEN 'D' || n_nationkey ELSE '' END AS department, '2026-03-0' || (n_nationkey % 9 + 1) AS start, CASE WHEN n_nationkey % 2 = 0 THEN '2026-04-1' || (n_nationkey % 9) ELSE '2026-03-0' || (n_nationkey % 9 + 1) END AS "end" FROM nation""",
-    "board_items": "SELECT 'b' || n_regionkey AS board, 1 AS page, (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1)::INT AS place, n_nationkey::BIGINT AS article_id, 'T ' || n_name AS title, 'c' AS category, '2026-01-0' || (n_nationkey % 9 + 1) AS posted_at, n_nationkey % 5 = 0 AS is_pinned FROM nation",
+    "board_items": f"{_BOARDS} SELECT * FROM items",
+    "board_source": f"{_BOARDS} SELECT * FROM items",
+    "board_stream": f"{_BOARDS} SELECT * FROM items",
     "board_collected": """WITH l AS (SELECT o_orderpriority AS board, o_orderkey // 50 AS page, o_orderkey % 50 AS place, CASE WHEN o_orderkey % 10 = 9 THEN o_orderkey - 5 ELSE o_orderkey END AS article_id, year(o_orderdate) < 1994 AS old, o_orderkey % 17 = 0 AS pin FROM orders),
 g AS (SELECT *, sum((NOT old AND NOT pin)::INT) OVER (PARTITION BY board ORDER BY page, place ROWS UNBOUNDED PRECEDING) AS g FROM l),
 s AS (SELECT *, sum((old AND NOT pin)::INT) OVER (PARTITION BY board, g ORDER BY page, place ROWS UNBOUNDED PRECEDING) AS s FROM g),

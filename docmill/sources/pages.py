@@ -7,6 +7,7 @@ mean is decided by Column expressions afterwards.
 from __future__ import annotations
 
 import re
+from datetime import date
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -210,16 +211,29 @@ class _Items(HTMLParser):
             self.items[-1][self.into] = " ".join(f"{old or ''} {data}".split()) or None
 
 
+_POSTED = re.compile(r"([0-9]{4})\.([0-9]{1,2})\.([0-9]{1,2})")
+
+
+def list_items(html: str) -> list[dict]:
+    """The items of a list page, with posted_at as yyyy-MM-dd, None if it is no date."""
+
+    def iso(text: str | None) -> str | None:
+        try:
+            return date(*map(int, _POSTED.search(text or "").groups())).isoformat()
+        except (AttributeError, ValueError):
+            return None
+
+    return [item | {"posted_at": iso(item["posted_at"])} for item in _Items(html or "").items]
+
+
 def board_list(pages: DataFrame, board: str, page: str, html: str = "html") -> DataFrame:
     """(board, page, place, article_id, title, category, posted_at, is_pinned) of the items on list pages."""
 
     @F.pandas_udf(LISTED)
     def items(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda h: _Items(h or "").items)
+        return texts.map(list_items)
 
-    own = pages.select(board, page, F.posexplode(items(F.col(html))).alias("place", "i")).select(board, page, "place", "i.*")
-    date = day(*(F.regexp_extract("posted_at", r"([0-9]{4})\.([0-9]{1,2})\.([0-9]{1,2})", i) for i in (1, 2, 3)))
-    return own.withColumn("posted_at", F.date_format(date, "yyyy-MM-dd"))
+    return pages.select(board, page, F.posexplode(items(F.col(html))).alias("place", "i")).select(board, page, "place", "i.*")
 
 
 def collected(items: DataFrame, known: DataFrame, board: str, earliest_year: int, stop_after: int = 5) -> DataFrame:
