@@ -100,25 +100,26 @@ def _row(*cells: str | Column, tag: str = "td") -> Column:
     return F.concat(F.lit("<tr>"), *(F.concat(F.lit(f"<{tag}>"), F.lit(c) if isinstance(c, str) else c, F.lit(f"</{tag}>")) for c in cells), F.lit("</tr>"))
 
 
-def _nation_pages(spark: SparkSession, sf_dir: str, caption: str, head: Column, row: Column) -> DataFrame:
-    """A page per region with a table of its nations, under a heading."""
-    rows = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n_nationkey", row.alias("row")))), lambda x: x["row"]), "\n").alias("rows"))
-    return rows.select("n_regionkey", F.concat(F.lit("<h2>Region <b>"), F.col("n_regionkey"), F.lit(f"</b></h2><table><caption>{caption}</caption>"), head, "rows", F.lit("</table>")).alias("html"))
+def _order_pages(spark: SparkSession, sf_dir: str, caption: str, head: Column, row: Column) -> DataFrame:
+    """A page per customer with a table of their orders, under a heading."""
+    rows = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", row.alias("row")))), lambda x: x["row"]), "\n").alias("rows"))  # a customer's orders
+    return rows.select("o_custkey", F.concat(F.lit("<h2>Customer <b>"), F.col("o_custkey"), F.lit(f"</b></h2><table><caption>{caption}</caption>"), head, "rows", F.lit("</table>")).alias("html"))
 
 
 def page_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of tables with their relevance to courses and the canonical name of their first column; a row too long is cut, one too short filled."""
-    row = F.when(F.col("n_nationkey") % 3 == 0, _row(F.col("n_name"), F.col("n_nationkey").cast("string"), "more")).when(F.col("n_nationkey") % 3 == 1, _row(F.col("n_name"))).otherwise(_row(F.concat(F.col("n_name"), F.lit(" &amp; <i>co</i>")), F.lit("학점")))
-    found = pages.tables(_nation_pages(spark, sf_dir, "c", _row("국문 교과목명", "n", tag="th"), row), "n_regionkey")
-    score = pages.relevance(F.col("header"), F.array_join("cells", " "), ["교과목명", "학점", "KENYA"])
-    return found.select("n_regionkey", "table", "heading", "caption", F.array_join("header", "|").alias("header"), F.array_join("cells", "|").alias("cells"), score.alias("score"), pages.canonical(F.get("header", F.lit(0)), {"title": ["교과목명"], "code": ["학수번호"]}).alias("first"))
+    key, name = F.col("o_orderkey"), F.col("o_orderpriority")
+    row = F.when(key % 3 == 0, _row(name, key.cast("string"), "more")).when(key % 3 == 1, _row(name)).otherwise(_row(F.concat(name, F.lit(" &amp; <i>co</i>")), F.lit("학점")))
+    found = pages.tables(_order_pages(spark, sf_dir, "c", _row("국문 교과목명", "n", tag="th"), row), "o_custkey")
+    score = pages.relevance(F.col("header"), F.array_join("cells", " "), ["교과목명", "학점", "URGENT"])
+    return found.select("o_custkey", "table", "heading", "caption", F.array_join("header", "|").alias("header"), F.array_join("cells", "|").alias("cells"), score.alias("score"), pages.canonical(F.get("header", F.lit(0)), {"title": ["교과목명"], "code": ["학수번호"]}).alias("first"))
 
 
 def schedule_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.col("n_nationkey")
+    key = F.col("o_orderkey")
     period = F.concat(F.lit("2026.03.0"), key % 9 + 1, F.when(key % 2 == 0, F.concat(F.lit(" ~ 2026. 4. 1"), key % 9)).otherwise(""))
     content = F.concat(F.lit("Event  "), key, F.when(key % 3 > 0, F.concat(F.lit(" (주관부서 : D"), key, F.lit(") 바로가기"))).otherwise(""))
-    return pages.schedule_rows(_nation_pages(spark, sf_dir, "2026학년도 교내일정", _row("기간", "내용", tag="th"), _row(period, content)), "n_regionkey")
+    return pages.schedule_rows(_order_pages(spark, sf_dir, "2026학년도 교내일정", _row("기간", "내용", tag="th"), _row(period, content)), "o_custkey")
 
 
 def _list_pages(spark: SparkSession, sf_dir: str, per_page: int = 40) -> DataFrame:
@@ -326,9 +327,9 @@ ORACLES = {
     "department_colleges": "SELECT 'd' || n_regionkey AS department, arg_max(n_name, n_nationkey) AS college FROM nation WHERE n_nationkey % 3 = 2 GROUP BY n_regionkey",
     "courses_coalesced": "SELECT CASE WHEN p_partkey % 2 = 0 THEN 'C' ELSE 'X' END || p_partkey AS course_code, trim(CASE WHEN p_partkey % 3 = 0 THEN p_type ELSE p_name END) AS title, '' AS description, p_size::VARCHAR AS credit, '' AS semester, '' AS grade, '' AS course_type FROM part",
     "filled_columns": "SELECT unnest(['s_suppkey', 's_name', 'once']) AS name",
-    "page_tables": """SELECT n_regionkey, '1' AS "table", 'Region ' || n_regionkey AS heading, 'c' AS caption, '국문 교과목명|n' AS header, c AS cells, 3 + CASE WHEN contains(c, '학점') THEN 1 ELSE 0 END + CASE WHEN contains(lower(c), 'kenya') THEN 1 ELSE 0 END AS score, 'title' AS first
-FROM (SELECT n_regionkey, CASE n_nationkey % 3 WHEN 0 THEN n_name || '|' || n_nationkey WHEN 1 THEN n_name || '|' ELSE n_name || ' & co|학점' END AS c FROM nation)""",
-    "schedule_table": """SELECT n_regionkey, '2026' AS year, 'Event ' || n_nationkey AS content, CASE WHEN n_nationkey % 3 > 0 THEN 'D' || n_nationkey ELSE '' END AS department, '2026-03-0' || (n_nationkey % 9 + 1) AS start, CASE WHEN n_nationkey % 2 = 0 THEN '2026-04-1' || (n_nationkey % 9) ELSE '2026-03-0' || (n_nationkey % 9 + 1) END AS "end" FROM nation""",
+    "page_tables": """SELECT o_custkey, '1' AS "table", 'Customer ' || o_custkey AS heading, 'c' AS caption, '국문 교과목명|n' AS header, c AS cells, 3 + CASE WHEN contains(c, '학점') THEN 1 ELSE 0 END + CASE WHEN contains(lower(c), 'urgent') THEN 1 ELSE 0 END AS score, 'title' AS first
+FROM (SELECT o_custkey, CASE o_orderkey % 3 WHEN 0 THEN o_orderpriority || '|' || o_orderkey WHEN 1 THEN o_orderpriority || '|' ELSE o_orderpriority || ' & co|학점' END AS c FROM orders)""",
+    "schedule_table": """SELECT o_custkey, '2026' AS year, 'Event ' || o_orderkey AS content, CASE WHEN o_orderkey % 3 > 0 THEN 'D' || o_orderkey ELSE '' END AS department, '2026-03-0' || (o_orderkey % 9 + 1) AS start, CASE WHEN o_orderkey % 2 = 0 THEN '2026-04-1' || (o_orderkey % 9) ELSE '2026-03-0' || (o_orderkey % 9 + 1) END AS "end" FROM orders""",
     "board_items": f"{_BOARDS} SELECT * FROM items",
     "board_source": f"{_BOARDS} SELECT * FROM items",
     "board_stream": f"{_BOARDS} SELECT * FROM items",
