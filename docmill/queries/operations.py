@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from docmill.functions import text
 from docmill.functions.dates import sort_date
 from docmill.functions.fixed import RUN_MODES, SECTION_BOILERPLATE, SECTION_IGNORED, SECTION_SIGNALS, SENTENCE_MARKS
-from docmill.operators import admin, ranking, reports, retrieval, sync
+from docmill.operators import admin, approval, ranking, reports, retrieval, sync
 from docmill.operators import understanding as ask
 from docmill.plans.shared import materialise, scratch, spread_table, table
 from docmill.queries.reports import _DIFF, _RES, _incoming, _results, _snapshot
 from docmill.queries.retrieval import _TERMS, _merged_orders
-from docmill.sources import pages
+from docmill.sources import buckets, pages, versions
 from docmill.streaming import jobs
 
 
@@ -100,6 +100,30 @@ def approvals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.settled(table(spark, sf_dir, "orders"), steps, "o_orderkey", "l_linenumber").select("o_orderkey", "status", F.array_join("undo", ",").alias("undo"))
 
 
+def approved_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' submissions, of which some are approved and some of these then rejected, with their notices and chunks."""
+    tables, key = versions.TableSet(spark, scratch(spark, "tables")), F.col("c_custkey")
+    kind = F.element_at(F.array(*map(F.lit, ("custom_knowledge", "event", "announcement", "other"))), (key % 4 + 1).cast("int"))
+    data = F.concat(F.lit('{"question": "q'), key, F.lit('", "answer": "a", "title": "t'), key, F.lit('", "start_date": "2026-05-01", "content": "c", "date": "2026-01-02"}'))
+    as_of, items = F.lit("2026-03-04").cast("date"), table(spark, sf_dir, "customer").select(key.alias("item_id"), kind.alias("kind"), data.alias("data"), F.lit("pending").alias("status"))
+    with tables.change() as change:
+        items = change.write("items", items)
+        notices = change.write("notices", approval.notices_of(items.limit(0), as_of))
+        change.write("chunks", approval.chunks_of(notices, 300, 80))
+    approval.settle(tables, items.filter("item_id % 5 in (1, 2)").select("item_id", F.lit(True).alias("approve")), as_of)
+    approval.settle(tables, items.filter("item_id % 5 = 2").select("item_id", F.lit(False).alias("approve")), as_of)
+    n = tables.read("chunks").groupBy("item_id").agg(F.count(F.lit(1)).alias("n_chunks"))
+    return tables.read("items").select("item_id", "status").join(tables.read("notices").select("item_id", "board", "title"), "item_id", "left").join(n, "item_id", "left").na.fill("", ["board", "title"]).na.fill(0, ["n_chunks"])
+
+
+def upsert_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts in buckets, the large ones upserted."""
+    path, parts = scratch(spark, "buckets"), table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", F.lit(-1).alias("extra"))
+    buckets.write_buckets(parts, path, ["p_partkey"], 16)
+    buckets.upsert_buckets(spark, path, parts.filter("p_size > 25").select("p_partkey", F.upper("p_name").alias("p_name"), F.lit(-1).alias("p_size"), F.lit(1).alias("extra")))
+    return buckets.read_buckets(spark, path).drop("bucket")
+
+
 def cache_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as questions: the first of a user and type is answered, later ones are hits."""
     nth = F.row_number().over(Window.partitionBy("event_type", "user_id").orderBy("ts", "event_id"))
@@ -255,7 +279,7 @@ def reply_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("event_id", "g.checked", "g.grounded", F.coalesce("g.score", F.lit(-1.0)).alias("score"), "followups")
 
 
-QUERIES = {f.__name__: f for f in (sort_dates, dataset_topk, unavailable_datasets, second_chance, index_artifact, index_states, sync_modes, index_repairs, index_repaired, index_rebuilt, approvals, cache_stats, recent_answers, collection_diagnosis, verdict_shares, console_rollup, report_lines, last_published, clamped_page, role_counts, usage_tokens, useful_sections, menu_labels, marked_sections, html_strip_parser, word_tokens, schedule_text, contents_pages, merged_routes, scope_filtered, cache_eligible, guide_years, topics_aligned, reply_rules)}
+QUERIES = {f.__name__: f for f in (sort_dates, dataset_topk, unavailable_datasets, second_chance, index_artifact, index_states, sync_modes, index_repairs, index_repaired, index_rebuilt, approvals, approved_set, upsert_buckets, cache_stats, recent_answers, collection_diagnosis, verdict_shares, console_rollup, report_lines, last_published, clamped_page, role_counts, usage_tokens, useful_sections, menu_labels, marked_sections, html_strip_parser, word_tokens, schedule_text, contents_pages, merged_routes, scope_filtered, cache_eligible, guide_years, topics_aligned, reply_rules)}
 
 
 def _any(words: list[str], q: str) -> str:
@@ -285,6 +309,10 @@ UNION ALL SELECT 'p' || p_partkey, p_partkey % 50, p_name, 0, s_name, s_nationke
     "approvals": """WITH f AS (SELECT l_orderkey, min(l_linenumber) FILTER (l_quantity > 45) AS failed FROM lineitem GROUP BY l_orderkey),
 u AS (SELECT l.l_orderkey, any_value(failed) AS failed, string_agg(l_returnflag || l_linenumber, ',' ORDER BY l_linenumber DESC, l_returnflag DESC) FILTER (l_linenumber < failed) AS undo FROM lineitem l JOIN f ON l.l_orderkey = f.l_orderkey GROUP BY l.l_orderkey)
 SELECT o_orderkey, CASE WHEN l_orderkey IS NULL OR failed IS NOT NULL THEN 'pending' ELSE 'approved' END AS status, coalesce(undo, '') AS undo FROM orders LEFT JOIN u ON o_orderkey = l_orderkey""",
+    "approved_set": """WITH i AS (SELECT c_custkey AS k, c_custkey % 4 AS t, c_custkey % 5 AS d FROM customer)
+SELECT k AS item_id, CASE WHEN d = 2 THEN 'rejected' WHEN d = 1 AND t = 3 THEN 'approved_manually' WHEN d = 1 THEN 'approved' ELSE 'pending' END AS status,
+CASE WHEN d = 1 AND t < 3 THEN ['학과지식', '학과행사', '학과공지'][t + 1] ELSE '' END AS board, CASE WHEN d = 1 AND t < 3 THEN CASE t WHEN 0 THEN 'q' ELSE 't' END || k ELSE '' END AS title, CASE WHEN d = 1 AND t < 3 THEN 1 ELSE 0 END AS n_chunks FROM i""",
+    "upsert_buckets": "SELECT p_partkey, CASE WHEN p_size > 25 THEN upper(p_name) ELSE p_name END AS p_name, CASE WHEN p_size <= 25 THEN p_size ELSE -1 END AS p_size, CASE WHEN p_size > 25 THEN 1 ELSE -1 END AS extra FROM part",
     "cache_stats": "SELECT count(DISTINCT event_type) AS namespaces, count(DISTINCT (event_type, user_id)) AS size, count(*) - count(DISTINCT (event_type, user_id)) AS hits, count(DISTINCT (event_type, user_id)) AS misses FROM events",
     "recent_answers": """WITH c AS (SELECT label, vec_id, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id % 60 DESC, vec_id) AS n FROM embeddings WHERE vec_id % 20 > 0 AND vec_id % 60 >= 29),
 s AS (SELECT a.label, a.vec_id AS asked_id, c.vec_id AS cached_id, round(list_dot_product(a.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS score FROM embeddings a JOIN c ON a.label = c.label WHERE a.vec_id % 20 = 0 AND n <= 500),
