@@ -218,20 +218,46 @@ def _headings(e: Element) -> list[Element]:
     return out
 
 
+def _found(root: Element, tag: str, template: frozenset[int]) -> list[Element]:
+    """The outermost wanted elements of this tag."""
+    found, todo = [], [root]
+    while todo:
+        e = todo.pop()
+        # here a name counts only as a whole class or id: sidebar-left may well be the layout that holds the article
+        if e.hidden or e.tag in DROPPED or e.tag not in ("html", "body", "main") and _named(e.names, e.role)[1]:
+            continue
+        if e.tag == tag:
+            found.append(e)
+        elif not (template and e.digest in template):
+            todo.extend(c for c in reversed(e.children) if isinstance(c, Element))
+    return found
+
+
+def _beside(root: Element, found: list[Element], template: frozenset[int]) -> int:
+    """The text outside of the elements found, and outside of what tags, names and counts tell to be furniture."""
+    out, todo, own = 0, [root], {id(e) for e in found}
+    while todo:
+        e = todo.pop()
+        if isinstance(e, str):
+            out += len(" ".join(e.split()))
+        elif id(e) not in own and e.tag != "a" and not (_named(e.names, e.role)[1] or _goes(e, root, template)) and not (template and (e.digest in template or e.kind in template)):
+            todo.extend(e.children)
+    return out
+
+
 def _roots(root: Element, template: frozenset[int]) -> list[Element]:
-    """The outermost wanted articles, else the outermost wanted main, else all."""
+    """The elements whose text is the page's: articles, if they hold at least half of the wanted text, else the same of main, else all.
+
+    Articles that are cards or comments by a part of their name stand back where others hold half of the
+    articles' text. So a teaser or a comment in an article of its own never takes the text's place.
+    """
     for tag in ("article", "main"):
-        found, todo = [], [root]
-        while todo:
-            e = todo.pop()
-            # here a name counts only as a whole class or id: sidebar-left may well be the layout that holds the article
-            if e.hidden or e.tag in DROPPED or e.tag not in ("html", "body", "main") and _named(e.names, e.role)[1]:
-                continue
-            if e.tag == tag:
-                found.append(e)
-            elif not (template and e.digest in template):
-                todo.extend(c for c in reversed(e.children) if isinstance(c, Element))
-        if found:
+        found = _found(root, tag, template)
+        plain = sum(e.plain for e in found)
+        held = [e for e in found if not _named(e.names, e.role)[0]]
+        if 2 * sum(e.plain for e in held) >= plain:
+            found = held
+        if found and sum(e.plain for e in found) >= _beside(root, found, template):
             return found
     return [root]
 
@@ -243,6 +269,8 @@ def _goes(e: Element, top: Element, template: frozenset[int]) -> bool:
     if e.tag in ("html", "body", "main", "#root"):
         return False
     likely, _, readers, _ = _named(e.names, e.role)
+    if e.tag == "article" and top.tag != "article" and (2 * e.linked >= e.size or likely) and 2 * e.plain <= top.plain:
+        return True  # a card of links or a comment beside the text
     if template and likely and e.kind in template:
         return False
     return readers or (likely or e.tag == "form") and 2 * e.plain <= top.plain  # what holds most of the text is a wrapper

@@ -179,3 +179,25 @@ def test_parts_that_take_turns_are_found_by_counts_alone(spark):
     assert all(got[i] == f"Title {i}\nShared paragraph {i % 9}\nStory {i} of its own, word{i}" for i in range(90))
     assert all("Copied text of some length" in got[500 + i] for i in range(9))
     assert page_text.main_text(page(4)).startswith("Menu of day 4")
+
+
+LONG = "This is the long main text of the page, which says what it is about. " * 6
+
+
+def test_a_card_or_comment_in_an_article_is_not_the_text():
+    for html in (
+        f"<main><h1>Head</h1><p>{LONG}</p></main><section><article><a href=x>Teaser one</a></article></section>",
+        f"<main><h1>Head</h1><p>{LONG}</p><section><article><a href=x>Teaser one</a></article></section></main>",
+        f"<div class=post><h1>Head</h1><p>{LONG}</p></div><section><article id='comment-1' class='comment-item'>Reader says hi</article></section>",
+        f"<article><h1>Head</h1><p>{LONG}</p></article><article class=related-card><p>Another story</p></article>",
+        f"<body><div><h1>Head</h1><p>{LONG}</p></div><article class='comment-item'>One.</article><article class='comment-item'>Two.</article></body>",
+    ):
+        assert page_text.main_text(html) == f"Head\n{LONG.strip()}"
+
+
+def test_articles_that_hold_the_text_stay_roots():
+    both = page_text.main_text(f"<main><article><p>{LONG}</p></article><article><p>Second. {LONG}</p></article><p>Short note.</p></main>")
+    assert both == f"{LONG.strip()}\nSecond. {LONG.strip()}"
+    assert page_text.main_text("<body><div class=ad>" + LONG * 3 + "</div><article><p>Few words.</p></article></body>") == "Few words."
+    assert page_text.main_text("<article class=comment-item><p>All there is.</p></article>") == "All there is."
+    assert page_text.main_text("<article></article><main></main>") == ""
