@@ -9,14 +9,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm.licence_texts import PHRASES, TEMPLATES
+from docmill.llm.licence_texts import PHRASES, TEMPLATES, short_templates
 
 #: Bytes of words (digits, a-z, all beyond ASCII) to themselves, A-Z to a-z, all others to a space.
 _TO_WORDS = bytes(b if b >= 128 or chr(b).isalnum() and not chr(b).isupper() else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 #: Shortest match, in words, that a chain is made of; words of the text that a chain may skip.
 MIN_MATCH, MAX_GAP = 4, 25
-#: Share of a template's words that a span must cover; templates under SHORT words take the second.
-COVER, COVER_SHORT, SHORT = 0.6, 0.9, 20
+#: Share of a template's words that a span must cover; templates under SHORT words must stand without a gap and take the second, those under WHOLE in full.
+COVER, COVER_SHORT, SHORT, WHOLE = 0.6, 0.9, 20, 12
+
+
+EVERY = TEMPLATES | short_templates()
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -84,7 +87,7 @@ class Automaton:
 class Scanner:
     """Streams a text's words through the automaton; gives phrase places and covered template spans."""
 
-    def __init__(self, templates: dict[str, str] = TEMPLATES, phrases: dict[str, str] = PHRASES):
+    def __init__(self, templates: dict[str, str] = EVERY, phrases: dict[str, str] = PHRASES):
         self.names, self.labels = list(templates), [k.split("#")[0] for k in templates]
         self.templates = [words_of(t) for t in templates.values()]
         own = [words_of(p) for p in phrases]
@@ -138,45 +141,49 @@ class Scanner:
         for t, own in anchors.items():
             own.sort()
             best: list[tuple[int, int]] = []  # covered words, anchor before
+            words = len(self.templates[t])
+            gap = MAX_GAP if words >= SHORT else 0
             for i, (at, pos, size) in enumerate(own):
                 top = (size, -1)
                 for j in range(i - 1, -1, -1):
                     a, p, s = own[j]
-                    if a + len(self.templates[t]) + MAX_GAP < at:
+                    if a + words + gap < at:
                         break
                     shared = max(0, a + s - at, p + s - pos)
-                    if p < pos and a < at and at - (a + s) <= MAX_GAP and shared < size:
+                    if p < pos and a < at and at - (a + s) <= gap and shared < size:
                         top = max(top, (best[j][0] + size - shared, j))
                 best.append(top)
-            need = COVER if len(self.templates[t]) >= SHORT else COVER_SHORT
+            need = COVER if words >= SHORT else COVER_SHORT if words >= WHOLE else 1.0
             for i in range(len(own)):
-                if best[i][0] >= need * len(self.templates[t]):
+                if best[i][0] >= need * words:
                     start = i
                     while best[start][1] >= 0:
                         start = best[start][1]
                     found.append((best[i][0], own[start][0], own[i][0] + own[i][2] - 1, t))
-        found.sort(key=lambda f: (-f[0] / len(self.templates[f[3]]) - (f[0] > SHORT), -f[0], f[1], f[3]))
+        # words that a span skips tell of another text: they count like words that it lacks
+        share = lambda f: min(1.0, f[0] / (len(self.templates[f[3]]) + max(0, f[2] - f[1] + 1 - f[0])))
+        found.sort(key=lambda f: (-share(f) - (f[0] > SHORT), -f[0], f[1], f[3]))
         out, taken = [], []  # taken: spans apart from each other, in order
         for covered, a, b, t in found:
             i = bisect_left(taken, (a,))
             if (i == len(taken) or b < taken[i][0]) and (i == 0 or taken[i - 1][1] < a):
                 insort(taken, (a, b))
-                out.append((self.labels[t], a, b, min(1.0, covered / len(self.templates[t]))))
+                out.append((self.labels[t], a, b, share((covered, a, b, t))))
         return sorted(out, key=lambda s: (s[1], s[0]))
 
 
 SPANS = "array<struct<label: string, first_word: long, last_word: long, coverage: double>>"
 
 
-def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, phrases: dict[str, str] = PHRASES) -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, str] = EVERY, phrases: dict[str, str] = PHRASES) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans.
 
     Words are lower-cased runs without ASCII other than letters and digits; a null text has none.
     n_base: places of all phrases, overlapping ones too; first_word and last_word: their smallest
     and largest start, null without one. spans: template spans, none of which overlap, with the
     share of the template they cover. labels: those of phrases and spans. score: the largest
-    coverage, 1 where a phrase stands, 0 without either. Of overlapping spans the one that covers
-    most stays, ties to the first. Repeated rows get equal results; an empty table gives no rows;
+    coverage, less for words that a span skips, 1 where a phrase stands, 0 without either. Of
+    overlapping spans the one that covers most stays, ties to the first. Repeated rows get equal results; an empty table gives no rows;
     other columns of docs are not read. Time and memory follow the length of a text.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -201,5 +208,9 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, phrases: dict[s
 
 
 def with_licence(docs: DataFrame, **options) -> DataFrame:
-    """doc_id and one row per covered span, for review."""
+    """doc_id and one row per covered span, for review: label, first_word, last_word, coverage.
+
+    Documents without a span, null texts among them, give no row; repeated rows give theirs each; an empty
+    table gives no rows. Spans of a document don't overlap, so there are no ties.
+    """
     return scan(docs, **options).select("doc_id", F.explode("spans").alias("span")).select("doc_id", "span.*")

@@ -80,3 +80,29 @@ def test_overlapping_spans_equal_brute_force():
         spans = scanner.scan(words)[1]
         assert all(a[2] < b[1] for a, b in zip(spans, spans[1:], strict=False))
         assert all(0 <= a <= b < len(words) and 0 < c <= 1 for _, a, b, c in spans)
+
+
+def labels_of(text):
+    return {s[0] for s in licences.Scanner().scan(licences.words_of(text))[1]}
+
+
+def test_short_notices():
+    for text, label in {
+        "SPDX-License-Identifier: Apache-2.0": "apache-2.0", "SPDX-License-Identifier: GPL-3.0-or-later": "gpl-3.0", "SPDX-License-Identifier: MIT-0": "mit-0", "SPDX-License-Identifier: MIT": "mit",
+        "Licensed under the MIT license.": "mit", "Released under the BSD 3-Clause License": "bsd-3-clause", "BSD 3-Clause Clear License": "bsd-3-clause-clear", "Licensed under the Mozilla Public License 2.0": "mpl-2.0",
+        "CC0 1.0 Universal": "cc0-1.0", "Apache License 2.0": "apache-2.0", "licensed under the GNU Affero General Public License version 3": "agpl-3.0",
+        "licensed under the GNU Lesser General Public License version 2.1": "lgpl-2.1", "licensed under the GNU General Public License, version 3": "gpl-3.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991": "gpl-2.0",
+        "distributed under the GNU Lesser General Public License, version 3": "lgpl-3.0", "available under the ISC license": "isc", "This work is licensed under CC BY-NC-SA 4.0": "cc-by-nc-sa-4.0",
+    }.items():
+        assert labels_of(f"Some words before. {text} and more after it") == {label}, text
+    assert labels_of("licensed under the GNU Wonderful General Public License version 3") == set()
+    assert labels_of("licensed under the terms of the mit of the license") == labels_of("the general license of the apache people 2 0") == set()
+
+
+def test_skipped_words_lower_the_score():
+    agpl = TEMPLATES["agpl-3.0"]
+    (label, _, _, cover), = licences.Scanner().scan(licences.words_of(agpl))[1]
+    assert label == "agpl-3.0" and cover == 1.0
+    only = licences.Scanner({"gpl-3.0": TEMPLATES["gpl-3.0"]}).scan(licences.words_of(agpl))[1]
+    assert only[0][0] == "gpl-3.0" and 0.9 < only[0][3] < 1.0
+    assert licences.Scanner({"gpl-3.0#short": TEMPLATES["gpl-3.0#short"]}).scan(licences.words_of("licensed under the GNU Affero General Public License, version 3"))[1] == []
