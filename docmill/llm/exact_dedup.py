@@ -97,7 +97,10 @@ def exact_groups(docs: DataFrame, size: int = BLOCK, row: str | None = None, kee
 def drop_copies(docs: DataFrame, size: int = BLOCK, keep: list[str] | None = None) -> DataFrame:
     """docs, with its own columns, without the rows whose text an earlier choice already holds.
 
-    docs is first written with a row number, so that choice and text belong to the same row.
+    docs is first written with a row number, so that choice and text belong to the same row. Null texts
+    count as empty and are copies of each other; of repeated rows one stays. Ties of length go to the
+    smaller doc_id, null last, then to the smaller row. Columns of any name are kept. An empty table
+    gives no rows; a very long text is compared block by block.
     """
     cols = docs.columns
     stored = materialise(docs.select(F.struct(*(F.col(f"`{c}`") for c in cols)).alias("__doc")).withColumn("__row", F.monotonically_increasing_id()), "numbered", keep)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +29,14 @@ def line_hashes(text: Column) -> Column:
     return F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.when(line_key(x) != "", F.xxhash64(line_key(x))))
 
 
+def with_own(lines: Column, often: Column, then: Callable[[Column, Column], Column]) -> Column:
+    """then(lines, those of often that are among them): a hashed intersection first, so that no line is looked up in all of often.
+
+    Both stand in arrays of one, so that Spark computes them once for a text, not once for a line.
+    """
+    return F.transform(F.array(lines), lambda x: F.transform(F.array(F.array_intersect(x, often)), lambda mine: then(x, mine))[0])[0]
+
+
 def frequent_lines(docs: DataFrame, share: float = 0.05, least: int = 10, keep: list[str] | None = None) -> DataFrame:
     """Per host: the lines above the limits, as often: array of (line, owner).
 
@@ -96,7 +104,8 @@ def judge(docs: DataFrame, share: float = 0.05, least: int = 10, min_words: int
     own = join_checked(own, often, ["source"], weight="often")
     theirs = F.transform(F.filter("often", lambda x: x["owner"] != F.col("digest")), lambda x: x["line"])
     own = own.withColumn("often", F.when(F.size("often") > 0, theirs))
-    at = F.filter(F.transform(line_hashes(F.col("text")), lambda h, i: F.when(F.array_contains("often", h), i)), lambda i: i.isNotNull())
+    places = lambda lines, mine: F.filter(F.transform(lines, lambda h, i: F.when(F.array_contains(mine, h), i)), lambda i: i.isNotNull())
+    at = with_own(line_hashes(F.col("text")), F.col("often"), places)
     own = own.withColumn("at", F.when(F.size("often") > 0, at).otherwise(F.array().cast("array<int>"))).drop("often", "digest", "source")
     rest = [c for c in own.columns if c != "at"]
     schema = StructType([*(own.schema[c] for c in [*rest, "at"]), *(StructField(c, LongType()) for c in COUNTS)])
@@ -115,7 +124,12 @@ def judge(docs: DataFrame, share: float = 0.05, least: int = 10, min_words: int
 
 
 def keep_good(docs: DataFrame, keep: list[str] | None = None, **limits) -> DataFrame:
-    """The kept rows of docs with its own columns; text loses its frequent lines and n_chars follows."""
+    """The kept rows of docs with its own columns; text loses its frequent lines and n_chars follows.
+
+    Rows with a null text go, for they have no words; null sources are one host; repeated rows stay or go
+    together. Columns of any name keep their place; text and n_chars are the only ones that change. At a
+    limit a row stays (no ties). An empty table gives no rows. A very long text is judged as a whole.
+    """
     cols = docs.columns
     whole = docs.select("doc_id", "source", "text", F.struct(*(F.col(f"`{c}`") for c in cols if c != "text")).alias("__row"))
     out = judge(whole, extra=["__row"], keep=keep, **limits).filter("kept")

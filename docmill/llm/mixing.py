@@ -65,7 +65,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
 
 
 def emit(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus: every row of docs, with its own columns, as often as ``mix`` takes it."""
+    """The mixed corpus: every row of docs, with its own columns of any name, as often as ``mix`` takes it.
+
+    Null texts have no words, null sources are the last source; repeated rows draw alike, for a draw follows
+    doc_id and text. An empty table gives no rows. Reruns agree, so there are no ties to break. A
+    copy of a very long text is that text again.
+    """
     cols = docs.columns
     whole = docs.select("doc_id", "source", "text", F.struct(*(F.col(f"`{c}`") for c in cols)).alias("__row"))
     taken = mix(whole, extra=["__row"], **options)

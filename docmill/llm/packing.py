@@ -219,7 +219,11 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, w
 
 
 def sequences(packed: DataFrame, window: int = 2048, pad_id: int = 0) -> DataFrame:
-    """(sequence_id, ids, n_ids) of ``pack(..., with_ids=True)``: array<int> padded to window, except at a power of two."""
+    """(sequence_id, ids, n_ids) of ``pack(..., with_ids=True)``: array<int> padded to window, except at a power of two.
+
+    Pieces stand in the order of their offsets, which don't tie. No pieces give no rows; each of repeated
+    documents' pieces has its own place; other columns than sequence_id, offset and ids are not read.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

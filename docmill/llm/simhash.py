@@ -437,8 +437,9 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     and differ as much as texts of ``similarity`` do, up to ``slack`` standard deviations more. All
     pairs inside a component of candidates are then compared by their shingles, so nothing below
     ``similarity`` links; what the candidate search misses (see the README) stays.
-    The smallest doc_id of a group stays (null last). Rows without a word are no copies of each
-    other: all of them stay.
+    The smallest doc_id of a group stays (null last; ties to the smaller row). Rows without a word,
+    null texts among them, are no copies of each other: all of them stay. Of repeated rows one stays.
+    Columns of any name are kept; an empty table gives no rows; very long texts count as a whole.
     """
     cols = docs.columns
     stored = materialise(docs.select(F.struct(*(F.col(f"`{c}`") for c in cols)).alias("__doc")).withColumn("__row", F.monotonically_increasing_id()), "numbered", keep)

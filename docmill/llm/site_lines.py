@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm.line_quality import line_key
+from docmill.llm.line_quality import line_key, with_own
 from docmill.plans.shared import join_checked, materialise
 
 
@@ -40,8 +40,8 @@ def drop_site_lines(docs: DataFrame, ratio: float = 0.1, least: int = 5) -> Data
     """
     hosts = boilerplate(docs, ratio, least)
     out = join_checked(docs.select("doc_id", "source", "text"), hosts, ["source"], weight="often")
-    lines = F.arrays_zip(F.split("text", "\n").alias("line"), line_hashes(F.col("text")).alias("key"))
-    out = out.withColumn("__left", F.filter(lines, lambda x: x["key"].isNull() | ~F.array_contains("often", x["key"])))
+    left = lambda keys, gone: F.filter(F.arrays_zip(F.split("text", "\n").alias("line"), keys.alias("key")), lambda x: x["key"].isNull() | ~F.array_contains(gone, x["key"]))
+    out = out.withColumn("__left", with_own(line_hashes(F.col("text")), F.col("often"), left))
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
     out = out.select("doc_id", F.array_join(F.col("__left.line"), "\n").alias("__text"), n.alias("n_lines"), F.when(F.col("text").isNull(), 0).otherwise(F.size("__left")).cast("long").alias("n_left"), "host_pages", F.col("text").isNull().alias("__none"))
     return out.select("doc_id", F.when(~F.col("__none"), F.col("__text")).alias("text"), "n_lines", (F.col("n_lines") - F.col("n_left")).alias("n_dropped"), "host_pages")
