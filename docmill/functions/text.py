@@ -238,7 +238,7 @@ def useful_section(title: Column, text: Column, department: Column) -> Column:
     squeezed = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
     has = lambda c, words: F.greatest(*(c.contains(w) for w in words))
     head, body = squeezed(title), squeezed(text)
-    barred = has(F.lower(body), SECTION_BOILERPLATE) | (F.lower(head) == "popup zone") | (head == department) | has(body, SECTION_IGNORED)
+    barred = has(F.lower(body), SECTION_BOILERPLATE) | (F.lower(head) == "popup zone") | head.eqNullSafe(department) | has(body, SECTION_IGNORED)
     return (body != "") & ~barred & (has(body, SECTION_SIGNALS) | has(body, SENTENCE_MARKS))
 
 

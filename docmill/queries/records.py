@@ -9,7 +9,7 @@ from docmill.functions import dates, text
 from docmill.operators import admin, chunks, sync
 from docmill.operators import understanding as ask
 from docmill.plans.shared import scratch, table
-from docmill.sources import boards, files, pages
+from docmill.sources import boards, cascade, files, pages
 
 
 def _pick(by: Column, *values: str) -> Column:
@@ -115,6 +115,29 @@ def page_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("o_custkey", "table", "heading", "caption", F.array_join("header", "|").alias("header"), F.array_join("cells", "|").alias("cells"), score.alias("score"), pages.canonical(F.get("header", F.lit(0)), {"title": ["교과목명"], "code": ["학수번호"]}).alias("first"))
 
 
+def _course_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page per customer of five kinds: courses in a table, headings with paragraphs, lines below bold words, a graduate school, nothing of use."""
+    k, t = F.col("o_orderkey").cast("string"), F.col("o_custkey") % 5
+    row = _row(F.concat(F.lit("Course "), k), F.when(F.col("o_orderkey") % 2 == 0, k).otherwise(""), F.col("o_orderpriority"))
+    part = F.when((t == 0) | (t == 3), row).when(t == 1, F.concat(F.lit("<h3>H <b>"), k, F.lit("</b></h3><p>학점 "), k, F.lit("</p><div>more &amp; <i>more</i></div>"))).when(t == 2, F.concat(F.lit("<strong>S "), k, F.lit("</strong><ul><li>a "), k, F.lit(". </li><li>과목명 b</li></ul>"))).otherwise(F.concat(F.lit("<p>menu "), k, F.lit("</p>")))
+    parts = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", part.alias("part")))), lambda x: x["part"]), "\n")  # a customer's orders
+    own = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(parts.alias("parts"))
+    body = F.when((F.col("o_custkey") % 5).isin(0, 3), F.concat(F.lit("<h2>졸업요건 안내</h2><table>"), _row("교과목명", "학점", "기타", tag="th"), F.col("parts"), F.lit("</table>"))).otherwise(F.col("parts"))
+    title = F.when(F.col("o_custkey") % 5 == 3, "석사 대학원과정").otherwise("학부")
+    return own.select("o_custkey", F.concat(F.lit("<html><head><title>"), title, F.lit("</title></head><body><p>outside. </p><div class='cont wide'>"), body, F.lit("</div></body></html>")).alias("html"))
+
+
+def course_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's records of the first kind that it has."""
+    return cascade.course_records(_course_pages(spark, sf_dir), "o_custkey")
+
+
+def course_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of course tables, graduate schools' too, with what their section is."""
+    found = cascade.course_tables(_course_pages(spark, sf_dir), "o_custkey")
+    return found.select("o_custkey", "section", "frame", F.array_join("header", "|").alias("header"), F.array_join("cells", "|").alias("cells"))
+
+
 def schedule_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("o_orderkey")
     period = F.concat(F.lit("2026.03.0"), key % 9 + 1, F.when(key % 2 == 0, F.concat(F.lit(" ~ 2026. 4. 1"), key % 9)).otherwise(""))
@@ -310,7 +333,7 @@ def distinct_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_mktsegment").distinct()
 
 
-QUERIES = {f.__name__: f for f in (csv_scan, raw_layer, chunk_artifact, refreshed_dataset, appended_turns, refresh_guard, manifest_verify, homepage_map, department_colleges, courses_coalesced, filled_columns, page_tables, schedule_table, board_items, board_source, board_stream, board_collected, item_details, meal_rows, week_days, weekly_files, text_sections, lines_without_repeats, notice_docs, rule_docs, schedule_docs, staff_docs, meal_docs, course_chunks, submission_notices, guide_sections, guide_tails, guide_titles, descriptions_merged, notice_records, field_rules, name_rules, distinct_names)}
+QUERIES = {f.__name__: f for f in (csv_scan, raw_layer, chunk_artifact, refreshed_dataset, appended_turns, refresh_guard, manifest_verify, homepage_map, department_colleges, courses_coalesced, filled_columns, page_tables, course_records, course_tables, schedule_table, board_items, board_source, board_stream, board_collected, item_details, meal_rows, week_days, weekly_files, text_sections, lines_without_repeats, notice_docs, rule_docs, schedule_docs, staff_docs, meal_docs, course_chunks, submission_notices, guide_sections, guide_tails, guide_titles, descriptions_merged, notice_records, field_rules, name_rules, distinct_names)}
 
 _NOTICE_DATE = "CASE WHEN o_orderkey % 5 > 0 THEN o_orderdate::DATE END"
 _BOARDS = """WITH p AS (SELECT page_id AS k, regexp_extract(url, '//([^/:?#]*)', 1) AS board, url, row_number() OVER (PARTITION BY regexp_extract(url, '//([^/:?#]*)', 1) ORDER BY page_id DESC) - 1 AS i FROM pages),
@@ -329,6 +352,12 @@ ORACLES = {
     "filled_columns": "SELECT unnest(['s_suppkey', 's_name', 'once']) AS name",
     "page_tables": """SELECT o_custkey, '1' AS "table", 'Customer ' || o_custkey AS heading, 'c' AS caption, '국문 교과목명|n' AS header, c AS cells, 3 + CASE WHEN contains(c, '학점') THEN 1 ELSE 0 END + CASE WHEN contains(lower(c), 'urgent') THEN 1 ELSE 0 END AS score, 'title' AS first
 FROM (SELECT o_custkey, CASE o_orderkey % 3 WHEN 0 THEN o_orderpriority || '|' || o_orderkey WHEN 1 THEN o_orderpriority || '|' ELSE o_orderpriority || ' & co|학점' END AS c FROM orders)""",
+    "course_records": """WITH o AS (SELECT o_custkey AS c, o_orderkey AS k, o_custkey % 5 AS t, o_orderpriority AS p, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1)::INT AS place FROM orders)
+SELECT c AS o_custkey, CASE t WHEN 0 THEN 'table_row' WHEN 1 THEN 'heading_paragraph' ELSE 'section_text' END AS record_type, place, CASE t WHEN 0 THEN '졸업요건 안내' WHEN 1 THEN 'H ' || k ELSE 'S ' || k END AS section,
+CASE t WHEN 0 THEN 'Course ' || k WHEN 1 THEN 'H ' || k ELSE 'S ' || k END AS title,
+CASE t WHEN 0 THEN concat_ws(chr(10), 'title: Course ' || k, CASE WHEN k % 2 = 0 THEN 'credit: ' || k END, '기타: ' || p) WHEN 1 THEN '학점 ' || k || ' more & more' ELSE 'a ' || k || '. 과목명 b' END AS text
+FROM o WHERE t < 3""",
+    "course_tables": """SELECT o_custkey, '졸업요건 안내' AS section, 'graduation' AS frame, '교과목명|학점|기타' AS header, 'Course ' || o_orderkey || '|' || CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey::VARCHAR ELSE '' END || '|' || o_orderpriority AS cells FROM orders WHERE o_custkey % 5 IN (0, 3)""",
     "schedule_table": """SELECT o_custkey, '2026' AS year, 'Event ' || o_orderkey AS content, CASE WHEN o_orderkey % 3 > 0 THEN 'D' || o_orderkey ELSE '' END AS department, '2026-03-0' || (o_orderkey % 9 + 1) AS start, CASE WHEN o_orderkey % 2 = 0 THEN '2026-04-1' || (o_orderkey % 9) ELSE '2026-03-0' || (o_orderkey % 9 + 1) END AS "end" FROM orders""",
     "board_items": f"{_BOARDS} SELECT * FROM items",
     "board_source": f"{_BOARDS} SELECT * FROM items",
