@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docmill.functions.where import predicate
-from docmill.operators import chunks, ranking, reports, retrieval, sparse_blocks, vectors
+from docmill.operators import chunks, encoder, ranking, reports, retrieval, sparse_blocks, vectors
 from docmill.operators.chunks import to_chunks
 from docmill.functions.identity import doc_key
 from docmill.plans.shared import materialise, spread_table, table
@@ -127,6 +127,15 @@ def vector_index_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.search(index, asked, "request", "asked", 15, keep=predicate({"label": {"$in": [1, 4]}}, ["label"]), exact=True)
 
 
+def encoded_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest documents of each question by vectors that are learned from the documents, through the index."""
+    docs = spread_table(spark, sf_dir, "documents")
+    model = encoder.fit_encoder(docs, "doc_id")
+    index = vectors.temporary(materialise(encoder.encode(model, docs, "doc_id"), "encoded"), "doc_id", "embedding")
+    asked = encoder.encode(model, _queries(spark, sf_dir), "request", "query")
+    return vectors.search(index, asked, "request", "embedding", 5, exact=True)
+
+
 def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, sparse, dense = _sides(spark, sf_dir)
     return retrieval.hybrid(dense, sparse, docs.select("doc_id", "source", "lang"), "request", "doc_id").select("request", "doc_id", "vector_score", "sparse_score", "hybrid_score", "rank", "source", "lang")
@@ -222,7 +231,7 @@ scored AS (SELECT *, round(0.6::DOUBLE * norm + 0.4::DOUBLE * rec + CASE WHEN un
            + CASE WHEN guide AND asked IS NULL AND y = latest THEN 0.06 ELSE 0 END::DOUBLE + CASE WHEN dataset = 'courses' AND own THEN 0.1 ELSE 0 END::DOUBLE, 6) AS final_score FROM s),
 placed AS (SELECT *, row_number() OVER (PARTITION BY request ORDER BY m DESC, final_score DESC, hybrid_score DESC, id) AS rank FROM scored)"""
 
-QUERIES = {f.__name__: f for f in (chunk_fixed, neighbour_context, context_pack, citations, history_tail, tfidf_vocabulary, tfidf_postings, sparse_topk, sparse_index_topk, dense_topk, vector_index_topk, vector_index_exact, vector_index_filtered, hybrid_topk, hybrid_filtered, multi_query_merge, date_filter_aux, date_relaxation, deadline_rank, recency_rank, rerank_head, recent_order, fallback_decision, recall_at_k)}
+QUERIES = {f.__name__: f for f in (chunk_fixed, neighbour_context, context_pack, citations, history_tail, tfidf_vocabulary, tfidf_postings, sparse_topk, sparse_index_topk, dense_topk, vector_index_topk, vector_index_exact, vector_index_filtered, encoded_topk, hybrid_topk, hybrid_filtered, multi_query_merge, date_filter_aux, date_relaxation, deadline_rank, recency_rank, rerank_head, recent_order, fallback_decision, recall_at_k)}
 _CHUNKS = """
 c AS (SELECT doc_id, source, text, unnest(range(0, greatest(1, ceil((length(text) - 300) / 220.0)::INT + 1))) AS position FROM documents),
 k AS (SELECT doc_id, source, position, regexp_replace(substr(text, position * 220 + 1, 300), '^\\s+|\\s+$', '', 'g') AS segment FROM c)"""
