@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from docmill.operators import sync
 from docmill.plans.shared import table
 from docmill.queries import streams
-from docmill.streaming import jobs, keyed_sync, semantic
+from docmill.streaming import answers, jobs, keyed_sync, semantic
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
@@ -168,3 +168,48 @@ def test_cache_query_equals_a_replay(spark, sf):
     got = {int(r["asked_id"]): (r["hit"], r["cached_id"], r["answer"], r["score"]) for r in streams.cache_stream(spark, sf).collect()}
     want = replay(questions, 0.35, 50, 300.0)
     assert {i: v[:3] for i, v in got.items()} == {i: v[:3] for i, v in want.items()} and 10 < sum(v[0] for v in got.values()) < len(got)
+
+
+BODY = 'data: {"type": "metadata", "n": 1}\n\ndata: {"type": "text", "content": "안녕 "}\r\nevent: x\ndata: broken\ndata: [1]\ndata: {"type": "text", "content": "a\\nb 🙂"}\ndata: {"type": "error", "message": "late"}\ndata: {"type": "text", "content": "gone"}'.encode()
+WANT = [("metadata", None), ("text", "안녕 "), ("text", "a\nb 🙂"), ("error", "late"), ("text", "gone")]
+
+
+class Value:
+    def __init__(self):
+        self.value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+
+def test_pieces_cut_at_every_byte_give_the_same_events():
+    for at in range(len(BODY) + 1):
+        for step in (len(BODY), 1, 7):
+            lines = answers.Lines()
+            lines.rest, out = Value(), []
+            pieces = [BODY[:at], *(BODY[i : i + step] for i in range(at, len(BODY), step))]
+            for seq, piece in enumerate(pieces):
+                out += lines.handleInputRows(("s",), iter([{"seq": seq, "piece": piece, "done": seq == len(pieces) - 1}]), None)
+            assert [(e["type"], e["content"]) for e in out] == WANT and [e["n"] for e in out] == list(range(5)) and lines.rest.value is None
+
+
+def test_answer_events_over_batches(stateful, tmp_path):
+    spark, kind = stateful, "session string, seq long, piece binary, done boolean"
+    rows = [(s, i, BODY[a : a + 11], a + 11 >= len(BODY) and s != "open") for s in ("x", "y", "open") for i, a in enumerate(range(0, len(BODY), 11))] + [(None, 0, b"data: {}", True), ("null", 0, None, None)]
+    for k in range(3):  # each query starts from the checkpoint
+        spark.createDataFrame([r for r in rows if r[1] % 50 // 9 == k or k == 2 and r[1] >= 27], kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = answers.answer_events(spark.readStream.schema(kind).parquet(str(tmp_path / "in")))
+        stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(200)
+    found = spark.read.parquet(str(tmp_path / "out"))
+    got = {s: [(r["type"], r["content"]) for r in found.filter(F.col("session") == s).orderBy("n").collect()] for s in ("x", "y", "open", "null")}
+    assert got == {"x": WANT, "y": WANT, "open": WANT[:4], "null": []}
+    assert {(r["session"], r["answer"], r["error"]) for r in answers.answers(found).collect()} == {(s, "안녕 a\nb 🙂", "late") for s in ("x", "y", "open")}
