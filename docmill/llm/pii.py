@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 from docmill.plans.shared import materialise
 
 BASE = ["email", "ip", "card", "phone"]
-KINDS = [*BASE, "name", "national_id", "secret"]
+KINDS = [*BASE, "name", "national_id", "secret", "iban", "birth_date", "address"]
 LABELERS = ["shape", "checksum", "gazetteer", "context", "surroundings"]
 #: Candidates that the classifier is fitted on, at most: of each kind as many of the smallest hash, so a frequent kind doesn't displace a rare one.
-FIT_CANDIDATES = 21_000
+FIT_CANDIDATES = 30_000
 #: Hashed features of the classifier; characters of context on either side.
 FEATURES, CONTEXT = 1 << 12, 40
 
@@ -41,9 +41,16 @@ CUES = {
     "phone": "phone tel call mobile telephone fax teléfono telefon téléphone handy móvil",
     "name": "name mr mrs ms dr prof herr frau señor señora sr sra monsieur madame mme signed by heiße appelle llamo",
     "national_id": "ssn social security id passport national dni ausweis",
-    "secret": "token secret password passwd key api apikey credential",
+    "secret": "token secret password passwd key api apikey credential bearer authorization private aws github",
+    "iban": "iban account konto compte cuenta bank bic überweisung virement transfer",
+    "birth_date": "born birth birthday birthdate dob geboren geburtsdatum né née naissance nacido nacida nacimiento",
+    "address": "address lives live street adresse anschrift wohnt wohnhaft habite domicilio dirección vive calle rue",
 }
 CUES = {k: set(v.split()) for k, v in CUES.items()}
+#: Kinds that are candidates only behind a cue word, which then tells nothing more.
+CUED = {"name", "secret", "birth_date"}
+IBAN_LENGTHS = {"AT": 20, "BE": 16, "CH": 21, "DE": 22, "ES": 24, "FR": 27, "GB": 22, "IT": 27, "NL": 18, "PL": 28, "PT": 25, "SE": 24}
+NO_NAMES = set("the this that these those january february march april may june july august september october november december monday tuesday wednesday thursday friday saturday sunday university street company error default unknown none null true false".split())
 AGAINST = set("version isbn issn order invoice page chapter section figure table release build serial item sku total".split())
 
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
@@ -55,6 +62,18 @@ LOOSE_PHONE = re.compile(r"(?<![\w+])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?!
 NATIONAL = re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")
 SECRET = re.compile(r"(?:token|secret|passw(?:or)?d|api[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9_+/-]{12,})", re.I)
 NAMED = re.compile(r"(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Señora?|Sra?|Monsieur|Madame|Mme|[Nn]ame:|name is|I am|[Ii]ch heiße|m'appelle|me llamo)\.? ([A-Z][a-zß-ÿ]+(?: [A-Z][a-zß-ÿ]+)?)")
+KNOWN_KEY = re.compile(r"(?<![A-Za-z0-9_-])(?:A[KS]IA[0-9A-Z]{16}|gh[oprsu]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,}|glpat-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|[rs]k_(?:live|test)_[A-Za-z0-9]{16,}|sk-[A-Za-z0-9_-]{20,}|AIza[A-Za-z0-9_-]{35}|npm_[A-Za-z0-9]{36}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,})")
+BEARER = re.compile(r"[Bb]earer\s{1,3}([A-Za-z0-9._~+/-]{16,}={0,2})")
+PRIVATE_KEY, KEY_END = re.compile(r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"), re.compile(r"-----END [A-Z ]{0,20}PRIVATE KEY-----")
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+BIRTH = re.compile(r"(?<!\w)(?:born|birth(?:day|date)?|dob|geboren|geburtsdatum|née?|naissance|nacid[oa]|nacimiento)\W{1,3}(?:[^\W\d]{1,5}\W{1,2}){0,2}([0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{4}|[0-9]{4}-[0-9]{2}-[0-9]{2})(?![0-9])", re.I)
+ADDRESS = re.compile(
+    r"(?<![\w.])[0-9]{1,5}[a-z]? (?:[A-Z][a-zà-ÿ'-]{1,20} ){1,3}(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Dr|Boulevard|Blvd|Court|Square|Way)(?!\w)"
+    r"|(?<![\w.])[0-9]{1,4},? (?:rue|avenue|boulevard|place|quai|chemin) (?:(?:de|du|des|la|le|les|l'|d') ?){0,2}[A-ZÀ-Ý][a-zà-ÿ-]{1,20}"
+    r"|(?<!\w)(?:[Cc]alle|[Aa]venida|[Pp]laza|[Pp]aseo) (?:(?:de|del|la|las|los|el) ){0,2}[A-ZÀ-Ý][a-zà-ÿ-]{1,20},? [0-9]{1,5}(?!\w)"
+    r"|(?<!\w)[A-ZÄÖÜ][a-zäöüß-]{1,20}(?:straße|strasse|str\.|weg|platz|gasse|allee) [0-9]{1,5}[a-z]?(?!\w)"
+)
+DATE_PARTS = re.compile("[0-9]+")
 WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -110,8 +129,18 @@ def spans_of(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int
             base += [("phone", *m.span()) for m in PHONE.finditer(text) if 8 <= sum(map(str.isdigit, m[0])) <= 15]
         more += [("phone", *m.span()) for m in LOOSE_PHONE.finditer(text)]
         more += [("national_id", *m.span()) for m in NATIONAL.finditer(text)]
+        more += [("iban", *m.span()) for m in IBAN.finditer(text)]
+        more += [("birth_date", *m.span(1)) for m in BIRTH.finditer(text)]
+        more += [("address", *m.span()) for m in ADDRESS.finditer(text)]
     if "=" in text or ":" in text:
         more += [("secret", *m.span(1)) for m in SECRET.finditer(text)]
+    more += [("secret", *m.span()) for m in KNOWN_KEY.finditer(text)]
+    more += [("secret", *m.span(1)) for m in BEARER.finditer(text)]
+    if "PRIVATE KEY-----" in text:
+        at = 0
+        while (m := PRIVATE_KEY.search(text, at)) and (end := KEY_END.search(text, m.end())):
+            more.append(("secret", m.start(), end.end()))
+            at = end.end()
     more += [("name", *m.span(1)) for m in NAMED.finditer(text)]
     order = {k: i for i, k in enumerate(KINDS)}
     base.sort(key=lambda s: (order[s[0]], s[1]))
@@ -136,11 +165,63 @@ def touches(taken: list[tuple[int, int]], a: int, b: int) -> bool:
     return i > 0 and taken[i - 1][1] > a
 
 
+def shape_vote(kind: str, span: str, digits: str, base: bool) -> int:
+    """Whether the span looks as its kind does: every kind can be denied by it."""
+    if kind == "email":
+        local, domain = span.rsplit("@", 1)
+        return -1 if local[0] in ".%-" or local[-1] == "." or ".." in local or not domain.rsplit(".", 1)[-1].isalpha() else 1
+    if kind == "ip":
+        return -1 if not base or any(len(p) > 1 and p[0] == "0" for p in span.split(".")) else 1
+    if kind == "card":
+        return 1 if digits[0] in "3456" and len(set(digits)) > 2 else -1
+    if kind == "phone":
+        return -1 if not 8 <= len(digits) <= 15 or re.search(r"([0-9])\1{5}", digits) else 1 if base else 0
+    if kind == "national_id":
+        return -1 if digits[:3] in ("000", "666") or digits[0] == "9" or digits[3:5] == "00" or digits[5:] == "0000" else 1
+    if kind == "secret":
+        if KNOWN_KEY.match(span) or PRIVATE_KEY.match(span):
+            return 1
+        return -1 if span.isdigit() or len(set(span)) <= 6 or span.isalpha() and (span.islower() or span.istitle()) else 0
+    if kind == "iban":
+        size = IBAN_LENGTHS.get(span[:2])
+        return 0 if size is None else 1 if size == len(span.replace(" ", "")) else -1
+    if kind == "birth_date":
+        return 1 if any(1900 <= int(x) <= 2026 for x in DATE_PARTS.findall(span)) else -1
+    if kind == "address":
+        return -1 if any(len(n) > 4 for n in DATE_PARTS.findall(span)) else 1
+    return -1 if any(w.lower() in NO_NAMES for w in span.split(" ")) else 1 if span.count(" ") == 1 else 0
+
+
+def born(span: str) -> bool:
+    """Whether a date is one on which someone alive was born; day and month stand in either order."""
+    parts = [int(x) for x in DATE_PARTS.findall(span)]
+    year, one, two = (parts[0], *parts[1:]) if span[:4].isdigit() else (parts[2], *parts[:2])
+    return 1900 <= year <= 2026 and 1 <= min(one, two) <= 12 and 1 <= max(one, two) <= 31
+
+
+def check_vote(kind: str, span: str, digits: str, base: bool) -> int:
+    """What can be computed of the span: check sums, numbers of digits, kinds of characters."""
+    if kind == "card":
+        return 1 if luhn(digits) and len(digits) >= 16 else -1
+    if kind == "ip":
+        return 1 if base else -1
+    if kind == "phone":
+        return 1 if 8 <= len(digits) <= 15 else -1
+    if kind == "secret":
+        return 1 if digits and not span.isdigit() and len(set(span)) > 6 else -1
+    if kind == "iban":
+        own = span.replace(" ", "")
+        return 1 if int("".join(str(int(c, 36)) for c in own[4:] + own[:4])) % 97 == 1 else -1
+    if kind == "birth_date":
+        return 1 if born(span) else -1
+    return 0
+
+
 def votes(text: str, kind: str, a: int, b: int, base: bool) -> list[int]:
     """What each of LABELERS says of the span: 1 personal data, -1 not, 0 nothing."""
     span, digits = text[a:b], re.sub("[^0-9]", "", text[a:b])
-    shape = 1 if base or kind in ("national_id", "secret") else 0
-    check = {"card": 1 if luhn(digits) and len(digits) >= 16 else -1, "ip": 1 if base else -1, "phone": 1 if 8 <= len(digits) <= 15 else -1, "secret": 1 if digits and not span.isdigit() and len(set(span)) > 6 else -1}.get(kind, 0)
+    shape = shape_vote(kind, span, digits, base)
+    check = check_vote(kind, span, digits, base)
     if kind == "email":
         listed = 1 if span.rsplit(".", 1)[-1].lower() in TOP_DOMAINS else 0
     elif kind == "phone":
@@ -148,11 +229,12 @@ def votes(text: str, kind: str, a: int, b: int, base: bool) -> list[int]:
     elif kind == "ip":
         listed = -1 if span.startswith(("0.", "127.", "255.")) else 0
     elif kind == "name":
-        listed = 1 if span.split(" ")[0].lower() in FIRST_NAMES else 0
+        first = span.split(" ")[0].lower()
+        listed = 1 if first in FIRST_NAMES else -1 if first in NO_NAMES else 0
     else:
         listed = -1 if digits and len(set(digits)) <= 2 else 0
     near = {w.lower() for w in WORDS.findall(text[max(0, a - CONTEXT) : a])[-4:]}
-    context = 1 if near & CUES[kind] else -1 if near & AGAINST else 0
+    context = 1 if near & CUES[kind] and kind not in CUED else -1 if near & AGAINST else 0
     before, after = text[a - 1 : a], text[b : b + 1]
     around = -1 if before.isalnum() or after.isalnum() else 1 if before and before in ":=<\"'(" else 0
     return [shape, check, listed, context, around]
