@@ -83,9 +83,14 @@ def retrieval_queries(raw: Column, normal: Column, searches: Column, subs: Colum
     return F.array_union(F.when(compound, F.slice(out, 1, 2 + max_subs)).otherwise(F.slice(out, 1, 3)), F.coalesce(extras, none))
 
 
-def department_map(catalogue: DataFrame) -> DataFrame:
-    """(department, college) of a catalogue; the placeholder college and blanks go, the last row of a department wins."""
-    own = catalogue.select(F.trim("department_name").alias("department"), F.trim("college_name").alias("college"), F.monotonically_increasing_id().alias("n")).filter("department != '' and college != '' and college != '대학'")
+def department_map(catalogue: DataFrame, order: str | None = None) -> DataFrame:
+    """(department, college) of a catalogue; the placeholder college and blanks go, the last row of a department wins.
+
+    order: a column that rises from row to row. Without it rows count in the order of the catalogue's
+    partitions, which is the file's only if there is one.
+    """
+    last = F.col(order) if order else F.monotonically_increasing_id()
+    own = catalogue.select(F.trim("department_name").alias("department"), F.trim("college_name").alias("college"), last.alias("n")).filter("department != '' and college != '' and college != '대학'")
     return own.groupBy("department").agg(F.max_by("college", "n").alias("college"))
 
 

@@ -198,7 +198,7 @@ def usage_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def useful_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     tail = F.element_at(F.array(*map(F.lit, ["", " 학점 3", " Portal 학점", " 사이트맵 다.", " 개설된다."])), (F.col("doc_id") % 5 + 1).cast("int"))
     head = F.when(F.col("doc_id") % 11 == 0, "Popup  Zone").otherwise(F.col("lang"))
-    return table(spark, sf_dir, "documents").select("doc_id", text.useful_section(head, F.concat(F.substring("text", 1, 60), tail), F.lit("es")).alias("useful"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.useful_section(head, F.concat("text", tail), F.lit("es")).alias("useful"))
 
 
 MENU_CELLS = ["석 식", "A코너 6,500 원", "B 코너\n7,000원", "특별 코너", "일반 뚝배기 5,000원", "중\n식 1,000원", "그 밖", "석식 B코너 8,000원"]
@@ -235,7 +235,7 @@ def schedule_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def contents_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("x\n 목차 \n"), "text")).when(F.col("doc_id") % 3 == 1, F.concat(F.repeat(F.lit("part 1 \n"), 5), F.substring("text", 1, 30), F.lit(" 9"))).otherwise(F.col("text"))
+    own = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("x\n 목차 \n"), "text")).when(F.col("doc_id") % 3 == 1, F.concat(F.repeat(F.lit("part 1 \n"), 5), "text", F.lit(" 9"))).otherwise(F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", pages.contents_page(own).alias("contents"))
 
 
@@ -336,7 +336,7 @@ SELECT source, count(*) AS judged, round(avg((v = 'correct')::INT), 6) AS correc
     "role_counts": "SELECT 'r' || s_nationkey AS role, count(*) AS n, count(*) <= 1 AS last_one FROM supplier GROUP BY 1",
     "usage_tokens": """SELECT event_id, CASE event_id % 4 WHEN 0 THEN user_id WHEN 1 THEN user_id WHEN 2 THEN 0 ELSE -1 END AS input_tokens, CASE event_id % 4 WHEN 0 THEN event_id WHEN 1 THEN 7 WHEN 2 THEN 0 ELSE -1 END AS output_tokens,
 CASE event_id % 4 WHEN 0 THEN user_id + event_id WHEN 1 THEN event_id WHEN 2 THEN user_id ELSE -1 END AS total_tokens FROM events""",
-    "useful_sections": f"""WITH s AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'Popup Zone' ELSE lang END AS head, trim(regexp_replace(substr(text, 1, 60) || ['', ' 학점 3', ' Portal 학점', ' 사이트맵 다.', ' 개설된다.'][doc_id % 5 + 1], '\\s+', ' ', 'g')) AS body FROM documents)
+    "useful_sections": f"""WITH s AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'Popup Zone' ELSE lang END AS head, trim(regexp_replace(text || ['', ' 학점 3', ' Portal 학점', ' 사이트맵 다.', ' 개설된다.'][doc_id % 5 + 1], '\\s+', ' ', 'g')) AS body FROM documents)
 SELECT doc_id, body <> '' AND NOT ({_any(SECTION_BOILERPLATE, 'lower(body)')} OR head = 'Popup Zone' OR head = 'es' OR {_any(SECTION_IGNORED, 'body')}) AND ({_any(SECTION_SIGNALS, 'body')} OR {_any(SENTENCE_MARKS, 'body')}) AS useful FROM s""",
     "menu_labels": "SELECT p_partkey, ['석식', '중식 A코너 6,500원', '중식 B코너 7,000원', '중식 특별코너', '일반(뚝배기)', '중식 1,000원', '', '석식 8,000원'][p_partkey % 8 + 1] AS label FROM part",
     "marked_sections": "SELECT page_id, url || '<![CDATA ' || page_id || ']>tail<![ open' AS without, '<!--[DATA-hwpjson ' || page_id || ']-->' || url || '<!--[CDATA ' || page_id || ']-->tail<![ open' AS neutral FROM pages",
@@ -344,7 +344,7 @@ SELECT doc_id, body <> '' AND NOT ({_any(SECTION_BOILERPLATE, 'lower(body)')} OR
     "schedule_text": """WITH n AS (SELECT o_custkey, o_orderkey AS k, sum((o_orderkey % 4 = 0)::INT) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS n FROM orders)
 SELECT o_custkey, '2026' AS year, string_agg(CASE k % 4 WHEN 0 THEN 'Event ' || k ELSE 'more ' || k END, ' ' ORDER BY k) FILTER (k % 4 < 2) AS content, coalesce('D' || max(k) FILTER (k % 4 = 2), '') AS department,
 '2026-03-0' || (max(k) FILTER (k % 4 = 0) % 9 + 1) AS start, '2026-04-1' || (max(k) FILTER (k % 4 = 0) % 9) AS "end" FROM n WHERE n > 0 GROUP BY o_custkey, n""",
-    "contents_pages": """WITH t AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'x' || chr(10) || ' 목차 ' || chr(10) || text WHEN 1 THEN repeat('part 1 ' || chr(10), 5) || substr(text, 1, 30) || ' 9' ELSE text END AS t FROM documents),
+    "contents_pages": """WITH t AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'x' || chr(10) || ' 목차 ' || chr(10) || text WHEN 1 THEN repeat('part 1 ' || chr(10), 5) || text || ' 9' ELSE text END AS t FROM documents),
 l AS (SELECT doc_id, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM t)
 SELECT doc_id, list_contains(l[:5], '목차') OR (len(list_filter(l[:20], lambda x: regexp_matches(x, '[0-9]\\s*$'))) >= 6 AND len(list_filter(l[:20], lambda x: length(x) <= 40)) >= 6) AS contents FROM l""",
     "merged_routes": """WITH m AS (SELECT conv_id, turn, list_filter([CASE turn % 3 WHEN 0 THEN 'courses' WHEN 2 THEN 'meals' END, ['notices', 'courses'][conv_id % 2 + 1], ['staff', 'notices'][(conv_id + turn) % 2 + 1]], lambda x: x IS NOT NULL) AS l FROM conversations),

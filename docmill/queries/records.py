@@ -72,16 +72,18 @@ def manifest_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def homepage_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch(spark, "homepages")
-    key = F.col("n_nationkey")
-    table(spark, sf_dir, "nation").coalesce(1).orderBy("n_nationkey").select(F.concat(F.lit(" d"), F.col("n_regionkey")).alias("department_name"), F.concat(F.lit("https://d"), key, F.lit(".uni.edu")).alias("department_url"), F.col("n_name").alias("college_name")).coalesce(1).write.option("header", True).csv(path)
-    return files.homepages(spark, path)
+    """Customers as rows of a list of homepages in several files, the last row of each department by its number."""
+    path, key = scratch(spark, "homepages"), F.col("c_custkey")
+    own = table(spark, sf_dir, "customer").select(F.concat(F.lit(" d"), F.col("c_nationkey")).alias("department_name"), F.concat(F.lit("https://d"), key, F.lit(".uni.edu")).alias("department_url"), F.col("c_name").alias("college_name"), key.alias("number"))
+    own.repartition(3).write.option("header", True).csv(path)
+    return files.homepages(spark, path, "number")
 
 
 def department_colleges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last filled college of each department, in the file's order."""
-    own = table(spark, sf_dir, "nation").coalesce(1).orderBy("n_nationkey").select(F.concat(F.lit("d"), F.col("n_regionkey"), F.lit(" ")).alias("department_name"), F.when(F.col("n_nationkey") % 3 == 0, "대학").when(F.col("n_nationkey") % 3 == 1, "").otherwise(F.col("n_name")).alias("college_name"))
-    return ask.department_map(own)
+    """The last filled college of each department, by a number."""
+    key = F.col("c_custkey")
+    own = table(spark, sf_dir, "customer").select(key, F.concat(F.lit("d"), F.col("c_nationkey"), F.lit(" ")).alias("department_name"), F.when(key % 3 == 0, "대학").when(key % 3 == 1, "").otherwise(F.col("c_name")).alias("college_name"))
+    return ask.department_map(own, "c_custkey")
 
 
 def courses_coalesced(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -346,8 +348,8 @@ ORACLES = {
     "appended_turns": "SELECT conv_id, turn, role FROM conversations WHERE role IN ('user', 'assistant')",
     "refresh_guard": "SELECT n_nationkey, n_name FROM nation",
     "manifest_verify": "SELECT doc_id::VARCHAR AS name, doc_id % 3 = 0 OR doc_id % 7 > 0 AS accepted, doc_id % 3 > 0 AND doc_id % 7 > 0 AS strict FROM documents",
-    "homepage_map": "SELECT 'd' || n_regionkey AS department_name, 'https://d' || max(n_nationkey) || '.uni.edu' AS department_url, arg_max(n_name, n_nationkey) AS college_name FROM nation GROUP BY n_regionkey",
-    "department_colleges": "SELECT 'd' || n_regionkey AS department, arg_max(n_name, n_nationkey) AS college FROM nation WHERE n_nationkey % 3 = 2 GROUP BY n_regionkey",
+    "homepage_map": "SELECT 'd' || c_nationkey AS department_name, 'https://d' || max(c_custkey) || '.uni.edu' AS department_url, arg_max(c_name, c_custkey) AS college_name FROM customer GROUP BY c_nationkey",
+    "department_colleges": "SELECT 'd' || c_nationkey AS department, arg_max(c_name, c_custkey) AS college FROM customer WHERE c_custkey % 3 = 2 GROUP BY c_nationkey",
     "courses_coalesced": "SELECT CASE WHEN p_partkey % 2 = 0 THEN 'C' ELSE 'X' END || p_partkey AS course_code, trim(CASE WHEN p_partkey % 3 = 0 THEN p_type ELSE p_name END) AS title, '' AS description, p_size::VARCHAR AS credit, '' AS semester, '' AS grade, '' AS course_type FROM part",
     "filled_columns": "SELECT unnest(['s_suppkey', 's_name', 'once']) AS name",
     "page_tables": """SELECT o_custkey, '1' AS "table", 'Customer ' || o_custkey AS heading, 'c' AS caption, '국문 교과목명|n' AS header, c AS cells, 3 + CASE WHEN contains(c, '학점') THEN 1 ELSE 0 END + CASE WHEN contains(lower(c), 'urgent') THEN 1 ELSE 0 END AS score, 'title' AS first

@@ -12,10 +12,14 @@ from docmill.functions.text import filled, first_filled, safe_file_name
 BOM = "﻿"
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV table as text columns: the first line names them, a byte-order mark is cut off, nulls are empty."""
+def read_csv(spark: SparkSession, path: str, place: bool = False) -> DataFrame:
+    """A CSV table as text columns: the first line names them, a byte-order mark is cut off, nulls are empty.
+
+    place: with __place, which orders rows by file and, as a file is read by one task, by line.
+    """
     rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    return rows.select(*(F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c.removeprefix(BOM)) for c in rows.columns))
+    at = [F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("n")).alias("__place")] if place else []
+    return rows.select(*(F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c.removeprefix(BOM)) for c in rows.columns), *at)
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
@@ -53,10 +57,15 @@ def load_courses(spark: SparkSession, path: str) -> DataFrame:
     return coalesced(rows, COURSES)
 
 
-def homepages(spark: SparkSession, path: str) -> DataFrame:
-    """(department_name, department_url, college_name): the last row of a department wins."""
-    rows = read_csv(spark, path).withColumn("__n", F.monotonically_increasing_id())
-    return rows.groupBy(F.trim("department_name").alias("department_name")).agg(F.max_by("department_url", "__n").alias("department_url"), F.max_by("college_name", "__n").alias("college_name"))
+def homepages(spark: SparkSession, path: str, order: str | None = None) -> DataFrame:
+    """(department_name, department_url, college_name): the last row of a department wins.
+
+    order: a column of the file that rises from row to row. Without it rows count by their file's
+    name and their place in it.
+    """
+    own = read_csv(spark, path, place=True)
+    own = own.withColumn("__n", F.struct(F.col(order).cast("double")) if order else F.col("__place"))
+    return own.groupBy(F.trim("department_name").alias("department_name")).agg(F.max_by("department_url", "__n").alias("department_url"), F.max_by("college_name", "__n").alias("college_name"))
 
 
 def refresh_dataset(existing: DataFrame, loaded: DataFrame, manual: Column) -> DataFrame:

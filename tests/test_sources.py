@@ -85,3 +85,10 @@ def test_reshaping(spark):
     lines = spark.createDataFrame([(1, i, t) for i, t in enumerate(["intro", "# A", "x", "y", "# B", "z"])], "d long, i long, t string")
     assert sorted(map(tuple, pages.sections(lines, "d", "i", "t", "^#").collect())) == [(1, "# A", "x\ny"), (1, "# B", "z")]
     assert spark.range(1).select(pages.without_repeats(F.lit("a\na\n12\nb\na"), ["^[0-9]+$"])).first()[0] == "a\nb\na"
+
+
+def test_last_homepage_of_several_files(spark, tmp_path):
+    for name, rows in (("b.csv", ["d1,u3,c3", "d2,u4,c4"]), ("a.csv", ["d1,u1,c1", "d1,u2,c2", " d3 ,u5,c5"])):
+        (tmp_path / name).write_text("department_name,department_url,college_name\n" + "\n".join(rows) + "\n")
+    got = sorted(tuple(r) for r in files.homepages(spark, str(tmp_path)).collect())
+    assert got == [("d1", "u3", "c3"), ("d2", "u4", "c4"), ("d3", "u5", "c5")]
