@@ -15,8 +15,8 @@ from docmill.functions.fixed import ALPHA, MIN_SCORE, TOP_K
 from docmill.functions.text import tokens
 from docmill.plans.shared import join_checked, materialise
 
-#: Terms of a vocabulary; queries and rows that meet in one task of a grid.
-MAX_TERMS, QUERY_BLOCK, ROW_BLOCK = 10_000, 4096, 100_000
+#: Terms of a vocabulary; queries and rows that meet in one task of a grid; bytes of a block's vectors as doubles.
+MAX_TERMS, QUERY_BLOCK, ROW_BLOCK, VECTOR_BYTES = 10_000, 4096, 100_000, 1 << 26
 
 
 def tokenised(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -123,16 +123,22 @@ def dense_scores(queries: DataFrame, rows: DataFrame, request: str, key: str, k:
     """
     rows = rows.filter(keep) if keep is not None else rows
     asked = materialise(queries.select(request, vector), "asked")
-    return _best_rows(rows.select(key, vector), asked, request, key, "dense_score", k, lambda q: Dense(q, request, key, vector, k))
+    width = asked.agg(F.max(F.size(vector))).first()[0] or 1
+    return _best_rows(rows.select(key, vector), asked, request, key, "dense_score", k, lambda q: Dense(q, request, key, vector, k), row_block(width))
 
 
-def _best_rows(rows: DataFrame, asked: DataFrame, request: str, key: str, score: str, k: int, scorer: Callable[[pa.Table], _Scorer]) -> DataFrame:
-    """The k best rows of each query in asked, a written table."""
+def row_block(width: int) -> int:
+    """Vectors of this length that a task of a grid gets: ROW_BLOCK, or as many as VECTOR_BYTES hold."""
+    return max(1, min(ROW_BLOCK, VECTOR_BYTES // (8 * max(1, width))))
+
+
+def _best_rows(rows: DataFrame, asked: DataFrame, request: str, key: str, score: str, k: int, scorer: Callable[[pa.Table], _Scorer], block: int | None = None) -> DataFrame:
+    """The k best rows of each query in asked, a written table. block: rows of a task of a grid."""
     kinds = f"`{request}` {asked.schema[request].dataType.simpleString()}, `{key}` {rows.schema[key].dataType.simpleString()}, {score} double"
-    return ranked(_scored(rows, asked, request, key, kinds, scorer), request, score, key, k).drop("rank")
+    return ranked(_scored(rows, asked, request, key, kinds, scorer, block), request, score, key, k).drop("rank")
 
 
-def _scored(rows: DataFrame, asked: DataFrame, request: str, key: str, kinds: str, scorer: Callable[[pa.Table], _Scorer]) -> DataFrame:
+def _scored(rows: DataFrame, asked: DataFrame, request: str, key: str, kinds: str, scorer: Callable[[pa.Table], _Scorer], block: int | None = None) -> DataFrame:
     """What the scorers of all tasks found about the queries in asked, a written table.
 
     Up to QUERY_BLOCK queries go to the tasks as they are, and rows are not shuffled. More meet the
@@ -144,10 +150,10 @@ def _scored(rows: DataFrame, asked: DataFrame, request: str, key: str, kinds: st
     names = [f.split()[0].strip("`") for f in kinds.split(", ")]
     n = asked.count()
     if n <= QUERY_BLOCK:
-        block = asked.toArrow()  # QUERY_BLOCK rows at most
+        every_query = asked.toArrow()  # QUERY_BLOCK rows at most
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best, kind = scorer(block), None
+            best, kind = scorer(every_query), None
             for b in batches:
                 kind = b.schema.field(key).type
                 best.add(b)
@@ -156,13 +162,13 @@ def _scored(rows: DataFrame, asked: DataFrame, request: str, key: str, kinds: st
 
         return rows.mapInArrow(run, kinds)
 
-    def cell(some: pa.Table, block: pa.Table) -> pa.Table:
-        best = scorer(block)
+    def cell(some: pa.Table, queries: pa.Table) -> pa.Table:
+        best = scorer(queries)
         for b in some.to_batches():
             best.add(b)
         return best.found(names, some.schema.field(key).type)
 
-    i, j = -(-rows.count() // ROW_BLOCK), -(-n // QUERY_BLOCK)
+    i, j = -(-rows.count() // (block or ROW_BLOCK)), -(-n // QUERY_BLOCK)
     every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(max(blocks, 1) - 1)))
     left = rows.withColumn("__i", F.pmod(F.xxhash64(key), F.lit(max(i, 1)))).select("*", every(j).alias("__j"))
     right = asked.withColumn("__j", F.pmod(F.xxhash64(request), F.lit(j)).cast("int")).select("*", every(i).alias("__i"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.operators.retrieval import QUERY_BLOCK, ROW_BLOCK, Dense, column, ranked, sound_vectors
+from docmill.operators.retrieval import QUERY_BLOCK, Dense, column, ranked, row_block, sound_vectors
 from docmill.plans.shared import materialise, scratch
 
 #: Vectors that centroids are fitted on, at most; lists, at most; turns of the fit.
@@ -167,7 +167,7 @@ def _best(index: VectorIndex, asked: DataFrame, request: str, k: int, keep: Colu
         return ranked(rows.mapInArrow(run, kinds), request, "dense_score", key, k).drop("rank")
 
     size = lambda n, most: max(1, -(-int(n) // most))
-    cells = index.spark.createDataFrame([(r["list"], size(index.n[r["list"]], ROW_BLOCK), size(r["count"], QUERY_BLOCK)) for r in per], "list int, i_n int, j_n int")
+    cells = index.spark.createDataFrame([(r["list"], size(index.n[r["list"]], row_block(index.centroids.shape[1])), size(r["count"], QUERY_BLOCK)) for r in per], "list int, i_n int, j_n int")
     cells, every = F.broadcast(cells), lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = rows.join(cells, "list").select(key, vector, "list", F.pmod(F.xxhash64(key), F.col("i_n")).cast("int").alias("i"), every("j_n").alias("j"))
     right = asked.select(request, vector, F.explode("lists").alias("list")).join(cells, "list")

@@ -18,13 +18,36 @@ QUESTIONS = [
     "내일 시험 기간", "최근 입학공지", "지난 주 행사", "다음주 개강", "지난달 소식", "이번 달 계획", "다음달 일정", "2025년 11월 20일 발표", "2025년 2월 공지", "6월 안에 신청해야 하는 것", "2025년 13월 40일", "그냥 질문",
     "드랍 학고 과목 교양과목 도서관", "23학번 졸업 이수 학점", "재수강 전과 규정", "D-Flex 메뉴", "장학공지 최신", "교수 연락처 번호",
 ]
-DATES = ["2026-06-05", "2026.06.05", "2026.06.05.", "2026.6.5", "2026. 06. 05", "2026년 6월 5일", "등록일 2026.06.09.", "2026.13.45", "없음", "", "2025-02-29", "2024/2/29", "x 1999-12-31 2000-01-01"]
+#: How an order's date is written: as Spark and as DuckDB format it.
+WRITTEN = [("yyyy-MM-dd", "%Y-%m-%d"), ("yyyy.MM.dd.", "%Y.%m.%d."), ("yyyy. M. d", "%Y. %-m. %-d"), ("yyyy'년' M'월' d'일'", "%Y년 %-m월 %-d일"), ("'등록일' yyyy.MM.dd.", "등록일 %Y.%m.%d."), ("yyyy/M/d", "%Y/%-m/%-d"), ("yyyy'.13.'dd", "%Y.13.%d"), ("'없음' MM-dd", "없음 %m-%d")]
+MONTH_DAY = ("M'월' d'일'", "%-m월 %-d일")
+#: Title and body of a notice: text, and the first or second of its two dates in a form.
 NOTICES = [
-    ("공지", "서류 제출 기한: 2026년 7월 5일(금)까지 제출", "2026-06-19"), ("장학 신청 마감 6월 21일 안내", "본문", "2026-06-10"), ("안내", "수강신청 기간: 2026. 05. 14.(화) 10:00 ~ 05. 16.(목)", "2026-05-01"),
-    ("모집 ~ 1월 5일", "x", "2026-12-20"), ("제목", "접수기간 3월 2일 - 3월 9일", "2026-02-01"), ("제목", "신청 기간: 2026.03.02 ~ 2026.03.09", None), ("제목", "날짜 없음", "2026-02-01"), ("마감 2월 30일", "기한 5/6", "2026-02-01"), (None, None, None),
+    (["공지"], ["서류 제출 기한: ", (0, WRITTEN[3]), "(금)까지 제출"]), (["장학 신청 마감 ", (0, MONTH_DAY), " 안내"], ["본문"]), (["안내"], ["수강신청 기간: ", (0, ("yyyy. MM. dd.", "%Y. %m. %d.")), "(화) 10:00 ~ ", (1, ("MM. dd.", "%m. %d.")), "(목)"]),
+    (["모집 ~ ", (0, MONTH_DAY)], ["x"]), (["제목"], ["접수기간 ", (0, MONTH_DAY), " - ", (1, MONTH_DAY)]), (["제목"], ["신청 기간: ", (0, WRITTEN[1]), " ~ ", (1, WRITTEN[1])]), (["제목"], ["날짜 없음"]), (["마감 2월 30일"], ["기한 ", (0, ("M/d", "%-m/%-d"))]), (None, None),
 ]
 
 
+def _spark_text(parts: list | None, days: list[Column]) -> Column:
+    return F.concat(*(F.lit(x) if isinstance(x, str) else F.date_format(days[x[0]], x[1][0]) for x in parts)) if parts else F.lit(None).cast("string")
+
+
+def _sql_text(parts: list | None, days: list[str]) -> str:
+    return " || ".join(f"'{x}'" if isinstance(x, str) else f"strftime({days[x[0]]}, '{x[1][1]}')" for x in parts) if parts else "NULL"
+
+
+def _by(key: Column, values: list[Column]) -> Column:
+    """One of values by the key's remainder."""
+    out = values[-1]
+    for i, v in enumerate(values[:-1]):
+        out = F.when(key % len(values) == i, v).otherwise(out)
+    return out
+
+
+def _sql_by(key: str, values: list[str]) -> str:
+    return f"CASE {key} % {len(values)} " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + " END"
+
+
 def _pick(values: list, by: Column) -> Column:
     return F.element_at(F.array(*(F.lit(v).cast("string") for v in values)), (by % len(values) + 1).cast("int"))
 
@@ -68,17 +91,19 @@ def tokens_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def standard_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders' dates behind texts with a date, a broken one or none."""
-    raw = F.concat_ws(" ", _pick(DATES, F.col("o_orderkey")), F.date_format("o_orderdate", "yyyy/M/d"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", dates.standard_date(raw).alias("day"))
+    """Orders' dates as written in several ways, two of them no dates, with a later one behind some."""
+    key = F.col("o_orderkey")
+    raw = _by(key, [F.date_format("o_orderdate", f) for f, _ in WRITTEN])
+    later = F.when(key % 5 == 0, F.date_format(F.date_add(F.to_date("o_orderdate"), (key % 90).cast("int")), "yyyy-MM-dd"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", dates.standard_date(F.concat_ws(" ", raw, later)).alias("day"))
 
 
 def deadlines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as notices of their day."""
-    key = F.col("o_orderkey")
-    title, body = (_pick([n[i] for n in NOTICES], key) for i in (0, 1))
-    published = F.when(key % 11 > 0, F.to_date("o_orderdate"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", dates.apply_deadline(title, body, published).alias("deadline"))
+    """Orders as notices of their day, with dates some weeks from it in title or body."""
+    key, day = F.col("o_orderkey"), F.to_date("o_orderdate")
+    days = [F.date_add(day, (key % 40 + 1).cast("int")), F.date_add(day, (key % 40 + 8).cast("int"))]
+    title, body = (_by(key, [_spark_text(n[i], days) for n in NOTICES]) for i in (0, 1))
+    return table(spark, sf_dir, "orders").select("o_orderkey", dates.apply_deadline(title, body, F.when(key % 11 > 0, day)).alias("deadline"))
 
 
 def date_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,8 +227,9 @@ ORACLES = {
     "whitespace_norm": f"SELECT doc_id, md5({_squeezed()}) AS text_md5 FROM documents",
     "tokens_of_documents": """WITH t AS (SELECT DISTINCT doc_id, lower(unnest(regexp_extract_all(text, '[가-힣A-Za-z0-9]+'))) AS t FROM documents), g AS (SELECT doc_id, count(*) AS n, md5(string_agg(t, ' ' ORDER BY t)) AS m FROM t WHERE length(t) >= 2 GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n, 0)::INT AS n_tokens, coalesce(m, md5('')) AS tokens_md5 FROM documents d LEFT JOIN g USING (doc_id)""",
-    "standard_dates": f"SELECT o_orderkey, strftime({_day(_g('raw', _D, 1), _g('raw', _D, 2), _g('raw', _D, 3))}, '%Y-%m-%d') AS day FROM (SELECT o_orderkey, concat_ws(' ', {_list(DATES)}[o_orderkey % {len(DATES)} + 1], strftime(o_orderdate, '%Y/%-m/%-d')) AS raw FROM orders)",
-    "deadlines": f"""WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 > 0 THEN o_orderdate::DATE END AS p, {_list([n[0] for n in NOTICES])}[o_orderkey % {len(NOTICES)} + 1] AS title, {_list([n[1] for n in NOTICES])}[o_orderkey % {len(NOTICES)} + 1] AS body FROM orders),
+    "standard_dates": f"SELECT o_orderkey, strftime({_day(_g('raw', _D, 1), _g('raw', _D, 2), _g('raw', _D, 3))}, '%Y-%m-%d') AS day FROM (SELECT o_orderkey, concat_ws(' ', {_sql_by('o_orderkey', [f"strftime(o_orderdate, '{f}')" for _, f in WRITTEN])}, CASE WHEN o_orderkey % 5 = 0 THEN strftime(o_orderdate::DATE + (o_orderkey % 90)::INT, '%Y-%m-%d') END) AS raw FROM orders)",
+    "deadlines": f"""WITH d AS (SELECT o_orderkey, o_orderdate::DATE AS day, o_orderdate::DATE + (o_orderkey % 40 + 1)::INT AS d1, o_orderdate::DATE + (o_orderkey % 40 + 8)::INT AS d2 FROM orders),
+o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 > 0 THEN day END AS p, {_sql_by('o_orderkey', [_sql_text(n[0], ['d1', 'd2']) for n in NOTICES])} AS title, {_sql_by('o_orderkey', [_sql_text(n[1], ['d1', 'd2']) for n in NOTICES])} AS body FROM d),
 n AS (SELECT *, regexp_extract(body, '({BODY_DEADLINE})(.*)', 0, 's') AS hit, regexp_extract(body, '(?:{BODY_DEADLINE})((?s).{{0,180}})', 1) AS w FROM o),
 c AS (SELECT *, CASE WHEN p IS NOT NULL THEN {_day(f"coalesce({_g('title', _TITLE, 1)}, year(p)::VARCHAR)", _g('title', _TITLE, 2), _g('title', _TITLE, 3))} END AS t,
 {_day(_g('w', _END + _D, 1), _g('w', _END + _D, 2), _g('w', _END + _D, 3))} AS e1, {_g('w', _END + _D, 1)} AS e1s, {_day('year(p)::VARCHAR', _g('w', _END + _MD_END, 1), _g('w', _END + _MD_END, 2))} AS e2, {_g('w', _END + _MD_END, 1)} AS e2s,

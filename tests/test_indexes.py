@@ -66,7 +66,7 @@ def test_many_queries_meet_lists_in_cells(spark, monkeypatch):
     every = rows.select(F.col("vec_id").alias("request"), F.col("embedding").alias("asked"))
     want = nearest(vectors.search(index, every, "request", "asked", 4, probes=2, exact=True))
     monkeypatch.setattr(vectors, "QUERY_BLOCK", 50)
-    monkeypatch.setattr(vectors, "ROW_BLOCK", 70)
+    monkeypatch.setattr(retrieval, "ROW_BLOCK", 70)
     assert nearest(vectors.search(index, every, "request", "asked", 4, probes=2, exact=True)) == want
     assert nearest(retrieval.dense_scores(every.withColumnRenamed("asked", "embedding"), rows, "request", "vec_id", 4)) == want
 
