@@ -9,7 +9,7 @@ from docmill.functions import dates, text
 from docmill.operators import admin, chunks, sync
 from docmill.operators import understanding as ask
 from docmill.plans.shared import scratch, table
-from docmill.sources import boards, cascade, files, pages
+from docmill.sources import boards, cascade, details, files, pages
 
 
 def _pick(by: Column, *values: str) -> Column:
@@ -170,6 +170,17 @@ def _stored(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
+def detail_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crawled pages as posts of a board, some without date, post or files."""
+    key, words = F.col("page_id"), F.regexp_replace(F.regexp_extract("url", "//([^/:?#]*)", 1), "[.]", " ")
+    info = F.concat(F.lit("<div class='info'><span>등록일 2026."), key % 13, F.lit("."), key % 28 + 1, F.lit(".</span><span>조회 "), key, F.lit("</span></div>"))
+    files = F.when(key % 4 > 0, F.concat(F.lit("<div class='view_files'><ul><li><a href=\"javascript:downGO('f "), key, F.lit(".pdf','/a b/c','s"), key, F.lit("')\">f</a></li><li><a href='#'>no</a></li></ul></div>"))).otherwise("")
+    body = F.concat(F.lit("<div class='view_cont'><p>First <b>"), words, F.lit("</b></p><script>x()</script>\n<p> last &amp; </p></div>"))
+    page = F.concat(F.when(key % 7 > 0, "<div class='board_view'>").otherwise("<div>"), F.lit("<div class='tit'><p>Post "), key, F.lit("</p>"), info, F.lit("</div>"), body, files, F.lit("</div>"))
+    found = details.detail_pages(table(spark, sf_dir, "pages").select("page_id", page.alias("html")), "page_id", "https://board.example.edu")
+    return found.select("page_id", F.coalesce("title", F.lit("")).alias("title"), "posted_at", F.coalesce("views", F.lit(-1)).alias("views"), "content", F.coalesce(F.get("attachments", F.lit(0))["url"], F.lit("")).alias("file_url"), F.size("attachments").alias("n_files"), "parsed")
+
+
 def board_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items of stored list pages, through the data source."""
     return spark.read.format("board_pages").option("pagesPerTask", 2).load(_stored(spark, sf_dir))
@@ -335,7 +346,7 @@ def distinct_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_mktsegment").distinct()
 
 
-QUERIES = {f.__name__: f for f in (csv_scan, raw_layer, chunk_artifact, refreshed_dataset, appended_turns, refresh_guard, manifest_verify, homepage_map, department_colleges, courses_coalesced, filled_columns, page_tables, course_records, course_tables, schedule_table, board_items, board_source, board_stream, board_collected, item_details, meal_rows, week_days, weekly_files, text_sections, lines_without_repeats, notice_docs, rule_docs, schedule_docs, staff_docs, meal_docs, course_chunks, submission_notices, guide_sections, guide_tails, guide_titles, descriptions_merged, notice_records, field_rules, name_rules, distinct_names)}
+QUERIES = {f.__name__: f for f in (csv_scan, raw_layer, chunk_artifact, refreshed_dataset, appended_turns, refresh_guard, manifest_verify, homepage_map, department_colleges, courses_coalesced, filled_columns, page_tables, course_records, course_tables, schedule_table, board_items, detail_pages, board_source, board_stream, board_collected, item_details, meal_rows, week_days, weekly_files, text_sections, lines_without_repeats, notice_docs, rule_docs, schedule_docs, staff_docs, meal_docs, course_chunks, submission_notices, guide_sections, guide_tails, guide_titles, descriptions_merged, notice_records, field_rules, name_rules, distinct_names)}
 
 _NOTICE_DATE = "CASE WHEN o_orderkey % 5 > 0 THEN o_orderdate::DATE END"
 _BOARDS = """WITH p AS (SELECT page_id AS k, regexp_extract(url, '//([^/:?#]*)', 1) AS board, url, row_number() OVER (PARTITION BY regexp_extract(url, '//([^/:?#]*)', 1) ORDER BY page_id DESC) - 1 AS i FROM pages),
@@ -362,6 +373,9 @@ FROM o WHERE t < 3""",
     "course_tables": """SELECT o_custkey, '졸업요건 안내' AS section, 'graduation' AS frame, '교과목명|학점|기타' AS header, 'Course ' || o_orderkey || '|' || CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey::VARCHAR ELSE '' END || '|' || o_orderpriority AS cells FROM orders WHERE o_custkey % 5 IN (0, 3)""",
     "schedule_table": """SELECT o_custkey, '2026' AS year, 'Event ' || o_orderkey AS content, CASE WHEN o_orderkey % 3 > 0 THEN 'D' || o_orderkey ELSE '' END AS department, '2026-03-0' || (o_orderkey % 9 + 1) AS start, CASE WHEN o_orderkey % 2 = 0 THEN '2026-04-1' || (o_orderkey % 9) ELSE '2026-03-0' || (o_orderkey % 9 + 1) END AS "end" FROM orders""",
     "board_items": f"{_BOARDS} SELECT * FROM items",
+    "detail_pages": """WITH p AS (SELECT page_id AS k, page_id % 7 > 0 AS ok, replace(regexp_extract(url, '//([^/:?#]*)', 1), '.', ' ') AS w FROM pages)
+SELECT k AS page_id, CASE WHEN ok THEN 'Post ' || k ELSE '' END AS title, CASE WHEN ok AND k % 13 > 0 THEN strftime(make_date(2026, (k % 13)::INT, (k % 28 + 1)::INT), '%Y-%m-%d') END AS posted_at, CASE WHEN ok THEN k ELSE -1 END AS views,
+CASE WHEN ok THEN 'First' || chr(10) || w || chr(10) || 'last &' ELSE '' END AS content, CASE WHEN ok AND k % 4 > 0 THEN 'https://board.example.edu/cmmn/fileDown.do?filename=f%20' || k || '.pdf&filepath=/a%20b/c&filerealname=s' || k ELSE '' END AS file_url, CASE WHEN ok AND k % 4 > 0 THEN 1 ELSE 0 END::INT AS n_files, ok AS parsed FROM p""",
     "board_source": f"{_BOARDS} SELECT * FROM items",
     "board_stream": f"{_BOARDS} SELECT * FROM items",
     "board_collected": """WITH l AS (SELECT o_orderpriority AS board, o_orderkey // 50 AS page, o_orderkey % 50 AS place, CASE WHEN o_orderkey % 10 = 9 THEN o_orderkey - 5 ELSE o_orderkey END AS article_id, year(o_orderdate) < 1994 AS old, o_orderkey % 17 = 0 AS pin FROM orders),

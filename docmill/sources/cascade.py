@@ -45,11 +45,11 @@ CANDIDATES = "page_title string, tables array<struct<section: string, header: ar
 
 
 class _Node:
-    __slots__ = ("tag", "id", "classes", "children")
+    __slots__ = ("tag", "id", "classes", "href", "children")
 
     def __init__(self, tag: str, attrs: list):
         at = dict(attrs)
-        self.tag, self.id, self.classes, self.children = tag, at.get("id"), (at.get("class") or "").split(), []
+        self.tag, self.id, self.classes, self.href, self.children = tag, at.get("id"), (at.get("class") or "").split(), at.get("href"), []
 
 
 class _Tree(HTMLParser):

@@ -214,16 +214,17 @@ class _Items(HTMLParser):
 _POSTED = re.compile(r"([0-9]{4})\.([0-9]{1,2})\.([0-9]{1,2})")
 
 
-def list_items(html: str) -> list[dict]:
-    """The items of a list page, with posted_at as yyyy-MM-dd, None if it is no date."""
+def iso_date(text: str | None) -> str | None:
+    """The first yyyy.M.d of a text as yyyy-MM-dd; None if it is no date."""
+    try:
+        return date(*map(int, _POSTED.search(text or "").groups())).isoformat()
+    except (AttributeError, ValueError):
+        return None
 
-    def iso(text: str | None) -> str | None:
-        try:
-            return date(*map(int, _POSTED.search(text or "").groups())).isoformat()
-        except (AttributeError, ValueError):
-            return None
 
-    return [item | {"posted_at": iso(item["posted_at"])} for item in _Items(html or "").items]
+def list_items(html: str) -> list[dict]:
+    """The items of a list page, with posted_at as yyyy-MM-dd."""
+    return [item | {"posted_at": iso_date(item["posted_at"])} for item in _Items(html or "").items]
 
 
 def board_list(pages: DataFrame, board: str, page: str, html: str = "html") -> DataFrame:

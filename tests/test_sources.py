@@ -92,3 +92,12 @@ def test_last_homepage_of_several_files(spark, tmp_path):
         (tmp_path / name).write_text("department_name,department_url,college_name\n" + "\n".join(rows) + "\n")
     got = sorted(tuple(r) for r in files.homepages(spark, str(tmp_path)).collect())
     assert got == [("d1", "u3", "c3"), ("d2", "u4", "c4"), ("d3", "u5", "c5")]
+
+
+def test_detail_pages(spark):
+    from docmill.sources import details
+
+    post = "<div class='board_view x'><div class=tit><p>A <i>b</i></p><div class=info><span>등록일 2026.02.30.</span><span>조회수 12회</span></div></div><div class=view_cont>one<br> two <script>no</script></div></div>"
+    df = spark.createDataFrame([(1, post), (2, None), (3, "<p>no post</p>"), (4, "<div class=board_view>"), (1, post)], "k long, html string")
+    got = sorted((r["k"], r["title"], r["posted_at"], r["views"], r["content"], len(r["attachments"]), r["parsed"]) for r in details.detail_pages(df, "k", "https://x.example").collect())
+    assert got == [(1, "A b", None, 12, "one\ntwo", 0, True)] * 2 + [(2, None, None, None, "", 0, False), (3, None, None, None, "", 0, False), (4, "", None, None, "", 0, True)]
