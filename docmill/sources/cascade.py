@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 from html.parser import HTMLParser
-from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -147,10 +146,7 @@ def outline(html: str | None) -> tuple[str, list[dict], list[dict], list[dict]]:
     root = _Tree(html or "").root
     title = next((_text(x) for x in _walk(root) if x.tag == "title"), "")
     content = _content(root)
-    tables = []
-    for _, rows in groupby(_Tables(html or "").rows, lambda r: r[0]):
-        rows = list(rows)
-        tables.append({"section": rows[0][1], "header": rows[0][3], "rows": [r[4] for r in rows]})
+    tables = [{"section": heading, "header": header, "rows": rows} for _, heading, _, header, rows in _Tables(html or "").tables]
     return title, tables, _headings(content), _sections(content)
 
 

@@ -20,16 +20,16 @@ from docmill.functions.fixed import DATE, EVENT_DEPARTMENT, EVENT_LINE, EVENT_YE
 from docmill.operators.chunks import keep_first
 from docmill.operators.reports import rank_islands, streaks
 
-CELL = StructType([StructField("table", StringType()), StructField("heading", StringType()), StructField("caption", StringType()), StructField("header", ArrayType(StringType())), StructField("cells", ArrayType(StringType()))])
+TABLE = StructType([StructField("table", StringType()), StructField("heading", StringType()), StructField("caption", StringType()), StructField("header", ArrayType(StringType())), StructField("rows", ArrayType(ArrayType(StringType())))])
 HEADINGS = {"h1", "h2", "h3", "h4", "strong", "dt"}
 
 
 class _Tables(HTMLParser):
-    """Rows of all tables, each with the heading before its table; ragged rows are cut or filled to the header."""
+    """All tables with rows, each with the heading before it; ragged rows are cut or filled to the header."""
 
     def __init__(self, html: str):
         super().__init__()
-        self.rows, self.n, self.heading, self.caption, self.header, self.cells, self.text, self.into = [], 0, "", "", None, None, "", None
+        self.tables, self.n, self.heading, self.caption, self.header, self.cells, self.text, self.into = [], 0, "", "", None, None, "", None
         self.inside, self.own, self.table_heading = False, [], ""
         self.feed(html)
         self.close_table()
@@ -37,7 +37,8 @@ class _Tables(HTMLParser):
     def close_table(self) -> None:
         width = len(self.header) if self.header else max(map(len, self.own), default=0)
         header = self.header or [f"col_{i + 1}" for i in range(width)]
-        self.rows += [(str(self.n), self.table_heading, self.caption, header, (r + [""] * width)[:width]) for r in self.own] if self.own else []
+        if self.own:
+            self.tables.append((str(self.n), self.table_heading, self.caption, header, [(r + [""] * width)[:width] for r in self.own]))
         self.own, self.header, self.caption, self.inside = [], None, "", False
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -76,15 +77,16 @@ class _Tables(HTMLParser):
             self.text += data + " " * (self.into == "cell")
 
 
-@F.pandas_udf(ArrayType(CELL))
-def table_rows(html: pd.Series) -> pd.Series:
-    """All table rows of a page."""
-    return html.map(lambda h: _Tables(h or "").rows)
+@F.pandas_udf(ArrayType(TABLE))
+def page_tables(html: pd.Series) -> pd.Series:
+    """All tables of a page; what a table's rows share stands once."""
+    return html.map(lambda h: _Tables(h or "").tables)
 
 
 def tables(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     """(key, table, heading, caption, header, cells): a row per table row."""
-    return pages.select(key, F.explode(table_rows(F.col(html))).alias("r")).select(key, "r.*")
+    own = pages.select(key, F.explode(page_tables(F.col(html))).alias("t"))
+    return own.select(key, "t.table", "t.heading", "t.caption", "t.header", F.explode("t.rows").alias("cells"))
 
 
 def relevance(header: Column, body: Column, words: list[str]) -> Column:
