@@ -24,9 +24,14 @@ def line_key(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), r"[\x20\x09-\x0D]+", " "))
 
 
+def line_keys(text: Column) -> Column:
+    """The keys of a text's lines, in order; what is made of them is a second step, so that a key is computed once."""
+    return F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), line_key)
+
+
 def line_hashes(text: Column) -> Column:
     """64-bit hash of each line's key, in order; null for a line without a word."""
-    return F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.when(line_key(x) != "", F.xxhash64(line_key(x))))
+    return F.transform(line_keys(text), lambda k: F.when(k != "", F.xxhash64(k)))
 
 
 def with_own(lines: Column, often: Column, then: Callable[[Column, Column], Column]) -> Column:

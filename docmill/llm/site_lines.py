@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm.line_quality import line_key, with_own
+from docmill.llm.line_quality import line_keys, with_own
 from docmill.plans.shared import join_checked, materialise
 
 
 def line_hashes(text: Column) -> Column:
     """MD5 of each line's key, in order; null for a line without a word."""
-    return F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.when(line_key(x) != "", F.md5(line_key(x).cast("binary"))))
+    return F.transform(line_keys(text), lambda k: F.when(k != "", F.md5(k.cast("binary"))))
 
 
 def boilerplate(docs: DataFrame, ratio: float = 0.1, least: int = 5) -> DataFrame:
