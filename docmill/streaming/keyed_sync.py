@@ -1,8 +1,10 @@
-"""Synchronisation as keyed state: a document's state changes with its own records and timers.
+"""Synchronisation as keyed state: documents' states change with their own records and timers.
 
-A batch costs what it brings: documents that no record and no miss concerns are not touched. Runs of
-a crawl are told apart by their event time. A document that is seen sets a timer just after the run;
-when the watermark has passed the next run and the document wasn't seen there, the timer fires: a miss.
+The key is one of BUCKETS hashes of source_id, for a call of the state store costs more than a document's
+work: a bucket's documents are read and written in one call each. A batch costs the buckets that it brings
+records or misses to; all others are not touched. Runs of a crawl are told apart by their event time. A
+document that is seen falls due just after the run; the bucket's timer stands at the first of them. When the
+watermark has passed the next run and the document wasn't seen there, the timer fires: a miss.
 """
 
 from __future__ import annotations
@@ -14,39 +16,61 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 VISIBLE = ("active", "updated")
+#: Keys of the state: some thousand documents a bucket where there are millions. Part of a checkpoint: another number needs a new one.
+BUCKETS = 1 << 12
+FIELDS = ("source_id", "content_hash", "status", "miss_count", "is_pinned")
+STATE = "source_id array<string>, content_hash array<string>, status array<string>, miss_count array<int>, is_pinned array<boolean>, due array<long>, timer long"
 CHANGES = "source_id string, run_at timestamp, change string, status string, miss_count int, content_hash string, should_index boolean"
 
 
 class DocumentSync(StatefulProcessor):
-    """One document: status, hash, misses, whether it is pinned, and the time of its timer (0: none)."""
+    """A bucket: status, hash, misses, whether it is pinned, and when it falls due (0: never) of each document, and the time of the timer (0: none)."""
 
     def __init__(self, detect_missing: bool):
         self.detect_missing = detect_missing
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.document = handle.getValueState("document", "content_hash string, status string, miss_count int, is_pinned boolean, due long")
-
-    def _keep(self, content_hash, status: str, misses: int, pinned: bool, due: int, after: int) -> None:  # noqa: ANN001
-        """Store the document; while it is visible its timer stands just after the given time."""
-        if due:
-            self.handle.deleteTimer(due)
-        due = after + 1 if self.detect_missing and status in VISIBLE else 0
-        if due:
-            self.handle.registerTimer(due)
-        self.document.update((content_hash, status, misses, pinned, due))
+        self.bucket = handle.getValueState("bucket", STATE)
+
+    def _read(self) -> tuple[dict, int]:
+        """(documents by source_id, time of the timer)."""
+        if (found := self.bucket.get()) is None:
+            return {}, 0
+        *columns, timer = found
+        return {x: rest for x, *rest in zip(*columns, strict=True)}, timer
+
+    def _write(self, documents: dict, timer: int, fired: bool = False) -> None:
+        """Store the documents; the timer stands at the first time that one falls due."""
+        first = min((d[-1] for d in documents.values() if d[-1]), default=0)
+        if first != timer or fired:
+            if timer and not fired:
+                self.handle.deleteTimer(timer)
+            if first:
+                self.handle.registerTimer(first)
+        columns = zip(*((x, *rest) for x, rest in documents.items()), strict=True)
+        self.bucket.update((*map(list, columns), first))
+
+    def _due(self, status: str, after: int) -> int:
+        """While a document is visible, it falls due just after the given time."""
+        return after + 1 if self.detect_missing and status in VISIBLE else 0
 
     def handleInitialState(self, key, initialState: Row, timerValues) -> None:  # noqa: N802, N803
-        self._keep(initialState["content_hash"], initialState["status"], initialState["miss_count"] or 0, bool(initialState["is_pinned"]), 0, 0)
+        documents, timer = self._read()
+        for d in initialState["documents"]:
+            documents[d["source_id"]] = [d["content_hash"], d["status"], d["miss_count"], d["is_pinned"], self._due(d["status"], 0)]
+        self._write(documents, timer)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        last = {}  # of each run; a batch holds few runs
+        last = {}  # of each document and run; a batch holds few runs
         for r in rows:
-            old = last.get(r["run_at"])
+            own = r["source_id"], r["run_at"]
+            old = last.get(own)
             if old is None or (r["seen_at"], r["content_hash"] or "") >= (old["seen_at"], old["content_hash"] or ""):
-                last[r["run_at"]] = r
-        for run_at, r in sorted(last.items()):
-            old_hash, status, _, _, due = self.document.get() if self.document.exists() else (None, None, 0, False, 0)
+                last[own] = r
+        documents, timer = self._read()
+        for (source_id, run_at), r in sorted(last.items()):
+            old_hash, status, *_ = documents.get(source_id, (None, None))
             if r["failed"]:
                 change = status = "parse_failed"
             elif status is None:
@@ -55,19 +79,24 @@ class DocumentSync(StatefulProcessor):
                 change = status = "updated"
             else:
                 change, status = "unchanged", "active"
-            self._keep(r["content_hash"], status, 0, bool(r["is_pinned"]), due, round(run_at.timestamp() * 1000))
-            yield Row(source_id=key[0], run_at=run_at, change=change, status=status, miss_count=0, content_hash=r["content_hash"], should_index=change in ("new", "updated"))
+            documents[source_id] = [r["content_hash"], status, 0, bool(r["is_pinned"]), self._due(status, round(run_at.timestamp() * 1000))]
+            yield Row(source_id=source_id, run_at=run_at, change=change, status=status, miss_count=0, content_hash=r["content_hash"], should_index=change in ("new", "updated"))
+        self._write(documents, timer)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
-        content_hash, status, misses, pinned, due = self.document.get()
-        if due != expiredTimerInfo.getExpiryTimeInMs():
+        documents, timer = self._read()
+        if timer != expiredTimerInfo.getExpiryTimeInMs():
             return
         run = timerValues.getCurrentWatermarkInMs()
-        misses += 1
-        change = "missed" if pinned and misses < 2 else "hidden"
-        status = status if change == "missed" else "hidden"
-        self._keep(content_hash, status, misses, pinned, 0, run)
-        yield Row(source_id=key[0], run_at=_moment(run), change=change, status=status, miss_count=misses, content_hash=content_hash, should_index=False)
+        for source_id, (content_hash, status, misses, pinned, due) in documents.items():
+            if not 0 < due <= run:
+                continue
+            misses += 1
+            change = "missed" if pinned and misses < 2 else "hidden"
+            status = status if change == "missed" else "hidden"
+            documents[source_id] = [content_hash, status, misses, pinned, self._due(status, run)]
+            yield Row(source_id=source_id, run_at=_moment(run), change=change, status=status, miss_count=misses, content_hash=content_hash, should_index=False)
+        self._write(documents, timer, fired=True)
 
     def close(self) -> None:
         pass
@@ -89,11 +118,13 @@ def sync_changes(records: DataFrame, detect_missing: bool = False, snapshot: Dat
     the documents (source_id, content_hash, status, miss_count, is_pinned) before the first run.
     Records without a source_id are left out. Output is an append-only table of changes.
     """
-    own = records.filter("source_id is not null and source_id != ''").withWatermark("run_at", "0 seconds")
+    bucket = F.pmod(F.xxhash64("source_id"), F.lit(BUCKETS)).cast("int").alias("bucket")
+    own = records.filter("source_id is not null and source_id != ''").withWatermark("run_at", "0 seconds").withColumn("bucket", bucket)
     first = None
     if snapshot is not None:
-        first = snapshot.select("source_id", "content_hash", "status", F.coalesce("miss_count", F.lit(0)).cast("int").alias("miss_count"), F.coalesce("is_pinned", F.lit(False)).alias("is_pinned")).groupBy("source_id")
-    return own.groupBy("source_id").transformWithState(DocumentSync(detect_missing), CHANGES, "Append", "EventTime", initialState=first)
+        known = snapshot.select("source_id", "content_hash", "status", F.coalesce("miss_count", F.lit(0)).cast("int").alias("miss_count"), F.coalesce("is_pinned", F.lit(False)).alias("is_pinned"))
+        first = known.groupBy(bucket).agg(F.collect_list(F.struct(*FIELDS)).alias("documents")).groupBy("bucket")  # a bucket's documents
+    return own.groupBy("bucket").transformWithState(DocumentSync(detect_missing), CHANGES, "Append", "EventTime", initialState=first)
 
 
 def latest_documents(changes: DataFrame) -> DataFrame:

@@ -213,3 +213,37 @@ def test_answer_events_over_batches(stateful, tmp_path):
     got = {s: [(r["type"], r["content"]) for r in found.filter(F.col("session") == s).orderBy("n").collect()] for s in ("x", "y", "open", "null")}
     assert got == {"x": WANT, "y": WANT, "open": WANT[:4], "null": []}
     assert {(r["session"], r["answer"], r["error"]) for r in answers.answers(found).collect()} == {(s, "안녕 a\nb 🙂", "late") for s in ("x", "y", "open")}
+
+
+def test_a_bucket_of_documents_takes_one_read_and_one_write():
+    calls = []
+
+    class Store:
+        held = None
+
+        def get(self):
+            calls.append("get")
+            return self.held
+
+        def update(self, value):
+            calls.append("update")
+            self.held = value
+
+    class Handle:
+        def getValueState(self, *_):  # noqa: N802
+            return Store()
+
+        def registerTimer(self, at):  # noqa: N802
+            calls.append(f"register {at}")
+
+        def deleteTimer(self, at):  # noqa: N802
+            calls.append(f"delete {at}")
+
+    own = keyed_sync.DocumentSync(True)
+    own.init(Handle())
+    own.handleInitialState((3,), {"documents": [{"source_id": f"d{i}", "content_hash": "h", "status": "active", "miss_count": 0, "is_pinned": False} for i in range(100)]}, None)
+    assert calls == ["get", "register 1", "update"]
+    calls.clear()
+    rows = [{"source_id": f"d{i}", "content_hash": "h", "failed": False, "is_pinned": False, "run_at": START, "seen_at": 0} for i in range(100)]
+    assert {r.change for r in own.handleInputRows((3,), iter(rows), None)} == {"unchanged"}
+    assert calls == ["get", "delete 1", f"register {int(START.timestamp()) * 1000 + 1}", "update"]
