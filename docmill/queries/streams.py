@@ -32,18 +32,18 @@ def cache_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def answer_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as streamed answers, cut into pieces of 37 bytes that come in three batches."""
-    path = scratch(spark, "pieces")
+    """Conversations as streamed answers, cut into pieces of 37 bytes that come in three batches, each of as many files as its tasks write."""
+    path, state, out = scratch(spark, "pieces"), scratch(spark, "events-state"), scratch(spark, "events")
     line = F.concat(F.lit("data: "), F.to_json(F.struct(F.when(F.col("role") == "system", "metadata").otherwise("text").alias("type"), F.col("text").alias("content"))), F.lit("\n\n"))
     body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"]), "").cast("binary")  # a conversation's turns
     whole = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("session")).agg(body.alias("body"))
     cut = F.expr("transform(sequence(0, int((length(body) - 1) / 37)), i -> struct(i as seq, substring(body, i * 37 + 1, 37) as piece, i = int((length(body) - 1) / 37) as done))")
     own = materialise(whole.select("session", F.explode(cut).alias("p")).select("session", F.col("p.seq").cast("long").alias("seq"), "p.piece", "p.done"), "pieces")
     size = own.groupBy("session").agg(F.max("seq").alias("last"))
-    for k in range(3):  # a file a batch
-        own.join(size, "session").filter(F.floor(F.col("seq") * 3 / (F.col("last") + 1)) == k).drop("last").coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(own.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    found = stream_answers.answers(drained(stream_answers.answer_events(stream), "events"))
+    for k in range(3):  # what a run finds new is a batch
+        own.join(size, "session").filter(F.floor(F.col("seq") * 3 / (F.col("last") + 1)) == k).drop("last").write.mode("append").parquet(path)
+        events = drained(stream_answers.answer_events(spark.readStream.schema(own.schema).parquet(path)), "events", out, state)
+    found = stream_answers.answers(events)
     return found.select("session", F.length("answer").alias("n_chars"), F.md5(F.col("answer").cast("binary")).alias("answer_md5"))
 
 

@@ -9,9 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from docmill.operators import sync
-from docmill.plans.shared import table
+from docmill.plans.shared import scratch, table
 from docmill.queries import streams
 from docmill.streaming import answers, jobs, keyed_sync, semantic
+from docmill.streaming.drain import drained
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
@@ -247,3 +248,20 @@ def test_a_bucket_of_documents_takes_one_read_and_one_write():
     rows = [{"source_id": f"d{i}", "content_hash": "h", "failed": False, "is_pinned": False, "run_at": START, "seen_at": 0} for i in range(100)]
     assert {r.change for r in own.handleInputRows((3,), iter(rows), None)} == {"unchanged"}
     assert calls == ["get", "delete 1", f"register {int(START.timestamp()) * 1000 + 1}", "update"]
+
+
+def test_batches_of_answers_are_written_by_many_tasks(spark, sf, monkeypatch):
+    made = []
+    monkeypatch.setattr(streams, "scratch", lambda *a: made.append(name := scratch(*a)) or name)
+    monkeypatch.setattr(streams, "drained", lambda *a: made.append(out := drained(*a)) or out)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = {r["session"]: (r["n_chars"], r["answer_md5"]) for r in streams.answer_stream(spark, sf).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    pieces = spark.read.parquet(next(m for m in made if isinstance(m, str) and "/pieces-" in m))
+    rows = [n for (n,) in pieces.groupBy(F.input_file_name()).count().select("count").collect()]
+    assert len(rows) > 3 and max(rows) < sum(rows) / 3
+    texts = table(spark, sf, "conversations").filter("role <> 'system'").groupBy(F.col("conv_id").cast("string").alias("s")).agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("t")).collect()
+    want = {r["s"]: "".join(t["text"] or "" for t in r["t"]) for r in texts}
+    assert all(got[s][0] == len(w) for s, w in want.items()) and len(got) >= len(want) > 0
