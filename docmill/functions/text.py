@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -14,6 +18,9 @@ from docmill.functions.fixed import PARTICLES, SECTION_BOILERPLATE, SECTION_IGNO
 
 INVISIBLE = "​‌‍⁠﻿­"
 
+#: Bytes of texts that are Python strings at once.
+SLICE = 1 << 20
+
 
 def strip_markup(html: Column) -> Column:
     """Text of markup by patterns: scripts and styles to a space, breaks and block ends to a line feed, other tags to a space."""
@@ -24,18 +31,51 @@ def strip_markup(html: Column) -> Column:
     return F.regexp_replace(out, r"(?is)<[^>]*>", " ")
 
 
-@F.pandas_udf(StringType())
-def unescape(text: pd.Series) -> pd.Series:
-    """Character references of markup decoded; Spark has no function for them."""
+def _by_slice(texts: pa.Array, change: Callable[[str], str], plain: Callable[[pa.Array], pa.Array]) -> pa.Array:
+    """Texts changed, but for those that plain tells are the same afterwards; Python holds a slice of SLICE bytes, or one text, at once."""
+    texts = texts.cast(pa.large_string())
+    ends = pc.cumulative_sum(pc.fill_null(pc.binary_length(texts), 0)).to_numpy(zero_copy_only=False)
+    parts, a = [], 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + SLICE, "right")))
+        own, a = texts.slice(a, b - a), b
+        todo = pc.fill_null(pc.invert(plain(own)), False)
+        if pc.any(todo).as_py():
+            own = pc.replace_with_mask(own, todo, pa.array([change(t) for t in own.filter(todo).to_pylist()], own.type))
+        parts.append(own)
+    return pa.chunked_array(parts, texts.type).cast(pa.string()).combine_chunks() if parts else texts.cast(pa.string())
+
+
+def _nfkc(texts: pa.Array) -> pa.Array:
+    return _by_slice(texts, lambda t: unicodedata.normalize("NFKC", t), pc.string_is_ascii)
+
+
+def _unescape(texts: pa.Array) -> pa.Array:
     from html import unescape as decode
 
-    return text.map(lambda t: t if t is None else decode(t))
+    return _by_slice(texts, decode, lambda t: pc.invert(pc.match_substring(t, "&")))
 
 
-@F.pandas_udf(StringType())
-def nfkc(text: pd.Series) -> pd.Series:
+@F.arrow_udf(StringType())
+def unescape(text: pa.Array) -> pa.Array:
+    """Character references of markup decoded; Spark has no function for them."""
+    return _unescape(text)
+
+
+@F.arrow_udf(StringType())
+def nfkc(text: pa.Array) -> pa.Array:
     """Unicode NFKC; Spark has no function for it."""
-    return text.map(lambda t: t if t is None else unicodedata.normalize("NFKC", t))
+    return _nfkc(text)
+
+
+@F.arrow_udf(StringType())
+def unescaped_nfkc(text: pa.Array) -> pa.Array:
+    """Character references decoded, then NFKC, in one Python step."""
+    return _nfkc(_unescape(text))
+
+
+#: Said to be non-deterministic, which it isn't: a filter on the result is then not pushed below it, where a second Python worker a task would work it out again.
+_once = unescaped_nfkc.asNondeterministic()
 
 
 def normalize_unicode(text: Column) -> Column:
@@ -55,7 +95,7 @@ def normalize_whitespace(text: Column) -> Column:
 
 def clean_text(html: Column) -> Column:
     """Markup and white space removed: the cleaned body of a document."""
-    return normalize_whitespace(unescape(strip_markup(html)))
+    return squeeze(F.translate(_once(strip_markup(html)), INVISIBLE, ""))
 
 
 def filled(value: Column) -> Column:
