@@ -37,10 +37,12 @@ GRADUATE = ["대학원과정", "대학원 교과과정"]
 NO_TITLE, NO_SECTION, UNSORTED = "교과과정 정보", "교과과정", "미분류"
 COURSE_WORDS = ["과목", "구분", "학점", "학년", "이수", "code", "subject"]
 FRAMES = {"전공과목 개설총괄표": "overview", "학과내규": "policy", "졸업요건": "graduation", "진출분야": "career", "트랙별 이수체계": "career", "교과목 해설": "descriptions"}
+PLACES = {place: i for i, place in enumerate([*CONTENT, "body"])}
 
 _TEXT = pa.struct([("title", pa.string()), ("text", pa.string())])
 _TABLE = pa.struct([("section", pa.string()), ("header", pa.list_(pa.string())), ("rows", pa.list_(pa.list_(pa.string())))])
-CANDIDATES = "page_title string, tables array<struct<section: string, header: array<string>, rows: array<array<string>>>>, headings array<struct<title: string, text: string>>, sections array<struct<title: string, text: string>>"
+TABLES = "tables array<struct<section: string, header: array<string>, rows: array<array<string>>>>"
+CANDIDATES = f"page_title string, {TABLES}, headings array<struct<title: string, text: string>>, sections array<struct<title: string, text: string>>"
 
 
 class _Node:
@@ -82,6 +84,39 @@ class _Tree(HTMLParser):
         self.stack[-1].children.append(data)
 
 
+class _Page(_Tree):
+    """A page's elements and its tables, of one pass over it."""
+
+    def __init__(self, html: str):
+        self.found = _Tables("")
+        super().__init__(html)
+
+    def close(self) -> None:
+        self.found.close_table()  # tables end with the last whole tag
+        self.tables, self.found = self.found.tables, None
+        super().close()
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if self.found:
+            self.found.handle_starttag(tag, attrs)
+        super().handle_starttag(tag, attrs)
+
+    def handle_startendtag(self, tag: str, attrs: list) -> None:
+        if self.found:
+            self.found.handle_startendtag(tag, attrs)
+        super().handle_startendtag(tag, attrs)
+
+    def handle_endtag(self, tag: str) -> None:
+        if self.found:
+            self.found.handle_endtag(tag)
+        super().handle_endtag(tag)
+
+    def handle_data(self, data: str) -> None:
+        if self.found:
+            self.found.handle_data(data)
+        super().handle_data(data)
+
+
 def _walk(node: _Node) -> Iterator[_Node]:
     """Elements in document order."""
     todo = [node]
@@ -102,20 +137,22 @@ def _text(node: _Node) -> str:
     return " ".join(" ".join(parts).split())
 
 
-def _content(root: _Node) -> _Node:
-    """The first element of the first of CONTENT that the page has, else its body, else all."""
-    every = list(_walk(root))
-    for place in [*CONTENT, "body"]:
-        for x in every:
-            if place[1:] == x.id if place[0] == "#" else place[1:] in x.classes if place[0] == "." else x.tag == place:
-                return x
-    return root
+def _content(nodes: list[_Node]) -> _Node:
+    """The first element of the first of CONTENT that the page has, else its body, else all. nodes: the page's, its root first."""
+    first = {}
+    for x in nodes:
+        for place in (x.tag, x.id and f"#{x.id}", *(f".{c}" for c in x.classes)):
+            if place in PLACES:
+                first.setdefault(place, x)
+    return next((first[p] for p in PLACES if p in first), nodes[0])
 
 
-def _headings(content: _Node) -> list[dict]:
-    """Each heading with the text of the blocks after it, up to the next heading beside it."""
+def _headings(nodes: list[_Node]) -> list[dict]:
+    """Each heading with the text of the blocks after it, up to the next heading beside it. nodes: the content's."""
+    if not any(x.tag in RECORD_HEADINGS for x in nodes):
+        return []
     out = []
-    for parent in _walk(content):
+    for parent in nodes:
         parts = None
         for x in parent.children:
             if isinstance(x, str):
@@ -125,14 +162,16 @@ def _headings(content: _Node) -> list[dict]:
                 out.append((x, parts))
             elif parts is not None and x.tag in FOLLOWING and (text := _text(x)):
                 parts.append(text)
-    place = {id(x): i for i, x in enumerate(_walk(content))}
+    place = {id(x): i for i, x in enumerate(nodes)}
     return [{"title": _text(x), "text": " ".join(parts)} for x, parts in sorted(out, key=lambda o: place[id(o[0])]) if parts and _text(x)]
 
 
-def _sections(content: _Node) -> list[dict]:
-    """Paragraphs and list items under the last heading before them."""
+def _sections(nodes: list[_Node]) -> list[dict]:
+    """Paragraphs and list items under the last heading before them. nodes: the content's."""
+    if not any(x.tag in ("p", "li") for x in nodes):
+        return []
     out, title, parts = [], NO_SECTION, []
-    for x in _walk(content):
+    for x in nodes:
         if x.tag in SECTION_HEADINGS and (text := _text(x)):
             out.append((title, parts))
             title, parts = text, []
@@ -141,13 +180,17 @@ def _sections(content: _Node) -> list[dict]:
     return [{"title": t, "text": " ".join(p)} for t, p in [*out, (title, parts)] if p]
 
 
+def _rows(tables: list[tuple]) -> list[dict]:
+    return [{"section": heading, "header": header, "rows": rows} for _, heading, _, header, rows in tables]
+
+
 def outline(html: str | None) -> tuple[str, list[dict], list[dict], list[dict]]:
     """(title, tables, headings, sections) of a page."""
-    root = _Tree(html or "").root
-    title = next((_text(x) for x in _walk(root) if x.tag == "title"), "")
-    content = _content(root)
-    tables = [{"section": heading, "header": header, "rows": rows} for _, heading, _, header, rows in _Tables(html or "").tables]
-    return title, tables, _headings(content), _sections(content)
+    page = _Page(html or "")
+    every = list(_walk(page.root))
+    title = next((_text(x) for x in every if x.tag == "title"), "")
+    nodes = list(_walk(_content(every)))
+    return title, _rows(page.tables), _headings(nodes), _sections(nodes)
 
 
 def candidates(pages: DataFrame, key: str, html: str = "html", keep: list[str] | None = None) -> DataFrame:
@@ -164,23 +207,38 @@ def candidates(pages: DataFrame, key: str, html: str = "html", keep: list[str] |
     return pages.select(*names, html).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", " + CANDIDATES)
 
 
+def page_tables(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
+    """(key, tables): those of ``candidates``, for which a page's elements need not be put in a tree."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b[key], pa.array([_rows(_Tables(h or "").tables) for h in b[html].to_pylist()], pa.list_(_TABLE))], names=[key, "tables"])
+
+    return pages.select(key, html).mapInArrow(run, f"`{key}` {pages.schema[key].dataType.simpleString()}, {TABLES}")
+
+
 def _table_records(tables: Column, words: list[str], least: int) -> Column:
-    """Records of the rows of tables that score least or more; all-empty rows go."""
+    """Records of the rows of tables that score least or more; all-empty rows go.
+
+    What is used more than once is an element of an array first: Spark works an expression in a lambda out wherever it stands.
+    """
 
     def records(t: Column) -> Column:
-        names = F.transform(t["header"], lambda h: canonical(h, COLUMNS))
+        def pairs(names: Column) -> Column:
+            return F.transform(t["rows"], lambda cells: F.filter(F.arrays_zip(names.alias("name"), cells.alias("value")), lambda p: p["value"] != ""))
 
-        def record(cells: Column) -> Column:
-            pairs = F.filter(F.arrays_zip(names.alias("name"), cells.alias("value")), lambda p: p["value"] != "")
+        def record(pairs: Column) -> Column:
             titled = F.filter(pairs, lambda p: p["name"] == "title")
             title = F.coalesce(F.get(titled, F.lit(0))["value"], F.substring(F.get(pairs, F.lit(0))["value"], 1, 80), F.lit(NO_TITLE))
             lines = F.transform(pairs, lambda p: F.concat(p["name"], F.lit(": "), p["value"]))
             return F.struct(t["section"].alias("section"), title.alias("title"), F.array_join(lines, "\n").alias("text"))
 
-        return F.filter(F.transform(t["rows"], record), lambda r: r["text"] != "")
+        names = F.array(F.transform(t["header"], lambda h: canonical(h, COLUMNS)))
+        return F.filter(F.transform(F.flatten(F.transform(names, pairs)), record), lambda r: r["text"] != "")
 
     body = lambda t: F.array_join(F.flatten(F.slice(t["rows"], 1, 5)), " ")
-    return F.flatten(F.transform(F.filter(tables, lambda t: relevance(t["header"], body(t), words) >= least), records))
+    scored = lambda t: F.exists(F.array(F.struct(t["header"].alias("header"), body(t).alias("body"))), lambda x: relevance(x["header"], x["body"], words) >= least)
+    return F.flatten(F.transform(F.filter(tables, scored), records))
 
 
 def course_records(pages: DataFrame, key: str, html: str = "html", department: str | None = None, least: int = 3) -> DataFrame:
@@ -209,7 +267,7 @@ def course_tables(pages: DataFrame, key: str, html: str = "html", least: int = 2
     the table. frame: what a section's name makes of it, by the first of FRAMES in it; null if none is.
     Pages without such a table give no row.
     """
-    own = candidates(pages, key, html).select(key, F.explode("tables").alias("t"))
+    own = page_tables(pages, key, html).select(key, F.explode("tables").alias("t"))
     head, body = F.array_join("t.header", " "), F.concat_ws(" ", F.array_join("t.header", " "), F.array_join(F.flatten("t.rows"), " "))
     score = reduce(lambda a, b: a + b, (F.when(head.contains(w), 2).otherwise(0) + F.when(body.contains(w), 1).otherwise(0) for w in COURSE_WORDS))
     section = F.coalesce(F.nullif("t.section", F.lit("")), F.lit(UNSORTED))

@@ -1,5 +1,7 @@
 """Course pages: which kind of records a page gives."""
 
+from html.parser import HTMLParser
+
 from docmill.sources import cascade
 
 TABLE = "<table><tr><th>교과목명</th><th>학점</th></tr><tr><td>Algebra</td><td>3</td></tr><tr><td></td><td> </td></tr><tr><td></td><td>2</td><td>cut</td></tr></table>"
@@ -38,3 +40,18 @@ def test_course_tables(spark):
     rows = cascade.course_tables(spark.createDataFrame([(1, html), (2, None)], "k long, html string"), "k").collect()
     assert [(r["k"], r["section"], r["frame"], r["cells"]) for r in rows if r["section"] != "미분류"] == [(1, "트랙별 이수체계도", "career", ["a"])]
     assert len([r for r in rows if r["section"] == "미분류" and r["frame"] is None]) == 3
+
+
+def test_a_page_is_parsed_once(monkeypatch):
+    fed = []
+    feed = HTMLParser.feed
+    monkeypatch.setattr(HTMLParser, "feed", lambda self, data: (fed.append(data) if data else None, feed(self, data))[1])
+    html = "<title>T</title><div id=content><h2>H</h2><table><tr><th>a</th></tr><tr><td>1</td></tr><tr><td/></tr></table><h3>S</h3><p>x<br/>y</p></div>tail"
+    title, tables, headings, sections = cascade.outline(html)
+    assert fed == [html]
+    assert (title, tables) == ("T", [{"section": "H", "header": ["a"], "rows": [["1"], [""]]}])
+    assert headings == [{"title": "S", "text": "x y"}] and sections == [{"title": "S", "text": "x y"}]
+
+
+def test_course_tables_need_no_tree(spark):
+    assert [f.name for f in cascade.page_tables(spark.createDataFrame([(1, "")], "k long, html string"), "k").schema] == ["k", "tables"]
