@@ -27,6 +27,8 @@ from docmill.plans.shared import materialise, release
 WIDTH, OVER, PASSES = 64, 16, 3
 #: Terms of a share that travels as one row; shares that are summed at once.
 BLOCK, FAN = 512, 32
+#: Rows that are a dense matrix at once: MAX_TERMS columns at most.
+AT_ONCE = 256
 #: Prefixes that say what a text is (fixed values).
 ROLES = ("query: ", "passage: ")
 
@@ -68,15 +70,20 @@ def _times(lists: pa.Array, terms: pa.Array, idf: np.ndarray, thin: np.ndarray)
 
 
 def gram_times(rows: DataFrame, terms: pa.Array, idf: np.ndarray, thin: np.ndarray) -> np.ndarray:
-    """The Gram matrix of the vocabulary (rows' matrix transposed, times itself) times thin. rows: (terms), written."""
+    """The Gram matrix of the vocabulary (rows' matrix transposed, times itself) times thin. rows: (terms), written, each term once a row."""
     shape = thin.shape
     sent = rows.sparkSession.sparkContext.broadcast(thin)  # MAX_TERMS rows of WIDTH + OVER numbers at most
 
     def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, here = np.zeros(shape), False
         for b in batches:
-            out, row, term, weight = _times(b.column("terms"), terms, idf, sent.value)
-            _add(total, term, weight, row, out)
+            row, term, weight = _rows(b.column("terms"), terms, idf)
+            cuts = np.searchsorted(row, np.arange(0, len(b) + AT_ONCE, AT_ONCE))
+            for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+                here_terms, place = np.unique(term[a:z], return_inverse=True)
+                own = np.zeros((AT_ONCE, len(here_terms)))  # of the rows' own terms only
+                own[row[a:z] % AT_ONCE, place] = weight[a:z]
+                total[here_terms] += own.T @ (own @ sent.value[here_terms])
             here = here or len(b) > 0
         slot, blocks = TaskContext.get().partitionId() // FAN, list(range(0, shape[0], BLOCK)) if here else []
         yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array([slot] * len(blocks), pa.int32()), pa.array([total[a : a + BLOCK].tobytes() for a in blocks], pa.binary())], names=["block", "slot", "sums"])

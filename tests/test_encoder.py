@@ -64,3 +64,19 @@ def test_odd_texts_roles_and_files(spark, tmp_path):
     assert got[:3] == [None] * 3 and got[3] == got[4] == got[5] == got[6] and abs(np.linalg.norm(got[3]) - 1) < 1e-9
     with pytest.raises(ValueError):
         encoder.fit_encoder(texts.filter("doc_id = 2"), "doc_id")
+
+
+def test_gram_products_over_several_blocks_of_rows(spark):
+    import pyarrow as pa
+
+    draw = np.random.default_rng(5)
+    lists = [[f"t{j}" for j in draw.permutation(40)[: draw.integers(0, 9)]] for _ in range(2 * encoder.AT_ONCE + 90)]
+    idf, thin = draw.uniform(1, 3, 30), draw.normal(size=(30, 7))
+    dense = np.zeros((len(lists), 30))
+    for i, own in enumerate(lists):
+        for t in own:
+            if int(t[1:]) < 30:  # others aren't known
+                dense[i, int(t[1:])] = idf[int(t[1:])]
+    dense /= np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-300)
+    rows = spark.createDataFrame([(x,) for x in lists], "terms array<string>").coalesce(1)
+    assert np.allclose(encoder.gram_times(rows, pa.array([f"t{j}" for j in range(30)]), idf, thin), dense.T @ (dense @ thin))
